@@ -79,7 +79,7 @@ def plan_bins(histogram: dict[int, int], caps: Capacities) -> tuple[np.ndarray,
             first, bins = int(low[g]), int(high[g] - low[g])
             whole, rest = divmod(min(left, bins * each), each)
             rows.append((length, rank, first, each, offset))
-            parts = [(first, first + whole, residual[g] - demand * each), (first + whole, first + whole + (rest > 0), residual[g] - demand * rest), (first + whole + (rest > 0), first + bins, residual[g])]
+            parts = [(first, first + whole, residual[g] - demand * each), (first + whole, first + whole + (rest > 0), residual[g] - demand * rest), (first + whole + (rest > 0), first + bins, residual[g].copy())]
             keep = [p for p in parts if p[1] > p[0]]
             low[g], high[g], residual[g] = keep[0]
             for a, b, r in keep[1:]:
