@@ -1,8 +1,8 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of symbols. Each adjacent pair that merges to a token lies, by its left
-position, in the bucket of that token's rank. A bitmap of three levels marks the buckets in use, so
-find-first-set on three words gives the lowest rank; the leftmost position of its bucket merges next. Entries that
+position, in the bucket of that token's rank. A bitmap of two levels of 256-bit words marks the buckets in use,
+so find-first-set on two words gives the lowest rank; the leftmost position of its bucket merges next. Entries that
 a merge has made stale stay where they are and are skipped when they come up. A merge costs a few
 word operations however long the pre-token is.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from findlake.llm.arrow import append_columns
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 LONGEST_CACHED = 64
 #: White space to ``re``, but not to the pre-token pattern.
 SEPARATOR_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -32,43 +32,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """A queue of list positions by rank; empty between uses."""
-
-    def __init__(self, n_ranks: int):
-        self.low, self.mid, self.top = [0] * (n_ranks // 64 + 1), [0] * (n_ranks // 4096 + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, block = rank >> 6, rank >> 12
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[block] |= 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position; the queue must not be empty."""
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= bits - 1
-            if not self.low[word]:
-                self.mid[block] &= self.mid[block] - 1
-                if not self.mid[block]:
-                    self.top &= self.top - 1
-        return rank, position
-
-
 class ByteBPE:
     """``encode(text)`` as packed unsigned 32-bit ids, ``decode(ids)`` as bytes."""
 
@@ -80,6 +43,7 @@ class ByteBPE:
         self.find = regex.compile(pattern).findall
         self.units = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.token_of = self.tokens.__getitem__
         self.bytes_to_id = [ranks[bytes([b])] for b in range(256)]
         # the rank of each pair of tokens that joins to a token
         self.pairs: dict[int, int] = {}
@@ -88,7 +52,7 @@ class ByteBPE:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left * self.size + right] = rank
-        self.queue = RankQueue(self.size)
+        self.low = [0] * (self.size // 256 + 1)  # the bitmap's lower level; empty between pre-tokens
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -99,32 +63,51 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size, pairs, queue = self.size, self.pairs, self.queue
+        size, pair_rank, low, top = self.size, self.pairs.get, self.low, 0
+        buckets: dict[int, list[int]] = {}
         symbols = [self.bytes_to_id[b] for b in piece]
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            rank = pairs.get(symbols[i] * size + symbols[i + 1])
+        # positions come in ascending order, so that appending keeps a bucket a heap
+        for i, rank in enumerate(map(pair_rank, [a * size + b for a, b in zip(symbols, symbols[1:], strict=False)])):
             if rank is not None:
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             j = after[i]
             # stale: i or its neighbour has been merged since
-            if symbols[i] < 0 or j >= n or pairs.get(symbols[i] * size + symbols[j]) != rank:
+            if symbols[i] < 0 or j >= n or pair_rank(symbols[i] * size + symbols[j]) != rank:
                 continue
-            k = after[j]
+            k, h = after[j], before[i]
             symbols[i], symbols[j], after[i] = rank, -1, k
+            made = []
             if k < n:
                 before[k] = i
-                new = pairs.get(rank * size + symbols[k])
-                if new is not None:
-                    queue.push(new, i)
-            h = before[i]
+                made.append((pair_rank(rank * size + symbols[k]), i))
             if h >= 0:
-                new = pairs.get(symbols[h] * size + rank)
+                made.append((pair_rank(symbols[h] * size + rank), h))
+            for new, at in made:
                 if new is not None:
-                    queue.push(new, h)
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        low[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
         return [s for s in symbols if s >= 0]
 
     def encode(self, text: str | None) -> bytes:
@@ -163,7 +146,7 @@ class ByteBPE:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.token_of, np.frombuffer(ids, "<u4").tolist()))
 
 
 _CODECS: dict[tuple[str, str], ByteBPE] = {}

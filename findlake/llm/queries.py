@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import bytebpe, huffman, packing
+from findlake.llm import bytebpe, huffman, packing, simhash
 from findlake.llm.storage import scratch_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "huffman")
     huffman.write_ids(huffman.encode_documents(read(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2), path)
@@ -36,7 +40,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_huffman_ids, op6_best_fit_packing, op7_byte_bpe)
+    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op6_best_fit_packing, op7_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
