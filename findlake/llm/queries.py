@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import bytebpe, huffman, packing, simhash
+from findlake.llm import bytebpe, huffman, langid, packing, quality, simhash
 from findlake.llm.storage import scratch_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,8 +39,30 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """The fifth of the documents that nothing is learned from."""
+    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out())
+    scored = quality.score(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"), "n_lines", "good_lines")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    models = langid.fit(docs, ~held_out())
+    found = langid.predict(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op6_best_fit_packing, op7_byte_bpe)
+    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op3_quality_crf, op5_language_id, op6_best_fit_packing, op7_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
