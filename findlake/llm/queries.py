@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import bytebpe, huffman, langid, packing, quality, simhash
+from findlake.llm import bytebpe, htmltext, huffman, langid, multiindex, packing, quality, simhash
 from findlake.llm.storage import scratch_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,10 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"), "n_lines", "good_lines")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     models = langid.fit(docs, ~held_out())
@@ -61,8 +65,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op3_quality_crf, op5_language_id, op6_best_fit_packing, op7_byte_bpe)
+    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op3_quality_crf, op4_html_text, op5_language_id, op6_best_fit_packing, op7_byte_bpe, op8_multi_index)
 }
 
 ORACLE_SQL: dict[str, str] = {}
