@@ -19,7 +19,7 @@ from findlake.llm.arrow import append_columns
 
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head title style script template noscript datalist iframe object audio video canvas svg math select textarea".split())
+HIDDEN = set("head title style script template noscript datalist iframe object audio video canvas svg math select".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCKS = SPACED | set("html body div section article aside header footer nav main address center details dialog dd dt li fieldset figcaption form hgroup hr legend summary tr td th thead tbody tfoot caption search menu".split())
 #: A start tag of the key ends an open element of the value.

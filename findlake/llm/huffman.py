@@ -25,14 +25,14 @@ from findlake.llm.wordbpe import word_encoder
 #: No code is longer; 2**18 ids at most, and a decoding table of 2**20 entries.
 LONGEST_CODE = 20
 LARGEST_ALPHABET = 1 << 18
-BLOCK_IDS = 1 << 16
-CHECKPOINT = 256
+BLOCK_IDS = 1 << 17
+CHECKPOINT = 128
 
 BLOCK_SCHEMA = "file_no int, block_no int, file_start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, n_bits long, bits binary, checkpoints array<long>"
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole texts to ids: ``doc_id, ids`` (little-endian unsigned 32-bit, ``end_id`` appended).
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_bytes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole texts to ids: ``doc_id, ids`` (little-endian unsigned integers of ``id_bytes``, 2 or 4; ``end_id`` appended).
 
     Null and empty texts have the end id only. Rows with equal doc_id stay apart.
     """
@@ -40,28 +40,39 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
 
     def make():
         encode = word_encoder(tokenizer_path).encode
-        return lambda texts: ([encode(t) + tail for t in texts],)
+        return lambda texts: ([_narrow(encode(t) + tail, id_bytes) for t in texts],)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     return append_columns(slim, ["__text"], [T.StructField("ids", T.BinaryType())], make).select("doc_id", "ids")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def _narrow(ids: bytes, id_bytes: int) -> bytes:
+    if id_bytes == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError("an id needs more than 2 bytes")
+    return wide.astype("<u2").tobytes()
+
+
+def count_ids(tokens: DataFrame, id_bytes: int = 4) -> DataFrame:
     """``token_id, count`` over all rows: each task adds up its own ids first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                data = value.as_buffer()
-                if data is None or not data.size:
-                    continue
-                part = np.bincount(np.frombuffer(data, "<u4"))
-                if len(part) > LARGEST_ALPHABET:
-                    raise ValueError(f"an id of {LARGEST_ALPHABET} or more can't be coded")
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-                total[: len(part)] += part
+            # the values of a batch lie in a row
+            column = batch.column(0)
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            if not len(column) or ends[0] == ends[-1]:
+                continue
+            part = np.bincount(np.frombuffer(data, f"<u{id_bytes}", count=int(ends[-1] - ends[0]) // id_bytes, offset=int(ends[0])))
+            if len(part) > LARGEST_ALPHABET:
+                raise ValueError(f"an id of {LARGEST_ALPHABET} or more can't be coded")
+            if len(part) > len(total):
+                total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
+            total[: len(part)] += part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token_id", "count"])
 
@@ -143,13 +154,7 @@ class CanonicalCode:
         return out.T.reshape(-1)[:n_ids]
 
 
-def canonical_code(header: DataFrame) -> CanonicalCode:
-    """A header has a row an id that occurs: LARGEST_ALPHABET rows at most, whatever the corpus."""
-    rows = header.select("token_id", "code_length").toPandas().sort_values("token_id")
-    return CanonicalCode(rows.token_id.to_numpy(np.int64), rows.code_length.to_numpy(np.int64))
-
-
-def write_ids(tokens: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
+def write_ids(tokens: DataFrame, path: str, id_bytes: int = 4, block_ids: int = BLOCK_IDS) -> None:
     """Write ``doc_id, ids`` (see encode_documents) as a file set at ``path``, in ascending doc_id order.
 
     Blocks hold whole documents, up to ``block_ids`` ids or one longer document. Null doc_ids come first,
@@ -157,7 +162,7 @@ def write_ids(tokens: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
     """
     spark = tokens.sparkSession
     tokens = materialize(tokens, "ids")
-    counts = count_ids(tokens).toPandas().sort_values("token_id")
+    counts = count_ids(tokens, id_bytes).toPandas().sort_values("token_id")
     ids, numbers = counts.token_id.to_numpy(np.int64), counts["count"].to_numpy(np.int64)
     lengths = code_lengths(numbers)
     header = [(int(i), int(c), int(n)) for i, c, n in zip(ids, numbers, lengths, strict=True)]
@@ -180,7 +185,7 @@ def write_ids(tokens: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
         names = ["file_no", "block_no", "file_start", "n_ids", "doc_ids", "doc_lengths", "n_bits", "bits", "checkpoints"]
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(value.as_buffer(), "<u4") if value.is_valid and value.as_buffer().size else np.zeros(0, np.uint32)
+                own = np.frombuffer(value.as_buffer(), f"<u{id_bytes}") if value.is_valid and value.as_buffer().size else np.zeros(0, np.uint32)
                 if docs and held + len(own) > block_ids:
                     yield block()
                     start, block_no, docs, parts, held = start + held, block_no + 1, [], [], 0

@@ -24,12 +24,14 @@ from findlake.llm.storage import materialize
 @dataclass(frozen=True)
 class IndexSettings:
     #: centroids of each half; cells are their square
-    centroids: int = 32
+    centroids: int = 20
     #: vectors that centroids are fitted on: those with the smallest hash of their id
     sample: int = 20_000
     rounds: int = 12
-    #: a query goes on until its cells hold so many vectors, at least
-    candidates: int = 6_000
+    #: a query goes on until its cells hold so many vectors, and this share of all, at least; vectors without clusters
+    #: need a large share
+    candidates: int = 2_000
+    share: float = 0.6
     #: rows of a cell that one task compares at once; larger cells are cut
     part: int = 4_096
 
@@ -134,10 +136,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, settings: IndexSett
     for cell, n in entries.groupBy("cell").count().collect():
         sizes[cell] = n
     sent = spark.sparkContext.broadcast(sizes)
+    wanted = max(settings.candidates, int(settings.share * int(sizes.sum())))
     schema = T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def make_walk():
-        return lambda vecs: ([shared.value.walk(u, sent.value, settings.candidates) for u in _unit(np.array(vecs, np.float64))],)
+        return lambda vecs: ([shared.value.walk(u, sent.value, wanted) for u in _unit(np.array(vecs, np.float64))],)
 
     queries = append_columns(table.where("q").select(F.col("vec_id").alias("query_id"), "vec"), ["vec"], schema.fields, make_walk)
     # a cell with many rows is cut in parts, each of which meets the cell's queries by itself

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import bytebpe, htmltext, huffman, langid, multiindex, packing, quality, simhash
+from findlake.llm import bm25, bytebpe, htmltext, huffman, langid, multiindex, packing, quality, simhash, suffixes
 from findlake.llm.storage import scratch_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,7 +25,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "huffman")
-    huffman.write_ids(huffman.encode_documents(read(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2), path)
+    huffman.write_ids(huffman.encode_documents(read(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2, id_bytes=2), path, id_bytes=2)
     return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -69,8 +69,25 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a query against all documents."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.top_k(read(spark, sf_dir, "documents"), asked, k=10)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a passage: repeated = it has occurred before, else its first place."""
+    found = suffixes.repeated_passages(read(spark, sf_dir, "documents"))
+
+    def marked(column: str, repeated: bool) -> Column:
+        return F.transform(column, lambda s: F.struct(F.lit(repeated).alias("repeated"), s["start"].alias("start_word"), s["end"].alias("end_word")))
+
+    spans = F.concat(marked("repeats", True), marked("firsts", False))
+    return found.select("doc_id", F.inline(spans))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op3_quality_crf, op4_html_text, op5_language_id, op6_best_fit_packing, op7_byte_bpe, op8_multi_index)
+    f.__name__: f for f in (op1_simhash, op2_huffman_ids, op3_quality_crf, op4_html_text, op5_language_id, op6_best_fit_packing, op7_byte_bpe, op8_multi_index, op9_bm25_top_k, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}

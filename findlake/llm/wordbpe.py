@@ -91,6 +91,8 @@ class WordEncoder:
         lower = word.lower()
         if not lower.isascii() and BEYOND_LATIN.search(lower) or "<|" in word:
             return self._whole(word)
+        if lower.isalpha():
+            return self.pieces.get(lower) or self._piece(lower)
         return b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(lower)])
 
     def _piece(self, piece: str) -> bytes:
