@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,8 @@ from findlake.llm.arrow import append_columns
 
 UNKNOWN = "und"
 BOUNDARY = "\x02"
-WORDS = re.compile(r"[^\W\d_]+(?:[̀-ͯ'’][^\W\d_]+)*")
-CACHE_WORDS = 200_000
+WORDS = re.compile(r"[^\W\d_]+")
+CACHE_WORDS = 150_000
 LONGEST_CACHED = 40
 SIMPLE_CHARS = 1 << 21
 
@@ -160,26 +160,36 @@ class Identifier:
 
     def __init__(self, models: CharModels):
         self.models = models
-        self.recent: dict[str, np.ndarray] = {}
+        self.places: dict[str, int] = {}
+        self.table = np.zeros((CACHE_WORDS, len(models.languages)))
 
     def entropy(self, text: str | None) -> tuple[np.ndarray, int]:
         """Cross-entropy a character under each language, and the number of characters (with word ends)."""
         words = words_of(text)
         if not words:
             return np.zeros(len(self.models.languages)), 0
-        counts = Counter(words)
-        fresh = [w for w in counts if w not in self.recent]
-        loose: dict[str, np.ndarray] = {}
-        if fresh:
-            if len(self.recent) + len(fresh) > CACHE_WORDS:
-                self.recent = {w: self.recent[w] for w in counts if w in self.recent}
-            for w, bits in zip(fresh, self.models.bits(fresh), strict=True):
-                (self.recent if len(w) <= LONGEST_CACHED else loose)[w] = bits
-        get = self.recent.get
-        stacked = np.array([loose[w] if (b := get(w)) is None else b for w in counts])
-        number = np.fromiter(counts.values(), np.float64, len(counts))
-        chars = int(sum((len(w) + 1) * n for w, n in counts.items()))
-        return number @ stacked / chars, chars
+        total, chars = np.zeros(len(self.models.languages)), sum(map(len, words)) + len(words)
+        places = list(map(self.places.get, words))
+        if None in places:
+            fresh = list({w for w, p in zip(words, places, strict=True) if p is None})
+            bits = self.models.bits(fresh)
+            short = [i for i, w in enumerate(fresh) if len(w) <= LONGEST_CACHED]
+            if len(self.places) + len(short) > CACHE_WORDS:
+                self.places = {}
+            short = short[:CACHE_WORDS]
+            first = len(self.places)
+            self.table[first : first + len(short)] = bits[short]
+            self.places.update(zip([fresh[i] for i in short], range(first, first + len(short)), strict=True))
+            row = {w: i for i, w in enumerate(fresh)}
+            new = np.array([row[w] for w, p in zip(words, places, strict=True) if p is None])
+            total += np.bincount(new, minlength=len(fresh)) @ bits
+            # the places of words that were known are read before the table may be filled anew
+            places = [p for p in places if p is not None]
+            if first == 0 and places:
+                known = [w for w in words if w not in row]
+                total += self.models.bits(known).sum(0)
+                places = []
+        return (total + self.table[places].sum(0)) / chars, chars
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, confidence from 0 to 1, its cross-entropy, and whether that is accepted."""

@@ -26,11 +26,11 @@ MIN_WORDS = 50
 #: Successive positions of which one is kept, and words that its choice looks at.
 SAMPLE_WINDOW = 16
 SAMPLE_WORDS = 8
-#: Bits of the filter that spares most unrepeated suffixes the shuffle: 16 MB, whatever the corpus. It may let suffixes pass
+#: Bits of the filter that spares most unrepeated suffixes the shuffle: 8 MB, whatever the corpus. It may let suffixes pass
 #: that are not repeated, never the other way round.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 WORD = re.compile(r"\S+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
