@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -60,42 +61,51 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         task, serial = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         lengths: list[int] = []
-        postings: dict[str, list[int]] = {}
+        places: dict[str, int] = {}
+        terms, ords, freqs = array("i"), array("i"), array("i")
         chars = 0
 
-        def shard() -> Iterator[pa.RecordBatch]:
-            number = task << 32 | serial
-            length = np.array(lengths, np.int32)
-            rows = [(number, None, len(ids), np.array(ids, np.int64).tobytes(), length.tobytes(), b"", b"", b"")]
-            for term, flat in postings.items():
-                pairs = np.array(flat, np.int32)
-                ords, freqs = pairs[0::2], pairs[1::2]
-                block = ords >> BLOCK_BITS
-                first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                rows.append((number, term, len(ords), ords.astype(np.uint16).tobytes(), freqs.tobytes(), block[first].astype(np.uint16).tobytes(), np.maximum.reduceat(freqs, first).tobytes(), np.minimum.reduceat(length[ords], first).tobytes()))
-                if len(rows) == 4096:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
+        def cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+            """One binary value for each stretch of ``values`` that ends at ``ends``."""
+            offsets = np.r_[0, ends * values.itemsize].astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        def shard() -> Iterator[pa.RecordBatch]:
+            number, length = task << 32 | serial, np.array(lengths, np.int32)
+            head = [[number], [None], [len(ids)], [np.array(ids, np.int64).tobytes()], [length.tobytes()], [b""], [b""], [b""]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(head, kinds, strict=True)], names=names)
+            if not places:
+                return
+            term = np.frombuffer(terms, np.int32)
+            by = np.argsort(term, kind="stable")  # documents stay in order within a term
+            term, doc, freq = term[by], np.frombuffer(ords, np.int32)[by], np.frombuffer(freqs, np.int32)[by]
+            block = doc >> BLOCK_BITS
+            new_term = np.r_[True, term[1:] != term[:-1]]
+            first = np.flatnonzero(new_term | np.r_[True, block[1:] != block[:-1]])
+            ends = np.r_[np.flatnonzero(new_term)[1:], len(term)]
+            block_ends = np.searchsorted(first, ends)
+            columns = [
+                pa.array(np.full(len(ends), number)), pa.array(list(places), pa.string()), pa.array(np.diff(np.r_[0, ends]).astype(np.int32)), cut(doc.astype(np.uint16), ends), cut(freq, ends),
+                cut(block[first].astype(np.uint16), block_ends), cut(np.maximum.reduceat(freq, first), block_ends), cut(np.minimum.reduceat(length[doc], first), block_ends),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    terms = terms_of(text)
-                    ord_ = len(ids)
-                    for term, freq in Counter(terms).items():
-                        postings.setdefault(term, []).extend((ord_, freq))
+                    words = terms_of(text)
+                    counts = Counter(words)
+                    terms.extend([places.setdefault(t, len(places)) for t in counts])
+                    freqs.extend(counts.values())
+                    ords.extend([len(ids)] * len(counts))
                     ids.append(doc)
-                    lengths.append(len(terms))
+                    lengths.append(len(words))
                     chars += len(text or "")
                     if len(ids) == SHARD_DOCS or chars >= SHARD_CHARS:
                         yield from shard()
-                        serial, ids, lengths, postings, chars = serial + 1, [], [], {}, 0
+                        serial, ids, lengths, places, chars = serial + 1, [], [], {}, 0
+                        terms, ords, freqs = array("i"), array("i"), array("i")
         if ids:
             yield from shard()
 
@@ -124,34 +134,32 @@ class Shard:
         if not own:
             return []
         bounds = np.zeros((len(own), self.n_blocks))
-        edges = []
-        for i, (weight, ords, _, blocks, bound) in enumerate(own):
+        for i, (weight, _, _, blocks, bound) in enumerate(own):
             bounds[i, blocks] = weight * bound
-            edges.append(np.searchsorted(ords, np.arange(self.n_blocks + 1) << BLOCK_BITS))
         total = bounds.sum(0)
+        order = np.argsort(-total, kind="stable")
         best: list[tuple[float, int]] = []
-        least = -math.inf
-        width = 1 << BLOCK_BITS
-        for block in np.argsort(-total, kind="stable").tolist():
-            # sums in another order may differ in the last digits
-            if total[block] <= 0 or total[block] * (1 + 1e-9) < least:
-                break
-            present, score = np.zeros(width), np.zeros(width)
+        # the least positive bound; sums in another order may differ in the last digits, hence the slack
+        least, slack, at, size = 1e-300, 1 + 1e-9, 0, 2
+        while at < len(order) and total[order[at]] * slack >= least:
+            chunk = order[at : at + size]
+            alive = np.zeros(self.n_blocks, bool)
+            alive[chunk[total[chunk] * slack >= least]] = True
+            at, size = at + size, size * 4
+            present, score = np.zeros(len(self.ids)), np.zeros(len(self.ids))
             slices = []
             for i, (weight, ords, freqs, _, _) in enumerate(own):
-                s, e = int(edges[i][block]), int(edges[i][block + 1])
-                if s < e:
-                    at = ords[s:e] & (width - 1)
-                    present[at] += bounds[i, block]
-                    slices.append((weight, at, ords[s:e], freqs[s:e]))
-            hopeful = present * (1 + 1e-9) >= max(least, 1e-300)
-            if not hopeful.any():
-                continue
-            for weight, at, ords, freqs in slices:
-                ok = hopeful[at]
-                score[at[ok]] += weight * self.bm25.gain(freqs[ok].astype(np.float64), self.lengths[ords[ok]], self.mean)
-            found = np.flatnonzero(hopeful & (score >= least) & (score > 0))
-            best += zip(score[found].tolist(), self.ids[(block << BLOCK_BITS) + found].tolist(), strict=True)
+                block = ords >> BLOCK_BITS
+                mine = np.flatnonzero(alive[block])
+                if len(mine):
+                    present[ords[mine]] += bounds[i, block[mine]]
+                    slices.append((weight, ords[mine], freqs[mine]))
+            hopeful = present * slack >= least
+            for weight, ords, freqs in slices:
+                ok = hopeful[ords]
+                score[ords[ok]] += weight * self.bm25.gain(freqs[ok].astype(np.float64), self.lengths[ords[ok]], self.mean)
+            found = np.flatnonzero(hopeful & (score >= least))
+            best += zip(score[found].tolist(), self.ids[found].tolist(), strict=True)
             if len(best) >= k:
                 best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
                 least = best[-1][0]
