@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from findlake.functions.text import slugify, stem
 
 
-def glossary_join(items: DataFrame, glossary: DataFrame, key: str, pos: str, defaults: dict[str, object]) -> DataFrame:
+def glossary_join(items: DataFrame, glossary: DataFrame, key: str | list[str], pos: str, defaults: dict[str, object]) -> DataFrame:
     """Items with their glossary entry: of repeated keys the last wins, ``defaults`` (column: value) stand in for misses."""
     columns = list(defaults)
     last = glossary.groupBy(key).agg(F.max_by(F.struct(*columns), pos).alias("__g"))

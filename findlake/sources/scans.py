@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.functions.scoring import cvss2_to_3, cwe_label, ensure_cvss3_prefix, score_to_severity, severity_name, severity_rank
+from findlake.functions.scoring import cvss2_to_3, cwe_label, ensure_cvss3_prefix, score_to_severity, severity_from_rank, severity_name, severity_rank
+from findlake.operators.lookups import glossary_join
 
 DETECT_CHARS = 65536
 #: Root elements that name a scanner.
@@ -54,9 +55,10 @@ def detect_format(text: Column) -> Column:
 def route_files(files: DataFrame) -> DataFrame:
     """``path, scanner, status, reason, text``: every file gets one status, and a bad one doesn't stop the others."""
     told = decode_text(files).withColumn("scanner", detect_format(F.col("text")))
-    status = F.when(F.col("decode_error").isNotNull(), "encoding error").when(F.col("scanner").isNull(), "unrecognised").when(F.col("scanner") == "nmap", "refused").otherwise("ok")
-    reason = F.coalesce("decode_error", F.when(F.col("scanner") == "nmap", "port scans hold no findings"))
-    return told.select("path", "scanner", status.alias("status"), reason.alias("reason"), "text")
+    refusal = F.when(F.col("scanner") == "nmap", "port scans hold no findings").when((F.col("scanner") == "sslyze") & predates_v5(F.col("text")), "sslyze before release 5")
+    told = told.withColumn("__refusal", refusal)
+    status = F.when(F.col("decode_error").isNotNull(), "encoding error").when(F.col("scanner").isNull(), "unrecognised").when(F.col("__refusal").isNotNull(), "refused").otherwise("ok")
+    return told.select("path", "scanner", status.alias("status"), F.coalesce("decode_error", "__refusal").alias("reason"), "text")
 
 
 def _parse(files: DataFrame, root: str, schema: str) -> DataFrame:
@@ -106,19 +108,33 @@ def burp_occurrences(files: DataFrame) -> DataFrame:
     )
 
 
+ALERT = "pluginid:string,alertRef:string,id:string,alert:string,name:string,riskcode:string,riskdesc:string,desc:string,description:string,solution:string,reference:string,references:string,cweid:string"
+INSTANCE = "struct<uri:string,method:string,param:string>"
+
+
 def zap_occurrences(files: DataFrame) -> DataFrame:
-    """XML reports: an occurrence an instance, or one without component where there is none."""
-    item = "struct<pluginid:string,alertRef:string,alert:string,name:string,riskcode:string,riskdesc:string,desc:string,solution:string,reference:string,cweid:string,instances:struct<instance:array<struct<uri:string,method:string,param:string>>>>"
-    rows = _parse(files, "OWASPZAPReport", f"site array<struct<alerts:struct<alertitem:array<{item}>>>>")
-    sites = rows.select("scan_id", F.posexplode("x.site").alias("s", "site"))
-    alerts = sites.select("scan_id", "s", F.posexplode("site.alerts.alertitem").alias("a", "r"))
-    each = alerts.select("*", F.posexplode_outer("r.instances.instance").alias("i", "n"))
+    """XML and JSON reports: an occurrence an instance with a uri, or one without component where there is none.
+
+    A JSON report holds one site, a list of sites, or is itself the list.
+    """
+    is_json = F.coalesce(F.col("text").rlike(r"^\s*[\[{]"), F.lit(False))
+    sites = F.when(F.col("text").rlike(r"^\s*\["), F.col("text")).otherwise(F.get_json_object("text", "$.site"))
+    told = F.from_json(sites, f"array<struct<alerts:array<struct<{ALERT},instances:array<{INSTANCE}>>>>>")
+    from_json = files.where(is_json).select(F.col("path").alias("scan_id"), F.posexplode(told).alias("s", "site")).select("scan_id", "s", F.posexplode("site.alerts").alias("a", "r"))
+    parsed = _parse(files.where(~is_json), "OWASPZAPReport", f"site array<struct<alerts:struct<alertitem:array<struct<{ALERT},instances:struct<instance:array<{INSTANCE}>>>>>>>")
+    from_xml = parsed.select("scan_id", F.posexplode("x.site").alias("s", "site")).select("scan_id", "s", F.posexplode("site.alerts.alertitem").alias("a", "r"))
+    wanted = lambda instances: F.filter(instances, lambda n: F.coalesce(n["uri"], F.lit("")) != "")
+    each = from_json.select("*", F.posexplode_outer(wanted(F.col("r.instances"))).alias("i", "n")).select("scan_id", "s", "a", "i", "n", F.col("r").dropFields("instances").alias("r"))
+    each = each.unionByName(from_xml.select("*", F.posexplode_outer(wanted(F.col("r.instances.instance"))).alias("i", "n")).select("scan_id", "s", "a", "i", "n", F.col("r").dropFields("instances").alias("r")))
     code = F.substring(_text("r.riskcode"), 1, 1)
-    word = F.when(code.isin("0", "1", "2", "3"), F.element_at(F.array(F.lit("informational"), F.lit("low"), F.lit("medium"), F.lit("high")), code.try_cast("int") + 1)).otherwise(severity_name(F.regexp_extract("r.riskdesc", r"^\s*(\w+)", 1)))
+    word = F.when(code.isin("0", "1", "2", "3"), F.element_at(F.array(*map(F.lit, ("informational", "low", "medium", "high"))), code.try_cast("int") + 1)).otherwise(severity_name(F.regexp_extract(_text("r.riskdesc"), r"^([^(]*)", 1)))
+    filled = lambda *names: F.coalesce(*[F.when(_text(f"r.{n}") != "", F.col(f"r.{n}")) for n in names], F.lit(""))
+    key = filled("alertRef", "pluginid", "id")
+    refs = F.split(F.regexp_replace(filled("reference", "references"), "\r", ""), "\n")
     return each.select(
-        "scan_id", F.lit("zap").alias("scanner"), ((F.col("s").cast("long") << 50 if False else F.col("s").cast("long") * (1 << 50)) + F.col("a").cast("long") * (1 << 25) + F.coalesce("i", F.lit(0))).alias("pos"),
-        F.coalesce("r.alertRef", "r.pluginid").alias("key"), F.coalesce("r.name", "r.alert", F.lit("")).alias("title"), severity_rank(word).alias("sev_rank"), _text("n.uri").alias("component"), F.lit("").alias("cvss_vector"),
-        cwe_label(F.col("r.cweid")).alias("cwe"), _text("r.desc").alias("description"), F.lit("").alias("impact"), _text("r.solution").alias("mitigation"), _refs(F.regexp_extract_all(F.coalesce("r.reference", F.lit("")), F.lit(r"(https?://[^\s<]+)"), 1)).alias("references"),
+        "scan_id", F.lit("zap").alias("scanner"), (F.col("s").cast("long") * (1 << 50) + F.col("a").cast("long") * (1 << 25) + F.coalesce("i", F.lit(0))).alias("pos"), key.alias("key"),
+        F.coalesce("r.name", "r.alert", F.concat(F.lit("Alert "), key)).alias("title"), severity_rank(word).alias("sev_rank"), _text("n.uri").alias("component"), F.lit("").alias("cvss_vector"),
+        cwe_label(F.col("r.cweid")).alias("cwe"), F.trim(filled("desc", "description")).alias("description"), F.lit("").alias("impact"), _text("r.solution").alias("mitigation"), _refs(refs).alias("references"),
     )
 
 
@@ -138,8 +154,184 @@ def openvas_occurrences(files: DataFrame, min_qod: int = 0) -> DataFrame:
     )
 
 
+def acunetix_occurrences(files: DataFrame) -> DataFrame:
+    """Report items of every scan; CVE tags come before the references. ``v4_only`` marks items whose only vector is of CVSS 4."""
+    item = (
+        "struct<Name:string,VulnID:string,Severity:string,AffectedItem:string,Description:string,Impact:string,Recommendation:string,CWE:string,CWEList:struct<CWE:array<struct<_VALUE:string,_id:string>>>,"
+        "Tags:struct<Tag:array<string>>,References:struct<Reference:array<struct<_VALUE:string>>>,CVSS3:struct<Descriptor:string>,CVSS4:struct<Descriptor:string>>"
+    )
+    rows = _parse(files, "ScanGroup", f"Scan array<struct<StartURL:string,ReportItem:array<{item}>,ReportItems:struct<ReportItem:array<{item}>>>>")
+    group = rows.select("scan_id", F.posexplode("x.Scan").alias("s", "scan"))
+    none = F.array().cast(f"array<{item}>")
+    items = group.select("scan_id", "s", F.col("scan.StartURL").alias("url"), F.posexplode(F.concat(F.coalesce("scan.ReportItems.ReportItem", none), F.coalesce("scan.ReportItem", none))).alias("i", "r"))
+    key = F.coalesce(*[F.when(_text(c) != "", _text(c)) for c in ("r.VulnID", "r.Name")], F.lit("unknown"))
+    level = _text("r.Severity")
+    word = F.when(level.isin(*"01234"), severity_from_rank(level.try_cast("int"))).otherwise(severity_name(level))
+    listed = F.element_at("r.CWEList.CWE", 1)
+    cwe = F.when(F.size("r.CWEList.CWE") > 0, F.coalesce(F.when(F.trim(listed["_id"]) != "", listed["_id"]), listed["_VALUE"])).otherwise(F.col("r.CWE"))
+    texts = F.array().cast("array<string>")
+    cves = F.filter(F.coalesce("r.Tags.Tag", texts), lambda t: F.upper(F.trim(t)).startswith("CVE-"))
+    refs = F.concat(cves, F.transform(F.coalesce("r.References.Reference", F.array().cast("array<struct<_VALUE:string>>")), lambda x: F.coalesce(x["_VALUE"], F.lit(""))))
+    return items.select(
+        "scan_id", F.lit("acunetix").alias("scanner"), (F.col("s").cast("long") * (1 << 32) + F.col("i")).alias("pos"), key.alias("key"), F.coalesce(F.when(_text("r.Name") != "", _text("r.Name")), F.concat(F.lit("Finding "), key)).alias("title"),
+        severity_rank(word).alias("sev_rank"), F.concat(_text("url"), _text("r.AffectedItem")).alias("component"), _text("r.CVSS3.Descriptor").alias("cvss_vector"), cwe_label(cwe).alias("cwe"),
+        _text("r.Description").alias("description"), _text("r.Impact").alias("impact"), _text("r.Recommendation").alias("mitigation"), _refs(refs).alias("references"),
+        ((_text("r.CVSS4.Descriptor") != "") & (_text("r.CVSS3.Descriptor") == "")).alias("v4_only"),
+    )
+
+
+ID_URL = "array<struct<ID:string,URL:string>>"
+
+
+def _id_refs(*lists: str) -> Column:
+    """References of id and, where there is one, URL."""
+    every = F.concat(*[F.coalesce(F.col(c), F.array().cast(ID_URL)) for c in lists])
+    return F.transform(F.filter(every, lambda x: F.coalesce(x["ID"], F.lit("")) != ""), lambda x: F.struct(x["ID"].alias("text"), F.when(x["URL"] != "", x["URL"]).alias("url")))
+
+
+def _qualys(rows: DataFrame) -> DataFrame:
+    """Occurrences of rows of scan_id, pos, key, severity (a code of 1 to 5, or a word), diagnostic, component and texts."""
+    code = F.col("severity")
+    word = F.when(F.col("diagnostic"), "informational").when(code.isin(*"12345"), severity_from_rank(code.try_cast("int") - 1)).otherwise(severity_name(code))
+    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("QID "), F.col("key")))
+    return rows.select(
+        "scan_id", F.lit("qualys").alias("scanner"), "pos", "key", title.alias("title"), severity_rank(word).alias("sev_rank"), "component", "cvss_vector", F.lit("").alias("cwe"), "description", "impact", "mitigation", "references",
+    )
+
+
+def _qualys_defaults() -> dict[str, object]:
+    """What stands in for an entry that the glossary lacks."""
+    texts = dict.fromkeys(["title", "cvss_vector", "description", "impact", "mitigation"], "")
+    return texts | {"severity": "3", "diagnostic": False, "references": F.array().cast("array<struct<text:string,url:string>>")}
+
+
+def _or_empty(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def _severity_or_3(c: str) -> Column:
+    return F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("3"))
+
+
+def qualys_scan_occurrences(files: DataFrame) -> DataFrame:
+    """Vulnerability scans: everything stands at the address itself."""
+    vuln = f"struct<_number:string,_severity:string,TITLE:string,CONSEQUENCE:string,DIAGNOSIS:string,SOLUTION:string,CVE_ID_LIST:struct<CVE_ID:{ID_URL}>>"
+    rows = _parse(files, "SCAN", f"IP array<struct<_value:string,_addr:string,VULNS:struct<CAT:array<struct<VULN:array<{vuln}>>>>>>")
+    each = rows.select("scan_id", F.posexplode("x.IP").alias("p", "ip")).select("scan_id", "p", F.coalesce("ip._value", "ip._addr", F.lit("")).alias("component"), F.posexplode("ip.VULNS.CAT").alias("c", "cat"))
+    each = each.select("scan_id", "p", "c", "component", F.posexplode("cat.VULN").alias("i", "r"))
+    return _qualys(each.select(
+        "scan_id", (F.col("p").cast("long") * (1 << 40) + F.col("c").cast("long") * (1 << 20) + F.col("i")).alias("pos"), _or_empty("r._number").alias("key"), _or_empty("r.TITLE").alias("title"), F.coalesce("r._severity", F.lit("3")).alias("severity"),
+        F.lit(False).alias("diagnostic"), "component", F.lit("").alias("cvss_vector"), _or_empty("r.CONSEQUENCE").alias("description"), _or_empty("r.DIAGNOSIS").alias("impact"), _or_empty("r.SOLUTION").alias("mitigation"), _id_refs("r.CVE_ID_LIST.CVE_ID").alias("references"),
+    ))
+
+
+def qualys_was_occurrences(files: DataFrame) -> DataFrame:
+    """Web application reports: vulnerabilities, then information gathered, with texts from the report's own glossary."""
+    items = "VULNERABILITY_LIST:struct<VULNERABILITY:array<struct<QID:string,URL:string>>>,INFORMATION_GATHERED_LIST:struct<INFORMATION_GATHERED:array<struct<QID:string,URL:string>>>"
+    entry = f"struct<QID:string,TITLE:string,SEVERITY:string,`GROUP`:string,DESCRIPTION:string,IMPACT:string,SOLUTION:string,CVSS_V3:struct<VECTOR_STRING:string>,CVE_LIST:struct<CVE:{ID_URL}>>"
+    rows = _parse(files, "WAS_SCAN_REPORT", f"GLOSSARY struct<QID_LIST:struct<QID:array<{entry}>>>,RESULTS struct<{items},WEB_APPLICATION:array<struct<{items}>>>")
+    none = F.array().cast("array<struct<QID:string,URL:string>>")
+    nested = lambda kind: F.concat(F.coalesce(f"x.RESULTS.{kind}", none), F.coalesce(F.flatten(F.transform(F.col("x.RESULTS.WEB_APPLICATION"), lambda w: F.coalesce(w[kind.split(".")[0]][kind.split(".")[1]], none))), none))
+    listed = F.concat(nested("VULNERABILITY_LIST.VULNERABILITY"), nested("INFORMATION_GATHERED_LIST.INFORMATION_GATHERED"))
+    found = rows.select("scan_id", F.posexplode(listed).alias("pos", "r")).select("scan_id", F.col("pos").cast("long").alias("pos"), _or_empty("r.QID").alias("key"), _or_empty("r.URL").alias("component"))
+    glossary = rows.select("scan_id", F.posexplode("x.GLOSSARY.QID_LIST.QID").alias("__at", "g")).where(_or_empty("g.QID") != "").select(
+        "scan_id", "__at", F.col("g.QID").alias("key"), _or_empty("g.TITLE").alias("title"), _severity_or_3("g.SEVERITY").alias("severity"), (_or_empty("g.GROUP").startswith("IG-DIAG") | (_or_empty("g.GROUP") == "DIAG")).alias("diagnostic"),
+        ensure_cvss3_prefix(F.col("g.CVSS_V3.VECTOR_STRING")).alias("cvss_vector"), _or_empty("g.DESCRIPTION").alias("description"), _or_empty("g.IMPACT").alias("impact"), _or_empty("g.SOLUTION").alias("mitigation"), _id_refs("g.CVE_LIST.CVE").alias("references"),
+    )
+    return _qualys(glossary_join(found, glossary, ["scan_id", "key"], "__at", _qualys_defaults()))
+
+
+def qualys_vm_occurrences(files: DataFrame) -> DataFrame:
+    """Asset reports: a host's entries at its name (else address) and port, with texts from the report's own glossary."""
+    detail = f"struct<QID:string,TITLE:string,SEVERITY:string,THREAT:string,IMPACT:string,SOLUTION:string,CVSS3_SCORE:struct<CVSS3_BASE:string>,CVE_ID_LIST:struct<CVE_ID:{ID_URL}>,VENDOR_REFERENCE_LIST:struct<VENDOR_REFERENCE:{ID_URL}>>"
+    rows = _parse(files, "ASSET_DATA_REPORT", f"HOST_LIST struct<HOST:array<struct<IP:string,DNS:string,VULN_INFO_LIST:struct<VULN_INFO:array<struct<QID:string,PORT:string>>>>>>,GLOSSARY struct<VULN_DETAILS_LIST:struct<VULN_DETAILS:array<{detail}>>>")
+    each = rows.select("scan_id", F.posexplode("x.HOST_LIST.HOST").alias("h", "host")).select("scan_id", "h", F.coalesce(F.when(F.col("host.DNS") != "", F.col("host.DNS")), F.col("host.IP"), F.lit("")).alias("label"), F.posexplode("host.VULN_INFO_LIST.VULN_INFO").alias("i", "r"))
+    where = F.when((F.col("label") != "") & (_or_empty("r.PORT") != ""), F.concat_ws(":", "label", "r.PORT")).otherwise(F.col("label"))
+    found = each.where(_or_empty("r.QID") != "").select("scan_id", (F.col("h").cast("long") * (1 << 32) + F.col("i")).alias("pos"), F.col("r.QID").alias("key"), where.alias("component"))
+    glossary = rows.select("scan_id", F.posexplode("x.GLOSSARY.VULN_DETAILS_LIST.VULN_DETAILS").alias("__at", "g")).where(_or_empty("g.QID") != "").select(
+        "scan_id", "__at", F.col("g.QID").alias("key"), _or_empty("g.TITLE").alias("title"), _severity_or_3("g.SEVERITY").alias("severity"), F.lit(False).alias("diagnostic"),
+        ensure_cvss3_prefix(F.regexp_extract(_or_empty("g.CVSS3_SCORE.CVSS3_BASE"), r"\(([^()]+)\)", 1)).alias("cvss_vector"), _or_empty("g.THREAT").alias("description"), _or_empty("g.IMPACT").alias("impact"), _or_empty("g.SOLUTION").alias("mitigation"),
+        _id_refs("g.CVE_ID_LIST.CVE_ID", "g.VENDOR_REFERENCE_LIST.VENDOR_REFERENCE").alias("references"),
+    )
+    return _qualys(glossary_join(found, glossary, ["scan_id", "key"], "__at", _qualys_defaults()))
+
+
+def qualys_occurrences(files: DataFrame) -> DataFrame:
+    """Each of the three forms by its own parser, told apart by the root element."""
+    root = F.regexp_extract("text", r"<(WAS_SCAN_REPORT|ASSET_DATA_REPORT|SCAN)\b", 1)
+    scan, was, vm = (files.where(root == name) for name in ("SCAN", "WAS_SCAN_REPORT", "ASSET_DATA_REPORT"))
+    return qualys_scan_occurrences(scan).unionByName(qualys_was_occurrences(was)).unionByName(qualys_vm_occurrences(vm))
+
+
+#: What a TLS scan is checked for: field, plugin id, title, severity. Texts are this library's own.
+TLS_PROTOCOLS = [
+    ("ssl_2_0_cipher_suites", "sslyze:ssl_2_0", "SSL 2.0 Enabled", "critical"), ("ssl_3_0_cipher_suites", "sslyze:ssl_3_0", "SSL 3.0 Enabled", "high"),
+    ("tls_1_0_cipher_suites", "sslyze:tls_1_0", "TLS 1.0 Enabled", "medium"), ("tls_1_1_cipher_suites", "sslyze:tls_1_1", "TLS 1.1 Enabled", "medium"),
+]
+PROTOCOL_FIX = "<p>Accept TLS 1.2 and TLS 1.3 only.</p>"
+
+
+def predates_v5(text: Column) -> Column:
+    """Whether a TLS scan export has a server in the shape of releases before 5."""
+    servers = F.from_json(text, "server_scan_results array<struct<scan_result:string,scan_commands_results:string,server_info:string>>")["server_scan_results"]
+    return F.coalesce(F.exists(servers, lambda s: s["scan_result"].isNull() & (s["scan_commands_results"].isNotNull() | s["server_info"].isNotNull())), F.lit(False))
+
+
+def sslyze_occurrences(files: DataFrame) -> DataFrame:
+    """Failed checks of each server and certificate deployment; checks and servers that ended in an error give none."""
+    check = lambda name, fields: f"{name}:struct<status:string,result:struct<{fields}>>"
+    deployment = (
+        "struct<leaf_certificate_is_within_validity_period:boolean,leaf_certificate_subject_matches_hostname:boolean,path_validation_results:array<struct<verified_certificate_chain:string>>,"
+        "received_chain:array<struct<public_key:struct<algorithm:string,key_size:int>>>>"
+    )
+    checks = ",".join([check(name, "accepted_cipher_suites:array<string>") for name, *_ in TLS_PROTOCOLS] + [
+        check("heartbleed", "is_vulnerable_to_heartbleed:boolean"), check("robot", "robot_attack_enum:string"), check("openssl_ccs_injection", "is_vulnerable_to_ccs_injection:boolean"),
+        check("tls_compression", "supports_compression:boolean"), check("certificate_info", f"certificate_deployments:array<{deployment}>"),
+    ])
+    schema = f"server_scan_results array<struct<scan_status:string,server_location:struct<hostname:string,ip_address:string,port:string>,scan_result:struct<{checks}>>>"
+    rows = files.where(~predates_v5(F.col("text"))).select(F.col("path").alias("scan_id"), F.posexplode(F.from_json("text", schema)["server_scan_results"]).alias("s", "server"))
+    rows = rows.where(F.coalesce(F.col("server.scan_status") != "ERROR", F.lit(True)))
+
+    def result(name: str) -> Column:
+        entry = F.col(f"server.scan_result.{name}")
+        return F.when(F.coalesce(entry["status"] != "ERROR", F.lit(True)), entry["result"])
+
+    def hit(condition: Column, key: str, title: str, severity: str, description: Column | str, mitigation: str) -> Column:
+        told = description if isinstance(description, Column) else F.lit(description)
+        return F.when(condition, F.struct(F.lit(key).alias("key"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), told.alias("description"), F.lit(mitigation).alias("mitigation")))
+
+    robot = F.coalesce(result("robot")["robot_attack_enum"], F.lit(""))
+    server = [hit(F.size(result(name)["accepted_cipher_suites"]) > 0, key, title, severity, f"<p>The server accepts the outdated protocol: {title}.</p>", PROTOCOL_FIX) for name, key, title, severity in TLS_PROTOCOLS]
+    server += [
+        hit(result("heartbleed")["is_vulnerable_to_heartbleed"], "sslyze:heartbleed", "Heartbleed (CVE-2014-0160)", "critical", "<p>Server memory can be read from afar.</p>", "<p>Upgrade OpenSSL, then renew keys and certificates.</p>"),
+        hit(robot.startswith("VULNERABLE"), "sslyze:robot", "ROBOT Attack", "high", F.concat(F.lit("<p>RSA key exchange gives an oracle: <code>"), robot, F.lit("</code></p>")), "<p>Offer key exchange with forward secrecy only.</p>"),
+        hit(result("openssl_ccs_injection")["is_vulnerable_to_ccs_injection"], "sslyze:openssl_ccs", "OpenSSL CCS Injection (CVE-2014-0224)", "high", "<p>Weak keys can be forced on a connection.</p>", "<p>Upgrade OpenSSL.</p>"),
+        hit(result("tls_compression")["supports_compression"], "sslyze:tls_compression", "TLS Compression Enabled (CRIME)", "medium", "<p>Compressed traffic can give secrets away.</p>", "<p>Turn TLS compression off.</p>"),
+    ]
+
+    def of_deployment(d: Column) -> Column:
+        key = F.get(d["received_chain"], F.lit(0))["public_key"]
+        weak = ((key["algorithm"] == "RSA") & (key["key_size"] < 2048)) | ((key["algorithm"] == "EC") & (key["key_size"] < 256))
+        untrusted = F.exists(d["path_validation_results"], lambda p: F.coalesce(p["verified_certificate_chain"], F.lit("")).isin("", "[]", "false"))
+        return F.array(
+            hit(~d["leaf_certificate_is_within_validity_period"], "sslyze:cert_expired", "Expired TLS Certificate", "high", "<p>The certificate is outside its validity period.</p>", "<p>Renew the certificate.</p>"),
+            hit(~d["leaf_certificate_subject_matches_hostname"], "sslyze:cert_hostname_mismatch", "TLS Certificate Hostname Mismatch", "medium", "<p>The certificate doesn't name this host.</p>", "<p>Use a certificate that names the host.</p>"),
+            hit(untrusted, "sslyze:cert_untrusted", "Untrusted or Self-Signed TLS Certificate", "medium", "<p>Some trust store doesn't accept the chain.</p>", "<p>Use a certificate of a trusted authority, and serve the whole chain.</p>"),
+            hit(weak, "sslyze:cert_weak_key", "Weak TLS Certificate Public Key", "medium", F.concat(F.lit("<p>The key is short: <code>"), key["algorithm"], F.lit(" "), key["key_size"].cast("string"), F.lit("-bit</code></p>")), "<p>Use RSA of 2048 bits, EC of 256 bits, or more.</p>"),
+        )
+
+    certificates = F.flatten(F.transform(result("certificate_info")["certificate_deployments"], of_deployment))
+    hits = F.filter(F.concat(F.array(*server), F.coalesce(certificates, F.array().cast("array<struct<key:string,title:string,severity:string,description:string,mitigation:string>>"))), lambda h: h.isNotNull())
+    place = F.col("server.server_location")
+    where = F.concat(F.coalesce(F.when(place["hostname"] != "", place["hostname"]), place["ip_address"], F.lit("unknown")), F.lit(":"), F.coalesce(place["port"], F.lit("443")))
+    return rows.select("scan_id", "s", where.alias("component"), F.posexplode(hits).alias("i", "h")).select(
+        "scan_id", F.lit("sslyze").alias("scanner"), (F.col("s").cast("long") * (1 << 32) + F.col("i")).alias("pos"), F.col("h.key").alias("key"), F.col("h.title").alias("title"), severity_rank(F.col("h.severity")).alias("sev_rank"), "component",
+        F.lit("").alias("cvss_vector"), F.lit("").alias("cwe"), F.col("h.description").alias("description"), F.lit("").alias("impact"), F.col("h.mitigation").alias("mitigation"), _refs(F.array().cast("array<string>")).alias("references"),
+    )
+
+
 #: Parsers by scanner; add one under a new name to take another format.
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"nessus": nessus_occurrences, "burp": burp_occurrences, "zap": zap_occurrences, "openvas": openvas_occurrences}
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"nessus": nessus_occurrences, "burp": burp_occurrences, "zap": zap_occurrences, "openvas": openvas_occurrences, "acunetix": acunetix_occurrences, "qualys": qualys_occurrences, "sslyze": sslyze_occurrences}
 
 
 def ingest(routed: DataFrame) -> DataFrame:

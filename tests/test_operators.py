@@ -1,5 +1,6 @@
 """Own operators on small tables."""
 
+import json
 import random
 
 import pytest
@@ -120,6 +121,48 @@ def test_files_are_routed_and_parsed(spark, tmp_path):
     assert (b.key, b.sev_rank, b.component) == ("9", 2, "http://h/p [q] (1.2.3.4)")
 
 
+ZAP_ALERT = {"alertRef": "40", "name": "Z", "riskcode": 2, "desc": "D", "reference": "http://a\nhttp://b", "cweid": "79", "instances": [{"uri": "u1"}, {"uri": ""}, {"uri": "u2"}]}
+ZAP_XML = "<OWASPZAPReport><site><alerts><alertitem><pluginid>5</pluginid><alert>Q</alert><riskdesc>High (Low)</riskdesc></alertitem></alerts></site></OWASPZAPReport>"
+ACUNETIX = """<ScanGroup><Scan><StartURL>http://s</StartURL><ReportItems><ReportItem><Name>A</Name><VulnID>v1</VulnID><Severity>3</Severity><AffectedItem>/x</AffectedItem><CWEList><CWE id="89">CWE-89</CWE></CWEList>
+<Tags><Tag>CVE-1-2</Tag><Tag>sql</Tag></Tags><References><Reference>http://r</Reference></References><CVSS4><Descriptor>CVSS:4.0/X</Descriptor></CVSS4></ReportItem><ReportItem><Name>B</Name><Severity>low</Severity><CWE>79</CWE></ReportItem></ReportItems></Scan></ScanGroup>"""
+Q_SCAN = """<SCAN><IP value="10.0.0.1"><VULNS><CAT><VULN number="11" severity="5"><TITLE>T</TITLE><CVE_ID_LIST><CVE_ID><ID>CVE-1</ID><URL>http://c</URL></CVE_ID></CVE_ID_LIST></VULN></CAT></VULNS></IP></SCAN>"""
+Q_WAS = """<WAS_SCAN_REPORT><GLOSSARY><QID_LIST><QID><QID>7</QID><TITLE>W</TITLE><SEVERITY>4</SEVERITY><CVSS_V3><VECTOR_STRING>AV:N</VECTOR_STRING></CVSS_V3></QID><QID><QID>8</QID><SEVERITY>5</SEVERITY><GROUP>DIAG</GROUP></QID></QID_LIST></GLOSSARY>
+<RESULTS><WEB_APPLICATION><VULNERABILITY_LIST><VULNERABILITY><QID>7</QID><URL>http://w</URL></VULNERABILITY><VULNERABILITY><QID>9</QID></VULNERABILITY></VULNERABILITY_LIST><INFORMATION_GATHERED_LIST><INFORMATION_GATHERED><QID>8</QID></INFORMATION_GATHERED></INFORMATION_GATHERED_LIST></WEB_APPLICATION></RESULTS></WAS_SCAN_REPORT>"""
+Q_VM = """<ASSET_DATA_REPORT><HOST_LIST><HOST><IP>1.1.1.1</IP><DNS>d</DNS><VULN_INFO_LIST><VULN_INFO><QID>3</QID><PORT>443</PORT></VULN_INFO></VULN_INFO_LIST></HOST></HOST_LIST><GLOSSARY><VULN_DETAILS_LIST><VULN_DETAILS><QID>3</QID><TITLE>M</TITLE><SEVERITY>2</SEVERITY>
+<CVSS3_SCORE><CVSS3_BASE>9.0 (AV:N/AC:H)</CVSS3_BASE></CVSS3_SCORE></VULN_DETAILS></VULN_DETAILS_LIST></GLOSSARY></ASSET_DATA_REPORT>"""
+TLS = {"server_scan_results": [
+    {"scan_status": "COMPLETED", "server_location": {"hostname": "h", "port": 8443}, "scan_result": {
+        "ssl_2_0_cipher_suites": {"status": "COMPLETED", "result": {"accepted_cipher_suites": [{"a": 1}]}}, "tls_1_0_cipher_suites": {"status": "ERROR", "result": {"accepted_cipher_suites": [{}]}},
+        "robot": {"status": "COMPLETED", "result": {"robot_attack_enum": "VULNERABLE_WEAK"}}, "certificate_info": {"status": "COMPLETED", "result": {"certificate_deployments": [
+            {"leaf_certificate_is_within_validity_period": False, "path_validation_results": [{"verified_certificate_chain": None}], "received_chain": [{"public_key": {"algorithm": "RSA", "key_size": 1024}}]}]}}}},
+    {"scan_status": "ERROR", "server_location": {"hostname": "down"}, "scan_result": None},
+]}
+
+
+def test_the_other_exports_are_parsed(spark, tmp_path):
+    files = {
+        "z.json": json.dumps({"@version": "2", "site": {"alerts": [ZAP_ALERT]}}), "z.xml": ZAP_XML, "a.xml": ACUNETIX, "q1.xml": Q_SCAN, "q2.xml": Q_WAS, "q3.xml": Q_VM, "t.json": json.dumps(TLS),
+        "old.json": json.dumps({"server_scan_results": [{"server_info": {}, "scan_commands_results": {}}]}),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_text(data)
+    routed = scans.route_files(scans.scan_files(spark, str(tmp_path))).cache()
+    assert {r.path.rsplit("/", 1)[1] for r in routed.where("status <> 'ok'").collect()} == {"old.json"}
+    got = {}
+    for r in scans.ingest(routed).orderBy("scan_id", "pos").collect():
+        got.setdefault(r.scan_id.rsplit("/", 1)[1], []).append(r)
+    brief = {name: [(r.key, r.title, r.sev_rank, r.component) for r in rows] for name, rows in got.items()}
+    assert brief == {
+        "z.json": [("40", "Z", 2, "u1"), ("40", "Z", 2, "u2")], "z.xml": [("5", "Q", 3, "")], "a.xml": [("v1", "A", 3, "http://s/x"), ("B", "B", 1, "http://s")], "q1.xml": [("11", "T", 4, "10.0.0.1")],
+        "q2.xml": [("7", "W", 3, "http://w"), ("9", "QID 9", 2, ""), ("8", "QID 8", 0, "")], "q3.xml": [("3", "M", 1, "d:443")],
+        "t.json": [("sslyze:ssl_2_0", "SSL 2.0 Enabled", 4, "h:8443"), ("sslyze:robot", "ROBOT Attack", 3, "h:8443"), ("sslyze:cert_expired", "Expired TLS Certificate", 3, "h:8443"),
+                   ("sslyze:cert_untrusted", "Untrusted or Self-Signed TLS Certificate", 2, "h:8443"), ("sslyze:cert_weak_key", "Weak TLS Certificate Public Key", 2, "h:8443")],
+    }
+    assert ([x.text for x in got["a.xml"][0].references], got["a.xml"][0].cwe, got["a.xml"][1].cwe) == (["CVE-1-2", "http://r"], "CWE-89", "CWE-79")
+    assert (got["q1.xml"][0].references[0].url, got["q2.xml"][0].cvss_vector, got["q3.xml"][0].cvss_vector) == ("http://c", "CVSS:3.0/AV:N", "CVSS:3.0/AV:N/AC:H")
+    assert [x.text for x in got["z.json"][0].references] == ["http://a", "http://b"]
+
+
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     rows = [(i % 3, i, i % 5, i % 4) for i in range(100)]
     df = spark.createDataFrame(rows, "scan_id int, pos long, key int, sev_rank int")
