@@ -26,6 +26,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 150_000
 LONGEST_CACHED = 40
 SIMPLE_CHARS = 1 << 21
+#: Parts that the ranking of a label's ids is dealt to.
+SAMPLE_PARTS = 256
 
 RESULT_FIELDS = [
     T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -210,8 +212,12 @@ def sample_ids(docs: DataFrame, id_col: str, lang_col: str, learn: Column, limit
     """``id, lang`` of the documents to fit on: of each label the ids with the smallest hashes. No text is read for it."""
     labelled = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
     common = labelled.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(limits.languages).select("__lang")
-    ranked = labelled.withColumn("__h", F.xxhash64("__id")).withColumn("__k", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id")))
-    return ranked.where(F.col("__k") <= limits.docs).join(F.broadcast(common), "__lang", "left_semi").select("__id", "__lang", "__h").distinct()
+    hashed = labelled.withColumn("__h", F.xxhash64("__id"))
+    # a label may have a third of all rows: each of its parts is cut to the bound first, which loses none of the smallest
+    for groups in (["__lang", F.pmod(F.col("__h"), F.lit(SAMPLE_PARTS))], ["__lang"]):
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy("__h", "__id"))
+        hashed = hashed.withColumn("__k", rank).where(F.col("__k") <= limits.docs).drop("__k")
+    return hashed.join(F.broadcast(common), "__lang", "left_semi").select("__id", "__lang", "__h").distinct()
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: FitLimits = FitLimits()) -> CharModels:
