@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 A model gives the probability of the characters of lower-cased words, each between word boundaries. The n-grams
-of every order lie in sorted arrays of 64-bit hashes, with a column of discounted probabilities and one of back-off
-weights for each language, so one binary search serves all languages. The language with the lowest cross-entropy a
+of every order lie in sorted arrays of 64-bit hashes, with columns of interpolated probabilities and of back-off
+weights for each language, both in bits, so one binary search serves all languages. The language with the lowest cross-entropy a
 character wins; a text is rejected where that entropy is above what held-back training texts of the language have.
 """
 
@@ -25,7 +25,10 @@ BOUNDARY = "\x02"
 WORDS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 150_000
 LONGEST_CACHED = 40
-SIMPLE_CHARS = 1 << 21
+#: Words whose bits are added up at once (CACHE_WORDS must be more than twice as many), and characters looked up at once.
+WORDS_AT_ONCE = 1 << 15
+CHARS_AT_ONCE = 20_000
+MULTIPLIER = 0x9E3779B97F4A7C15
 #: Parts that the ranking of a label's ids is dealt to.
 SAMPLE_PARTS = 256
 
@@ -54,158 +57,199 @@ class FitLimits:
     calibrate_one_in: int = 5
 
 
-def _hash(codes: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the last ``length`` columns of rows of code points."""
-    out = np.full(len(codes), np.uint64(0x9E3779B97F4A7C15 * (length + 1) & 0xFFFFFFFFFFFFFFFF), np.uint64)
-    for i in range(codes.shape[1] - length, codes.shape[1]):
-        out = (out ^ codes[:, i].astype(np.uint64)) * np.uint64(0x100000001B3)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return out
-
-
-def _windows(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each predicted character the row of its context and itself, and the word that it belongs to."""
+def _characters(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of padded words in a row, the places of the predicted characters, and the number of them in each word."""
     pad = BOUNDARY * (order - 1)
-    joined = "".join([pad + w + BOUNDARY for w in words])
-    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-    lengths = np.array([len(w) + 1 for w in words])
-    owner = np.repeat(np.arange(len(words)), lengths)
-    starts = np.cumsum(lengths + order - 1) - (lengths + order - 1)
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(len(owner)) - first[owner] + starts[owner]
-    return np.lib.stride_tricks.sliding_window_view(codes, order)[at], owner
+    codes = np.frombuffer("".join([pad + w + BOUNDARY for w in words]).encode("utf-32-le"), "<u4")
+    counts = np.array([len(w) + 1 for w in words])
+    at = np.arange(int(counts.sum())) + np.repeat(np.arange(1, len(words) + 1) * (order - 1), counts)
+    return codes, at, counts
+
+
+def _suffix_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
+    """At every place the hashes of the last 0, 1, ... ``order`` code points: polynomials in a 64-bit multiplier."""
+    wide, factor = codes.astype(np.uint64), MULTIPLIER
+    out = [np.zeros(len(codes), np.uint64)]
+    for k in range(order):
+        longer = out[-1].copy()
+        longer[k:] += wide[: len(wide) - k] * np.uint64(factor)
+        out.append(longer)
+        factor = factor * MULTIPLIER & 0xFFFFFFFFFFFFFFFF
+    return out
 
 
 class CharModels:
     """One Kneser-Ney model a language over common sorted hash arrays."""
 
-    def __init__(self, languages: list[str], order: int, grams: list[np.ndarray], probs: list[np.ndarray], contexts: list[np.ndarray], backoffs: list[np.ndarray], floor: np.ndarray):
-        self.languages, self.order, self.floor = languages, order, floor
-        self.grams, self.probs, self.contexts, self.backoffs = grams, probs, contexts, backoffs
+    def __init__(self, languages: list[str], order: int, grams: list[np.ndarray], gram_bits: list[np.ndarray], contexts: list[np.ndarray], context_bits: list[np.ndarray], unseen: np.ndarray):
+        self.languages, self.order, self.unseen = languages, order, unseen
+        self.grams, self.gram_bits, self.contexts, self.context_bits = grams, gram_bits, contexts, context_bits
         self.thresholds, self.scale = np.full(len(languages), np.inf), (1.0, 0.0)
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]], order: int) -> CharModels:
-        """From the counts of words of each language."""
+        """From the counts of words of each language.
+
+        A gram's column holds the bits of its interpolated probability, lower orders included, so that a character costs
+        one look-up where its longest gram is known; a context's column holds the bits that backing off from it costs.
+        """
         languages = sorted(counts)
-        tables: list[dict[int, list[tuple[np.ndarray, ...]]]] = []
-        for lang in languages:
-            words = sorted(counts[lang])
-            rows, owner = _windows(words, order)
-            weight = np.array([counts[lang][w] for w in words], np.float64)[owner]
-            tables.append(cls._estimate(rows, weight, order))
+        tables = [cls._estimate(counts[lang], order) for lang in languages]
         floor = np.array([t["floor"] for t in tables])
-        grams, probs, contexts, backoffs = [], [], [], []
+        grams, gram_bits, contexts, context_bits = [], [], [], []
+        lower_keys, lower = np.zeros(1, np.uint64), floor[None, :]
         for k in range(1, order + 1):
-            for names, columns, key, value, default in ((grams, probs, "gram", "prob", 0.0), (contexts, backoffs, "context", "backoff", 1.0)):
-                hashes = np.unique(np.concatenate([t[k][key] for t in tables]))
-                column = np.full((len(hashes), len(languages)), default, np.float32)
-                for i, t in enumerate(tables):
-                    column[np.searchsorted(hashes, t[k][key]), i] = t[k][value]
-                names.append(hashes)
-                columns.append(column)
-        return cls(languages, order, grams, probs, contexts, backoffs, floor)
+            names = np.unique(np.concatenate([t[k]["context"] for t in tables]))
+            backoff = np.ones((len(names), len(languages)))
+            keys, first = np.unique(np.concatenate([t[k]["gram"] for t in tables]), return_index=True)
+            context, suffix = (np.concatenate([t[k][side] for t in tables])[first] for side in ("gram_context", "gram_suffix"))
+            prob = np.zeros((len(keys), len(languages)))
+            for i, t in enumerate(tables):
+                backoff[np.searchsorted(names, t[k]["context"]), i] = t[k]["backoff"]
+                prob[np.searchsorted(keys, t[k]["gram"]), i] = t[k]["prob"]
+            prob += backoff[np.searchsorted(names, context)] * lower[np.searchsorted(lower_keys, suffix)]
+            grams.append(keys)
+            gram_bits.append(-np.log2(prob).astype(np.float32))
+            contexts.append(names)
+            context_bits.append(-np.log2(backoff).astype(np.float32))
+            lower_keys, lower = keys, prob
+        return cls(languages, order, grams, gram_bits, contexts, context_bits, -np.log2(floor))
 
     @staticmethod
-    def _estimate(rows: np.ndarray, weight: np.ndarray, order: int) -> dict:
+    def _estimate(counts: dict[str, int], order: int) -> dict:
         """Discounted probabilities and back-off weights of every order; orders below the highest count continuations."""
+        words = sorted(counts)
+        codes, at, lengths = _characters(words, order)
+        weight = np.repeat(np.array([counts[w] for w in words], np.float64), lengths)
+        hashes = _suffix_hashes(codes, order)
         out: dict = {}
         for k in range(order, 0, -1):
-            gram = _hash(rows, k)
+            gram = hashes[k][at]
             if k == order:
                 keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
                 count = np.bincount(inverse, weight)
             else:
                 # in how many different characters' company the gram occurs
-                longer = _hash(rows, k + 1)
-                _, once = np.unique(longer, return_index=True)
+                _, once = np.unique(hashes[k + 1][at], return_index=True)
                 keys, first, inverse = np.unique(gram[once], return_index=True, return_inverse=True)
                 count, first = np.bincount(inverse).astype(np.float64), once[first]
             ones, twos = float((count == 1).sum()), float((count == 2).sum())
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            context = _hash(rows[:, :-1], k - 1)[first]
+            context = hashes[k - 1][at[first] - 1]
             names, inverse = np.unique(context, return_inverse=True)
             total, kinds = np.bincount(inverse, count), np.bincount(inverse)
-            out[k] = {"gram": keys, "prob": (count - discount) / total[inverse], "context": names, "backoff": discount * kinds / total}
-        out["floor"] = 1.0 / (len(np.unique(rows[:, -1])) + 1000.0)
+            out[k] = {
+                "gram": keys, "gram_context": context, "gram_suffix": hashes[k - 1][at[first]], "prob": (count - discount) / total[inverse],
+                "context": names, "backoff": discount * kinds / total,
+            }
+        out["floor"] = 1.0 / (len(np.unique(codes[at])) + 1000.0)
         return out
 
     def bits(self, words: list[str]) -> np.ndarray:
         """The bits of each word under each language's model."""
         out = np.zeros((len(words), len(self.languages)))
-        # words are taken in runs, so that a very long text needs no more memory at once
+        # words are taken in runs, so that very many need no more memory at once
         at = 0
         while at < len(words):
             end, chars = at, 0
-            while end < len(words) and (end == at or chars + len(words[end]) < 20_000):
+            while end < len(words) and (end == at or chars + len(words[end]) < CHARS_AT_ONCE):
                 chars += len(words[end]) + 1
                 end += 1
-            rows, owner = _windows(words[at:end], self.order)
-            p = np.tile(self.floor, (len(rows), 1))
-            for k in range(1, self.order + 1):
-                p = self._find(self.contexts[k - 1], self.backoffs[k - 1], _hash(rows[:, :-1], k - 1), 1.0) * p
-                p += self._find(self.grams[k - 1], self.probs[k - 1], _hash(rows, k), 0.0)
-            np.add.at(out[at:end], owner, -np.log2(p))
+            codes, places, counts = _characters(words[at:end], self.order)
+            out[at:end] = np.add.reduceat(self._char_bits(codes, places), np.cumsum(counts) - counts)
             at = end
         return out
 
+    def _char_bits(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        hashes = _suffix_hashes(codes, self.order)
+        out = np.zeros((len(places), len(self.languages)))
+        left = np.arange(len(places))
+        for k in range(self.order, 0, -1):
+            slot, known = self._find(self.grams[k - 1], hashes[k][places[left]])
+            hit = left[known]
+            out[hit] += self.gram_bits[k - 1][slot[known]]
+            left = left[~known]
+            if not len(left):
+                return out
+            slot, known = self._find(self.contexts[k - 1], hashes[k - 1][places[left] - 1])
+            out[left[known]] += self.context_bits[k - 1][slot[known]]
+        out[left] += self.unseen
+        return out
+
     @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], values[at], default)
+        return at, keys[at] == wanted
 
 
 class Identifier:
-    """Scores whole texts; bits of recent words are kept."""
+    """Scores whole texts, many at once; bits of recent words are kept."""
 
     def __init__(self, models: CharModels):
         self.models = models
         self.places: dict[str, int] = {}
         self.table = np.zeros((CACHE_WORDS, len(models.languages)))
-
-    def entropy(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Cross-entropy a character under each language, and the number of characters (with word ends)."""
-        words = words_of(text)
-        if not words:
-            return np.zeros(len(self.models.languages)), 0
-        total, chars = np.zeros(len(self.models.languages)), sum(map(len, words)) + len(words)
+        self.used = 0
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the cross-entropy a character under each language, and the number of characters (with word ends)."""
+        total, chars = np.zeros((len(texts), len(self.models.languages))), np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        owners: list[int] = []
+        counts: list[int] = []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            chars[i] = sum(map(len, words)) + len(words)
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                part = words[at : at + WORDS_AT_ONCE]
+                held += part
+                owners.append(i)
+                counts.append(len(part))
+                if len(held) >= WORDS_AT_ONCE:
+                    self._add(total, held, owners, counts)
+                    held, owners, counts = [], [], []
+        if held:
+            self._add(total, held, owners, counts)
+        return total / np.maximum(chars, 1)[:, None], chars
+
+    def _add(self, total: np.ndarray, words: list[str], owners: list[int], counts: list[int]) -> None:
+        """Add the bits of words, of which so many in a row belong to each owner; at most twice WORDS_AT_ONCE come."""
         places = list(map(self.places.get, words))
         if None in places:
             fresh = list({w for w, p in zip(words, places, strict=True) if p is None})
-            bits = self.models.bits(fresh)
-            short = [i for i, w in enumerate(fresh) if len(w) <= LONGEST_CACHED]
-            if len(self.places) + len(short) > CACHE_WORDS:
-                self.places = {}
-            short = short[:CACHE_WORDS]
-            first = len(self.places)
-            self.table[first : first + len(short)] = bits[short]
-            self.places.update(zip([fresh[i] for i in short], range(first, first + len(short)), strict=True))
-            row = {w: i for i, w in enumerate(fresh)}
-            new = np.array([row[w] for w, p in zip(words, places, strict=True) if p is None])
-            total += np.bincount(new, minlength=len(fresh)) @ bits
-            # the places of words that were known are read before the table may be filled anew
-            places = [p for p in places if p is not None]
-            if first == 0 and places:
-                known = [w for w in words if w not in row]
-                total += self.models.bits(known).sum(0)
-                places = []
-        return (total + self.table[places].sum(0)) / chars, chars
-
-    def predict(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, confidence from 0 to 1, its cross-entropy, and whether that is accepted."""
-        entropy, chars = self.entropy(text)
-        if not chars:
-            if text and any(unicodedata.category(c)[0] == "L" for c in text):  # letters, but no word
-                best = 0
-                return self.models.languages[best], 0.0, float("inf"), False
-            return UNKNOWN, 0.0, 0.0, False
-        best = int(np.argmin(entropy))
+            if self.used + len(fresh) > CACHE_WORDS:
+                self.places, self.used = {}, 0
+                fresh = list(set(words))
+            self.table[self.used : self.used + len(fresh)] = self.models.bits(fresh)
+            self.places.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
+            self.used += len(fresh)
+            places = list(map(self.places.__getitem__, words))
+            for w in fresh:
+                if len(w) > LONGEST_CACHED:
+                    del self.places[w]
+        sums = np.add.reduceat(self.table[np.array(places)], np.cumsum(counts) - counts)
+        np.add.at(total, owners, sums)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
+        """Of each text the language, the confidence from 0 to 1, its cross-entropy, and whether that is accepted."""
+        entropy, chars = self.entropies(texts)
+        best = entropy.argmin(1)
+        lowest = entropy[np.arange(len(texts)), best]
+        lead = np.partition(entropy, 1, axis=1)[:, 1] - lowest if entropy.shape[1] > 1 else np.ones(len(texts))
         slope, offset = self.models.scale
-        lead = np.sort(entropy)[1] - entropy[best] if len(entropy) > 1 else 1.0
         score = 1.0 / (1.0 + np.exp(-np.clip(slope * lead * np.sqrt(chars) + offset, -40, 40)))
-        return self.models.languages[best], float(score), float(entropy[best]), bool(entropy[best] <= self.models.thresholds[best])
+        out = (
+            [self.models.languages[i] for i in best.tolist()], score.tolist(), lowest.tolist(), (lowest <= self.models.thresholds[best]).tolist(),
+        )
+        for i in np.flatnonzero(chars == 0).tolist():
+            text = texts[i]
+            if text and any(unicodedata.category(c)[0] == "L" for c in text):  # letters, but no word
+                found = (self.models.languages[0], 0.0, float("inf"), False)
+            else:
+                found = (UNKNOWN, 0.0, 0.0, False)
+            for column, value in zip(out, found, strict=True):
+                column[i] = value
+        return out
 
 
 def sample_ids(docs: DataFrame, id_col: str, lang_col: str, learn: Column, limits: FitLimits) -> DataFrame:
@@ -255,8 +299,8 @@ def _calibrate(models: CharModels, held: DataFrame) -> None:
         identifier = Identifier(shared.value)
 
         def compute(texts):
-            both = [identifier.entropy(t) for t in texts]
-            return [e.tolist() for e, _ in both], [n for _, n in both]
+            entropy, chars = identifier.entropies(texts)
+            return entropy.tolist(), chars.tolist()
 
         return compute
 
@@ -304,7 +348,6 @@ def _predictor(df: DataFrame, models: CharModels):
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        predict_one = Identifier(shared.value).predict
-        return lambda texts: list(zip(*map(predict_one, texts), strict=True))
+        return Identifier(shared.value).predict
 
     return make
