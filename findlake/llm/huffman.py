@@ -114,7 +114,8 @@ class CanonicalCode:
         size = int(ids.max()) + 1 if len(ids) else 0
         self.code, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.width = max(1, int(lengths.max())) if len(lengths) else 1
-        self.symbols, self.spans = np.zeros(1 << self.width, np.uint32), np.zeros(1 << self.width, np.int64)
+        #: decoding table: id and length (5 bits) of the code that a run of bits starts with
+        self.table = np.zeros(1 << self.width, np.uint32)
         by = np.lexsort((ids, lengths))
         ids, lengths = ids[by], lengths[by]
         # the k-th code starts where the codes before it, each as wide as its share of the table, end
@@ -123,7 +124,7 @@ class CanonicalCode:
         self.code[ids] = (starts >> (self.width - lengths)).astype(np.uint64)
         self.length[ids] = lengths
         end = int(shares.sum())
-        self.symbols[:end], self.spans[:end] = np.repeat(ids.astype(np.uint32), shares), np.repeat(lengths, shares)
+        self.table[:end] = np.repeat(ids.astype(np.uint32) << np.uint32(5) | lengths.astype(np.uint32), shares)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, int, np.ndarray]:
         """The bit stream (big-endian), its number of bits and the bit offset of every CHECKPOINT-th id."""
@@ -149,9 +150,9 @@ class CanonicalCode:
         mask = np.uint32((1 << self.width) - 1)
         for i in range(min(CHECKPOINT, n_ids)):
             slot = window[np.minimum(at >> 3, last)] >> (32 - self.width - (at & 7)).astype(np.uint32) & mask
-            out[i] = self.symbols[slot]
-            at += self.spans[slot]
-        return out.T.reshape(-1)[:n_ids]
+            out[i] = self.table[slot]
+            at += out[i] & 31
+        return (out >> 5).T.reshape(-1)[:n_ids]
 
 
 def write_ids(tokens: DataFrame, path: str, id_bytes: int = 4, block_ids: int = BLOCK_IDS) -> None:

@@ -15,6 +15,8 @@ import unicodedata
 LATIN_END = 0x300
 CACHE_WORDS = 300_000
 LONGEST_CACHED = 48
+#: Packing of so many ids.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def _ranges(major: str) -> str:
@@ -67,9 +69,10 @@ class WordEncoder:
             return self._whole(text)
         words = text.split()
         found = list(map(self.recent.get, words))
-        if None in found:
-            get, word = self.recent.get, self._word
-            found = [get(w) or word(w) for w in words]
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._word(words[at])
         return b"".join(found)
 
     def _whole(self, text: str) -> bytes:
@@ -79,7 +82,8 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if len(word) > LONGEST_CACHED:
             return self._fresh(word)
-        out = self.older.get(word)
+        # an earlier place of the same text may have brought it in
+        out = self.recent.get(word) or self.older.get(word)
         if out is None:
             out = self._fresh(word)
         if len(self.recent) >= self.cache_words:
@@ -100,7 +104,7 @@ class WordEncoder:
         if out is None:
             mapped = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.model.tokenize(mapped)]
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONGEST_CACHED:
             if len(self.pieces) >= self.cache_words:
                 self.older_pieces, self.pieces = self.pieces, {}
