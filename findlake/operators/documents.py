@@ -10,10 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findlake.functions.text import lines, mask_term
+from findlake.functions.scoring import SEVERITIES, cvss_parse
+from findlake.functions.text import expected_kind, lines, mask_term, tags_problem
 
 #: Phrases that no document may hold.
 BANNED_PHRASES = ["as an ai", "language model", "lorem ipsum", "to be written", "insert here", "click here", "in conclusion", "it is important to note"]
+#: The fields of a finding's frontmatter, those that it must have, and the types of findings.
+FINDING_FIELDS = ["severity", "finding_type", "cvss", "cwe", "tags", "affected_entities"]
+REQUIRED_FIELDS = ["severity", "finding_type"]
+FINDING_TYPES = ["network", "physical", "wireless", "web", "mobile", "cloud", "host"]
 FAILURE = ["rule_id", "doc_id", "line", "message"]
 REFERENCE = r"(!?)\[([^\]\n]*)\]\(([^)\s]+)(?:\s+\"([^\"]*)\")?\)"
 
@@ -170,3 +175,53 @@ def scope_filter(failures: DataFrame, scopes: DataFrame, known: DataFrame) -> Da
     if lost:
         raise ValueError(f"unknown paths: {[r[0] for r in lost]}")
     return failures.join(s, below(F.col("path"), F.col("__scope")), "left_semi")
+
+
+def frontmatter_rules(docs: DataFrame, known_cwe: DataFrame) -> DataFrame:
+    """FND-001 to FND-008: failures of a finding's frontmatter, all that apply.
+
+    ``docs`` is (doc_id, tier, fields map<string, string>, cwe array<int>, tags array<string>), ``known_cwe`` (cwe_id). A null
+    map is an empty one. Only the CWE rule needs a join; the others are one pass over the documents.
+    """
+    fields = F.coalesce("fields", F.create_map().cast("map<string,string>"))
+    value = lambda name: F.try_element_at(fields, F.lit(name))
+
+    def each(rule: str, messages: Column) -> Column:
+        return F.transform(messages, lambda m: F.struct(F.lit(rule).alias("rule_id"), m.alias("message")))
+
+    def one(rule: str, wrong: Column, message: Column) -> Column:
+        return each(rule, F.when(wrong, F.array(message)).otherwise(F.array().cast("array<string>")))
+
+    required = F.array(*[F.lit(f) for f in REQUIRED_FIELDS])
+    vector = cvss_parse(value("cvss"))["error"]
+    found = F.concat(
+        each("FND-001", F.array_except(F.map_keys(fields), F.array(*[F.lit(f) for f in FINDING_FIELDS]))),
+        each("FND-002", F.array_except(required, F.map_keys(fields))),
+        one("FND-003", ~value("severity").isin(*SEVERITIES), value("severity")),
+        one("FND-004", ~value("finding_type").isin(*FINDING_TYPES), value("finding_type")),
+        one("FND-005", value("cvss").isNotNull() & vector.isNotNull(), vector),
+        one("FND-007", tags_problem(F.col("tags")).isNotNull(), tags_problem(F.col("tags"))),
+        one("FND-008", (F.col("tier") == "library") & (F.length(value("affected_entities")) > 0), F.lit("affected entities on a library finding")),
+    )
+    plain = docs.select("doc_id", F.inline(found)).select("rule_id", "doc_id", F.lit(None).cast("int").alias("line"), "message")
+    cwes = docs.select("doc_id", F.explode("cwe").alias("cwe_id")).join(known_cwe.select("cwe_id").distinct(), "cwe_id", "left_anti")
+    return plain.unionByName(failure(cwes, "FND-006", F.concat(F.lit("CWE-"), F.col("cwe_id").cast("string"))))
+
+
+def index_rules(index: DataFrame) -> DataFrame:
+    """``rule_id, path, message``: IDX-004 where a file's kind does not fit its path, IDX-002 where another record's does not.
+
+    ``index`` is (path, kind). Whatever lies under a tree that is never synced fails with IDX-002.
+    """
+    local_only = F.col("path").rlike("^(findings/inbox|methodology/checklists)(/|$)")
+    wanted = expected_kind(F.col("path"))
+    rule = F.when(~local_only & F.col("path").rlike("(^|/)(evidence|images)(/|$)"), "IDX-004").otherwise("IDX-002")
+    message = F.when(local_only, "local-only tree").otherwise(wanted)
+    return index.where(local_only | (wanted != F.col("kind"))).select(rule.alias("rule_id"), "path", message.alias("message"))
+
+
+def unindexed_reports(paths: DataFrame, index: DataFrame) -> DataFrame:
+    """IDX-003: the files under a report's folder that the index does not know, as ``rule_id, path, message`` (the folder)."""
+    folder = F.regexp_extract("path", "^(findings/reports/[^/]+)/", 1)
+    reports = index.where("kind = 'report'").select(F.col("path").alias("message")).distinct()
+    return paths.select(F.lit("IDX-003").alias("rule_id"), "path", folder.alias("message")).where("message <> ''").join(reports, "message", "left_anti").select("rule_id", "path", "message")

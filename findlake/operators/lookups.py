@@ -241,3 +241,49 @@ def restore_run(log: DataFrame, now: DataFrame) -> DataFrame:
         F.when(F.col("post").isNull(), "recreate").when(~F.col("post").eqNullSafe(F.col("now_hash")), "report").when(F.col("first_op") == "CREATE", "delete").otherwise("write back")
     )
     return joined.select("kind", "id", action.alias("action"), F.when(action.isin("recreate", "write back"), F.col("preimage")).alias("content"))
+
+
+#: The headings of a project's context, in order.
+CONTEXT_HEADINGS = ["## Scope", "## Objectives", "## Targets", "## White cards"]
+
+
+def project_context(projects: DataFrame, scopes: DataFrame, objectives: DataFrame, targets: DataFrame, cards: DataFrame) -> DataFrame:
+    """``project_id, context``: one text a project, with a section for each kind of child row that it has.
+
+    projects (project_id, codename, client); scopes (project_id, pos, name, entries, disallowed, caution); objectives
+    (project_id, pos, objective, status, priority, deadline, complete); targets (project_id, pos, hostname, ip, compromised); cards
+    (project_id, pos, title, issued). Child rows become text where they are and meet in one shuffle, sorted by pos. A project's own
+    rows are the text's size, so no larger than one row of the result.
+    """
+    some = lambda c: F.when(F.length(c) > 0, F.col(c))
+    flags = F.concat_ws(", ", F.when(F.col("disallowed"), "EXCLUDED"), F.when(F.col("caution"), "CAUTION"))
+    entries = F.filter(F.transform(F.split(F.coalesce("entries", F.lit("")), "\r?\n"), lambda e: F.trim(e)), lambda e: e != "")
+    listed = F.when(F.size(entries) > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e)), "\n"))).otherwise("")
+    bits = F.concat_ws(" / ", some("status"), some("priority"))
+    address = F.concat_ws(" / ", some("hostname"), some("ip"))
+    parts = [
+        (scopes, F.concat(F.lit("\n### "), F.coalesce(some("name"), F.lit("Scope")), F.when(flags != "", F.concat(F.lit(" ("), flags, F.lit(")"))).otherwise(""), listed)),
+        (objectives, F.concat(
+            F.lit("- **"), F.coalesce("objective", F.lit("")), F.lit("**"), F.when(bits != "", F.concat(F.lit(" \u2014 "), bits)).otherwise(""),
+            F.when(F.length("deadline") > 0, F.concat(F.lit(" (deadline: "), F.col("deadline"), F.lit(")"))).otherwise(""), F.when(F.col("complete"), " [COMPLETE]").otherwise(""),
+        )),
+        (targets, F.concat(F.lit("- "), F.when(address != "", address).otherwise("unknown target"), F.when(F.col("compromised"), " (COMPROMISED)").otherwise(""))),
+        (cards, F.concat(F.lit("\n### "), F.coalesce("title", F.lit("")), F.when(F.length("issued") > 0, F.concat(F.lit(" \u2014 "), F.col("issued"))).otherwise(""))),
+    ]
+    heads = projects.select("project_id", F.lit(-1).alias("section"), F.lit(0).cast("long").alias("pos"), F.concat(
+        F.lit("# "), F.coalesce(some("codename"), some("client"), F.lit("Project")), F.when(F.length("client") > 0, F.concat(F.lit("\n\n**Client:** "), F.col("client"))).otherwise(""),
+    ).alias("text"), F.lit(True).alias("is_project"))
+    rows = heads
+    for k, (table, text) in enumerate(parts):
+        rows = rows.unionByName(table.select("project_id", F.lit(k).alias("section"), F.col("pos").cast("long").alias("pos"), text.alias("text"), F.lit(False).alias("is_project")))
+    grouped = rows.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("section", "pos", "text"))).alias("a"), F.max("is_project").alias("known")).where("known")
+    titles = F.array(*[F.lit(h) for h in CONTEXT_HEADINGS])
+    a = F.col("a")
+
+    def line(x: Column, i: Column) -> Column:
+        first = (x["section"] >= 0) & (F.get(a, i - 1)["section"] != x["section"])
+        # lists stand off their heading, titled entries bring their own empty line
+        gap = F.when(x["section"].isin(1, 2), "\n\n").otherwise("\n")
+        return F.when(first, F.concat(F.lit("\n"), F.get(titles, x["section"]), gap, x["text"])).otherwise(x["text"])
+
+    return grouped.select("project_id", F.concat(F.array_join(F.transform(a, line), "\n"), F.lit("\n")).alias("context"))

@@ -180,3 +180,70 @@ def changed_since_witness(remote: DataFrame, state: DataFrame, witness: Sequence
     for c in witness:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return remote.join(old, "id", "left").withColumn("changed", ~same).drop(*[f"__{c}" for c in witness])
+
+
+FILE_REFERENCE = r"!?\[[^\]\n]*\]\((?:\.\./)?FOLDER/[^)\s]+(?:\s+\"[^\"]*\")?\)"
+EMBED_LINE = r"(?m)^[ \t]*!\[[^\]\n]*\]\((?:\.\./)?FOLDER/[^)\s]+(?:\s+\"[^\"]*\")?\)[ \t]*$"
+
+
+def _replace_references(docs: DataFrame, files: DataFrame, pattern: str, folder_name: str, token: Column, out: str) -> DataFrame:
+    """``docs`` (doc_id, folder, text) with ``out``: the text with each match replaced by ``token`` (of ``m`` and the file's columns).
+
+    Only matches are exploded and shuffled, to the files by (folder, filename) and back by doc_id; a document's
+    matches are as many as its text holds. Texts without a match come out as they are.
+    """
+    pattern = pattern.replace("FOLDER", folder_name)
+    found = docs.select("doc_id", "folder", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("k", "m"))
+    named = found.withColumn("filename", F.regexp_extract("m", rf"\]\((?:\.\./)?{folder_name}/([^)\s]+)", 1))
+    told = named.join(files, ["folder", "filename"], "left").select("doc_id", "k", token.alias("t"))
+    tokens = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("__t"))
+    between = F.split("text", pattern)
+    joined = F.array_join(F.zip_with(between, F.col("__t"), lambda b, t: F.concat(b, F.coalesce(t, F.lit("")))), "")
+    return docs.join(tokens, "doc_id", "left").withColumn(out, F.when(F.col("__t").isNull(), F.col("text")).otherwise(joined)).drop("__t")
+
+
+def prose_with_ids(docs: DataFrame, files: DataFrame, folder_name: str = "evidence", out: str = "prose") -> DataFrame:
+    """``docs`` with ``out``: the text without captions, each file reference as the current id of its file.
+
+    ``files`` is (folder, filename, id). Embeds become ``![](id)``, other references ``[id](id)``; a file that is not there
+    gives ``unresolved``. The hash of this text changes when a file comes to have another id.
+    """
+    number = F.coalesce(F.col("id").cast("string"), F.lit("unresolved"))
+    token = F.when(F.col("m").startswith("!"), F.concat(F.lit("![]("), number, F.lit(")"))).otherwise(F.concat(F.lit("["), number, F.lit("]("), number, F.lit(")")))
+    replaced = _replace_references(docs, files.select("folder", "filename", "id"), FILE_REFERENCE, folder_name, token, out)
+    return replaced.withColumn(out, F.regexp_replace(out, r"^\s+|\s+$", ""))
+
+
+def ripple_push(docs: DataFrame, files_now: DataFrame, state: DataFrame) -> DataFrame:
+    """``doc_id, prose, outcome``: PUSH for documents whose text or whose files' ids have changed since ``state`` (doc_id, base_hash)."""
+    now = prose_with_ids(docs, files_now)
+    same = F.sha2("prose", 256).eqNullSafe(F.col("base_hash"))
+    return now.join(state, "doc_id", "left").select("doc_id", "prose", F.when(same, "CLEAN").otherwise("PUSH").alias("outcome"))
+
+
+def rewrite_captions(docs: DataFrame, captions: DataFrame, folder_name: str = "evidence") -> DataFrame:
+    """``doc_id, text`` with the caption and description of each file (folder, filename, caption, description) in its embed lines.
+
+    A line counts where the embed stands alone; embeds of other files stay.
+    """
+    path = F.regexp_extract("m", r"\]\(([^)\s]+)", 1)
+    title = F.when(F.length("description") > 0, F.concat(F.lit(' "'), F.col("description"), F.lit('"'))).otherwise("")
+    head, tail = F.regexp_extract("m", r"^([ \t]*)", 1), F.regexp_extract("m", r"([ \t]*)$", 1)
+    token = F.when(F.col("caption").isNull(), F.col("m")).otherwise(F.concat(head, F.lit("!["), F.col("caption"), F.lit("]("), path, title, F.lit(")"), tail))
+    return _replace_references(docs, captions.select("folder", "filename", "caption", "description"), EMBED_LINE, folder_name, token, "new_text").select("doc_id", F.col("new_text").alias("text"))
+
+
+def file_set_plan(slots: DataFrame, longest: int = 255) -> DataFrame:
+    """Classify files: ``slots`` has the columns of classify() but the hashes, and local_body, remote_body, local_caption, remote_caption, conflict.
+
+    The hash of a side is that of its bytes and caption; without a local caption the remote's counts on both sides. A PUSH of
+    other bytes is a MOVE_EDIT (a new remote row); a caption conflict or one of over ``longest`` characters gives FAILED.
+    """
+    def side(body: str, caption: Column) -> Column:
+        return F.when(F.col(body).isNotNull(), F.sha2(F.concat_ws("\n", body, F.coalesce(caption, F.lit(""))), 256))
+
+    own = F.coalesce("local_caption", "remote_caption")
+    plan = classify(slots.withColumns({"local_hash": side("local_body", own), "remote_hash": side("remote_body", F.col("remote_caption"))}))
+    bad = F.coalesce(F.col("conflict"), F.lit(False)) | (F.coalesce(F.length("local_caption"), F.lit(0)) > longest)
+    moved = (F.col("outcome") == "PUSH") & (F.col("local_body") != F.col("remote_body"))
+    return plan.withColumn("outcome", F.when(bad & F.col("local_body").isNotNull(), "FAILED").when(moved, "MOVE_EDIT").otherwise(F.col("outcome")))

@@ -464,3 +464,162 @@ def agg13_agg15_ordered_members(spark, sf_dir):
 def mat2_mat4_identical_pairs(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
     return lookups.identical_pairs(d.where("path % 2 = 0"), d.where("path % 2 = 1"))
+
+
+# Frontmatter, index rules, file sets, references and project texts.
+
+@query("""WITH d AS (SELECT p_partkey AS doc_id, p_partkey % 12 AS k FROM part)
+SELECT 'FND-001' AS rule_id, doc_id, CAST(NULL AS INTEGER) AS line, 'owner' AS message FROM d WHERE k = 0 UNION ALL SELECT 'FND-002', doc_id, NULL, 'severity' FROM d WHERE k = 1 UNION ALL SELECT 'FND-003', doc_id, NULL, 'urgent' FROM d WHERE k = 2
+UNION ALL SELECT 'FND-004', doc_id, NULL, 'other' FROM d WHERE k = 3 UNION ALL SELECT 'FND-005', doc_id, NULL, 'no prefix' FROM d WHERE k = 4 UNION ALL SELECT 'FND-006', doc_id, NULL, 'CWE-' || p_size FROM d JOIN part ON p_partkey = doc_id WHERE p_size > 40
+UNION ALL SELECT 'FND-007', doc_id, NULL, 'repeated tag' FROM d WHERE k = 5 UNION ALL SELECT 'FND-008', doc_id, NULL, 'affected entities on a library finding' FROM d WHERE k % 3 = 0""")
+def fnd001_008_frontmatter(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 12
+    pair = lambda name, value: F.struct(F.lit(name).alias("k"), value.alias("v"))
+    pairs = F.array_compact(F.array(
+        F.when(k == 0, pair("owner", F.lit("x"))), F.when(k != 1, pair("severity", F.when(k == 2, "urgent").otherwise("high"))), pair("finding_type", F.when(k == 3, "other").otherwise("web")),
+        F.when(k == 4, pair("cvss", F.lit("AV:N"))), pair("affected_entities", F.lit("host")),
+    ))
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.when(k % 3 == 0, "library").otherwise("instance").alias("tier"), F.map_from_entries(pairs).alias("fields"), F.array("p_size").alias("cwe"), F.when(k == 5, F.array(F.lit("a"), F.lit("A"))).otherwise(F.array(F.lit("a"))).alias("tags"))
+    return documents.frontmatter_rules(docs, part.where("p_size <= 40").select(F.col("p_size").alias("cwe_id")))
+
+
+INDEX = """WITH i AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'findings/library/' || o_orderkey || '.md' WHEN 1 THEN 'findings/reports/r' || o_custkey || '/evidence/' || o_orderkey || '.png' WHEN 2 THEN 'findings/inbox/' || o_orderkey || '.md'
+ WHEN 3 THEN 'findings/reports/r' || o_custkey || '/' || o_orderkey || '.md' WHEN 4 THEN 'methodology/library/b' || o_orderkey ELSE 'findings/reports/r' || o_custkey END AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'page' ELSE CASE o_orderkey % 6 WHEN 0 THEN 'library_finding' WHEN 1 THEN 'evidence'
+ WHEN 2 THEN 'reported_finding' WHEN 3 THEN 'reported_finding' WHEN 4 THEN 'book' ELSE 'report' END END AS kind, ['library_finding','evidence','reported_finding','reported_finding','book','report'][o_orderkey % 6 + 1] AS wanted FROM orders)"""
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, key, report = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string"), F.concat(F.lit("findings/reports/r"), F.col("o_custkey").cast("string"))
+    path = (
+        F.when(k == 0, F.concat(F.lit("findings/library/"), key, F.lit(".md"))).when(k == 1, F.concat(report, F.lit("/evidence/"), key, F.lit(".png"))).when(k == 2, F.concat(F.lit("findings/inbox/"), key, F.lit(".md")))
+        .when(k == 3, F.concat(report, F.lit("/"), key, F.lit(".md"))).when(k == 4, F.concat(F.lit("methodology/library/b"), key)).otherwise(report)
+    )
+    fit = F.when(k == 0, "library_finding").when(k == 1, "evidence").when(k.isin(2, 3), "reported_finding").when(k == 4, "book").otherwise("report")
+    return read(spark, sf_dir, "orders").select(path.alias("path"), F.when(F.col("o_orderkey") % 7 == 0, "page").otherwise(fit).alias("kind"))
+
+
+@query(INDEX + " SELECT CASE WHEN k % 6 = 1 THEN 'IDX-004' ELSE 'IDX-002' END AS rule_id, path, CASE WHEN k % 6 = 2 THEN 'local-only tree' ELSE wanted END AS message FROM i WHERE k % 6 = 2 OR kind <> wanted")
+def idx002_idx004_kinds(spark, sf_dir):
+    return documents.index_rules(index_rows(spark, sf_dir))
+
+
+@query(INDEX + " SELECT 'IDX-003' AS rule_id, path, regexp_extract(path, '^(findings/reports/[^/]+)/', 1) AS message FROM i WHERE k % 6 IN (1, 3) AND regexp_extract(path, '^(findings/reports/[^/]+)/', 1) NOT IN (SELECT path FROM i WHERE kind = 'report')")
+def idx003_unindexed_reports(spark, sf_dir):
+    rows = index_rows(spark, sf_dir)
+    return documents.unindexed_reports(rows.select("path"), rows)
+
+
+# Documents that embed one file and link to another; each fifth file has been uploaded again.
+
+EMBEDS = """WITH f AS (SELECT 'f' || n_nationkey || '.png' AS filename, n_nationkey + 1000 AS old_id, n_nationkey + CASE WHEN n_nationkey % 5 = 0 THEN 2000 ELSE 1000 END AS id, n_name AS caption, CASE WHEN n_nationkey % 2 = 1 THEN 'seen' END AS description FROM nation),
+d AS (SELECT doc_id, source, 'f' || doc_id % 50 || '.png' AS a, 'f' || doc_id % 7 || '.png' AS b FROM documents)"""
+
+
+def embedding_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = lambda n: F.concat(F.lit("evidence/f"), (F.col("doc_id") % n).cast("string"), F.lit(".png"))
+    body = F.concat(F.lit("![old]("), file(50), F.lit(")\n"), F.coalesce("source", F.lit("")), F.lit(" see [x]("), file(7), F.lit(") end\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.lit("r").alias("folder"), body.alias("text"))
+
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").select(
+        F.lit("r").alias("folder"), F.concat(F.lit("f"), n.cast("string"), F.lit(".png")).alias("filename"), (n + 1000).alias("old_id"), (n + F.when(n % 5 == 0, 2000).otherwise(1000)).alias("id"), F.col("n_name").alias("caption"), F.when(n % 2 == 1, "seen").alias("description"),
+    )
+
+
+@query(EMBEDS + """ SELECT doc_id, '![](' || coalesce(CAST(x.id AS VARCHAR), 'unresolved') || ')' || chr(10) || coalesce(source, '') || ' see [' || y.id || '](' || y.id || ') end' AS prose, CASE WHEN x.id <> x.old_id OR y.id <> y.old_id THEN 'PUSH' ELSE 'CLEAN' END AS outcome
+FROM d LEFT JOIN f x ON x.filename = d.a LEFT JOIN f y ON y.filename = d.b""")
+def rec14_ripple_push(spark, sf_dir):
+    docs, files = embedding_docs(spark, sf_dir), file_rows(spark, sf_dir)
+    state = reconcile.prose_with_ids(docs, files.select("folder", "filename", F.col("old_id").alias("id"))).select("doc_id", F.sha2("prose", 256).alias("base_hash"))
+    return reconcile.ripple_push(docs, files, state)
+
+
+@query(EMBEDS + """ SELECT doc_id, '![' || coalesce(caption, 'old') || '](evidence/' || a || coalesce(' "' || description || '"', '') || ')' || chr(10) || coalesce(source, '') || ' see [x](evidence/' || b || ') end' || chr(10) AS text FROM d LEFT JOIN f ON filename = a""")
+def rec15_rewrite_captions(spark, sf_dir):
+    return reconcile.rewrite_captions(embedding_docs(spark, sf_dir), file_rows(spark, sf_dir))
+
+
+FILES = SLOTS.replace(
+    "\nk AS", """
+u AS (SELECT id, mode, l AS lb, r AS rb, b AS bb, CASE WHEN id % 9 = 0 THEN 'x' END AS lc, CASE WHEN id % 4 = 0 THEN 'y' END AS rc FROM s),
+t AS (SELECT *, lb || chr(10) || coalesce(lc, rc, '') AS l, rb || chr(10) || coalesce(rc, '') AS r, bb || chr(10) || coalesce(rc, '') AS b FROM u),
+k AS""", 1).replace("FROM s),\nc AS", "FROM t),\nc AS")
+
+
+@query(FILES + " SELECT id, CASE WHEN lb IS NOT NULL AND id % 37 = 0 THEN 'FAILED' WHEN o1 = 'PUSH' AND lb <> rb THEN 'MOVE_EDIT' ELSE o1 END AS outcome FROM c")
+def rec13_file_sets(spark, sf_dir):
+    k = F.col("id")
+    rows = slots(spark, sf_dir).withColumnsRenamed({"local_hash": "local_body", "remote_hash": "remote_body"}).withColumns({"local_caption": F.when(k % 9 == 0, "x"), "remote_caption": F.when(k % 4 == 0, "y"), "conflict": k % 37 == 0})
+    base = F.when(F.col("base_hash").isNotNull(), F.sha2(F.concat_ws("\n", "base_hash", F.coalesce("remote_caption", F.lit(""))), 256))
+    return reconcile.file_set_plan(rows.withColumn("base_hash", base)).select("id", "outcome")
+
+
+@query(SLOTS + " SELECT id, CASE WHEN o1 IN ('PUSH','DELETE_REMOTE') AND id % 3 = 0 THEN 'COLLISION' ELSE o1 END AS outcome FROM c")
+def rec11_drift_check(spark, sf_dir):
+    plan = reconcile.classify(slots(spark, sf_dir)).withColumn("forced", F.lit(False))
+    now = plan.select("kind", "id", F.when(F.col("id") % 3 == 0, "later").otherwise(F.col("remote_hash")).alias("now_hash"))
+    return reconcile.drift_check(plan, now).select("id", "outcome")
+
+
+@query("SELECT o_orderkey AS id, 'q/' || o_orderkey AS new_path, CASE WHEN o_orderkey % 15 = 0 THEN 'FAILED' ELSE 'MOVE' END AS outcome FROM orders WHERE o_orderkey % 3 = 0")
+def rec12_relocate(spark, sf_dir):
+    rows = slots(spark, sf_dir).select("id", "path", F.when(F.col("id") % 3 == 0, "q").otherwise("p").alias("remote_parent"))
+    taken = rows.where("id % 5 = 0").select(F.concat(F.lit("q/"), F.col("id").cast("string")).alias("path"))
+    return reconcile.relocate(rows, taken).select("id", "new_path", "outcome")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'written' WHEN 1 THEN 'hand-edited' WHEN 2 THEN 'unchanged' ELSE 'written' END AS state FROM documents")
+def rec17_mirror_state(spark, sf_dir):
+    k, body = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    current = F.when(k == 1, F.concat(body, F.lit("!"))).when(k != 0, body)
+    new = F.when(k == 3, F.concat(body, F.lit("?"))).otherwise(body)
+    return read(spark, sf_dir, "documents").select("doc_id", reconcile.mirror_state(F.sha2(body, 256), current, new).alias("state"))
+
+
+CONTEXT = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+a AS (SELECT c, string_agg(chr(10) || '### ' || p || CASE s WHEN 'F' THEN ' (EXCLUDED)' WHEN 'P' THEN ' (EXCLUDED, CAUTION)' ELSE '' END || chr(10) || chr(10) || '- ' || k || chr(10) || '- b', chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 0 GROUP BY c),
+b AS (SELECT c, string_agg('- **' || k || '** \u2014 ' || s || ' / ' || p || CASE WHEN s = 'F' THEN ' [COMPLETE]' ELSE ' (deadline: soon)' END, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 1 GROUP BY c),
+e AS (SELECT c, string_agg('- ' || CASE WHEN s = 'O' THEN 'unknown target' ELSE 'h' || k || ' / ' || s END || CASE WHEN s = 'F' THEN ' (COMPROMISED)' ELSE '' END, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 2 GROUP BY c),
+w AS (SELECT c, string_agg(chr(10) || '### ' || k || ' \u2014 ' || p, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 3 GROUP BY c)
+SELECT c_custkey AS project_id, '# ' || c_name || chr(10) || chr(10) || '**Client:** ' || c_name || coalesce(chr(10) || chr(10) || '## Scope' || chr(10) || a.t, '') || coalesce(chr(10) || chr(10) || '## Objectives' || chr(10) || chr(10) || b.t, '')
+ || coalesce(chr(10) || chr(10) || '## Targets' || chr(10) || chr(10) || e.t, '') || coalesce(chr(10) || chr(10) || '## White cards' || chr(10) || w.t, '') || chr(10) AS context
+FROM customer LEFT JOIN a ON a.c = c_custkey LEFT JOIN b ON b.c = c_custkey LEFT JOIN e ON e.c = c_custkey LEFT JOIN w ON w.c = c_custkey"""
+
+
+@query(CONTEXT)
+def agg14_project_context(spark, sf_dir):
+    key, s, p = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    orders = read(spark, sf_dir, "orders").withColumns({"project_id": F.col("o_custkey"), "pos": F.col("o_orderkey")})
+    quarter = lambda k: orders.where(F.col("o_orderkey") % 4 == k)
+    return lookups.project_context(
+        read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.lit("").alias("codename"), F.col("c_name").alias("client")),
+        quarter(0).select("project_id", "pos", p.alias("name"), F.concat(key, F.lit("\r\n\n b ")).alias("entries"), s.isin("F", "P").alias("disallowed"), (s == "P").alias("caution")),
+        quarter(1).select("project_id", "pos", key.alias("objective"), s.alias("status"), p.alias("priority"), F.when(s != "F", "soon").alias("deadline"), (s == "F").alias("complete")),
+        quarter(2).select("project_id", "pos", F.when(s != "O", F.concat(F.lit("h"), key)).alias("hostname"), F.when(s != "O", s).alias("ip"), (s == "F").alias("compromised")),
+        quarter(3).select("project_id", "pos", key.alias("title"), p.alias("issued")),
+    )
+
+
+@query(SLOTS + """, g AS (SELECT kind, count(*) FILTER (l IS NOT NULL AND id % 19 = 0) AS invalid, count(*) FILTER (l IS NULL AND id % 19 >= 0 AND b IS NOT NULL) AS deleted, count(*) FILTER (b IS NULL AND l IS NULL) AS deleted2,
+ count(*) FILTER (l IS NOT NULL AND id % 19 <> 0 AND b IS NULL) AS unknown, count(*) FILTER (l = b AND id % 19 <> 0) AS clean, count(*) FILTER (l <> b AND id % 19 <> 0) AS edited FROM s GROUP BY kind)
+SELECT kind, unnest(['clean','edited','deleted','unknown','invalid','new']) AS status, unnest([clean, edited, deleted + deleted2, unknown, invalid, 0]) AS n FROM g""")
+def rec16_agg7_offline_status(spark, sf_dir):
+    rows = slots(spark, sf_dir)
+    failures = rows.where("id % 19 = 0").select("path", F.lit("WS-001").alias("rule_id"))
+    status = reconcile.offline_status(rows.where("local_hash is not null").select("path", "kind", "local_hash"), rows.select("path", "kind", "base_hash"), failures)
+    return lookups.status_counts(status, rows, ["clean", "edited", "deleted", "unknown", "invalid", "new"])
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/' || p_partkey || '.remote.md' WHEN 1 THEN 'a/' || p_partkey || '.remote' ELSE 'a/' || p_partkey || '.remote.remote.md' END AS sidecar, p_partkey % 3 = 2 AS is_sidecar FROM part")
+def rec18_sidecars(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    path = F.concat(F.lit("a/"), F.col("p_partkey").cast("string"), F.when(k == 0, ".md").when(k == 1, "").otherwise(".remote.md"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.sidecar_name(path).alias("sidecar"), text.is_sidecar(path).alias("is_sidecar"))
+
+
+@query(INDEX + " SELECT path, CASE WHEN k % 6 = 2 THEN NULL ELSE wanted END AS expected FROM i")
+def fil9_expected_kind(spark, sf_dir):
+    return index_rows(spark, sf_dir).select("path", text.expected_kind(F.col("path")).alias("expected"))

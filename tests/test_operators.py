@@ -171,3 +171,37 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     findings.maintain_findings(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = df.groupBy("key").agg(F.max("sev_rank").alias("sev_rank"), F.count("*").alias("n_occurrences"))
     assert sorted(map(tuple, findings.current_findings(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_reference_texts_and_captions(spark):
+    docs = spark.createDataFrame([(1, "r", " ![old](evidence/a.png) \nx [t](../evidence/b.png) ![in](evidence/a.png)\n"), (2, "r", "plain "), (3, "r", None), (4, "r", ""), (5, "other", "![k](evidence/a.png)")], "doc_id int, folder string, text string")
+    files = spark.createDataFrame([("r", "a.png", 7, "New", "why")], "folder string, filename string, id int, caption string, description string")
+    got = {r.doc_id: r.prose for r in reconcile.prose_with_ids(docs, files).collect()}
+    assert got == {1: "![](7) \nx [unresolved](unresolved) ![](7)", 2: "plain", 3: None, 4: "", 5: "![](unresolved)"}
+    got = {r.doc_id: r.text for r in reconcile.rewrite_captions(docs, files).collect()}
+    assert got == {1: ' ![New](evidence/a.png "why") \nx [t](../evidence/b.png) ![in](evidence/a.png)\n', 2: "plain ", 3: None, 4: "", 5: "![k](evidence/a.png)"}
+    state = reconcile.prose_with_ids(docs, files).select("doc_id", F.sha2("prose", 256).alias("base_hash"))
+    again = reconcile.ripple_push(docs, files.withColumn("id", F.lit(8)), state)
+    assert {r.doc_id for r in again.where("outcome = 'PUSH'").collect()} == {1}
+
+
+def test_file_sets_fail_on_long_captions(spark):
+    rows = [("a", "x" * 256, "n", "o", "o", False), ("b", None, "n", "o", "o", False), ("c", None, "o", "o", "o", True)]
+    slots = spark.createDataFrame(rows, "path string, local_caption string, local_body string, remote_body string, base string, conflict boolean").selectExpr(
+        "path", "'f' AS kind", "'read-write' AS mode", "true AS indexed", "local_caption", "CAST(NULL AS STRING) AS remote_caption", "local_body", "remote_body", "sha2(concat(base, '\n'), 256) AS base_hash", "conflict"
+    )
+    assert {r.path: r.outcome for r in reconcile.file_set_plan(slots).collect()} == {"a": "FAILED", "b": "MOVE_EDIT", "c": "FAILED"}
+
+
+def test_project_without_rows_is_its_heading(spark):
+    none = "project_id int, pos int, "
+    tables = [spark.createDataFrame([], none + c) for c in ("name string, entries string, disallowed boolean, caution boolean", "objective string, status string, priority string, deadline string, complete boolean", "hostname string, ip string, compromised boolean", "title string, issued string")]
+    projects = spark.createDataFrame([(1, "Code", "Client"), (2, None, None)], "project_id int, codename string, client string")
+    got = {r.project_id: r.context for r in lookups.project_context(projects, *tables).collect()}
+    assert got == {1: "# Code\n\n**Client:** Client\n", 2: "# Project\n"}
+
+
+def test_frontmatter_of_nulls_lacks_its_fields(spark):
+    docs = spark.createDataFrame([(1, None, None, None, None)], "doc_id int, tier string, fields map<string,string>, cwe array<int>, tags array<string>")
+    known = spark.createDataFrame([(79,)], "cwe_id int")
+    assert sorted((r.rule_id, r.message) for r in documents.frontmatter_rules(docs, known).collect()) == [("FND-002", "finding_type"), ("FND-002", "severity")]
