@@ -36,16 +36,19 @@ SHINGLES_AT_ONCE = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z lower-cased; they end at space and U+0009 to U+000D only."""
+    # all bytes of the separators are ASCII, and bytes.split() cuts at exactly those
+    return text.encode().translate(_LOWER).split() if text else []
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of the word shingles of a whole text, as an unsigned 64-bit integer; 0 without words.
 
     A-Z are lower-cased; words end at space and U+0009 to U+000D only. Each shingle counts as often as it occurs;
     a bit is set if more than half of the hashes have it.
     """
-    if not text:
-        return 0
-    # all bytes of the separators are ASCII, and bytes.split() cuts at exactly those
-    words = text.encode().translate(_LOWER).split()
+    words = words_of(text)
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
