@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,7 +112,7 @@ def _repeated_filter(docs: DataFrame, min_words: int) -> np.ndarray:
 
 
 def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, at, key``: each stretch of ``min_words`` words around a suffix that may be repeated."""
+    """``doc_id, text_key, at, key``: each stretch of ``min_words`` words around a suffix that may be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(_repeated_filter(docs, min_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +120,10 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                ids: list[int | None] = []
+                ids: list[int] = []
                 counts: list[int] = []
                 ats, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for row, text in enumerate(part.column(2).to_pylist()):
                     words = text.split() if text else []
                     if len(words) < min_words:
                         continue
@@ -136,34 +136,39 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
                     # from each repeated suffix to the left, one stretch for each place that it may have in it
                     starts = np.unique((at[:, None] - np.arange(SAMPLE_WINDOW)[None, :]).ravel())
                     starts = starts[(starts >= 0) & (starts + min_words <= len(words))]
-                    ids.append(doc)
+                    ids.append(row)
                     counts.append(len(starts))
                     ats.append(starts)
                     keys.append(rolling.runs(min_words)[starts])
-                owner = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), counts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([owner, pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "at", "key"])
+                owner = pa.array(np.repeat(np.array(ids, np.int64), counts))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "text_key", "at", "key"])
 
-    return docs.select("doc_id", "__text").mapInArrow(run, "doc_id long, at int, key long")
+    return docs.select("doc_id", "text_key", "__text").mapInArrow(run, "doc_id long, text_key long, at int, key long")
+
+
+def text_key(text_col: str) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row a document that shares a stretch of ``min_words`` words with another place: doc_id, repeats, firsts.
+    """A row a document that shares a stretch of ``min_words`` words with another place: doc_id, text_key (a hash of the text), repeats, firsts.
 
     Words end at white space. ``repeats`` are the spans of words (start, end) that have occurred before, in a smaller doc_id or
     further up in the same document; ``firsts`` those that occur here first. Spans overlap where stretches do. Null and short texts
-    share nothing; rows that repeat a doc_id and text count once. Words and stretches are compared by 64-bit hashes.
+    share nothing; rows that repeat a doc_id (null or not) and text count once, those of other texts come in the order of text_key. Words and stretches are compared by 64-bit hashes.
     """
     if min_words < SAMPLE_WINDOW + SAMPLE_WORDS:
         raise ValueError(f"min_words must be at least {SAMPLE_WINDOW + SAMPLE_WORDS}")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("__text"))
     rows = materialize(_stretches(slim, min_words), "stretches")
     # the first place and whether there is another; equal stretches are brought down to a row a task before the shuffle
-    places = rows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first <> last").select("key", "first")
-    told = rows.join(places, "key").select("doc_id", "at", (F.struct("doc_id", "at") == F.col("first")).alias("is_first"))
-    grouped = told.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("is_first"), F.col("at"))).alias("r"), F.collect_set(F.when(F.col("is_first"), F.col("at"))).alias("f"))
+    places = rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("first"), F.max(F.struct("doc_id", "text_key", "at")).alias("last")).where("first <> last").select("key", "first")
+    told = rows.join(places, "key").select("doc_id", "text_key", "at", (F.struct("doc_id", "text_key", "at") == F.col("first")).alias("is_first"))
+    grouped = told.groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~F.col("is_first"), F.col("at"))).alias("r"), F.collect_set(F.when(F.col("is_first"), F.col("at"))).alias("f"))
 
     def make():
         def spans(values):
@@ -177,7 +182,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return lambda r, f: ([spans(x) for x in r], [spans(x) for x in f])
 
     fields = [T.StructField("repeats", T.ArrayType(SPAN)), T.StructField("firsts", T.ArrayType(SPAN))]
-    return append_columns(grouped, ["r", "f"], fields, make).select("doc_id", "repeats", "firsts")
+    return append_columns(grouped, ["r", "f"], fields, make).select("doc_id", "text_key", "repeats", "firsts")
 
 
 def cut_words(text: str | None, spans: list[dict] | None) -> str | None:
@@ -198,8 +203,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Other columns stay as they are, but ``n_chars`` (where there is one) follows the text.
     """
-    found = repeated_passages(docs, id_col, text_col, min_words).where(F.size("repeats") > 0).select(F.col("doc_id").alias("__doc"), F.col("repeats").alias("__spans"))
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__doc"]), "left")
+    found = repeated_passages(docs, id_col, text_col, min_words).where(F.size("repeats") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("repeats").alias("__spans"))
+    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__doc"]) & (text_key(text_col) == found["__key"]), "left")
     cut = append_columns(joined, [text_col, "__spans"], [T.StructField(text_col, T.StringType())], lambda: lambda texts, spans: ([cut_words(t, s) for t, s in zip(texts, spans, strict=True)],))
     cut = cut.where(F.col("__spans").isNull() | (F.length(F.trim(text_col)) > 0))
     if "n_chars" in docs.columns:

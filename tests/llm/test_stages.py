@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from findlake.llm import nearcopies
+from findlake.llm import nearcopies, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +61,14 @@ def test_near_duplicate_stage_keeps_clean_texts_of_null_and_repeated_ids(spark):
     rows = [(None, a), (None, b), (5, c), (5, d), (5, c), (None, c), (9, "")]
     kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, rows), "")
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(-1, a), (-1, b), (5, c), (5, d), (9, "")])
+
+
+def test_passages_of_null_and_repeated_ids_are_told_apart(spark):
+    rng = np.random.default_rng(9)
+    shared = " ".join(words(rng, 60))
+    for doc in (None, 5):
+        bodies = [" ".join(words(rng, n)) for n in (30, 70, 10)]
+        rows = [(doc, f"{shared} {body}") for body in bodies]  # one passage at the same offset of three texts
+        kept = [r.text for r in suffixes.remove_repeats(docs_of(spark, rows)).collect()]
+        assert sorted(len(t.split()) for t in kept) in (sorted(n + 60 * (n == first) for n in (30, 70, 10)) for first in (30, 70, 10))
+        assert sorted(" ".join(t.split()[-10:]) for t in kept) == sorted(" ".join(b.split()[-10:]) for b in bodies)
