@@ -169,12 +169,14 @@ def rule_summary(failures: DataFrame) -> DataFrame:
 
 def scope_filter(failures: DataFrame, scopes: DataFrame, known: DataFrame) -> DataFrame:
     """Rows whose path is a scope or below one; a scope that covers no known path raises ValueError."""
-    below = lambda p, s: (p == s) | p.startswith(F.concat(s, F.lit("/")))
-    s = F.broadcast(scopes.select(F.col("path").alias("__scope")).distinct().limit(10_000))  # scopes are typed by a user
-    lost = s.join(known.select(F.col("path").alias("__p")), below(F.col("__p"), F.col("__scope")), "left_anti").limit(5).collect()
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    prefixes = lambda rows: rows.select("path").where("path is not null").distinct().select("path", F.explode(above).alias("__scope"))
+    s = scopes.select(F.col("path").alias("__scope")).distinct()
+    lost = s.join(prefixes(known), "__scope", "left_anti").limit(5).collect()  # for the message
     if lost:
         raise ValueError(f"unknown paths: {[r[0] for r in lost]}")
-    return failures.join(s, below(F.col("path"), F.col("__scope")), "left_semi")
+    return failures.join(prefixes(failures).join(s, "__scope", "left_semi").select("path"), "path", "left_semi").select(*failures.columns)
 
 
 def frontmatter_rules(docs: DataFrame, known_cwe: DataFrame) -> DataFrame:

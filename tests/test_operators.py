@@ -205,3 +205,14 @@ def test_frontmatter_of_nulls_lacks_its_fields(spark):
     docs = spark.createDataFrame([(1, None, None, None, None)], "doc_id int, tier string, fields map<string,string>, cwe array<int>, tags array<string>")
     known = spark.createDataFrame([(79,)], "cwe_id int")
     assert sorted((r.rule_id, r.message) for r in documents.frontmatter_rules(docs, known).collect()) == [("FND-002", "finding_type"), ("FND-002", "severity")]
+
+
+def test_scope_filter_takes_every_scope(spark):
+    known = spark.range(10_050).select(F.concat(F.lit("/p"), F.col("id"), F.lit("/x.md")).alias("path"))
+    failures = known.select(F.lit("R").alias("rule_id"), "path").unionByName(spark.createDataFrame([("R", "/p1x/x.md"), ("R", None)], "rule_id string, path string"))
+    scopes = spark.range(10_050).select(F.concat(F.lit("/p"), F.col("id")).alias("path"))
+    found = documents.scope_filter(failures, scopes, known)
+    assert found.columns == failures.columns and found.count() == 10_050
+    assert documents.scope_filter(failures.unionByName(failures), scopes.where("path = '/p7'").unionByName(known.where("path = '/p7/x.md'")), known).count() == 2
+    with pytest.raises(ValueError):
+        documents.scope_filter(failures, scopes.unionByName(spark.createDataFrame([("/none",)], "path string")), known)
