@@ -2,8 +2,8 @@
 
 A model gives the probability of the characters of lower-cased words, each between word boundaries. The n-grams
 of every order lie in sorted arrays of 64-bit hashes, with columns of interpolated probabilities and of back-off
-weights for each language, both in bits, so one binary search serves all languages. The language with the lowest cross-entropy a
-character wins; a text is rejected where that entropy is above what held-back training texts of the language have.
+weights for each language, both in bits, so one binary search serves the languages of a group. The language with the lowest cross-entropy a
+character wins; a text is rejected where that entropy is far above the median of held-back training texts of the language.
 """
 
 from __future__ import annotations
@@ -31,6 +31,14 @@ CHARS_AT_ONCE = 20_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Parts that the ranking of a label's ids is dealt to.
 SAMPLE_PARTS = 256
+#: Languages whose models share arrays.
+GROUP = 4
+#: Acceptance: the length whose texts scatter by the square root of two, the spreads that are allowed, the least
+#: allowance in bits a character, and the calibration texts below which a label takes the pooled figures.
+SHORT_CHARS = 50
+SPREADS = 8.0
+LEAST_ALLOWANCE = 2.0
+FEWEST_TEXTS = 20
 
 RESULT_FIELDS = [
     T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -48,7 +56,7 @@ class FitLimits:
 
     #: labelled documents a language, those with the smallest hash of their id
     docs: int = 1500
-    #: different words a language, the most frequent
+    #: different words a language, the most frequent, of equally frequent ones those with the smallest hashes
     words: int = 30_000
     #: languages, the most frequent labels
     languages: int = 64
@@ -84,7 +92,6 @@ class CharModels:
     def __init__(self, languages: list[str], order: int, grams: list[np.ndarray], gram_bits: list[np.ndarray], contexts: list[np.ndarray], context_bits: list[np.ndarray], unseen: np.ndarray):
         self.languages, self.order, self.unseen = languages, order, unseen
         self.grams, self.gram_bits, self.contexts, self.context_bits = grams, gram_bits, contexts, context_bits
-        self.thresholds, self.scale = np.full(len(languages), np.inf), (1.0, 0.0)
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]], order: int) -> CharModels:
@@ -182,13 +189,39 @@ class CharModels:
         return at, keys[at] == wanted
 
 
+class ModelGroups:
+    """The models of all languages, a few in common arrays: memory grows with the languages, not with their square."""
+
+    def __init__(self, groups: list[CharModels]):
+        self.groups, self.languages = groups, [lang for g in groups for lang in g.languages]
+        self.center, self.spread, self.scale = np.full(len(self.languages), np.inf), np.zeros(len(self.languages)), (1.0, 0.0)
+
+    @classmethod
+    def fit(cls, counts: dict[str, dict[str, int]], order: int) -> ModelGroups:
+        names = sorted(counts)
+        return cls([CharModels.fit({n: counts[n] for n in names[i : i + GROUP]}, order) for i in range(0, len(names), GROUP)])
+
+    def bits(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([g.bits(words) for g in self.groups], axis=1)
+
+    def thresholds(self, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The highest cross-entropy that language ``best`` accepts of texts of so many characters."""
+        return self.center[best] + self.spread[best] * scatter(chars)
+
+
+def scatter(chars: np.ndarray) -> np.ndarray:
+    """How much further a text's entropy strays from its language's than that of a very long one."""
+    return np.sqrt(1 + SHORT_CHARS / np.maximum(chars, 1))
+
+
 class Identifier:
     """Scores whole texts, many at once; bits of recent words are kept."""
 
-    def __init__(self, models: CharModels):
+    def __init__(self, models: ModelGroups):
         self.models = models
         self.places: dict[str, int] = {}
-        self.table = np.zeros((CACHE_WORDS, len(models.languages)))
+        self.room = max(2 * WORDS_AT_ONCE + 1, min(CACHE_WORDS, GROUP * CACHE_WORDS // len(models.languages)))
+        self.table = np.zeros((self.room, len(models.languages)))
         self.used = 0
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +250,7 @@ class Identifier:
         places = list(map(self.places.get, words))
         if None in places:
             fresh = list({w for w, p in zip(words, places, strict=True) if p is None})
-            if self.used + len(fresh) > CACHE_WORDS:
+            if self.used + len(fresh) > self.room:
                 self.places, self.used = {}, 0
                 fresh = list(set(words))
             self.table[self.used : self.used + len(fresh)] = self.models.bits(fresh)
@@ -239,7 +272,7 @@ class Identifier:
         slope, offset = self.models.scale
         score = 1.0 / (1.0 + np.exp(-np.clip(slope * lead * np.sqrt(chars) + offset, -40, 40)))
         out = (
-            [self.models.languages[i] for i in best.tolist()], score.tolist(), lowest.tolist(), (lowest <= self.models.thresholds[best]).tolist(),
+            [self.models.languages[i] for i in best.tolist()], score.tolist(), lowest.tolist(), (lowest <= self.models.thresholds(best, chars)).tolist(),
         )
         for i in np.flatnonzero(chars == 0).tolist():
             text = texts[i]
@@ -264,13 +297,13 @@ def sample_ids(docs: DataFrame, id_col: str, lang_col: str, learn: Column, limit
     return hashed.join(F.broadcast(common), "__lang", "left_semi").select("__id", "__lang", "__h").distinct()
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: FitLimits = FitLimits()) -> CharModels:
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: FitLimits = FitLimits()) -> ModelGroups:
     """Fit models, acceptance thresholds and the confidence scale on the labelled rows where ``learn`` holds.
 
-    The sample is bounded by ``limits``; its words are counted by Spark. Rows without label or text teach nothing.
+    Every label is learned. The sample of each is bounded by ``limits``; its words are counted by Spark, whole. Rows without label or text teach nothing.
     """
     ids = sample_ids(docs, id_col, lang_col, learn, limits)
-    # at most docs * languages ids: small beside any table, and bounded
+    # at most limits.docs ids a label
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(ids), "__id")
     held = F.pmod(F.col("__h"), F.lit(limits.calibrate_one_in)) == 0
 
@@ -284,14 +317,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     for lang, word, n in counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limits.words).select("__lang", F.substring("word", 1, 64), "count").collect():
         counts[lang][word] = counts[lang].get(word, 0) + n
     if not counts:
-        return CharModels.fit({UNKNOWN: {"a": 1}}, limits.order)
-    models = CharModels.fit(counts, limits.order)
-    _calibrate(models, texts.where(held).select("__lang", "__text"))
+        return ModelGroups.fit({UNKNOWN: {"a": 1}}, limits.order)
+    models = ModelGroups.fit(counts, limits.order)
+    _calibrate(models, texts.where(held).select("__lang", "__text"), texts.select("__lang", "__text"))
     return models
 
 
-def _calibrate(models: CharModels, held: DataFrame) -> None:
-    """Set thresholds and scale from held-back texts: entropies and leads only come to the driver, a row a sampled document."""
+def _calibrate(models: ModelGroups, held: DataFrame, every: DataFrame) -> None:
+    """Set thresholds and scale from held-back texts: entropies and leads only come to the driver, a row a sampled document.
+
+    A label's threshold is its median entropy and a multiple of the median deviation, which less than half of junk
+    among the texts can't move far. Labels with few texts take the pooled figures; without any held-back text
+    ``every`` sampled one calibrates.
+    """
     shared = held.sparkSession.sparkContext.broadcast(models)
     fields = [T.StructField("e", T.ArrayType(T.DoubleType())), T.StructField("chars", T.LongType())]
 
@@ -304,16 +342,21 @@ def _calibrate(models: CharModels, held: DataFrame) -> None:
 
         return compute
 
-    rows = append_columns(held, ["__text"], fields, make).where("chars > 0").select("__lang", "e", "chars").collect()
+    def entropies(texts: DataFrame) -> list:
+        return append_columns(texts, ["__text"], fields, make).where("chars > 0").select("__lang", "e", "chars").collect()
+
+    rows = entropies(held) or entropies(every)
     place = {lang: i for i, lang in enumerate(models.languages)}
     rows = [(place[lang], np.array(e), n) for lang, e, n in rows if lang in place]
+    if not rows:
+        return
     own = defaultdict(list)
     for i, e, n in rows:
         own[i].append((e[i], n))
-    for i, values in own.items():
-        e = np.array([v for v, _ in values])
-        # short texts scatter: the threshold is far above all that was seen, so that clean texts stay
-        models.thresholds[i] = max(e.max() * 1.5, np.median(e) + 12 * e.std() + 2.0)
+    pooled = _center_and_spread([v for values in own.values() for v in values])
+    for i in range(len(models.languages)):
+        center, spread = _center_and_spread(own[i]) if len(own[i]) >= FEWEST_TEXTS else pooled
+        models.center[i], models.spread[i] = center, max(SPREADS * spread, LEAST_ALLOWANCE)
     if len(rows) > 1 and len(models.languages) > 1:
         right = np.array([np.argmin(e) == i for i, e, _ in rows], np.float64)
         lead = np.array([(np.sort(e)[1] - e.min()) * np.sqrt(n) for _, e, n in rows])
@@ -331,7 +374,14 @@ def _calibrate(models: CharModels, held: DataFrame) -> None:
         models.scale = (float(max(w[0], 1e-6)), float(w[1]))
 
 
-def predict(df: DataFrame, models: CharModels, text_col: str = "text") -> DataFrame:
+def _center_and_spread(values: list[tuple[float, int]]) -> tuple[float, float]:
+    """The median of (entropy, characters) and the robust deviation of texts of great length."""
+    e, n = (np.array(v, np.float64) for v in zip(*values, strict=True))
+    center = float(np.median(e))
+    return center, float(1.4826 * np.median(np.abs(e - center) / scatter(n)))
+
+
+def predict(df: DataFrame, models: ModelGroups, text_col: str = "text") -> DataFrame:
     """``df`` with lang_pred, score, cross_entropy and accepted (columns of these names are replaced).
 
     Null texts and texts without a letter give ``und``, score 0, not accepted. Ties go to the label that sorts first.
@@ -339,12 +389,12 @@ def predict(df: DataFrame, models: CharModels, text_col: str = "text") -> DataFr
     return append_columns(df, [text_col], RESULT_FIELDS, _predictor(df, models))
 
 
-def keep_accepted(df: DataFrame, models: CharModels, text_col: str = "text") -> DataFrame:
+def keep_accepted(df: DataFrame, models: ModelGroups, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, unchanged, whose text some language accepts."""
     return append_columns(df, [text_col], RESULT_FIELDS, _predictor(df, models), keep=lambda values: values[3], drop_new=True)
 
 
-def _predictor(df: DataFrame, models: CharModels):
+def _predictor(df: DataFrame, models: ModelGroups):
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def make():

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from findlake.llm import nearcopies, suffixes
+from findlake.llm import langid, nearcopies, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,3 +72,17 @@ def test_passages_of_null_and_repeated_ids_are_told_apart(spark):
         kept = [r.text for r in suffixes.remove_repeats(docs_of(spark, rows)).collect()]
         assert sorted(len(t.split()) for t in kept) in (sorted(n + 60 * (n == first) for n in (30, 70, 10)) for first in (30, 70, 10))
         assert sorted(" ".join(t.split()[-10:]) for t in kept) == sorted(" ".join(b.split()[-10:]) for b in bodies)
+
+
+def test_junk_in_the_calibration_sample_lets_no_junk_pass(spark):
+    rng = np.random.default_rng(10)
+    vocabulary = {"en": "the house was near a river and people walked along its quiet banks".split(), "es": "la casa estaba cerca del agua donde los vecinos paseaban cada tarde".split()}
+    junk = lambda n: " ".join("".join(rng.choice(list("qxzjkvwphg"), 7)) for _ in range(n))
+    rows = [(i, " ".join(rng.choice(vocabulary[lang], 40)), lang, "s", 1) for i, lang in enumerate(["en", "es"] * 150)]
+    rows += [(1000 + i, junk(40), "en", "s", 1) for i in range(15)] + [(2000, "lone words", "xx", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    models = langid.fit(docs, F.lit(True))
+    assert np.isfinite(models.center).all() and np.isfinite(models.spread).all()
+    probe = [(i, " ".join(rng.choice(vocabulary["en"], n))) for i, n in enumerate([3, 10, 100] * 20)] + [(100 + i, "".join(rng.choice(list("aeothrsni"), 200))) for i in range(20)]
+    kept = {r.doc_id for r in langid.keep_accepted(docs_of(spark, probe), models).collect()}
+    assert kept == set(range(60))
