@@ -58,8 +58,6 @@ class FitLimits:
     docs: int = 1500
     #: different words a language, the most frequent, of equally frequent ones those with the smallest hashes
     words: int = 30_000
-    #: languages, the most frequent labels
-    languages: int = 64
     order: int = 5
     #: of the sampled documents, one in so many only calibrates
     calibrate_one_in: int = 5
@@ -288,13 +286,12 @@ class Identifier:
 def sample_ids(docs: DataFrame, id_col: str, lang_col: str, learn: Column, limits: FitLimits) -> DataFrame:
     """``id, lang`` of the documents to fit on: of each label the ids with the smallest hashes. No text is read for it."""
     labelled = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    common = labelled.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(limits.languages).select("__lang")
     hashed = labelled.withColumn("__h", F.xxhash64("__id"))
     # a label may have a third of all rows: each of its parts is cut to the bound first, which loses none of the smallest
     for groups in (["__lang", F.pmod(F.col("__h"), F.lit(SAMPLE_PARTS))], ["__lang"]):
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy("__h", "__id"))
         hashed = hashed.withColumn("__k", rank).where(F.col("__k") <= limits.docs).drop("__k")
-    return hashed.join(F.broadcast(common), "__lang", "left_semi").select("__id", "__lang", "__h").distinct()
+    return hashed.select("__id", "__lang", "__h").distinct()
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: FitLimits = FitLimits()) -> ModelGroups:
@@ -312,10 +309,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     split = append_columns(texts.where(~held).select("__lang", "__text"), ["__text"], [T.StructField("__words", T.ArrayType(T.StringType()))], make).select("__lang", F.explode("__words").alias("word"))
     counted = split.groupBy("__lang", "word").count()
-    order = Window.partitionBy("__lang").orderBy(F.desc("count"), "word")
+    order = Window.partitionBy("__lang").orderBy(F.desc("count"), F.xxhash64("word"), "word")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limits.words).select("__lang", F.substring("word", 1, 64), "count").collect():
-        counts[lang][word] = counts[lang].get(word, 0) + n
+    for lang, word, n in counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limits.words).select("__lang", "word", "count").collect():
+        counts[lang][word] = n
     if not counts:
         return ModelGroups.fit({UNKNOWN: {"a": 1}}, limits.order)
     models = ModelGroups.fit(counts, limits.order)

@@ -86,3 +86,21 @@ def test_junk_in_the_calibration_sample_lets_no_junk_pass(spark):
     probe = [(i, " ".join(rng.choice(vocabulary["en"], n))) for i, n in enumerate([3, 10, 100] * 20)] + [(100 + i, "".join(rng.choice(list("aeothrsni"), 200))) for i in range(20)]
     kept = {r.doc_id for r in langid.keep_accepted(docs_of(spark, probe), models).collect()}
     assert kept == set(range(60))
+
+
+def test_every_label_is_learned_from_whole_words(spark):
+    rng = np.random.default_rng(11)
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    text = lambda i: " ".join("".join(rng.choice(letters[i * 10 : i * 10 + 10], 80)) for _ in range(6))
+    docs = spark.createDataFrame([(i * 10 + k, text(i), f"l{i:02}", "s", 1) for i in range(70) for k in range(8)], DOCS)
+    models = langid.fit(docs, F.lit(True))
+    assert models.languages == [f"l{i:02}" for i in range(70)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(spark, [(i, text(i)) for i in range(70)]), models).collect()}
+    assert got == {i: f"l{i:02}" for i in range(70)}
+
+
+def test_long_words_teach_their_ends(spark):
+    docs = docs_of(spark, [(i, "a" * 64 + "bcd" * 10 + chr(0x100 + i % 5)) for i in range(40)])
+    models = langid.fit(docs, F.lit(True))
+    known, unknown = models.bits(["bcdbcd", "xyzxyz"])[:, 0]
+    assert known < unknown / 2
