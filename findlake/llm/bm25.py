@@ -4,7 +4,7 @@ A shard is a run of documents that one task reads. For each term it holds the po
 each block of 64 documents that has the term, the largest frequency and the smallest document length: with the global
 statistics they bound what the term can add to any document of the block. A query goes through blocks by falling sum of its
 terms' bounds and stops where that can't reach its k-th best score; inside a block only documents whose present terms'
-bounds reach it are scored. Bounds never fall below scores, so the result is that of scoring everything.
+bounds reach it are scored. Queries of many terms, which bounds hardly prune, have all postings added up. Bounds never fall below scores, so the result is that of scoring everything.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from findlake.llm.arrow import append_columns
 from findlake.llm.storage import materialize
 
 WORD = re.compile(r"\w+")
 BLOCK_BITS = 6
 SHARD_DOCS = 4096
 SHARD_CHARS = 16_000_000
-#: Queries that are sent to the executors at once; larger sets are taken in so many blocks.
-QUERY_BLOCK = 1024
+#: Present terms above which all postings of a query are added up without looking at bounds.
+LONG_QUERY = 16
 INDEX_SCHEMA = "shard long, term string, n int, ords binary, freqs binary, blocks binary, block_freqs binary, block_lengths binary"
 
 
@@ -114,31 +116,39 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Shard:
-    """One shard's postings of the terms that are asked for."""
-
-    def __init__(self, rows: pa.Table, mean: float, bm25: Bm25):
-        self.mean, self.bm25 = mean, bm25
-        self.terms: dict[str, tuple[np.ndarray, ...]] = {}
-        for r in rows.to_pylist():
-            if r["term"] is None:
-                self.ids, self.lengths = np.frombuffer(r["ords"], np.int64), np.frombuffer(r["freqs"], np.int32)
-            else:
-                blocks = np.frombuffer(r["blocks"], np.uint16).astype(np.int64)
-                bound = bm25.gain(np.frombuffer(r["block_freqs"], np.int32).astype(np.float64), np.frombuffer(r["block_lengths"], np.int32), mean)
-                self.terms[r["term"]] = (np.frombuffer(r["ords"], np.uint16).astype(np.int64), np.frombuffer(r["freqs"], np.int32), blocks, bound)
+    """One shard's postings of the terms that are asked for; terms go by their place in sorted order."""
+
+    def __init__(self, rows: list[dict], mean: float, bm25: Bm25, n_docs: int):
+        head = next(r for r in rows if r["term"] is None)
+        self.ids, self.lengths = np.frombuffer(head["ords"], np.int64), np.frombuffer(head["freqs"], np.int32)
+        self.places: dict[int, int] = {}
+        self.terms: list[tuple[np.ndarray, ...]] = []
+        self.idf: list[float] = []
+        for r in sorted((r for r in rows if r["term"] is not None), key=lambda r: r["term"]):
+            ords, blocks = np.frombuffer(r["ords"], np.uint16).astype(np.int64), np.frombuffer(r["blocks"], np.uint16).astype(np.int64)
+            bound = bm25.gain(np.frombuffer(r["block_freqs"], np.int32).astype(np.float64), np.frombuffer(r["block_lengths"], np.int32), mean)
+            gain = bm25.gain(np.frombuffer(r["freqs"], np.int32).astype(np.float64), self.lengths[ords], mean)
+            self.places[r["tid"]] = len(self.terms)
+            self.terms.append((ords, gain, blocks, bound))
+            self.idf.append(bm25.idf(n_docs, r["df"]))
         self.n_blocks = (len(self.ids) >> BLOCK_BITS) + 1
 
-    def top(self, query: list[tuple[str, float]], k: int) -> list[tuple[float, int]]:
-        """The best (score, doc_id) of a query's (term, weight) pairs; ties go to the smaller id."""
-        own = [(w, *self.terms[t]) for t, w in query if t in self.terms]
+    def top(self, query: list[tuple[int, int]], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The best scores and doc_ids for a query's (term id, count) pairs; ties go to the smaller id."""
+        own = sorted((self.places[t], n) for t, n in query if t in self.places)
         if not own:
-            return []
-        bounds = np.zeros((len(own), self.n_blocks))
-        for i, (weight, _, _, blocks, bound) in enumerate(own):
+            return np.zeros(0), np.zeros(0, np.int64)
+        parts = [(n * self.idf[i], *self.terms[i]) for i, n in own]
+        if len(parts) > LONG_QUERY:
+            # a long query's bounds seldom fall below its k-th score: all postings are added up at once, in order of terms
+            ords = np.concatenate([p[1] for p in parts])
+            return self._best(np.bincount(ords, np.concatenate([p[0] * p[2] for p in parts]), len(self.ids)), k, without)
+        bounds = np.zeros((len(parts), self.n_blocks))
+        for i, (weight, _, _, blocks, bound) in enumerate(parts):
             bounds[i, blocks] = weight * bound
         total = bounds.sum(0)
         order = np.argsort(-total, kind="stable")
-        best: list[tuple[float, int]] = []
+        score = np.zeros(len(self.ids))
         # the least positive bound; sums in another order may differ in the last digits, hence the slack
         least, slack, at, size = 1e-300, 1 + 1e-9, 0, 2
         while at < len(order) and total[order[at]] * slack >= least:
@@ -146,67 +156,99 @@ class Shard:
             alive = np.zeros(self.n_blocks, bool)
             alive[chunk[total[chunk] * slack >= least]] = True
             at, size = at + size, size * 4
-            present, score = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+            present = np.zeros(len(self.ids))
             slices = []
-            for i, (weight, ords, freqs, _, _) in enumerate(own):
+            for i, (weight, ords, gain, _, _) in enumerate(parts):
                 block = ords >> BLOCK_BITS
                 mine = np.flatnonzero(alive[block])
                 if len(mine):
                     present[ords[mine]] += bounds[i, block[mine]]
-                    slices.append((weight, ords[mine], freqs[mine]))
+                    slices.append((weight, ords[mine], gain[mine]))
             hopeful = present * slack >= least
-            for weight, ords, freqs in slices:
+            for weight, ords, gain in slices:
                 ok = hopeful[ords]
-                score[ords[ok]] += weight * self.bm25.gain(freqs[ok].astype(np.float64), self.lengths[ords[ok]], self.mean)
-            found = np.flatnonzero(hopeful & (score >= least))
-            best += zip(score[found].tolist(), self.ids[found].tolist(), strict=True)
-            if len(best) >= k:
-                best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-                least = best[-1][0]
-        return sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 10, bm25: Bm25 = Bm25(), query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+                score[ords[ok]] += weight * gain[ok]
+            best, _ = self._best(score, k, without)
+            if len(best) == k:
+                least = best[-1]
+        return self._best(score, k, without)
+
+    def _best(self, score: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        found = np.flatnonzero(score > 0)
+        if without is not None:
+            found = found[self.ids[found] != without]
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
+        found = found[np.lexsort((self.ids[found], -score[found]))][:k]
+        return score[found], self.ids[found]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, bm25: Bm25 = Bm25(), query_id: str = "query_id", query_text: str = "text", without_own: bool = False) -> DataFrame:
     """The exact ``k`` best documents of each query: query_id, rank, doc_id, score.
 
     Scores use the number of documents, mean length and document frequencies of the whole index. Documents without
-    a term of the query are no results; queries without a term have none. Query ids are unique and not null.
+    a term of the query are no results; queries without a term have none, nor null ids; a repeated query id asks with
+    the text that sorts first. With ``without_own`` the documents whose id is the query's are no results. Queries
+    stay distributed: each shard's task reads them one after the other behind the shard's postings.
     """
     spark = index.sparkSession
     n_docs = int(index.where("term is null").agg(F.sum("n")).first()[0] or 0)
-    result_schema = "query_id long, doc_id long, score double"
     if not n_docs:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     mean = max(1e-9, _total_length(index) / n_docs)
-    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_text).cast("string").alias("text")).where("query_id is not null")
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(n_blocks):
-        # about QUERY_BLOCK queries, whatever the size of the set
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).collect()
-        counted = {q: Counter(terms_of(t)) for q, t in rows}
-        words = sorted({t for c in counted.values() for t in c})
-        wanted = spark.createDataFrame([(w,) for w in words], "term string")
-        hits = index.where("term is not null").join(wanted, "term", "left_semi").unionByName(index.where("term is null"))
-        dfs = dict(index.where("term is not null").join(wanted, "term").groupBy("term").agg(F.sum("n")).collect())
-        weighted = {q: [(t, n * bm25.idf(n_docs, int(dfs[t]))) for t, n in sorted(c.items()) if t in dfs] for q, c in counted.items()}
-        sent = spark.sparkContext.broadcast(weighted)
-
-        part = hits.groupBy("shard").applyInArrow(_shard_search(sent, mean, bm25, k), result_schema)
-        found = part if found is None else found.unionByName(part)
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_text).cast("string").alias("text")).where("query_id is not null").groupBy("query_id").agg(F.min("text").alias("text"))
+
+    def make():
+        def counts(texts):
+            return ([[{"term": t, "count": n} for t, n in Counter(terms_of(x)).items()] for x in texts],)
+
+        return counts
+
+    pair = T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.IntegerType())])
+    pairs = materialize(append_columns(asked, ["text"], [T.StructField("pairs", T.ArrayType(pair))], make).select("query_id", F.inline("pairs")), "bm25-asked")
+    wanted = pairs.select("term").distinct()
+    postings = index.where("term is not null")
+    # monotonic ids are settled by writing them
+    terms = materialize(postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).withColumn("tid", F.monotonically_increasing_id()), "bm25-terms")
+    coded = materialize(pairs.join(terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("tid", "count")).alias("pairs")).select("query_id", F.col("pairs.tid").alias("tids"), F.col("pairs.count").alias("counts")), "bm25-queries")
+    heads = index.where("term is null")
+    binaries = ["ords", "freqs", "blocks", "block_freqs", "block_lengths"]
+    none = [F.lit(None).cast("array<long>").alias("tids"), F.lit(None).cast("array<int>").alias("counts")]
+    rows = postings.join(terms, "term").select("shard", F.lit(None).cast("long").alias("query_id"), "term", "tid", "df", *binaries, *none)
+    rows = rows.unionByName(heads.select("shard", F.lit(None).cast("long").alias("query_id"), "term", F.lit(None).cast("long").alias("tid"), F.lit(None).cast("long").alias("df"), *binaries, *none))
+    rows = rows.unionByName(heads.select("shard").crossJoin(coded), allowMissingColumns=True)
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    found = dealt.mapInArrow(_shard_search(mean, bm25, k, n_docs, without_own), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _shard_search(queries, mean: float, bm25: Bm25, k: int):
-    """Best results of all broadcast ``queries`` in one shard."""
-    kinds = {"query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
+def _shard_search(mean: float, bm25: Bm25, k: int, n_docs: int, without_own: bool):
+    """Best results of the queries that follow each shard's index rows."""
+    index_columns = ["term", "tid", "df", "ords", "freqs", "blocks", "block_freqs", "block_lengths"]
 
-    def run(rows: pa.Table) -> pa.Table:
-        shard = Shard(rows, mean, bm25)
-        out = [(q, doc, score) for q, query in queries.value.items() for score, doc in shard.top(query, k)]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard, held = None, None, []
+        for batch in batches:
+            numbers, asked = batch.column("shard").to_pylist(), np.asarray(batch.column("query_id").is_valid())
+            cuts = [0, *[i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1] or asked[i] != asked[i - 1]], len(numbers)]
+            out: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if numbers[a] != number:
+                    number, shard, held = numbers[a], None, []
+                if not asked[a]:
+                    held += part.select(index_columns).to_pylist()
+                    continue
+                if shard is None:
+                    shard, held = Shard(held, mean, bm25, n_docs), []
+                for query, tids, counts in zip(*[part.column(c).to_pylist() for c in ("query_id", "tids", "counts")], strict=True):
+                    scores, docs = shard.top(list(zip(tids, counts, strict=True)), k, query if without_own else None)
+                    out.append((np.full(len(docs), query), docs, scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -222,6 +264,6 @@ def _total_length(index: DataFrame) -> int:
     return int(index.where("term is null").select("freqs").mapInArrow(run, "words long").agg(F.sum("words")).first()[0] or 0)
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", without_own: bool = False) -> DataFrame:
     """Index ``docs`` once in the shared folder and search it."""
-    return search(materialize(build_index(docs, id_col, text_col), "bm25"), queries, k, query_id=query_id, query_text=query_text)
+    return search(materialize(build_index(docs, id_col, text_col), "bm25"), queries, k, query_id=query_id, query_text=query_text, without_own=without_own)

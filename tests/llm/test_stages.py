@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from findlake.llm import langid, nearcopies, suffixes
+from findlake.llm import bm25, langid, nearcopies, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -104,3 +104,21 @@ def test_long_words_teach_their_ends(spark):
     models = langid.fit(docs, F.lit(True))
     known, unknown = models.bits(["bcdbcd", "xyzxyz"])[:, 0]
     assert known < unknown / 2
+
+
+def test_op9_asks_every_fiftieth_document_of_all_others(spark, tmp_path):
+    from findlake.llm.queries import op9_bm25_top_k
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.geometric(0.02, rng.integers(1, 80))) for _ in range(260)]
+    docs_of(spark, enumerate(texts)).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op9_bm25_top_k(spark, str(tmp_path)).toPandas()
+    assert set(got.query_id) == {0, 50, 100, 150, 200, 250} and not (got.query_id == got.doc_id).any()
+    counts = [{w: t.split().count(w) for w in set(t.split())} for t in texts]
+    lengths = [len(t.split()) for t in texts]
+    df, mean, rule = {w: sum(w in c for c in counts) for w in set().union(*counts)}, np.mean(lengths), bm25.Bm25()
+    for q in (0, 50, 250):
+        scores = [sum(n * rule.idf(260, df[w]) * rule.gain(c[w], lengths[i], mean) for w, n in sorted(counts[q].items()) if w in c) for i, c in enumerate(counts)]
+        scores[q] = 0
+        mine = got[got.query_id == q].sort_values("rank")
+        assert np.allclose(mine.score, sorted(scores, reverse=True)[:10]) and np.allclose(mine.score, [scores[i] for i in mine.doc_id])
