@@ -8,16 +8,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch of texts: what a task holds at once, on both sides of the pipe to Python.
+TEXT_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``, else from the context's checkpoint directory. Only where
-    neither is set (local tests) a temporary folder is made and set.
+    Taken from ``spark.checkpoint.dir``, else from the context's checkpoint directory. Where neither is set a local
+    session makes and sets a temporary folder; any other is an error, as executors would write to disks of their own.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="findlake-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,6 +36,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(base)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session have more than TEXT_ROWS rows: whole texts can be long."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= TEXT_ROWS:
+        spark.conf.set(BATCH_SETTING, str(TEXT_ROWS))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jvm is None:
@@ -49,4 +61,12 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table."""
     path = scratch_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` whose last reader has ended."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
