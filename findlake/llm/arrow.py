@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from findlake.llm.warm import only
+
 #: Rows handed to a compute function at once; texts of a slice stay small beside Arrow's batch.
 SLICE_ROWS = 256
 
@@ -37,7 +39,7 @@ def append_columns(
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
+        compute = only(make)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findlake.llm.arrow import append_columns
+from findlake.llm.storage import small_batches
+from findlake.llm.warm import keep_warm
 
 UNKNOWN = "und"
 BOUNDARY = "\x02"
@@ -392,9 +395,12 @@ def keep_accepted(df: DataFrame, models: ModelGroups, text_col: str = "text") ->
 
 
 def _predictor(df: DataFrame, models: ModelGroups):
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(models)
 
+    name = uuid.uuid4().hex
+
     def make():
-        return Identifier(shared.value).predict
+        return keep_warm(("languages", name), lambda: Identifier(shared.value)).predict
 
     return make

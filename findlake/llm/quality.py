@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findlake.llm.arrow import append_columns
+from findlake.llm.storage import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOL_RUN = re.compile(r"[^\w\s]{2,}")
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 
 def _scorer(df: DataFrame, field: LineField):
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(field)
 
     def make():

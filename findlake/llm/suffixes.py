@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from findlake.llm.arrow import append_columns
 from findlake.llm.storage import discard, materialize, small_batches
+from findlake.llm.warm import only
 
 MIN_WORDS = 50
 #: Successive positions of which one is kept, and words that its choice looks at.
@@ -102,7 +103,7 @@ def _places(docs: DataFrame, per_text, names: str, more: str | None = None) -> D
     columns = names.split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = only(WordHashes)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)

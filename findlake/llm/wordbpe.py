@@ -11,9 +11,11 @@ import re
 import struct
 import unicodedata
 
+from findlake.llm.warm import keep_warm
+
 #: Latin blocks: in NFC already, with lower case that depends on one character only.
 LATIN_END = 0x300
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 LONGEST_CACHED = 48
 #: Packing of so many ids.
 PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
@@ -112,12 +114,6 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
-    """The worker's encoder for ``path``; the next tasks of the same worker find its cache warm."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for ``path``; the next tasks of the same operator find its cache warm."""
+    return keep_warm(("words", path), lambda: WordEncoder(path))
