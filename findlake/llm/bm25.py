@@ -1,10 +1,10 @@
-"""Exact BM25 top-k by an inverted index with block-max pruning, run per shard and merged.
+"""Exact BM25 top-k by an inverted index with block-max WAND pruning, run per shard and merged.
 
-A shard is a run of documents that one task reads. For each term it holds the postings in document order and, for
-each block of 64 documents that has the term, the largest frequency and the smallest document length: with the global
-statistics they bound what the term can add to any document of the block. A query goes through blocks by falling sum of its
-terms' bounds and stops where that can't reach its k-th best score; inside a block only documents whose present terms'
-bounds reach it are scored. Queries of many terms, which bounds hardly prune, have all postings added up. Bounds never fall below scores, so the result is that of scoring everything.
+A shard is a run of documents that one task reads; it is one row of the index, with the postings of every term in document order.
+Documents lie in blocks of 128. With the global statistics each term has a largest gain in each block. A query holds a cursor on
+the postings of each of its terms. The pivot is the next block whose summed largest gains reach the query's k-th best score so
+far: cursors skip to it over all blocks between, its postings are added up, and the k-th best score rises. That score
+goes along from shard to shard of a task. Bounds never fall below scores, so the result is that of scoring everything.
 """
 
 from __future__ import annotations
@@ -18,21 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findlake.llm.arrow import append_columns
-from findlake.llm.storage import materialize
+from findlake.llm.storage import discard, materialize, small_batches
 
 WORD = re.compile(r"\w+")
-BLOCK_BITS = 6
+BLOCK_DOCS = 128
 SHARD_DOCS = 4096
 SHARD_CHARS = 16_000_000
-#: Present terms above which all postings of a query are added up without looking at bounds.
-LONG_QUERY = 16
-INDEX_SCHEMA = "shard long, term string, n int, ords binary, freqs binary, blocks binary, block_freqs binary, block_lengths binary"
+#: (query, term) pairs that are searched at once: 16 bytes each are broadcast. A longer query is a block by itself.
+PAIRS_AT_ONCE = 1_500_000
+#: Query buckets whose sizes the driver looks at for each block that it makes of them.
+BUCKETS = 16
+DIGITS = 6
+INDEX_SCHEMA = "shard long, n int, words long, ids binary, lengths binary, terms binary, ends binary, ords binary, freqs binary"
 
 
 @dataclass(frozen=True)
@@ -40,8 +44,8 @@ class Bm25:
     k1: float = 1.2
     b: float = 0.75
 
-    def idf(self, n_docs: int, df: int) -> float:
-        return math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    def idf(self, n_docs: int, df: np.ndarray) -> np.ndarray:
+        return np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
     def gain(self, freq: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
         return freq * (self.k1 + 1) / (freq + self.k1 * (1 - self.b + self.b * length / mean))
@@ -51,46 +55,39 @@ def terms_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def term_hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index rows of INDEX_SCHEMA; a shard's row with a null term has its doc_ids (ords) and lengths (freqs).
+    """Index rows of INDEX_SCHEMA: a row a shard. ``terms`` are hashes in ascending order, ``ends`` where their postings end.
 
-    Whole texts are indexed; null and empty ones have no term and length 0. Rows of a null doc_id are left out.
+    Whole texts are indexed; null and empty ones have no term and length 0. Rows of a null doc_id are left out. Terms are told
+    apart by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     names = [f.split()[0] for f in INDEX_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int32()] + [pa.binary()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         lengths: list[int] = []
         places: dict[str, int] = {}
         terms, ords, freqs = array("i"), array("i"), array("i")
         chars = 0
 
-        def cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-            """One binary value for each stretch of ``values`` that ends at ``ends``."""
-            offsets = np.r_[0, ends * values.itemsize].astype(np.int32)
-            return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
-
-        def shard() -> Iterator[pa.RecordBatch]:
-            number, length = task << 32 | serial, np.array(lengths, np.int32)
-            head = [[number], [None], [len(ids)], [np.array(ids, np.int64).tobytes()], [length.tobytes()], [b""], [b""], [b""]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(head, kinds, strict=True)], names=names)
-            if not places:
-                return
-            term = np.frombuffer(terms, np.int32)
+        def shard() -> pa.RecordBatch:
+            hashes = np.array([term_hash(t) for t in places], np.uint64)
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            term = rank[np.frombuffer(terms, np.int32)] if len(terms) else np.zeros(0, np.int32)
             by = np.argsort(term, kind="stable")  # documents stay in order within a term
-            term, doc, freq = term[by], np.frombuffer(ords, np.int32)[by], np.frombuffer(freqs, np.int32)[by]
-            block = doc >> BLOCK_BITS
-            new_term = np.r_[True, term[1:] != term[:-1]]
-            first = np.flatnonzero(new_term | np.r_[True, block[1:] != block[:-1]])
-            ends = np.r_[np.flatnonzero(new_term)[1:], len(term)]
-            block_ends = np.searchsorted(first, ends)
-            columns = [
-                pa.array(np.full(len(ends), number)), pa.array(list(places), pa.string()), pa.array(np.diff(np.r_[0, ends]).astype(np.int32)), cut(doc.astype(np.uint16), ends), cut(freq, ends),
-                cut(block[first].astype(np.uint16), block_ends), cut(np.maximum.reduceat(freq, first), block_ends), cut(np.minimum.reduceat(length[doc], first), block_ends),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            ends = np.cumsum(np.bincount(term, minlength=len(order)))
+            doc, freq = np.frombuffer(ords, np.int32)[by], np.frombuffer(freqs, np.int32)[by]
+            values = [number, len(ids), sum(lengths), np.array(ids, np.int64), np.array(lengths, np.int32), hashes[order], ends.astype(np.int32), doc.astype(np.uint16), freq]
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -105,163 +102,187 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     lengths.append(len(words))
                     chars += len(text or "")
                     if len(ids) == SHARD_DOCS or chars >= SHARD_CHARS:
-                        yield from shard()
-                        serial, ids, lengths, places, chars = serial + 1, [], [], {}, 0
+                        yield shard()
+                        number, ids, lengths, places, chars = number + 1, [], [], {}, 0
                         terms, ords, freqs = array("i"), array("i"), array("i")
         if ids:
-            yield from shard()
+            yield shard()
 
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return slim.mapInArrow(run, INDEX_SCHEMA)
 
 
 class Shard:
-    """One shard's postings of the terms that are asked for; terms go by their place in sorted order."""
-
-    def __init__(self, rows: list[dict], mean: float, bm25: Bm25, n_docs: int):
-        head = next(r for r in rows if r["term"] is None)
-        self.ids, self.lengths = np.frombuffer(head["ords"], np.int64), np.frombuffer(head["freqs"], np.int32)
-        self.places: dict[int, int] = {}
-        self.terms: list[tuple[np.ndarray, ...]] = []
-        self.idf: list[float] = []
-        for r in sorted((r for r in rows if r["term"] is not None), key=lambda r: r["term"]):
-            ords, blocks = np.frombuffer(r["ords"], np.uint16).astype(np.int64), np.frombuffer(r["blocks"], np.uint16).astype(np.int64)
-            bound = bm25.gain(np.frombuffer(r["block_freqs"], np.int32).astype(np.float64), np.frombuffer(r["block_lengths"], np.int32), mean)
-            gain = bm25.gain(np.frombuffer(r["freqs"], np.int32).astype(np.float64), self.lengths[ords], mean)
-            self.places[r["tid"]] = len(self.terms)
-            self.terms.append((ords, gain, blocks, bound))
-            self.idf.append(bm25.idf(n_docs, r["df"]))
-        self.n_blocks = (len(self.ids) >> BLOCK_BITS) + 1
-
-    def top(self, query: list[tuple[int, int]], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The best scores and doc_ids for a query's (term id, count) pairs; ties go to the smaller id."""
-        own = sorted((self.places[t], n) for t, n in query if t in self.places)
-        if not own:
-            return np.zeros(0), np.zeros(0, np.int64)
-        parts = [(n * self.idf[i], *self.terms[i]) for i, n in own]
-        if len(parts) > LONG_QUERY:
-            # a long query's bounds seldom fall below its k-th score: all postings are added up at once, in order of terms
-            ords = np.concatenate([p[1] for p in parts])
-            return self._best(np.bincount(ords, np.concatenate([p[0] * p[2] for p in parts]), len(self.ids)), k, without)
-        bounds = np.zeros((len(parts), self.n_blocks))
-        for i, (weight, _, _, blocks, bound) in enumerate(parts):
-            bounds[i, blocks] = weight * bound
-        total = bounds.sum(0)
-        order = np.argsort(-total, kind="stable")
-        score = np.zeros(len(self.ids))
-        # the least positive bound; sums in another order may differ in the last digits, hence the slack
-        least, slack, at, size = 1e-300, 1 + 1e-9, 0, 2
-        while at < len(order) and total[order[at]] * slack >= least:
-            chunk = order[at : at + size]
-            alive = np.zeros(self.n_blocks, bool)
-            alive[chunk[total[chunk] * slack >= least]] = True
-            at, size = at + size, size * 4
-            present = np.zeros(len(self.ids))
-            slices = []
-            for i, (weight, ords, gain, _, _) in enumerate(parts):
-                block = ords >> BLOCK_BITS
-                mine = np.flatnonzero(alive[block])
-                if len(mine):
-                    present[ords[mine]] += bounds[i, block[mine]]
-                    slices.append((weight, ords[mine], gain[mine]))
-            hopeful = present * slack >= least
-            for weight, ords, gain in slices:
-                ok = hopeful[ords]
-                score[ords[ok]] += weight * gain[ok]
-            best, _ = self._best(score, k, without)
-            if len(best) == k:
-                least = best[-1]
-        return self._best(score, k, without)
-
-    def _best(self, score: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
-        found = np.flatnonzero(score > 0)
-        if without is not None:
-            found = found[self.ids[found] != without]
-        if len(found) > k:
-            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
-        found = found[np.lexsort((self.ids[found], -score[found]))][:k]
-        return score[found], self.ids[found]
+    """One shard's postings with the largest gain of every term in every block."""
+
+    def __init__(self, row: dict, mean: float, bm25: Bm25):
+        self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
+        self.terms, ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ends"], np.int32).astype(np.int64)
+        self.ords = np.frombuffer(row["ords"], np.uint16).astype(np.int64)
+        self.gains = bm25.gain(np.frombuffer(row["freqs"], np.int32).astype(np.float64), lengths[self.ords], mean)
+        self.blocks = -(-len(self.ids) // BLOCK_DOCS)
+        # where each term's postings of each block begin; the block behind the last begins where the next term does
+        term = np.repeat(np.arange(len(self.terms)), np.diff(np.r_[0, ends]))
+        cell = term * self.blocks + self.ords // BLOCK_DOCS
+        self.begins = np.searchsorted(cell, np.arange(len(self.terms) * self.blocks + 1)).astype(np.int32)
+        self.bounds = np.zeros((len(self.terms), self.blocks))
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else cell
+        if len(first):
+            self.bounds.ravel()[cell[first]] = np.maximum.reduceat(self.gains, first)
+
+    def search(self, hashes: np.ndarray, weights: np.ndarray, best: Best, without: int | None) -> None:
+        """Bring a query's documents of this shard into its best ones; hashes ascend."""
+        if not len(self.terms):
+            return
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        known = self.terms[at] == hashes
+        term, weight = at[known], weights[known]
+        if not len(term):
+            return
+        reach = (weight @ self.bounds[term]) * (1 + 1e-9) + 10.0**-DIGITS  # sums in another order, and rounding
+        cursor, step = 0, 1
+        while True:
+            # the pivots: the next blocks that can still reach the k-th best score
+            pivots = cursor + np.flatnonzero(reach[cursor:] >= best.least)[:step]
+            if not len(pivots):
+                return
+            self._score(term, weight, pivots, best, without)
+            cursor, step = int(pivots[-1]) + 1, step * 2
+
+    def _score(self, term: np.ndarray, weight: np.ndarray, pivots: np.ndarray, best: Best, without: int | None) -> None:
+        cell = (term[:, None] * self.blocks + pivots).ravel()
+        start = self.begins[cell].astype(np.int64)
+        count = self.begins[cell + 1] - start
+        total = int(count.sum())
+        if not total:
+            return
+        place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
+        low = int(pivots[0]) * BLOCK_DOCS
+        score = np.bincount(self.ords[place] - low, np.repeat(np.repeat(weight, len(pivots)), count) * self.gains[place])
+        score = np.round(score, DIGITS)
+        found = np.flatnonzero(score >= max(best.least, 10.0**-DIGITS))
+        if len(found):
+            ids = self.ids[found + low]
+            best.add(score[found] if without is None else score[found][ids != without], ids if without is None else ids[ids != without])
+
+
+class Best:
+    """The k best scores of a query so far, ties to the smaller id."""
+
+    __slots__ = ("k", "scores", "ids", "least")
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.ids, self.least = k, np.zeros(0), np.zeros(0, np.int64), 0.0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.r_[self.scores, scores], np.r_[self.ids, ids]
+        if len(scores) > self.k:
+            keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+            keep = keep[np.lexsort((ids[keep], -scores[keep]))][: self.k]
+            scores, ids = scores[keep], ids[keep]
+            self.least = float(scores[-1])
+        elif len(scores) == self.k:
+            self.least = float(scores.min())
+        self.scores, self.ids = scores, ids
+
+
+def _query_blocks(coded: DataFrame) -> list[list[int]]:
+    """Buckets of queries, several a block, so that a block has PAIRS_AT_ONCE pairs at most where it has more than one bucket."""
+    total = int(coded.agg(F.sum("n")).first()[0] or 0)
+    buckets = BUCKETS * (total // PAIRS_AT_ONCE + 1)
+    # one number a bucket: BUCKETS for each block that will be searched
+    sizes = coded.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n")).orderBy("bucket").collect()
+    out: list[list[int]] = [[]]
+    room = PAIRS_AT_ONCE
+    for bucket, n in sizes:
+        if out[-1] and n > room:
+            out.append([])
+            room = PAIRS_AT_ONCE
+        out[-1].append(bucket)
+        room -= n
+    return [[buckets, *b] for b in out if b]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, bm25: Bm25 = Bm25(), query_id: str = "query_id", query_text: str = "text", without_own: bool = False) -> DataFrame:
-    """The exact ``k`` best documents of each query: query_id, rank, doc_id, score.
+    """The exact ``k`` best documents of each query: query_id, rank, doc_id, score (rounded to 6 decimals before ranking, so that equal texts tie).
 
     Scores use the number of documents, mean length and document frequencies of the whole index. Documents without
     a term of the query are no results; queries without a term have none, nor null ids; a repeated query id asks with
-    the text that sorts first. With ``without_own`` the documents whose id is the query's are no results. Queries
-    stay distributed: each shard's task reads them one after the other behind the shard's postings.
+    the text that sorts first. With ``without_own`` the documents whose id is the query's are no results. Queries are searched in
+    blocks of bounded size: one pass over the index a block, in which nothing but results is shuffled.
     """
     spark = index.sparkSession
-    n_docs = int(index.where("term is null").agg(F.sum("n")).first()[0] or 0)
+    n_docs, words = (int(v or 0) for v in index.agg(F.sum("n"), F.sum("words")).first())
+    schema = "query_id long, doc_id long, score double"
     if not n_docs:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    mean = max(1e-9, _total_length(index) / n_docs)
+    mean = max(1e-9, words / n_docs)
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_text).cast("string").alias("text")).where("query_id is not null").groupBy("query_id").agg(F.min("text").alias("text"))
 
     def make():
         def counts(texts):
-            return ([[{"term": t, "count": n} for t, n in Counter(terms_of(x)).items()] for x in texts],)
+            return ([[{"term": (h := term_hash(t)) - (h >> 63 << 64), "count": n} for t, n in Counter(terms_of(x)).items()] for x in texts],)
 
         return counts
 
-    pair = T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.IntegerType())])
+    pair = T.StructType([T.StructField("term", T.LongType()), T.StructField("count", T.IntegerType())])
     pairs = materialize(append_columns(asked, ["text"], [T.StructField("pairs", T.ArrayType(pair))], make).select("query_id", F.inline("pairs")), "bm25-asked")
-    wanted = pairs.select("term").distinct()
-    postings = index.where("term is not null")
-    # monotonic ids are settled by writing them
-    terms = materialize(postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).withColumn("tid", F.monotonically_increasing_id()), "bm25-terms")
-    coded = materialize(pairs.join(terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("tid", "count")).alias("pairs")).select("query_id", F.col("pairs.tid").alias("tids"), F.col("pairs.count").alias("counts")), "bm25-queries")
-    heads = index.where("term is null")
-    binaries = ["ords", "freqs", "blocks", "block_freqs", "block_lengths"]
-    none = [F.lit(None).cast("array<long>").alias("tids"), F.lit(None).cast("array<int>").alias("counts")]
-    rows = postings.join(terms, "term").select("shard", F.lit(None).cast("long").alias("query_id"), "term", "tid", "df", *binaries, *none)
-    rows = rows.unionByName(heads.select("shard", F.lit(None).cast("long").alias("query_id"), "term", F.lit(None).cast("long").alias("tid"), F.lit(None).cast("long").alias("df"), *binaries, *none))
-    rows = rows.unionByName(heads.select("shard").crossJoin(coded), allowMissingColumns=True)
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
-    found = dealt.mapInArrow(_shard_search(mean, bm25, k, n_docs, without_own), "query_id long, doc_id long, score double")
+    df = _frequencies(index).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    coded = pairs.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "count", "df")).alias("pairs"))
+    coded = materialize(coded.select("query_id", F.size("pairs").alias("n"), F.col("pairs.term").alias("terms"), F.col("pairs.count").alias("counts"), F.col("pairs.df").alias("dfs")), "bm25-queries")
+    discard(pairs)
+    found = [materialize(index.mapInArrow(_searcher(_block(coded, block, bm25, n_docs), mean, bm25, k, without_own), schema), "bm25-found") for block in _query_blocks(coded)]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _shard_search(mean: float, bm25: Bm25, k: int, n_docs: int, without_own: bool):
-    """Best results of the queries that follow each shard's index rows."""
-    index_columns = ["term", "tid", "df", "ords", "freqs", "blocks", "block_freqs", "block_lengths"]
+def _frequencies(index: DataFrame) -> DataFrame:
+    """``term, df`` of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard, held = None, None, []
         for batch in batches:
-            numbers, asked = batch.column("shard").to_pylist(), np.asarray(batch.column("query_id").is_valid())
-            cuts = [0, *[i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1] or asked[i] != asked[i - 1]], len(numbers)]
-            out: list[tuple] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if numbers[a] != number:
-                    number, shard, held = numbers[a], None, []
-                if not asked[a]:
-                    held += part.select(index_columns).to_pylist()
-                    continue
-                if shard is None:
-                    shard, held = Shard(held, mean, bm25, n_docs), []
-                for query, tids, counts in zip(*[part.column(c).to_pylist() for c in ("query_id", "tids", "counts")], strict=True):
-                    scores, docs = shard.top(list(zip(tids, counts, strict=True)), k, query if without_own else None)
-                    out.append((np.full(len(docs), query), docs, scores))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "score"])
+            for terms, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.diff(np.r_[0, np.frombuffer(ends, np.int32)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(counts)], names=["term", "df"])
+
+    return index.select("terms", "ends").mapInArrow(run, "term long, df long")
 
-    return run
 
+def _block(coded: DataFrame, block: list[int], bm25: Bm25, n_docs: int):
+    """A broadcast of the block's queries: ids, where each begins, hashes of terms (ascending in a query) and their weights."""
+    buckets, *own = block
+    rows = coded.where(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).isin(own)).orderBy("query_id").toArrow()
+    ids, counts = np.asarray(rows.column("query_id")), np.asarray(rows.column("n")).astype(np.int64)
+    flat = {c: np.asarray(rows.column(c).combine_chunks().flatten()) for c in ("terms", "counts", "dfs")}
+    hashes = flat["terms"].view(np.uint64)
+    order = np.lexsort((hashes, np.repeat(np.arange(len(ids)), counts)))
+    weights = flat["counts"] * bm25.idf(n_docs, flat["dfs"].astype(np.float64))
+    return coded.sparkSession.sparkContext.broadcast((ids, np.r_[0, np.cumsum(counts)], hashes[order], weights[order]))
 
-def _total_length(index: DataFrame) -> int:
-    """The number of words of all documents, from the shards' length arrays."""
+
+def _searcher(shared, mean: float, bm25: Bm25, k: int, without_own: bool):
+    """Best results of the broadcast queries in all shards of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, begins, hashes, weights = shared.value
+        best = [Best(k) for _ in range(len(ids))]
+        own = ids.tolist()
         for batch in batches:
-            sums = [int(np.frombuffer(v, np.int32).sum(dtype=np.int64)) for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], names=["words"])
+            for i in range(batch.num_rows):
+                shard = Shard(batch.slice(i, 1).to_pylist()[0], mean, bm25)
+                for q, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                    shard.search(hashes[a:b], weights[a:b], best[q], own[q] if without_own else None)
+        sizes = [len(x.ids) for x in best]
+        if sum(sizes):
+            columns = [np.repeat(ids, sizes), np.concatenate([x.ids for x in best]), np.concatenate([x.scores for x in best])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
 
-    return int(index.where("term is null").select("freqs").mapInArrow(run, "words long").agg(F.sum("words")).first()[0] or 0)
+    return run
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", without_own: bool = False) -> DataFrame:
