@@ -1,14 +1,16 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad. Its features come from the line and from its neighbours; the chain adds how labels follow one
-another. Labels exist for whole documents only, so lines start with their document's label and are labelled
-anew by the fitted field a few times: in good documents a line may turn bad and the other way round. Forward-backward
+another. Labels exist for whole documents only, so lines are hidden and a document's label is evidence on each of them, which a
+stray line may go against. Weights are those of the largest conditional likelihood, with gradients from forward-backward. The same
 gives each line's probability of being good; weighted by length these add up to the document's score.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SYMBOL_RUN = re.compile(r"[^\w\s]{2,}")
 RESULT_FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("n_lines", T.LongType()), T.StructField("good_lines", T.LongType())]
 EMPTY_SCORE = 0.0
+#: The share of lines that are expected to go against their document's label.
+STRAY = 0.1
 
 
 def line_features(line: str) -> list[float]:
@@ -143,11 +147,97 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, ro
     return w
 
 
-def fit_field(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, ridge: float = 5.0) -> LineField:
-    """Fit on (features, lengths, label) of documents by piecewise training.
+class Chains:
+    """Line chains of many documents side by side, longest first, for forward-backward over all of them at once."""
+
+    def __init__(self, lengths: list[int]):
+        n = np.array(lengths)
+        order = np.argsort(-n, kind="stable")
+        starts = np.cumsum(n) - n
+        #: for each place in a document, the lines at that place, of the documents that are so long
+        self.lines = [starts[order[: int((n > t).sum())]] + t for t in range(int(n.max()))]
+
+    def expect(self, odds: np.ndarray, transitions: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted sum of log partition functions, P(good) of every line, and weighted expected counts of label pairs.
+
+        ``odds`` and ``weight`` are given a line; the weight of a line is that of its document.
+        """
+        t = np.exp(transitions)
+        e = np.exp(np.clip(odds, -30, 30))
+        ahead, total = [], 0.0
+        for i, lines in enumerate(self.lines):
+            now = np.stack([np.ones(len(lines)), e[lines]], 1)
+            if i:
+                now *= ahead[-1][: len(lines)] @ t
+            scale = now.sum(1, keepdims=True)
+            total += float((weight[lines] * np.log(scale[:, 0])).sum())
+            ahead.append(now / scale)
+        good, pairs, behind = np.zeros(len(odds)), np.zeros((2, 2)), np.zeros((0, 2))
+        for i in range(len(self.lines) - 1, -1, -1):
+            lines = self.lines[i]
+            back = np.ones((len(lines), 2))
+            if len(behind):
+                after = self.lines[i + 1]
+                step = behind * np.stack([np.ones(len(after)), e[after]], 1)
+                joint = ahead[i][: len(after), :, None] * t[None] * step[:, None, :]
+                pairs += (joint * (weight[after] / joint.sum((1, 2)))[:, None, None]).sum(0)
+                back[: len(after)] = step @ t.T
+            both = ahead[i] * back
+            good[lines] = both[:, 1] / both.sum(1)
+            behind = back / back.sum(1, keepdims=True)
+        return total, good, pairs
+
+
+def log_likelihood(parameters: np.ndarray, x: np.ndarray, chains: Chains, evidence: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The penalised conditional log-likelihood of the documents' labels, and its gradient.
+
+    Lines are hidden; a document's label is ``evidence`` (in log-odds) on each of its lines. The likelihood is the ratio of the chain's
+    partition functions with and without the evidence, its gradient the difference of expected features.
+    """
+    w, transitions = parameters[:-4], parameters[-4:].reshape(2, 2)
+    odds = x @ w
+    held, good, pairs = chains.expect(odds + evidence, transitions, weight)
+    free, any_good, any_pairs = chains.expect(odds, transitions, weight)
+    # what the evidence itself weighs
+    value = held - free - float((weight * np.log1p(np.exp(evidence))).sum()) - ridge / 2 * float(parameters @ parameters)
+    gradient = np.r_[x.T @ (weight * (good - any_good)), (pairs - any_pairs).ravel()] - ridge * parameters
+    return value, gradient
+
+
+def _maximise(function, at: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton ascent with step halving."""
+    value, gradient = function(at)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        direction, kept = gradient.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ direction) / (s @ y)
+            kept.append(a)
+            direction -= a * y
+        direction *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, float(np.abs(gradient).max()))
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            direction += (a - (y @ direction) / (s @ y)) * s
+        slope, length = float(gradient @ direction), 1.0
+        while True:
+            new = at + length * direction
+            new_value, new_gradient = function(new)
+            if new_value >= value + 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        if new_value <= value + 1e-7 * abs(value):
+            break
+        s, y = new - at, gradient - new_gradient
+        if s @ y > 1e-10:
+            steps = [*steps[1 - memory :], (s, y)]
+        at, value, gradient = new, new_value, new_gradient
+    return at
+
 
-    Emissions and transitions are fitted each by itself on the lines' present labels, which the whole chain, held to the
-    document's label, then revises. Both labels weigh the same however rare one is.
+def fit_field(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 40, ridge: float = 2.0) -> LineField:
+    """Fit on (features, lengths, label) of documents by the conditional likelihood of the labels under the chain.
+
+    Every document counts the same, and so do both labels however rare one is. Without both labels the field is constant: all good,
+    or all bad if only bad documents are known.
     """
     documents = [d for d in documents if len(d[1])]
     labels = {d[2] for d in documents}
@@ -155,39 +245,19 @@ def fit_field(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int =
         constant = np.zeros(N_FEATURES)
         constant[-1] = 4.0 if labels != {0} else -4.0
         return LineField(constant, np.zeros((2, 2)))
+    lines = [len(d[1]) for d in documents]
     x = np.vstack([d[0] for d in documents]).astype(np.float64)
-    owner = np.repeat(np.arange(len(documents)), [len(d[1]) for d in documents])
-    length = np.concatenate([d[1] / d[1].sum() for d in documents])
     label = np.array([d[2] for d in documents], np.float64)
     share = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()) * len(documents)
-    y = label[owner].copy()
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    field = LineField(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    for _ in range(rounds):
-        weights = _logistic(x, y, length * share[owner], ridge)
-        follows = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs = np.ones((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                pa, pb = (y[follows] if a else 1 - y[follows]), (y[follows + 1] if b else 1 - y[follows + 1])
-                pairs[a, b] += (pa * pb * share[owner[follows]]).sum()
-        both = pairs / pairs.sum()
-        # how much likelier labels follow one another than by chance; bounded, as document labels overstate it
-        transitions = np.clip(np.log(both / np.outer(both.sum(1), both.sum(0))), -1.5, 1.5)
-        field = LineField(weights, transitions)
-        odds = x @ weights
-        for s, e in zip(starts, np.r_[starts[1:], len(y)], strict=True):
-            d = owner[s]
-            good = marginals(odds[s:e], transitions)
-            # the document's label stays what most of its length says
-            y[s:e] = np.maximum(good, 0.5) * 0.5 + 0.5 * good if label[d] == 1 else 0.5 * np.minimum(good, 0.5) + 0.5 * good
-            if label[d] == 0 and (y[s:e] * length[s:e]).sum() > 0.4:
-                y[s:e] *= 0.4 / (y[s:e] * length[s:e]).sum()
-    raw = []
-    for s, e in zip(starts, np.r_[starts[1:], len(y)], strict=True):
-        p = float(np.clip((marginals(odds[s:e], field.transitions) * length[s:e]).sum(), 1e-6, 1 - 1e-6))
-        raw.append(np.log(p / (1 - p)))
-    slope, offset = _logistic(np.stack([np.array(raw), np.ones(len(raw))], 1), label, np.ones(len(raw)), 1.0)
+    chains = Chains(lines)
+    evidence = np.repeat(np.where(label == 1, 1.0, -1.0), lines) * math.log((1 - STRAY) / STRAY)
+    weight = np.repeat(share / np.array(lines), lines)
+    found = _maximise(lambda p: log_likelihood(p, x, chains, evidence, weight, ridge), np.zeros(N_FEATURES + 4), rounds)
+    field = LineField(found[:-4], found[-4:].reshape(2, 2))
+    good = chains.expect(x @ field.weights, field.transitions, weight)[1]
+    length = np.concatenate([d[1] / d[1].sum() for d in documents])
+    p = np.clip(np.add.reduceat(good * length, np.cumsum(lines) - lines), 1e-6, 1 - 1e-6)
+    slope, offset = _logistic(np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1), label, np.ones(len(p)), 1.0)
     field.slope, field.offset = float(max(slope, 1e-3)), float(offset)
     return field
 
@@ -195,8 +265,9 @@ def fit_field(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, max_lines: int = 400) -> LineField:
     """Fit on at most ``max_docs`` labelled documents where ``learn`` (an expression on ``id_col``) holds.
 
-    They are those with the smallest hash of their id, half of the places for each label where it has as many; documents of over
-    ``max_lines`` lines are left to scoring. Features, not texts, come to the driver: max_docs * max_lines rows at most.
+    They are those with the smallest hash of their id, half of the places for each label where it has as many; of documents of over
+    ``max_lines`` lines a run of so many is learned from, at a place that a checksum of the text chooses. An id with both labels counts
+    as good. Features, not texts, come to the driver: max_docs * max_lines rows at most.
     """
     known = labels.where(F.col(label_col).isNotNull() & learn).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     parts = [known.where(F.col("__label") == v).orderBy(F.xxhash64("__id"), "__id").limit(max_docs // 2) for v in (0, 1)]
@@ -207,7 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def make():
         def compute(texts):
             both = [document_features(t) for t in texts]
-            both = [(x, n) if len(n) <= max_lines else (x[:0], n[:0]) for x, n in both]
+            for i, (x, n) in enumerate(both):
+                if len(n) > max_lines:
+                    at = zlib.crc32(texts[i].encode()) % (len(n) - max_lines + 1)
+                    both[i] = x[at : at + max_lines], n[at : at + max_lines]
             return [x.astype(np.float32).tobytes() for x, _ in both], [n.tobytes() for _, n in both]
 
         return compute

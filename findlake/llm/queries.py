@@ -91,4 +91,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_huffman_ids, op3_quality_crf, op4_html_text, op5_language_id, op6_best_fit_packing, op7_byte_bpe, op8_multi_index, op9_bm25_top_k, op10_suffix_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What Python takes for white space, and for letters, digits and the underscore.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_bm25_top_k": r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE doc_id IS NOT NULL),
+counts AS (SELECT doc_id, term, count(*) AS n FROM words GROUP BY ALL),
+lengths AS (SELECT d.doc_id, coalesce(sum(c.n), 0) AS len FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN counts c USING (doc_id) GROUP BY ALL),
+whole AS (SELECT count(*) AS n, avg(len) AS mean FROM lengths),
+idf AS (SELECT term, ln(1 + (any_value(w.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM counts, whole w GROUP BY term),
+scored AS (
+    SELECT q.doc_id AS query_id, c.doc_id, round(sum(q.n * idf * c.n * 2.2 / (c.n + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+    FROM counts q JOIN counts c USING (term) JOIN idf USING (term) JOIN lengths l ON l.doc_id = c.doc_id, whole
+    WHERE q.doc_id % 50 = 0 AND q.doc_id <> c.doc_id GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op10_suffix_dedup": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(text, '[^SPACE]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS pos FROM docs WHERE len(w) >= 50),
+hashed AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 50], ' ')) AS key FROM starts),
+placed AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS repeated, count(*) OVER (PARTITION BY key) AS n FROM hashed),
+runs AS (SELECT *, CASE WHEN pos <= lag(pos) OVER s + 50 THEN 0 ELSE 1 END AS new FROM placed WHERE n > 1 WINDOW s AS (PARTITION BY doc_id, repeated ORDER BY pos)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, repeated ORDER BY pos) AS run FROM runs)
+SELECT doc_id, repeated, min(pos)::INT AS start_word, (max(pos) + 50)::INT AS end_word FROM numbered GROUP BY doc_id, repeated, run""".replace("SPACE", _SPACE),
+}

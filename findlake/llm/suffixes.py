@@ -2,11 +2,11 @@
 
 Suffixes of the word sequences are kept at minimiser positions only: of 16 successive positions the one whose next 8 words
 hash lowest, so that copies of a passage keep the same suffixes. Any passage of 50 words has a kept suffix within its first 16
-positions. Kept suffixes are sorted by (a hash of) their first 35 words, then by their whole surroundings: the 15 words to
-the left and the 50 to the right, which hold every passage of 50 words that starts with the suffix or at most 15 words before it.
-Neighbours are compared: equal surroundings make all those passages repeated at once. Where only the first words are equal, the
-match is extended word by word to the left and to the right: passages of 50 words around the suffix are sorted and
-compared with their neighbours in turn. Each passage is kept where it occurs first.
+positions, its minimiser. Kept suffixes are sorted by (a hash of) their first 35 words, then by their surroundings: all passages
+of 50 words whose minimiser they are, which start at most 15 words before them. Neighbours are compared: equal surroundings
+make all those passages repeated at once. Where only the first words are equal, the match is extended word by word to the left
+and to the right: the passages around the suffix are sorted and compared with their neighbours in turn. Each passage is kept
+where it occurs first.
 """
 
 from __future__ import annotations
@@ -85,17 +85,15 @@ class Rolling:
             return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + _mix(shape + _BASE))
 
 
-def kept_suffixes(rolling: Rolling, n: int, min_words: int) -> np.ndarray:
-    """The kept positions that have a whole prefix."""
-    grams = rolling.runs(SAMPLE_WORDS)
-    views = np.lib.stride_tricks.sliding_window_view(grams, SAMPLE_WINDOW)
-    at = np.unique(views.argmin(1) + np.arange(len(views)))
-    return at[at + min_words - SAMPLE_WINDOW + 1 <= n]
-
+def kept_suffixes(rolling: Rolling, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept positions, and of each the first and the last start of the passages whose minimiser it is.
 
-def _first_starts(at: np.ndarray) -> np.ndarray:
-    """Of passages around suffixes at ``at`` the first start."""
-    return np.maximum(at - SAMPLE_WINDOW + 1, 0)
+    A passage's minimiser depends on its own words only, so wherever it occurs the suffix at it is kept.
+    """
+    grams = rolling.runs(SAMPLE_WORDS)
+    views = np.lib.stride_tricks.sliding_window_view(grams, SAMPLE_WINDOW)[: n - min_words + 1]
+    at, first, count = np.unique(views.argmin(1) + np.arange(len(views)), return_index=True, return_counts=True)
+    return at, first, first + count - 1
 
 
 def _places(docs: DataFrame, per_text, names: str, more: str | None = None) -> DataFrame:
@@ -128,7 +126,7 @@ def _places(docs: DataFrame, per_text, names: str, more: str | None = None) -> D
 def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     """A row a kept suffix: key (its first words), around (its surroundings), doc_id, text_key, spot.
 
-    ``spot`` is 16 times the position and the number of words by which the last passage around it starts earlier, as texts end.
+    ``spot`` is 256 times the position, 16 times the words by which its first passage starts earlier, and those of its last one.
     """
     prefix = min_words - SAMPLE_WINDOW + 1
 
@@ -137,9 +135,8 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
         if n < min_words:
             return None
         rolling = Rolling(hashes(words))
-        at = kept_suffixes(rolling, n, min_words)
-        early = np.maximum(at + min_words - n, 0)
-        return rolling.runs(prefix)[at], rolling.between(_first_starts(at), at + min_words - early, at), at * SAMPLE_WINDOW + early
+        at, first, last = kept_suffixes(rolling, n, min_words)
+        return rolling.runs(prefix)[at], rolling.between(first, last + min_words, at), at << 8 | (at - first) << 4 | at - last
 
     return _places(docs, per_text, "key, around, spot").select("key", "around", "doc_id", "text_key", "spot")
 
@@ -149,15 +146,10 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
 
     def per_text(words, hashes, spots):
         spots = np.array(spots, np.int64)
-        at, early, copies = spots >> 5, spots >> 1 & 15, spots & 1
-        start, end = _first_starts(at), at - early + 1
+        at, copies = spots >> 9, spots & 1
+        start, end = at - (spots >> 5 & 15), at - (spots >> 1 & 15) + 1
         starts = np.concatenate([np.arange(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-        flags = np.repeat(copies, end - start)
-        order = np.lexsort((-flags, starts))
-        starts, flags = starts[order], flags[order]
-        new = np.r_[True, starts[1:] != starts[:-1]]
-        starts, flags = starts[new], flags[new]
-        return Rolling(hashes(words)).runs(min_words)[starts], starts, flags
+        return Rolling(hashes(words)).runs(min_words)[starts], starts, np.repeat(copies, end - start)
 
     return _places(docs, per_text, "key, at, copies", "__spots").select("key", "doc_id", "text_key", "at", "copies")
 
@@ -293,9 +285,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     around = slim.alias("d").join(spots.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))).select("d.doc_id", "d.text_key", "__text", "__spots")
     windows = materialize(_windows(around, min_words), "windows")
     closer = _repeated_windows(windows).select("doc_id", "text_key", F.col("at").alias("lo"), F.col("at").alias("hi"), "repeated")
-    at = F.shiftright("spot", 4)
+    at = F.shiftright("spot", 8)
     whole = compared.where((F.col("kind") == REPEATED) | (F.col("kind") == FIRST) & F.col("copies"))
-    whole = whole.select("doc_id", "text_key", F.greatest(at - (SAMPLE_WINDOW - 1), F.lit(0)).alias("lo"), (at - F.col("spot").bitwiseAND(F.lit(15))).alias("hi"), (F.col("kind") == REPEATED).alias("repeated"))
+    whole = whole.select("doc_id", "text_key", (at - F.shiftright("spot", 4).bitwiseAND(F.lit(15))).alias("lo"), (at - F.col("spot").bitwiseAND(F.lit(15))).alias("hi"), (F.col("kind") == REPEATED).alias("repeated"))
     grouped = whole.unionByName(closer).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi", "repeated")).alias("found"))
 
     def make():
