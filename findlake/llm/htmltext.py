@@ -1,7 +1,7 @@
 """Visible text of HTML pages, laid out.
 
 The standard library's tokenizer feeds a tree builder that supplies implied end and start tags. Rendering walks the
-tree without recursion: hidden elements are left out, blocks stand on lines of their own with a blank line around
+tree: elements that are not displayed are left out, as is text that style makes invisible; blocks stand on lines of their own with a blank line around
 paragraphs, list items are marked and indented, and table cells are padded to common columns.
 """
 
@@ -19,9 +19,9 @@ from findlake.llm.arrow import append_columns
 
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head title style script template noscript datalist iframe object audio video canvas svg math select".split())
+HIDDEN = set("head title style script template datalist iframe audio video canvas desc metadata defs annotation annotation-xml rp param".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
-BLOCKS = SPACED | set("html body div section article aside header footer nav main address center details dialog dd dt li fieldset figcaption form hgroup hr legend summary tr td th thead tbody tfoot caption search menu".split())
+BLOCKS = SPACED | set("html body div section article aside header footer nav main address center details dialog dd dt li fieldset figcaption form hgroup hr legend optgroup option summary tr td th thead tbody tfoot caption search menu".split())
 #: A start tag of the key ends an open element of the value.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -33,7 +33,11 @@ CLOSES = {
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend"}
 HEAD_ONLY = set("base link meta title style script template noscript head".split())
-INVISIBLE_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: Kinds of input whose value is read as text.
+SHOWN_INPUTS = set("button submit reset text search url tel email number".split())
+LARGEST_COLSPAN, LARGEST_ROWSPAN = 1000, 65534
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: An element deeper than this joins its parent; text is never lost.
 DEEPEST = 400
@@ -107,14 +111,22 @@ class TreeBuilder(HTMLParser):
 
 
 def _hidden(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs:
-        return True
-    if node.tag == "dialog" and "open" not in node.attrs:
-        return True
-    if node.tag == "input":
+    """Whether an element and all in it is not displayed."""
+    if node.tag in HIDDEN or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
         return True
     style = node.attrs.get("style")
-    return bool(style and INVISIBLE_STYLE.search(style))
+    return bool(style and NO_DISPLAY.search(style))
+
+
+def _visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text can be seen; elements inside may say otherwise for theirs."""
+    style = node.attrs.get("style")
+    said = VISIBILITY.findall(style) if style else []
+    return said[-1].lower() == "visible" if said else inherited
+
+
+def _number(text: str | None, most: int) -> int | None:
+    return min(most, int(text.strip())) if text and re.fullmatch(r"\s*[0-9]{1,9}\s*", text) else None
 
 
 class Layout:
@@ -214,29 +226,37 @@ def _loose(table: Node) -> list:
     return out
 
 
-def _table(node: Node, out: Layout, depth: int) -> None:
+def _table(node: Node, out: Layout, visible: bool) -> None:
     for child in _loose(node):
-        _walk([child], out, depth + 1)
+        _walk([child], out, visible)
     rows, captions = _cells(node)
     for caption in captions:
         out.block(True)
-        _walk(caption.children, out, depth + 1)
+        _walk(caption.children, out, _visible(caption, visible))
         out.block(False)
-    drawn: list[list[tuple[str, int]]] = []
-    for row in rows:
-        cells = []
+    # each row's cells as (column, columns, text); a cell that goes on below keeps its columns there
+    drawn: list[list[tuple[int, int, str]]] = []
+    held: dict[int, int] = {}
+    for i, row in enumerate(rows):
+        cells, at = [], 0
         for cell in row:
+            while held.get(at, 0) > i:
+                at += 1
             inner = Layout()
-            _walk(cell.children, inner, depth + 1)
-            span = cell.attrs.get("colspan") or "1"
-            cells.append((inner.result(), min(100, int(span)) if span.isdigit() and span != "0" else 1))
+            _walk(cell.children, inner, _visible(cell, visible))
+            span = _number(cell.attrs.get("colspan"), LARGEST_COLSPAN) or 1
+            down = _number(cell.attrs.get("rowspan"), LARGEST_ROWSPAN)
+            cells.append((at, span, inner.result()))
+            for c in range(at, at + span):
+                held[c] = len(rows) if down == 0 else i + (down or 1)
+            at += span
         if cells:
             drawn.append(cells)
     if not drawn:
         return
-    if max(sum(s for _, s in row) for row in drawn) == 1:  # one column: a plain sequence of blocks
+    if max(c + s for row in drawn for c, s, _ in row) == 1:  # one column: a plain sequence of blocks
         for row in drawn:
-            for text, _ in row:
+            for _, _, text in row:
                 out.block(False)
                 for line in text.split("\n"):
                     out._add(line) if line else out.block(True)
@@ -245,31 +265,31 @@ def _table(node: Node, out: Layout, depth: int) -> None:
         return
     widths: dict[int, int] = {}
     for row in drawn:
-        at = 0
-        for text, span in row:
+        for at, span, text in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), *[_width(x) for x in text.split("\n")])
-            at += span
     lines = []
     for row in drawn:
-        split = [text.split("\n") for text, _ in row]
+        split = [text.split("\n") for _, _, text in row]
         for i in range(max(map(len, split))):
             line, at = "", 0
-            for k, (_, span) in enumerate(row):
+            for k, (start, span, _) in enumerate(row):
+                # columns that a cell of an earlier row holds
+                line += "".join(" " * widths.get(c, 0) + " | " for c in range(at, start))
                 own = split[k][i] if i < len(split[k]) else ""
-                room = sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
+                room = sum(widths.get(c, 0) for c in range(start, start + span)) + 3 * (span - 1)
                 line += own + (" " * max(0, room - _width(own)) + " | " if k < len(row) - 1 else "")
-                at += span
+                at = start + span
             lines.append(line.rstrip())
     out.rows(lines)
 
 
-def _walk(children: list, out: Layout, depth: int = 0) -> None:
-    """Emit children; inner tables recurse, everything else is on a stack of its own."""
-    todo: list = [("see", c, False) for c in reversed(children)]
+def _walk(children: list, out: Layout, visible: bool = True) -> None:
+    """Emit children; tables recurse (elements nest DEEPEST deep at most), everything else is on a stack of its own."""
+    todo: list = [("see", c, False, visible) for c in reversed(children)]
     counters: list[int | None] = []
     while todo:
-        what, node, keep = todo.pop()
+        what, node, keep, seen = todo.pop()
         if what == "done":
             if node.tag in ("ul", "ol", "menu") and counters:
                 counters.pop()
@@ -279,28 +299,31 @@ def _walk(children: list, out: Layout, depth: int = 0) -> None:
             out.block(node.tag in SPACED and not (node.tag in ("ul", "ol") and counters))
             continue
         if isinstance(node, str):
-            out.text(node, keep)
+            if seen:
+                out.text(node, keep)
             continue
         if _hidden(node):
             continue
-        tag = node.tag
+        tag, seen = node.tag, _visible(node, seen)
         if tag == "br":
             out._end(True)
         elif tag == "hr":
             out.block(True)
-        elif tag == "img":
-            if node.attrs.get("alt"):
-                out.text(node.attrs["alt"], False)
-        elif tag == "table" and depth < 20:
+        elif tag in ("img", "input"):
+            kind = (node.attrs.get("type") or "text").strip().lower()
+            shown = node.attrs.get("alt") if tag == "img" or kind == "image" else node.attrs.get("value") if kind in SHOWN_INPUTS else None
+            if shown and seen:
+                out.text(shown, False)
+        elif tag == "table":
             out.block(True)
-            _table(node, out, depth)
+            _table(node, out, seen)
             out.block(True)
         else:
             if tag in BLOCKS:
                 out.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
                 if tag in ("ul", "ol", "menu"):
                     start = node.attrs.get("start") or "1"
-                    counters.append(int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1 if tag == "ol" else None)
+                    counters.append(int(start) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1 if tag == "ol" else None)
                 elif tag == "li":
                     number = counters[-1] if counters else None
                     if number is not None:
@@ -310,13 +333,16 @@ def _walk(children: list, out: Layout, depth: int = 0) -> None:
                     out.prefix.append(" " * len(out.marker))
                 elif tag in ("blockquote", "dd"):
                     out.prefix.append("  ")
-                todo.append(("done", node, keep))
+                todo.append(("done", node, keep, seen))
             kept = keep or tag in ("pre", "textarea")
-            todo += [("see", c, kept) for c in reversed(node.children)]
+            todo += [("see", c, kept, seen) for c in reversed(node.children)]
 
 
 def extract(html: str | None) -> str:
-    """The visible text of a page; empty for a null or empty one."""
+    """The visible text of a page; empty for a null or empty one.
+
+    The page is shown as without scripts and plug-ins, with details and lists of options open; input fields show their values.
+    """
     if not html:
         return ""
     builder = TreeBuilder()
