@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +17,18 @@ BASE_METRICS = {
 CHANGED_PR = {"N": 0.85, "L": 0.68, "H": 0.5}
 #: Optional metrics, which are checked but don't count.
 OPTIONAL_METRICS = {
-    "E": "XUPFH", "RL": "XOTWU", "RC": "XURC", "CR": "XLMH", "IR": "XLMH", "AR": "XLMH", "MAV": "XNALP", "MAC": "XLH", "MPR": "XNLH", "MUI": "XNR", "MS": "XUC", "MC": "XNLH", "MI": "XNLH", "MA": "XNLH",
+    "E": ["X", "U", "P", "F", "H"], "RL": ["X", "O", "T", "W", "U"], "RC": ["X", "U", "R", "C"],
+    "CR": ["X", "L", "M", "H"], "IR": ["X", "L", "M", "H"], "AR": ["X", "L", "M", "H"],
+    "MAV": ["X", "N", "A", "L", "P"], "MAC": ["X", "L", "H"], "MPR": ["X", "N", "L", "H"], "MUI": ["X", "N", "R"], "MS": ["X", "U", "C"],
+    "MC": ["X", "N", "L", "H"], "MI": ["X", "N", "L", "H"], "MA": ["X", "N", "L", "H"],
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _switch(key: Column, values: dict, default=None) -> Column:
     out = F.lit(default)
     for k, v in values.items():
@@ -88,36 +94,37 @@ def parse_severity_filter(spec: str) -> list[str]:
     return [s for s in SEVERITIES if s in {one(w) for w in spec.split(",") if w.strip()}]
 
 
+#: What may be wrong with a segment of a vector.
+SEGMENT_ERRORS = ["empty segment", "no colon", "duplicate metric", "unknown metric", "illegal value"]
+
+
 def cvss_parse(vector: Column) -> Column:
     """``struct(version, error)`` of a CVSS 3.0 or 3.1 vector; error is the first that applies, null for a good vector."""
-    parts = F.split(vector, "/")
+    metrics = {m: list(v) for m, v in BASE_METRICS.items()} | OPTIONAL_METRICS
+    legal = [f"{m}:{v}" for m, values in metrics.items() for v in values]
+
+    def checked(parts: Column) -> Column:
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        return _let(F.struct(rest.alias("rest"), F.transform(rest, lambda s: F.element_at(F.split(s, ":", 2), 1)).alias("keys")), found)
+
+    def found(x: Column) -> Column:
+        rest, keys = x["rest"], x["keys"]
+
+        def wrong(s: Column, i: Column) -> Column:
+            key = F.element_at(keys, i + 1)
+            return (
+                F.when(s == "", SEGMENT_ERRORS[0]).when(~s.contains(":"), SEGMENT_ERRORS[1]).when(F.array_position(keys, key) <= i, SEGMENT_ERRORS[2])
+                .when(~key.isin(*metrics), SEGMENT_ERRORS[3]).when(~s.isin(*legal), SEGMENT_ERRORS[4])
+            )
+
+        first = F.try_element_at(F.array_compact(F.transform(rest, wrong)), F.lit(1))
+        missing = F.size(F.array_except(F.array(*[F.lit(m) for m in BASE_METRICS]), keys)) > 0
+        return F.coalesce(first, F.when(missing, "missing metric"))
+
     version = F.regexp_extract(vector, r"^CVSS:([^/]*)", 1)
-    rest = F.filter(F.slice(parts, 2, 1000), lambda x: F.lit(True))
-    key, value = (lambda s: F.split(s, ":", 2)[0]), (lambda s: F.split(s, ":", 2)[1])
-    legal = {m: "".join(v) for m, v in BASE_METRICS.items()} | OPTIONAL_METRICS
-
-    def ok(s: Column) -> Column:
-        return reduce(lambda a, b: a | b, [(key(s) == m) & value(s).isin(*values) for m, values in legal.items()])
-
-    def first_bad(problem) -> Column:
-        return F.array_position(F.transform(rest, lambda s: problem(s)), True)
-
-    keys = F.transform(rest, key)
-    empty, colonless = first_bad(lambda s: s == ""), first_bad(lambda s: (s != "") & ~s.contains(":"))
-    unknown = first_bad(lambda s: s.contains(":") & ~key(s).isin(*legal))
-    illegal = first_bad(lambda s: s.contains(":") & key(s).isin(*legal) & ~ok(s))
-    twice = F.array_position(F.transform(keys, lambda k, i: F.array_position(keys, k) <= i), True)
-    far = F.lit(1_000_000)
-    place = [F.when(p > 0, p).otherwise(far) for p in (empty, colonless, twice, unknown, illegal)]
-    least = F.least(*place)
-    error = (
-        F.when(~vector.startswith("CVSS:"), "no prefix").when(~version.isin("3.0", "3.1"), "version")
-        .when((least < far) & (least == place[0]), "empty segment").when((least < far) & (least == place[1]), "no colon").when((least < far) & (least == place[2]), "duplicate metric")
-        .when((least < far) & (least == place[3]), "unknown metric").when(least < far, "illegal value")
-        .when(~reduce(lambda a, b: a & b, [F.array_contains(keys, m) for m in BASE_METRICS]), "missing metric")
-    )
-    error = F.when(vector.isNull(), "no prefix").otherwise(error)
-    return F.struct(F.when(version.isin("3.0", "3.1"), version).alias("version"), error.alias("error"))
+    known = version.isin("3.0", "3.1")
+    error = F.when(vector.isNull() | ~vector.startswith("CVSS:"), "no prefix").when(~known, "version").otherwise(checked(F.split(vector, "/")))
+    return F.struct(F.when(known, version).alias("version"), error.alias("error"))
 
 
 def metric(vector: Column, name: str) -> Column:
@@ -125,44 +132,56 @@ def metric(vector: Column, name: str) -> Column:
 
 
 def cvss_base_score(vector: Column) -> Column:
-    """The base score of a good vector, null for others: 3.1 rounds up by whole hundred-thousandths, 3.0 by tenths."""
-    m = {k: metric(vector, k) for k in BASE_METRICS}
-    w = {k: _switch(m[k], v) for k, v in BASE_METRICS.items()}
-    changed = m["S"] == "C"
-    pr = F.when(changed, _switch(m["PR"], CHANGED_PR)).otherwise(w["PR"])
-    iss = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    raw = F.least(F.lit(10.0), F.when(changed, 1.08 * (impact + 8.22 * w["AV"] * w["AC"] * pr * w["UI"])).otherwise(impact + 8.22 * w["AV"] * w["AC"] * pr * w["UI"]))
-    whole = F.rint(raw * 100000)
-    up31 = F.when(whole % 10000 == 0, whole / 100000).otherwise((F.floor(whole / 10000) + 1) / 10)
-    # 3.0: the smallest tenth that isn't below the score
-    up30 = F.ceil(F.round(raw * 10, 7)) / 10
-    parsed = cvss_parse(vector)
-    score = F.when(impact <= 0, 0.0).when(parsed["version"] == "3.1", up31).otherwise(up30)
-    return F.when(parsed["error"].isNull(), score)
+    """The base score of a good vector, null for others: 3.1 rounds up by whole hundred-thousandths, 3.0 to the nearest tenth."""
+    letters = F.struct(*[metric(vector, k).alias(k) for k in BASE_METRICS], cvss_parse(vector).alias("parsed"))
+
+    def weigh(m: Column) -> Column:
+        w = {k: _switch(m[k], v) for k, v in BASE_METRICS.items()}
+        changed = m["S"] == "C"
+        pr = F.when(changed, _switch(m["PR"], CHANGED_PR)).otherwise(w["PR"])
+        iss = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
+        ease = 8.22 * w["AV"] * w["AC"] * pr * w["UI"]
+        return _let(F.struct(iss.alias("iss"), ease.alias("ease"), changed.alias("changed"), m["parsed"]["version"].alias("version"), m["parsed"]["error"].alias("error")), impact)
+
+    def impact(x: Column) -> Column:
+        value = F.when(x["changed"], 7.52 * (x["iss"] - 0.029) - 3.25 * F.pow(x["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * x["iss"])
+        return _let(F.struct(value.alias("impact"), x.alias("x")), whole)
+
+    def whole(y: Column) -> Column:
+        x = y["x"]
+        raw = F.least(F.lit(10.0), F.when(x["changed"], 1.08 * (y["impact"] + x["ease"])).otherwise(y["impact"] + x["ease"]))
+        return _let(F.struct(raw.alias("raw"), F.rint(raw * 100000).alias("n"), y.alias("y")), rounded)
+
+    def rounded(z: Column) -> Column:
+        up31 = F.when(z["n"] % 10000 == 0, z["n"] / 100000).otherwise((F.floor(z["n"] / 10000) + 1) / 10)
+        x = z["y"]["x"]
+        score = F.when(z["y"]["impact"] <= 0, 0.0).when(x["version"] == "3.1", up31).otherwise(F.round(z["raw"] + 1e-9, 1))
+        return F.when(x["error"].isNull(), score)
+
+    return _let(letters, weigh)
 
 
 def cvss2_to_3(vector: Column) -> Column:
-    """A CVSS 2 vector as a 3.0 one; null where none of its metrics is there."""
+    """A CVSS 2 vector as a 3.1 one; null where none of its metrics is there."""
     v = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(F.trim(vector), r"^CVSS2#", ""), r"[()]", ""))
 
     def pick(name: str, values: dict[str, str], default: str) -> Column:
-        return F.coalesce(_switch(F.regexp_extract(v, rf"/{name}:([A-Z])", 1), values), F.lit(default))
+        return F.coalesce(_switch(F.regexp_extract(v, rf"/{name}:([^/]*)", 1), values), F.lit(default))
 
     effect = {"N": "N", "P": "L", "C": "H"}
     return F.when(
-        v.rlike(r"/(AV|AC|Au|C|I|A):[A-Z]"),
+        v.rlike(r"/(AV|AC|Au|C|I|A):"),
         F.concat(
-            F.lit("CVSS:3.0/AV:"), pick("AV", {"N": "N", "A": "A", "L": "L"}, "N"), F.lit("/AC:"), pick("AC", {"L": "L", "M": "H", "H": "H"}, "L"), F.lit("/PR:"), pick("Au", {"N": "N", "S": "L", "M": "H"}, "N"),
+            F.lit("CVSS:3.1/AV:"), pick("AV", {"N": "N", "A": "A", "L": "L"}, "N"), F.lit("/AC:"), pick("AC", {"L": "L", "M": "H", "H": "H"}, "L"), F.lit("/PR:"), pick("Au", {"N": "N", "S": "L", "M": "H"}, "N"),
             F.lit("/UI:N/S:U/C:"), pick("C", effect, "N"), F.lit("/I:"), pick("I", effect, "N"), F.lit("/A:"), pick("A", effect, "N"),
         ),
     )
 
 
 def ensure_cvss3_prefix(vector: Column, version: str = "3.0") -> Column:
-    """Put the version in front of a bare vector; blank stays blank."""
+    """Put the version in front of a vector that isn't marked as one of version 3; blank stays blank."""
     v = F.trim(F.coalesce(vector, F.lit("")))
-    return F.when((v == "") | v.startswith("CVSS:"), v).otherwise(F.concat(F.lit(f"CVSS:{version}/"), v))
+    return F.when((v == "") | v.startswith("CVSS:3"), v).otherwise(F.concat(F.lit(f"CVSS:{version}/"), v))
 
 
 def cwe_number(text: Column) -> Column:

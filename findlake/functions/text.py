@@ -50,14 +50,15 @@ def html_escape(text: Column) -> Column:
 
 
 def refs_to_html(refs: Column) -> Column:
-    """An array of ``struct(text, url)`` as paragraphs: a labelled link, a bare link where text is null, else text."""
+    """An array of ``struct(text, url)`` as one list: a link where both are there (or a blank text), else the one that is, linked if it starts with http."""
 
     def one(r: Column) -> Column:
-        url, text = html_escape(r["url"]), html_escape(F.coalesce(r["text"], r["url"]))
-        link = F.coalesce(r["url"], F.lit("")).rlike("^https?://")
-        return F.when(link, F.concat(F.lit('<p><a href="'), url, F.lit('">'), text, F.lit("</a></p>"))).otherwise(F.concat(F.lit("<p>"), F.coalesce(text, F.lit("")), F.lit("</p>")))
+        plain = html_escape(F.coalesce(r["url"], r["text"], F.lit("")))
+        link = lambda label: F.concat(F.lit('<li><a href="'), plain, F.lit('">'), label, F.lit("</a></li>"))
+        label = F.when(F.trim(r["text"]) == "", plain).otherwise(html_escape(F.trim(r["text"])))
+        return F.when(r["url"].isNotNull() & r["text"].isNotNull(), link(label)).when(plain.startswith("http"), link(plain)).otherwise(F.concat(F.lit("<li>"), plain, F.lit("</li>")))
 
-    return F.coalesce(F.array_join(F.transform(refs, one), ""), F.lit(""))
+    return F.when(F.size(refs) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(refs, one), ""), F.lit("</ul>"))).otherwise("")
 
 
 def html_to_text(html: Column) -> Column:
@@ -113,7 +114,7 @@ def extension(name: Column) -> Column:
 def extension_problem(name: Column) -> Column:
     """A hint for an extension that isn't taken, or null."""
     e = extension(name)
-    return F.when(~e.isin(*EXTENSIONS), F.when(e.isin("gif", "bmp", "webp", "tif", "tiff"), "use png").when(e.isin("json", "xml", "csv", "yaml", "html"), "use txt").otherwise("not allowed"))
+    return F.when(~e.isin(*EXTENSIONS), F.when(e == "gif", "use png").when(e.isin("html", "htm", "csv"), "use txt").otherwise("not allowed"))
 
 
 def decode_ref_path(path: Column) -> Column:

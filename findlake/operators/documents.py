@@ -14,7 +14,13 @@ from findlake.functions.scoring import SEVERITIES, cvss_parse
 from findlake.functions.text import expected_kind, lines, mask_term, tags_problem
 
 #: Phrases that no document may hold.
-BANNED_PHRASES = ["as an ai", "language model", "lorem ipsum", "to be written", "insert here", "click here", "in conclusion", "it is important to note"]
+BANNED_PHRASES = [
+    "as an ai", "as an ai language model", "i have updated", "i've updated", "as requested", "per your instructions", "let me know if you'd like", "i apologize for the confusion",
+]
+#: White space that a line must not end with.
+TRAILING = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]\\z"
+#: Zero-width and direction marks.
+INVISIBLE = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}\\x{2066}-\\x{2069}\\x{FEFF}]"
 #: The fields of a finding's frontmatter, those that it must have, and the types of findings.
 FINDING_FIELDS = ["severity", "finding_type", "cvss", "cwe", "tags", "affected_entities"]
 REQUIRED_FIELDS = ["severity", "finding_type"]
@@ -23,9 +29,9 @@ FAILURE = ["rule_id", "doc_id", "line", "message"]
 REFERENCE = r"(!?)\[([^\]\n]*)\]\(([^)\s]+)(?:\s+\"([^\"]*)\")?\)"
 
 
-def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line, content``: numbered from 1; empty texts have no line."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines(F.col(text_col)))).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("col").alias("content"))
+def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, line, content`` and the columns ``more`` of the document: numbered from 1; empty texts have no line."""
+    return docs.select(F.col(id_col).alias("doc_id"), *more, F.posexplode(lines(F.col(text_col)))).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("col").alias("content"), *more)
 
 
 def mark_fences(line_rows: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def sections(line_rows: DataFrame) -> DataFrame:
     rows = mark_fences(line_rows)
     head = ~F.col("in_code") & F.col("content").startswith("## ")
     order = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("start_line", F.last(F.when(head, F.col("line")), ignorenulls=True).over(order)).withColumn("section", F.last(F.when(head, F.trim(F.substring("content", 4, 1000))), ignorenulls=True).over(order))
+    marked = rows.withColumn("start_line", F.last(F.when(head, F.col("line")), ignorenulls=True).over(order)).withColumn("section", F.last(F.when(head, F.trim(F.expr("substring(content, 4)"))), ignorenulls=True).over(order))
     body = F.array_sort(F.collect_list(F.when(~head, F.struct("line", "content"))))
     return marked.groupBy("doc_id", "start_line", "section").agg(F.sum(F.when(~head, 1).otherwise(0)).alias("n_lines"), F.array_join(F.transform(body, lambda s: s["content"]), "\n").alias("content"))
 
@@ -116,26 +122,32 @@ def failure(rows: DataFrame, rule_id: str, message: Column | str, line: Column |
 
 
 def line_hygiene(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Carriage returns, trailing blanks and a wrong end of file; lines end at LF only, an empty file is fine."""
+    """A carriage return anywhere (once a document), white space at the end of a line, and a wrong end of file; an empty file is fine."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = base.select("doc_id", F.posexplode(F.split("text", "\n"))).withColumn("line", F.col("pos") + 1)
-    cr = failure(rows.where(F.col("col").contains("\r")), "WIKI-009", "carriage return", F.col("line"))
-    blank = failure(rows.where(F.col("col").rlike(r"[ \t]+\r?$")), "WIKI-010", "trailing whitespace", F.col("line"))
+    rows = base.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n"))).withColumn("line", F.col("pos") + 1)
+    cr = failure(base.where(F.col("text").contains("\r")), "WIKI-009", "carriage return")
+    blank = failure(rows.where(F.col("col").rlike(TRAILING)), "WIKI-010", "trailing whitespace", F.col("line"))
     end = failure(base.where((F.col("text") != "") & (~F.col("text").endswith("\n") | F.col("text").endswith("\n\n"))), "WIKI-011", "wrong end of file")
     return cr.unionByName(blank).unionByName(end)
 
 
 def control_characters(line_rows: DataFrame) -> DataFrame:
-    hidden = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}]"
-    return failure(line_rows.where(F.col("content").rlike(hidden)), "WIKI-008", "invisible character", F.col("line"))
+    """A failure for each zero-width or direction mark, with its code point."""
+    found = line_rows.select("doc_id", "line", F.explode(F.regexp_extract_all("content", F.lit(INVISIBLE), 0)).alias("c"))
+    return failure(found, "WIKI-008", F.concat(F.lit("U+"), F.lpad(F.hex(F.expr("ascii(c)")), 4, "0")), F.col("line"))
+
+
+def _folded(column: str) -> Column:
+    """Without regard to case; upper case first, as it spells out letters that have no single capital."""
+    return F.lower(F.upper(F.trim(column)))
 
 
 def heading_rules(heads: DataFrame, titles: DataFrame) -> DataFrame:
-    """Skipped levels (the first heading is held against 0) and a first heading that repeats the title."""
+    """Skipped levels (the first heading is held against 0) and a first heading that repeats the title in any case."""
     order = Window.partitionBy("doc_id").orderBy("line")
     seen = heads.withColumn("__before", F.lag("level", 1, 0).over(order)).withColumn("__k", F.row_number().over(order))
     skip = failure(seen.where("level > __before + 1"), "WIKI-012", F.concat(F.lit("level "), F.col("__before").cast("string"), F.lit(" to "), F.col("level").cast("string")), F.col("line"))
-    same = seen.where("__k = 1").join(titles.select("doc_id", F.col("title").alias("__t")), "doc_id").where(F.trim("title") == F.trim("__t"))
+    same = seen.where("__k = 1").join(titles.select("doc_id", F.col("title").alias("__t")), "doc_id").where(_folded("title") == _folded("__t"))
     return skip.unionByName(failure(same, "WIKI-013", "heading repeats the title", F.col("line")))
 
 

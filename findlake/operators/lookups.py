@@ -70,12 +70,21 @@ def translate_urls(docs: DataFrame, gallery: DataFrame, id_col: str = "doc_id",
 
 
 def file_stems(df: DataFrame, title: str = "title", key: str = "key", content: str = "content") -> DataFrame:
-    """``stem``: the title's slug; where several share it with the key's slug; where that is shared too, with a content hash."""
-    rows = df.withColumn("__slug", slugify(F.col(title)))
-    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("__slug")))
-    rows = rows.withColumn("__stem", F.when(F.col("__n") > 1, F.concat_ws("-", "__slug", slugify(F.col(key), "key"))).otherwise(F.col("__slug")))
-    rows = rows.withColumn("__m", F.count("*").over(Window.partitionBy("__stem")))
-    return rows.withColumn("stem", F.when(F.col("__m") > 1, F.concat_ws("-", "__stem", F.substring(F.sha2(F.col(content).cast("string"), 256), 1, 8))).otherwise(F.col("__stem"))).drop("__slug", "__n", "__stem", "__m")
+    """``stem``: the title's slug; where several share it with the key's slug, or a content hash where there is no key; where that is shared too, with a content hash.
+
+    How often a slug occurs is counted first and joined, so that one common slug is no hot spot.
+    """
+    digest = F.substring(F.sha2(F.col(content).cast("string"), 256), 1, 8)
+
+    def shared(rows: DataFrame, column: str) -> DataFrame:
+        often = rows.groupBy(column).count().where("count > 1").select(column, F.lit(True).alias("__often"))
+        return rows.join(often, column, "left")
+
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    rows = shared(df.withColumn("__slug", slugify(F.col(title))), "__slug")
+    rows = rows.withColumn("__stem", F.when(F.col("__often"), F.concat_ws("-", "__slug", F.when(named, slugify(F.col(key))).otherwise(digest))).otherwise(F.col("__slug"))).drop("__often")
+    rows = shared(rows, "__stem")
+    return rows.select(*df.columns, F.when(F.col("__often"), F.concat_ws("-", "__stem", digest)).otherwise(F.col("__stem")).alias("stem"))
 
 
 def dedupe_names(df: DataFrame, folder: str = "folder", name: str = "name", order: str = "id") -> DataFrame:

@@ -106,9 +106,12 @@ def win4_top_instances(spark, sf_dir):
     return occurrences.top_instances(occ(spark, sf_dir), ["key"], ["pos"]).select("key", "pos", "place")
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('zap','burp','acunetix') THEN 'web' ELSE 'network' END AS finding_type FROM events")
+SCANNERS = ["nessus", "burp", "zap", "acunetix", "openvas", "qualys", "sslyze"]
+
+
+@query("SELECT event_id, CASE WHEN user_id % 7 IN (1, 2, 3) THEN 'web' ELSE 'network' END AS finding_type FROM events")
 def fil7_default_finding_type(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", occurrences.default_finding_type(F.col("event_type")).alias("finding_type"))
+    return read(spark, sf_dir, "events").select("event_id", occurrences.default_finding_type(F.element_at(F.array(*[F.lit(x) for x in SCANNERS]), (F.col("user_id") % 7 + 1).cast("int"))).alias("finding_type"))
 
 
 @query("""SELECT p_partkey AS key, trim(p_name) AS title, list_extract(['informational','low','medium','high','critical'], CAST(p_partkey % 5 + 1 AS INTEGER)) AS severity,
@@ -147,12 +150,12 @@ def sca1_cvss_parse(spark, sf_dir):
  1 - (1 - (CASE c WHEN 'N' THEN 0 WHEN 'L' THEN 0.22 ELSE 0.56 END)::DOUBLE) * (1 - (CASE i WHEN 'N' THEN 0 WHEN 'L' THEN 0.22 ELSE 0.56 END)::DOUBLE) * (1 - (CASE a WHEN 'N' THEN 0 WHEN 'L' THEN 0.22 ELSE 0.56 END)::DOUBLE) AS iss FROM v)
 , x AS (SELECT *, CASE s WHEN 'C' THEN 7.52::DOUBLE * (iss - 0.029::DOUBLE) - 3.25::DOUBLE * power(iss - 0.02::DOUBLE, 15.0::DOUBLE) ELSE 6.42::DOUBLE * iss END AS impact FROM w)
 , y AS (SELECT *, least(10.0::DOUBLE, CASE s WHEN 'C' THEN 1.08::DOUBLE * (impact + 8.22::DOUBLE * x1 * pw * uw) ELSE impact + 8.22::DOUBLE * x1 * pw * uw END) AS raw FROM x)
-SELECT p_partkey, CAST(CASE WHEN impact <= 0 THEN 0 WHEN ver = '3.1' THEN CASE WHEN CAST(round_even(raw * 100000, 0) AS BIGINT) % 10000 = 0 THEN round_even(raw * 100000, 0) / 100000 ELSE (floor(round_even(raw * 100000, 0) / 10000) + 1) / 10 END ELSE ceil(round(raw * 10, 7)) / 10 END AS DOUBLE) AS score FROM y""")
+SELECT p_partkey, CAST(CASE WHEN impact <= 0 THEN 0 WHEN ver = '3.1' THEN CASE WHEN CAST(round_even(raw * 100000, 0) AS BIGINT) % 10000 = 0 THEN round_even(raw * 100000, 0) / 100000 ELSE (floor(round_even(raw * 100000, 0) / 10000) + 1) / 10 END ELSE round(raw + 1e-9::DOUBLE, 1) END AS DOUBLE) AS score FROM y""")
 def sca2_cvss_base_score(spark, sf_dir):
     return vectors(spark, sf_dir).select("p_partkey", scoring.cvss_base_score(F.col("vector")).alias("score"))
 
 
-@query("""SELECT p_partkey, 'CVSS:3.0/AV:' || substr('NAL', CAST(p_partkey % 3 AS INT) + 1, 1) || '/AC:' || substr('LHH', CAST(p_partkey % 3 AS INT) + 1, 1) || '/PR:' || substr('NLH', CAST(p_partkey % 3 AS INT) + 1, 1) || '/UI:N/S:U/C:' || substr('NLH', CAST(p_partkey % 3 AS INT) + 1, 1) || '/I:N/A:H' AS vector FROM part""")
+@query("""SELECT p_partkey, 'CVSS:3.1/AV:' || substr('NAL', CAST(p_partkey % 3 AS INT) + 1, 1) || '/AC:' || substr('LHH', CAST(p_partkey % 3 AS INT) + 1, 1) || '/PR:' || substr('NLH', CAST(p_partkey % 3 AS INT) + 1, 1) || '/UI:N/S:U/C:' || substr('NLH', CAST(p_partkey % 3 AS INT) + 1, 1) || '/I:N/A:H' AS vector FROM part""")
 def sca3_cvss2_to_3(spark, sf_dir):
     k = (F.col("p_partkey") % 3 + 1).cast("int")
     one = lambda letters: F.lit(letters).substr(k, F.lit(1))
@@ -160,9 +163,10 @@ def sca3_cvss2_to_3(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", scoring.cvss2_to_3(v2).alias("vector"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'CVSS:3.1/AV:N' ELSE 'CVSS:3.0/AV:N' END AS vector FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'CVSS:3.1/AV:N' WHEN 1 THEN 'CVSS:3.0/AV:N' WHEN 2 THEN '' ELSE 'CVSS:3.0/CVSS:2.0/AV:N' END AS vector FROM part")
 def sca4_ensure_prefix(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", scoring.ensure_cvss3_prefix(F.when(F.col("p_partkey") % 2 == 0, "CVSS:3.1/AV:N").otherwise("AV:N")).alias("vector"))
+    k = F.col("p_partkey") % 4
+    return read(spark, sf_dir, "part").select("p_partkey", scoring.ensure_cvss3_prefix(F.when(k == 0, "CVSS:3.1/AV:N").when(k == 1, " AV:N").when(k == 2, " ").otherwise("CVSS:2.0/AV:N")).alias("vector"))
 
 
 @query("""SELECT p_partkey, CASE WHEN s <= 0 THEN 'informational' WHEN s <= 3.9 THEN 'low' WHEN s <= 6.9 THEN 'medium' WHEN s <= 8.9 THEN 'high' ELSE 'critical' END AS severity,
@@ -190,9 +194,16 @@ def sca10_sca11_slugs(spark, sf_dir):
     return p.select("p_partkey", text.slugify(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"), text.collapse_whitespace(F.concat(F.lit("  "), "p_name", F.lit("\t"), "p_type", F.lit(" "))).alias("flat"))
 
 
-@query("""SELECT page_id, '<p><a href="' || replace(url, '&', '&amp;') || '">' || replace(url, '&', '&amp;') || '</a></p><p>plain &lt;note&gt;</p>' AS html FROM pages""")
+@query("""WITH p AS (SELECT page_id, replace(url, '&', '&amp;') AS u FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<ul><li><a href="' || u || '">' || u || '</a></li><li>plain &lt;note&gt; ' || page_id || '</li></ul>'
+ WHEN 2 THEN '<ul><li><a href="' || u || '">it&#x27;s &quot;' || page_id || '&quot;</a></li></ul>' WHEN 3 THEN '<ul><li><a href="/wiki/' || page_id || '">page</a></li></ul>' ELSE '<ul><li><a href="' || u || '">' || u || '</a></li></ul>' END AS html FROM p""")
 def sca12_refs_to_html(spark, sf_dir):
-    refs = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.col("url").alias("url")), F.struct(F.lit("plain <note>").alias("text"), F.lit(None).cast("string").alias("url")))
+    k, key, none = F.col("page_id") % 5, F.col("page_id").cast("string"), F.lit(None).cast("string")
+    ref = lambda label, url: F.struct(label.alias("text"), url.alias("url"))
+    refs = (
+        F.when(k == 1, F.array(ref(none, F.col("url")), ref(F.concat(F.lit("plain <note> "), key), none))).when(k == 2, F.array(ref(F.concat(F.lit(" it's \""), key, F.lit('"')), F.col("url"))))
+        .when(k == 3, F.array(ref(F.lit("page"), F.concat(F.lit("/wiki/"), key)))).when(k == 4, F.array(ref(F.lit("  "), F.col("url")))).otherwise(F.array().cast("array<struct<text:string,url:string>>"))
+    )
     return read(spark, sf_dir, "pages").select("page_id", text.refs_to_html(refs).alias("html"))
 
 
@@ -201,11 +212,13 @@ def sca13_html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, md5(replace(replace(text, '{{', '{{ ''{{'' }}'), '|', '{{ ''{%'' }}')) AS escaped, TRUE AS same FROM documents WHERE text NOT LIKE '%{%' AND text NOT LIKE '%}%'")
+MARKED = "replace(text, ' ', CASE doc_id % 7 WHEN 0 THEN '{{' WHEN 1 THEN '}}' WHEN 2 THEN '{%' WHEN 3 THEN '%}' WHEN 4 THEN '{#' WHEN 5 THEN '#}' ELSE ' ' END)"
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(" + MARKED + r", '(\{\{|\}\}|\{%|%\}|\{#|#\})', '{{ ''\1'' }}', 'g')) AS escaped, CASE WHEN text IS NOT NULL THEN TRUE END AS same FROM documents")
 def sca14_template_escape(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("not contains(text, '{') and not contains(text, '}')")
-    marked = F.replace("text", F.lit("|"), F.lit("{%"))
-    return d.select("doc_id", F.md5(text.template_escape(marked)).alias("escaped"), (text.template_unescape(text.template_escape(marked)) == marked).alias("same"))
+    marked = F.expr(MARKED)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.template_escape(marked)).alias("escaped"), (text.template_unescape(text.template_escape(marked)) == marked).alias("same"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'empty tag' WHEN p_partkey % 4 = 1 THEN 'space around tag' WHEN p_partkey % 4 = 2 THEN 'repeated tag' END AS problem, substr(p_brand, 1, 1) || repeat('*', length(p_brand) - 1) AS masked FROM part")
@@ -215,10 +228,10 @@ def sca15_sca16_tags_and_masks(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.tags_problem(tags).alias("problem"), text.mask_term(F.col("p_brand")).alias("masked"))
 
 
-@query("SELECT p_partkey, regexp_matches(p_name, '^[a-z0-9][a-z0-9._-]*$') AS good, CASE p_partkey % 3 WHEN 0 THEN 'use png' WHEN 1 THEN 'not allowed' END AS hint FROM part")
+@query("SELECT p_partkey, regexp_matches(p_name, '^[a-z0-9][a-z0-9._-]*$') AS good, CASE p_partkey % 6 WHEN 0 THEN 'use png' WHEN 1 THEN 'not allowed' WHEN 3 THEN 'use txt' WHEN 4 THEN 'not allowed' WHEN 5 THEN 'use txt' END AS hint FROM part")
 def sca17_sca18_names(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    name = F.concat(F.lit("file."), F.when(k == 0, "GIF").when(k == 1, "exe").otherwise("md"))
+    k = F.col("p_partkey") % 6
+    name = F.concat(F.lit("file."), F.when(k == 0, "GIF").when(k == 1, "exe").when(k == 3, "htm").when(k == 4, "json").when(k == 5, "csv").otherwise("md"))
     return read(spark, sf_dir, "part").select("p_partkey", text.good_segment(F.col("p_name")).alias("good"), text.extension_problem(name).alias("hint"))
 
 
@@ -262,10 +275,19 @@ def win6_heading_rules(spark, sf_dir):
     return documents.heading_rules(documents.headings(documents.explode_lines(docs)), titles)
 
 
-@query("SELECT doc_id, 'REF-006' AS rule_id, CAST(8 AS INTEGER) AS line, 'evidence/b.md' AS message FROM documents WHERE doc_id % 4 = 3")
+@query("""SELECT doc_id, 'REF-006' AS rule_id, CAST(8 AS INTEGER) AS line, 'evidence/b' || doc_id || '.md' AS message FROM documents WHERE doc_id % 4 = 3 AND doc_id % 3 <> 0
+UNION ALL SELECT doc_id, 'REF-002', 9, 'evidence/a' || doc_id || '.png' FROM documents WHERE doc_id % 4 = 2 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'REF-001', 8, 'evidence/c.png' FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'REF-002', 8, 'evidence/c.png' FROM documents WHERE doc_id % 4 = 0""")
 def doc4_reference_rules(spark, sf_dir):
-    files = read(spark, sf_dir, "documents").limit(1).select(F.lit("evidence/a.png").alias("ref_path"))
-    return documents.reference_rules(documents.references(documents.explode_lines(marked_docs(spark, sf_dir))), files)
+    k, key = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    body = F.concat(
+        F.lit("# T\n\n## Impact\nx\n```\n![no](evidence/no.png)\n```\n"),
+        F.when(k == 0, "see ![c](evidence/c.png) here\n").when(k == 2, F.concat(F.lit("two\n![cap](evidence/a"), key, F.lit(".png)\n"))).when(k == 3, F.concat(F.lit("see [x](evidence/b"), key, F.lit(".md) here\n"))).otherwise("`![no](evidence/no.png)`\n"),
+    )
+    docs = read(spark, sf_dir, "documents")
+    there = docs.where("doc_id % 4 = 3 and doc_id % 3 = 0").select(F.concat(F.lit("evidence/b"), key, F.lit(".md")).alias("ref_path"))
+    files = there.unionByName(docs.where("doc_id % 5 = 0").select(F.concat(F.lit("evidence/a"), key, F.lit(".png")).alias("ref_path")))
+    return documents.reference_rules(documents.references(documents.explode_lines(docs.select("doc_id", body.alias("text")))), files)
 
 
 @query("WITH u AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1)) AS url FROM pages) SELECT doc_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM u")
@@ -287,7 +309,7 @@ def doc8_scan_phrases(spark, sf_dir):
 @query(LINES + " SELECT doc_id, CAST(line AS INTEGER) AS line, 't***' AS masked FROM l WHERE regexp_matches(content, '(?i)(^|[^\\p{L}\\p{N}_])that($|[^\\p{L}\\p{N}_])') AND source <> 'src1'")
 def doc9_scan_terms(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    rows = documents.explode_lines(docs).join(docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")), "doc_id")
+    rows = documents.explode_lines(docs.withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))), more=["path"])
     return documents.scan_terms(rows, [("that", "src1")])
 
 
@@ -413,9 +435,12 @@ def joi10_lookup_drift(spark, sf_dir):
     return reconcile.lookup_drift(p.where("id % 5 <> 0").withColumn("name", F.when(F.col("id") % 11 == 0, "new").otherwise(F.col("name"))), p.where("id % 7 <> 0"))
 
 
-@query("WITH s AS (SELECT *, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS a, regexp_replace(regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS b FROM part), t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY a) > 1 THEN a || '-' || b ELSE a END AS st FROM s) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY st) > 1 THEN st || '-' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) ELSE st END AS stem FROM t")
+@query("""WITH s AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS key, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS a, substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) AS h FROM part),
+t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY a) = 1 THEN a WHEN key = '' THEN a || '-' || h ELSE a || '-' || regexp_replace(regexp_replace(lower(trim(key)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS st FROM s)
+SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY st) > 1 THEN st || '-' || h ELSE st END AS stem FROM t""")
 def win2_file_stems(spark, sf_dir):
-    return lookups.file_stems(read(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey").select("p_partkey", "stem")
+    part = read(spark, sf_dir, "part").withColumn("key", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand")))
+    return lookups.file_stems(part, "p_name", "key", "p_partkey").select("p_partkey", "stem")
 
 
 @query("SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE p_name || '-' || k END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS k FROM part)")

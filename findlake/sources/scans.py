@@ -140,17 +140,23 @@ def zap_occurrences(files: DataFrame) -> DataFrame:
 
 def openvas_occurrences(files: DataFrame, min_qod: int = 0) -> DataFrame:
     """Results of the first container that has any; results below ``min_qod`` or without an oid are left out."""
-    result = "struct<severity:string,host:struct<_VALUE:string,hostname:string>,port:string,qod:struct<value:string>,description:string,nvt:struct<_oid:string,name:string,tags:string>>"
-    wide = f"report struct<results:struct<result:array<{result}>>>, results struct<result:array<{result}>>"
+    result = "struct<severity:string,host:struct<_VALUE:string,hostname:string>,port:string,qod:struct<value:string>,description:string,nvt:struct<_oid:string,name:string,tags:string,refs:struct<ref:array<struct<_id:string,_type:string>>>>>"
+    results = f"results:struct<result:array<{result}>>"
+    wide = f"report array<struct<report:array<struct<{results}>>,{results}>>, {results.replace(':', ' ', 1)}"
     rows = _parse(files, "report", wide)
-    first = F.when(F.size("x.report.results.result") > 0, F.col("x.report.results.result")).otherwise(F.col("x.results.result"))
-    items = rows.select("scan_id", F.posexplode(first).alias("pos", "r")).where((_text("r.nvt._oid") != "") & (F.coalesce(F.col("r.qod.value").try_cast("int"), F.lit(100)) >= min_qod))
+    # a response wraps the reports once more
+    whole = lambda lists: F.flatten(F.filter(lists, lambda a: a.isNotNull()))
+    inner = whole(F.transform("x.report", lambda r: whole(F.transform(r["report"], lambda q: q["results"]["result"]))))
+    places = [inner, whole(F.transform("x.report", lambda r: r["results"]["result"])), F.col("x.results.result")]
+    first = F.when(F.size(places[0]) > 0, places[0]).when(F.size(places[1]) > 0, places[1]).otherwise(places[2])
+    items = rows.select("scan_id", F.posexplode(first).alias("pos", "r")).where((_text("r.nvt._oid") != "") & (F.coalesce(F.col("r.qod.value").try_cast("int"), F.lit(0)) >= min_qod))
     tag = lambda name: F.regexp_extract(F.concat(F.lit("|"), F.coalesce("r.nvt.tags", F.lit(""))), rf"\|{name}=([^|]*)", 1)
     vector = F.when(tag("cvss_base_vector").startswith("CVSS:"), tag("cvss_base_vector")).otherwise(F.coalesce(cvss2_to_3(tag("cvss_base_vector")), F.lit("")))
-    where = F.concat(F.when(_text("r.host.hostname") != "", _text("r.host.hostname")).otherwise(_text("r.host._VALUE")), F.when(_text("r.port").isin("", "general/tcp"), "").otherwise(F.concat(F.lit(":"), _text("r.port"))))
+    where = F.concat(F.when(_text("r.host.hostname") != "", _text("r.host.hostname")).otherwise(_text("r.host._VALUE")), F.when(F.lower(_text("r.port")).isin("", "general/tcp"), "").otherwise(F.concat(F.lit(":"), _text("r.port"))))
     return items.select(
-        "scan_id", F.lit("openvas").alias("scanner"), F.col("pos").cast("long").alias("pos"), F.col("r.nvt._oid").alias("key"), _text("r.nvt.name").alias("title"), severity_rank(score_to_severity(F.col("r.severity").try_cast("double"))).alias("sev_rank"),
-        where.alias("component"), vector.alias("cvss_vector"), F.lit("").alias("cwe"), _joined(tag("summary"), _text("r.description")).alias("description"), tag("impact").alias("impact"), tag("solution").alias("mitigation"), _refs(F.array().cast("array<string>")).alias("references"),
+        "scan_id", F.lit("openvas").alias("scanner"), F.col("pos").cast("long").alias("pos"), F.col("r.nvt._oid").alias("key"), F.when(_text("r.nvt.name") != "", _text("r.nvt.name")).otherwise(F.col("r.nvt._oid")).alias("title"),
+        severity_rank(score_to_severity(F.coalesce(F.col("r.severity").try_cast("double"), F.lit(0.0)))).alias("sev_rank"), where.alias("component"), vector.alias("cvss_vector"), F.lit("").alias("cwe"), F.when(tag("summary") != "", tag("summary")).otherwise(_text("r.description")).alias("description"), tag("impact").alias("impact"), tag("solution").alias("mitigation"),
+        _refs(F.coalesce(F.transform(F.filter("r.nvt.refs.ref", lambda f: f["_type"].isin("cve", "url")), lambda f: f["_id"]), F.array().cast("array<string>"))).alias("references"),
     )
 
 

@@ -117,7 +117,7 @@ def test_files_are_routed_and_parsed(spark, tmp_path):
     rows = {r.scanner: r for r in scans.ingest(routed).collect()}
     n, b = rows["nessus"], rows["burp"]
     assert (n.key, n.sev_rank, n.component, n.cwe, n.description, len(n.references)) == ("7", 3, "h1:80/tcp (www)", "CWE-79", "S\n\nD", 2)
-    assert n.cvss_vector == "CVSS:3.0/AV:N/AC:H/PR:N/UI:N/S:U/C:L/I:N/A:N"
+    assert n.cvss_vector == "CVSS:3.1/AV:N/AC:H/PR:N/UI:N/S:U/C:L/I:N/A:N"
     assert (b.key, b.sev_rank, b.component) == ("9", 2, "http://h/p [q] (1.2.3.4)")
 
 
