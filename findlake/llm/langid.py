@@ -32,8 +32,8 @@ LONGEST_CACHED = 40
 WORDS_AT_ONCE = 1 << 15
 CHARS_AT_ONCE = 20_000
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Parts that the ranking of a label's ids is dealt to.
-SAMPLE_PARTS = 256
+#: Bits of a hash that number the buckets in which a label's ids are counted.
+BUCKET_BITS = 14
 #: Languages whose models share arrays.
 GROUP = 4
 #: Acceptance: the length whose texts scatter by the square root of two, the spreads that are allowed, the least
@@ -59,8 +59,6 @@ class FitLimits:
 
     #: labelled documents a language, those with the smallest hash of their id
     docs: int = 1500
-    #: different words a language, the most frequent, of equally frequent ones those with the smallest hashes
-    words: int = 30_000
     order: int = 5
     #: of the sampled documents, one in so many only calibrates
     calibrate_one_in: int = 5
@@ -289,18 +287,22 @@ class Identifier:
 def sample_ids(docs: DataFrame, id_col: str, lang_col: str, learn: Column, limits: FitLimits) -> DataFrame:
     """``id, lang`` of the documents to fit on: of each label the ids with the smallest hashes. No text is read for it."""
     labelled = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    hashed = labelled.withColumn("__h", F.xxhash64("__id"))
-    # a label may have a third of all rows: each of its parts is cut to the bound first, which loses none of the smallest
-    for groups in (["__lang", F.pmod(F.col("__h"), F.lit(SAMPLE_PARTS))], ["__lang"]):
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy("__h", "__id"))
-        hashed = hashed.withColumn("__k", rank).where(F.col("__k") <= limits.docs).drop("__k")
-    return hashed.select("__id", "__lang", "__h").distinct()
+    hashed = labelled.withColumn("__h", F.xxhash64("__id")).withColumn("__bucket", F.shiftright("__h", 64 - BUCKET_BITS))
+    # a label may have a third of all rows: the bucket of hashes that its sample reaches into comes from counts, a row a bucket,
+    # and only rows up to it are ranked
+    counts = hashed.groupBy("__lang", "__bucket").count()
+    before = F.sum("count").over(Window.partitionBy("__lang").orderBy("__bucket")) - F.col("count")
+    last = counts.withColumn("__n", before).where(F.col("__n") < limits.docs).groupBy("__lang").agg(F.max("__bucket").alias("__last"))
+    # a row a label: no more than the models that the driver makes of them
+    near = hashed.join(F.broadcast(last), "__lang").where(F.col("__bucket") <= F.col("__last")).select("__id", "__lang", "__h").distinct()
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id"))
+    return near.withColumn("__k", rank).where(F.col("__k") <= limits.docs).drop("__k")
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: FitLimits = FitLimits()) -> ModelGroups:
     """Fit models, acceptance thresholds and the confidence scale on the labelled rows where ``learn`` holds.
 
-    Every label is learned. The sample of each is bounded by ``limits``; its words are counted by Spark, whole. Rows without label or text teach nothing.
+    Every label is learned. The sample of each is bounded by ``limits``; all its words are counted by Spark, whole. Rows without label or text teach nothing.
     """
     ids = sample_ids(docs, id_col, lang_col, learn, limits)
     # at most limits.docs ids a label
@@ -311,10 +313,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return lambda texts: ([words_of(t) for t in texts],)
 
     split = append_columns(texts.where(~held).select("__lang", "__text"), ["__text"], [T.StructField("__words", T.ArrayType(T.StringType()))], make).select("__lang", F.explode("__words").alias("word"))
-    counted = split.groupBy("__lang", "word").count()
-    order = Window.partitionBy("__lang").orderBy(F.desc("count"), F.xxhash64("word"), "word")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limits.words).select("__lang", "word", "count").collect():
+    for lang, word, n in split.groupBy("__lang", "word").count().toLocalIterator():
         counts[lang][word] = n
     if not counts:
         return ModelGroups.fit({UNKNOWN: {"a": 1}}, limits.order)
