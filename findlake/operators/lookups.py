@@ -145,7 +145,8 @@ def caption_opinions(refs: DataFrame, longest: int = 255) -> DataFrame:
 def stem_groups(files: DataFrame) -> DataFrame:
     """Files (folder, name) that share a stem with another in their folder, sidecars left out."""
     plain = files.where(~F.col("name").rlike(r"\.remote(\.[^./]+)?$")).withColumn("stem", stem(F.col("name")))
-    return plain.withColumn("n", F.count("*").over(Window.partitionBy("folder", "stem"))).where("n > 1")
+    often = plain.groupBy("folder", "stem").agg(F.count("*").alias("n")).where("n > 1")
+    return plain.join(often, ["folder", "stem"])
 
 
 def index_uniqueness(index: DataFrame) -> DataFrame:

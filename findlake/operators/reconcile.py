@@ -97,7 +97,8 @@ def change_guard(plan: DataFrame, group: Sequence[str] = ("kind",), ratio: float
     sums = plan.groupBy(*group).agg(weight(REMOTE_WRITES, "DELETE_REMOTE").alias("__w"), weight(LOCAL_LOSSES, "DELETE_LOCAL").alias("__d"), F.greatest(F.count("*"), F.lit(1)).alias("__n"))
     over = lambda w: (F.col(w) > least) & (F.col(w) > ratio * F.col("__n"))
     held = free & ((over("__w") & o.isin(*REMOTE_WRITES)) | (over("__d") & o.isin(*LOCAL_LOSSES)))
-    return plan.join(sums, list(group), "left").withColumn("outcome", F.when(F.coalesce(held, F.lit(False)), "WITHHELD").otherwise(o)).drop("__w", "__d", "__n")
+    # a row a kind, of which there are about ten
+    return plan.join(F.broadcast(sums), list(group), "left").withColumn("outcome", F.when(F.coalesce(held, F.lit(False)), "WITHHELD").otherwise(o)).drop("__w", "__d", "__n")
 
 
 def reconcile(slots: DataFrame, failures: DataFrame, force: DataFrame) -> DataFrame:

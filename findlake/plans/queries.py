@@ -629,13 +629,17 @@ def agg14_project_context(spark, sf_dir):
 
 
 @query(SLOTS + """, g AS (SELECT kind, count(*) FILTER (l IS NOT NULL AND id % 19 = 0) AS invalid, count(*) FILTER (l IS NULL AND id % 19 >= 0 AND b IS NOT NULL) AS deleted, count(*) FILTER (b IS NULL AND l IS NULL) AS deleted2,
- count(*) FILTER (l IS NOT NULL AND id % 19 <> 0 AND b IS NULL) AS unknown, count(*) FILTER (l = b AND id % 19 <> 0) AS clean, count(*) FILTER (l <> b AND id % 19 <> 0) AS edited FROM s GROUP BY kind)
-SELECT kind, unnest(['clean','edited','deleted','unknown','invalid','new']) AS status, unnest([clean, edited, deleted + deleted2, unknown, invalid, 0]) AS n FROM g""")
+ count(*) FILTER (l IS NOT NULL AND id % 19 <> 0 AND b IS NULL) AS unknown, count(*) FILTER (l = b AND id % 19 <> 0) AS clean, count(*) FILTER (l <> b AND id % 19 <> 0) AS edited FROM s GROUP BY kind),
+m AS (SELECT kind, count(*) FILTER (l IS NULL AND b IS NOT NULL AND id % 22 = 0) AS moved, count(*) FILTER (id % 50 = 1) AS fresh FROM s GROUP BY kind)
+SELECT kind, unnest(['clean','edited','deleted','unknown','invalid','new','moved']) AS status, unnest([clean, edited, deleted + deleted2 - moved, unknown, invalid, fresh, moved]) AS n FROM g JOIN m USING (kind)""")
 def rec16_agg7_offline_status(spark, sf_dir):
     rows = slots(spark, sf_dir)
     failures = rows.where("id % 19 = 0").select("path", F.lit("WS-001").alias("rule_id"))
-    status = reconcile.offline_status(rows.where("local_hash is not null").select("path", "kind", "local_hash"), rows.select("path", "kind", "base_hash"), failures)
-    return lookups.status_counts(status, rows, ["clean", "edited", "deleted", "unknown", "invalid", "new"])
+    own = F.concat(F.lit("h"), F.col("id").cast("string"))
+    indexed = rows.select("path", "kind", F.when(F.col("local_hash").isNull() & F.col("base_hash").isNotNull(), own).otherwise(F.col("base_hash")).alias("base_hash"))
+    elsewhere = lambda folder, some, content: rows.where(some).select(F.concat(F.lit(folder), F.col("id").cast("string")).alias("path"), "kind", content.alias("local_hash"))
+    local = rows.where("local_hash is not null").select("path", "kind", "local_hash").unionByName(elsewhere("moved/", "local_hash is null and base_hash is not null and id % 22 = 0", own)).unionByName(elsewhere("new/", "id % 50 = 1", F.concat(F.lit("n"), own)))
+    return lookups.status_counts(reconcile.offline_status(local, indexed, failures), rows, ["clean", "edited", "deleted", "unknown", "invalid", "new", "moved"])
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/' || p_partkey || '.remote.md' WHEN 1 THEN 'a/' || p_partkey || '.remote' ELSE 'a/' || p_partkey || '.remote.remote.md' END AS sidecar, p_partkey % 3 = 2 AS is_sidecar FROM part")

@@ -100,7 +100,7 @@ def test_names_that_look_numbered(spark):
 
 def test_rules_have_a_failing_and_a_passing_row(spark):
     docs = spark.createDataFrame([(1, "ok\n"), (2, "bad \r\nend"), (3, "")], "doc_id long, text string")
-    assert {(r.rule_id, r.doc_id, r.line) for r in documents.line_hygiene(docs).collect()} == {("WIKI-009", 2, 1), ("WIKI-010", 2, 1), ("WIKI-011", 2, None)}
+    assert {(r.rule_id, r.doc_id, r.line) for r in documents.line_hygiene(docs).collect()} == {("WIKI-009", 2, None), ("WIKI-010", 2, 1), ("WIKI-011", 2, None)}
 
 
 NESSUS = """<?xml version="1.0"?><NessusClientData_v2><Report><ReportHost name="h1"><ReportItem pluginID="7" pluginName="Weak" svc_name="www" port="80" protocol="tcp"><risk_factor>High</risk_factor>
@@ -216,3 +216,38 @@ def test_scope_filter_takes_every_scope(spark):
     assert documents.scope_filter(failures.unionByName(failures), scopes.where("path = '/p7'").unionByName(known.where("path = '/p7/x.md'")), known).count() == 2
     with pytest.raises(ValueError):
         documents.scope_filter(failures, scopes.unionByName(spark.createDataFrame([("/none",)], "path string")), known)
+
+
+@pytest.mark.parametrize(
+    ("vector", "score"),
+    [("CVSS:3.0/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.0/AV:N/AC:L/PR:N/UI:N/S:U/C:L/I:L/A:L", 7.3), ("CVSS:3.0/AV:L/AC:L/PR:L/UI:N/S:U/C:H/I:N/A:N", 5.4), ("CVSS:3.1/AV:L/AC:L/PR:L/UI:N/S:U/C:H/I:N/A:N", 5.5)],
+)
+def test_scores_of_three_zero_go_to_the_nearest_tenth(spark, vector, score):
+    assert spark.createDataFrame([(vector,)], "v string").select(scoring.cvss_base_score(F.col("v"))).first()[0] == score
+
+
+def test_every_later_segment_of_a_vector_is_checked(spark):
+    good = "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
+    rows = [(good + "/E:X/MC:H",), (good + "/E:Q",), (good + "/" + "/".join(f"X{i}:N" for i in range(1500)),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(scoring.cvss_parse(F.col("v"))["error"]).collect()]
+    assert got == [None, "illegal value", "unknown metric"]
+
+
+def test_wrapped_and_bare_reports_give_their_results(spark):
+    from findlake.sources import scans
+
+    result = "<result><host>h</host><port>80/tcp</port><severity>9.8</severity><nvt oid='1'><name>n</name><tags>summary=s|cvss_base_vector=AV:N/AC:L/Au:N/C:C/I:C/A:C</tags><refs><ref type='cve' id='CVE-1'/><ref type='x' id='no'/></refs></nvt></result>"
+    forms = {"a": f"<get_reports_response><report id='1'><report><results>{result}</results></report></report></get_reports_response>", "b": f"<report id='1'><report><results>{result}</results></report></report>", "c": f"<report id='1'><results>{result}</results></report>"}
+    files = spark.createDataFrame(list(forms.items()), "path string, text string")
+    got = scans.openvas_occurrences(files).collect()
+    assert sorted(r.scan_id for r in got) == ["a", "b", "c"]
+    assert all((r.component, r.description, r.cvss_vector, [x.text for x in r.references]) == ("h:80/tcp", "s", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", ["CVE-1"]) for r in got)
+
+
+def test_line_rules(spark):
+    from findlake.operators import documents
+
+    docs = spark.createDataFrame([(1, "a\r\nb\r\n"), (2, "a \nb\n"), (3, "a\rb\n"), (4, ""), (5, "a​⁡\n")], "doc_id long, text string")
+    got = sorted((r.rule_id, r.doc_id, r.line) for r in documents.line_hygiene(docs).collect())
+    assert got == [("WIKI-009", 1, None), ("WIKI-009", 3, None), ("WIKI-010", 2, 1)]
+    assert [(r.doc_id, r.message) for r in documents.control_characters(documents.explode_lines(docs)).collect()] == [(5, "U+200B")]
