@@ -27,6 +27,8 @@ LONGEST_CODE = 20
 LARGEST_ALPHABET = 1 << 18
 BLOCK_IDS = 1 << 17
 CHECKPOINT = 128
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 300_000
 
 BLOCK_SCHEMA = "file_no int, block_no int, file_start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, n_bits long, bits binary, checkpoints array<long>"
 
@@ -40,7 +42,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def make():
-        encode = word_encoder(tokenizer_path).encode
+        encode = word_encoder(tokenizer_path, CACHE_WORDS).encode
         return lambda texts: ([_narrow(encode(t) + tail, id_bytes) for t in texts],)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))

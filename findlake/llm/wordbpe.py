@@ -114,6 +114,6 @@ class WordEncoder:
         return out
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """The worker's encoder for ``path``; the next tasks of the same operator find its cache warm."""
-    return keep_warm(("words", path), lambda: WordEncoder(path))
+    return keep_warm(("words", path, cache_words), lambda: WordEncoder(path, cache_words))
