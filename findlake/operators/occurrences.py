@@ -30,9 +30,9 @@ def drop_snoozed(df: DataFrame, snoozed: str = "snoozed") -> DataFrame:
     return df.where(F.coalesce(F.trim(F.col(snoozed)), F.lit("")) == "")
 
 
-def merge_occurrences(df: DataFrame, group: Sequence[str] = ("scan_id", "key"), component: str = "component", rank: str = "sev_rank", pos: str = "pos", first: Sequence[str] = ()) -> DataFrame:
-    """One finding a group: highest severity, different non-empty components in order of first sight, and the first
-    occurrence's value of each column of ``first``, null or not.
+def merge_occurrences(df: DataFrame, group: Sequence[str] = ("scan_id", "key"), component: str = "component", rank: str = "sev_rank", pos: str = "pos", first: Sequence[str] = (), most: Sequence[str] = ()) -> DataFrame:
+    """One finding a group: highest severity, different non-empty components in order of first sight, the first
+    occurrence's value of each column of ``first``, null or not, and the largest of each column of ``most``.
 
     Components are brought down to one row each before they are gathered, so that a check with millions of hits on few
     components is no hot spot; values of the first row ride along as a struct, so that one shuffle does for both.
@@ -40,10 +40,10 @@ def merge_occurrences(df: DataFrame, group: Sequence[str] = ("scan_id", "key"),
     group = list(group)
     head = F.struct(*[F.col(c) for c in (pos, *first)])
     name = F.when(F.trim(component) != "", F.col(component))
-    each = df.groupBy(*group, name.alias("__component")).agg(F.max(rank).alias("__rank"), F.min(pos).alias("__pos"), F.min_by(head, F.col(pos)).alias("__head"), F.count("*").alias("__n"))
+    each = df.groupBy(*group, name.alias("__component")).agg(F.max(rank).alias("__rank"), F.min(pos).alias("__pos"), F.min_by(head, F.col(pos)).alias("__head"), F.count("*").alias("__n"), *[F.max(c).alias(c) for c in most])
     ordered = F.array_sort(F.collect_list(F.when(F.col("__component").isNotNull(), F.struct("__pos", "__component"))))
-    merged = each.groupBy(*group).agg(F.max("__rank").alias("sev_rank"), F.min("__pos").alias("first_pos"), F.min_by("__head", "__pos").alias("__first"), ordered.alias("__list"), F.sum("__n").alias("n_occurrences"))
-    return merged.select(*group, "sev_rank", "first_pos", "n_occurrences", F.transform("__list", lambda s: s["__component"]).alias("components"), *[F.col(f"__first.{c}").alias(c) for c in first])
+    merged = each.groupBy(*group).agg(F.max("__rank").alias("sev_rank"), F.min("__pos").alias("first_pos"), F.min_by("__head", "__pos").alias("__first"), ordered.alias("__list"), F.sum("__n").alias("n_occurrences"), *[F.max(c).alias(c) for c in most])
+    return merged.select(*group, "sev_rank", "first_pos", "n_occurrences", F.transform("__list", lambda s: s["__component"]).alias("components"), *[F.col(f"__first.{c}").alias(c) for c in first], *most)
 
 
 def best_confidence(df: DataFrame, order: Sequence[str], group: Sequence[str] = ("key",), confidence: str = "confidence") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake.functions.scoring import cvss2_to_3, cwe_label, ensure_cvss3_prefix, score_to_severity, severity_from_rank, severity_name, severity_rank
+from findlake.functions.text import collapse_whitespace, html_escape, refs_to_html
 from findlake.operators.lookups import glossary_join
+from findlake.operators.occurrences import merge_occurrences
 
 DETECT_CHARS = 65536
 #: Root elements that name a scanner.
@@ -16,7 +18,10 @@ ROOTS = {
     "NessusClientData_v2": "nessus", "nmaprun": "nmap", "OWASPZAPReport": "zap", "ScanGroup": "acunetix", "get_reports_response": "openvas", "WAS_SCAN_REPORT": "qualys",
     "SCAN": "qualys", "ASSET_DATA_REPORT": "qualys",
 }
-OCCURRENCE = ["scan_id", "scanner", "pos", "key", "title", "sev_rank", "component", "cvss_vector", "cwe", "description", "impact", "mitigation", "references"]
+OCCURRENCE = ["scan_id", "scanner", "pos", "key", "title", "sev_rank", "component", "cvss_vector", "cwe", "description", "impact", "mitigation", "references", "confidence", "tags", "steps", "notes"]
+#: The words for confidence of each scale from low to high.
+CONFIDENCES = {"zap": ["false-positive", "low", "medium", "high"], "burp": ["tentative", "firm", "certain"]}
+PEEKED_ELEMENTS = 200
 
 
 def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -25,29 +30,33 @@ def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def decode_text(files: DataFrame) -> DataFrame:
-    """``text`` without byte order mark and leading white space, or ``decode_error``."""
+    """``text`` without byte order mark and leading white space, or ``decode_error`` (odd lengths and lone surrogates of UTF-16 included)."""
     head = F.hex(F.substring("content", 1, 3))
     rest = lambda n: F.expr(f"substring(content, {n + 1}, length(content))")
     charset = F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE").otherwise("UTF-8")
     body = F.when(head == "EFBBBF", rest(3)).when(charset != "UTF-8", rest(2)).otherwise(F.col("content"))
-    plain = F.when(charset == "UTF-16LE", F.decode(body, "UTF-16LE")).when(charset == "UTF-16BE", F.decode(body, "UTF-16BE")).otherwise(F.decode(body, "UTF-8"))
-    good = F.when(charset == "UTF-8", F.is_valid_utf8(body.cast("string"))).otherwise(F.length(body) % 2 == 0)
+    plain = F.when(charset == "UTF-16LE", F.decode(body, "UTF-16LE")).when(charset == "UTF-16BE", F.decode(body, "UTF-16BE")).otherwise(body.cast("string"))
+    units = F.regexp_replace(F.hex(body), "(....)", "$1 ")
+    high, low = (F.when(charset == "UTF-16LE", f"..D[{digits}]").otherwise(f"D[{digits}]..") for digits in ("89AB", "C-F"))
+    lone = F.concat(F.lit("(?:^| )"), high, F.lit(" (?!"), low, F.lit(")|(?:^| )(?<!"), high, F.lit(" )"), low)
+    good = F.when(charset == "UTF-8", F.is_valid_utf8(plain)).when(F.length(body) % 2 != 0, False).otherwise(~F.regexp_like(units, lone))
     return files.withColumn("text", F.when(good, F.regexp_replace(plain, r"(?U)^\s+", ""))).withColumn("decode_error", F.when(~good, F.concat(F.lit("not "), charset)))
 
 
 def detect_format(text: Column) -> Column:
-    """The scanner of an export, from its first 65536 characters; null if none is recognised."""
+    """The scanner of an export, from its first 65536 characters and, under a general root, its first 200 elements; null if none is recognised."""
     head = F.substring(text, 1, DETECT_CHARS)
     json = F.when(head.contains('"server_scan_results"'), "sslyze").when(head.contains('"site"') & (head.contains('"@version"') | head.contains('"@generated"')), "zap")
     body = F.regexp_replace(head, r"(?s)^(?:\s*<\?.*?\?>|\s*<!--.*?-->|\s*<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>)+", "")
     tag = F.regexp_extract(body, r"^\s*<(?:[\w.-]+:)?([\w.-]+)", 1)
     start = F.regexp_extract(body, r"^\s*<([^>]*)>", 1)
+    near = F.slice(F.regexp_extract_all(body, F.lit(r"<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)"), 1), 2, PEEKED_ELEMENTS)
     named = F.lit(None).cast("string")
     for root, scanner in ROOTS.items():
         named = F.when(tag == root, scanner).otherwise(named)
     generic = (
         F.when((tag == "issues") & start.contains("burpVersion"), "burp")
-        .when(tag.isin("report", "results") & (start.rlike(r"\sid\s*=") | body.rlike(r"<(?:report_format|results|omp|result)\b")), "openvas")
+        .when(tag.isin("report", "results") & (start.rlike(r"\sid\s*=") | F.arrays_overlap(near, F.array(*map(F.lit, ("report_format", "results", "omp", "result"))))), "openvas")
     )
     return F.when(head.rlike(r"^\s*[\[{]"), json).otherwise(F.coalesce(named, generic))
 
@@ -79,19 +88,39 @@ def _refs(urls: Column) -> Column:
     return F.transform(F.filter(urls, lambda u: F.trim(u) != ""), lambda u: F.struct(F.trim(u).alias("text"), F.lit(None).cast("string").alias("url")))
 
 
-def nessus_occurrences(files: DataFrame, drop_snoozed: bool = True) -> DataFrame:
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _unconverted(vector: Column, converted: Column) -> Column:
+    """The note on a vector of CVSS 2 that can't be read as one."""
+    return F.when((vector != "") & converted.isNull(), F.array(F.concat(F.lit("CVSS v2 vector "), vector, F.lit(" could not be converted, dropped")))).otherwise(_none())
+
+
+def _more(confidence: Column | None = None, tags: Column | None = None, steps: Column | None = None, notes: Column | None = None) -> list[Column]:
+    """The last columns of an occurrence; a null confidence, empty lists and an empty text stand for none."""
+    told = F.lit(None).cast("string") if confidence is None else confidence
+    lists = [_none() if c is None else c for c in (tags, notes)]
+    return [told.alias("confidence"), lists[0].alias("tags"), (F.lit("") if steps is None else steps).alias("steps"), lists[1].alias("notes")]
+
+
+def nessus_occurrences(files: DataFrame, drop_snoozed: bool = False) -> DataFrame:
     item = "struct<_pluginID:string,_pluginName:string,_svc_name:string,_port:string,_protocol:string,risk_factor:string,synopsis:string,description:string,solution:string,see_also:string,cwe:string,cvss3_vector:string,cvss_vector:string,snoozed:string>"
     rows = _parse(files, "NessusClientData_v2", f"Report struct<ReportHost:array<struct<_name:string,ReportItem:array<{item}>>>>")
     hosts = rows.select("scan_id", F.posexplode("x.Report.ReportHost").alias("h", "host"))
     items = hosts.select("scan_id", "h", F.col("host._name").alias("name"), F.posexplode("host.ReportItem").alias("i", "r"))
     if drop_snoozed:
         items = items.where(_text("r.snoozed") == "")
-    where = F.concat(F.col("name"), F.lit(":"), F.col("r._port"), F.lit("/"), F.col("r._protocol"), F.lit(" ("), F.col("r._svc_name"), F.lit(")"))
-    vector = F.when(_text("r.cvss3_vector") != "", ensure_cvss3_prefix(F.col("r.cvss3_vector"))).when(_text("r.cvss_vector") != "", F.coalesce(cvss2_to_3(F.col("r.cvss_vector")), F.lit(""))).otherwise("")
+    service = F.when(_or_empty("r._svc_name") != "", F.concat(F.lit(" ("), F.col("r._svc_name"), F.lit(")"))).otherwise("")
+    where = F.concat(_or_empty("name"), F.lit(":"), _or_empty("r._port"), F.lit("/"), F.coalesce("r._protocol", F.lit("tcp")), service)
+    old, converted = _text("r.cvss_vector"), cvss2_to_3(F.col("r.cvss_vector"))
+    vector = F.when(_text("r.cvss3_vector") != "", ensure_cvss3_prefix(F.col("r.cvss3_vector"))).when(old != "", F.coalesce(converted, F.lit(""))).otherwise("")
+    notes = F.when(_text("r.cvss3_vector") == "", _unconverted(old, converted)).otherwise(_none())
+    key = _or_empty("r._pluginID")
     return items.select(
-        "scan_id", F.lit("nessus").alias("scanner"), (F.col("h").cast("long") * (1 << 32) + F.col("i")).alias("pos"), F.col("r._pluginID").alias("key"), _text("r._pluginName").alias("title"),
+        "scan_id", F.lit("nessus").alias("scanner"), (F.col("h").cast("long") * (1 << 32) + F.col("i")).alias("pos"), key.alias("key"), F.coalesce("r._pluginName", F.concat(F.lit("Plugin "), key)).alias("title"),
         severity_rank(severity_name(F.col("r.risk_factor"))).alias("sev_rank"), where.alias("component"), vector.alias("cvss_vector"), cwe_label(F.col("r.cwe")).alias("cwe"),
-        _joined(_text("r.synopsis"), _text("r.description")).alias("description"), F.lit("").alias("impact"), _text("r.solution").alias("mitigation"), _refs(F.split(F.coalesce("r.see_also", F.lit("")), "\n")).alias("references"),
+        _joined(_text("r.synopsis"), _text("r.description")).alias("description"), F.lit("").alias("impact"), _text("r.solution").alias("mitigation"), _refs(F.split(F.coalesce("r.see_also", F.lit("")), "\r\n|\r|\n")).alias("references"), *_more(notes=notes),
     )
 
 
@@ -99,17 +128,24 @@ def burp_occurrences(files: DataFrame) -> DataFrame:
     issue = "struct<type:string,name:string,host:struct<_VALUE:string,_ip:string>,path:string,location:string,severity:string,confidence:string,issueBackground:string,issueDetail:string,remediationBackground:string,remediationDetail:string,references:string>"
     rows = _parse(files, "issues", f"issue array<{issue}>").select("scan_id", F.posexplode("x.issue").alias("pos", "r"))
     kept = rows.where(F.lower(_text("r.severity")) != "false positive")
-    host = _text("r.host._VALUE")
-    where = F.concat(host, F.when(_text("r.location") != "", _text("r.location")).otherwise(_text("r.path")), F.when((_text("r.host._ip") != "") & ~host.contains(_text("r.host._ip")), F.concat(F.lit(" ("), _text("r.host._ip"), F.lit(")"))).otherwise(""))
+    ip = _text("r.host._ip")
+    host = F.when(_text("r.host._VALUE") != "", _text("r.host._VALUE")).otherwise(ip)
+    where = F.trim(F.concat(host, F.when(_text("r.location") != "", _text("r.location")).otherwise(_text("r.path")), F.when((ip != "") & (ip != host), F.concat(F.lit(" ("), ip, F.lit(")"))).otherwise("")))
+    anchor = r"""(?is)<a\s+href=['"]([^'"]+)['"][^>]*>(.*?)</a>"""
+    hrefs, labels = (F.regexp_extract_all(_or_empty("r.references"), F.lit(anchor), i) for i in (1, 2))
+    refs = F.zip_with(labels, hrefs, lambda text, url: F.struct(text.alias("text"), url.alias("url")))
+    said = F.lower(_text("r.confidence"))
     return kept.select(
-        "scan_id", F.lit("burp").alias("scanner"), F.col("pos").cast("long").alias("pos"), F.col("r.type").alias("key"), _text("r.name").alias("title"), severity_rank(severity_name(F.col("r.severity"))).alias("sev_rank"),
+        "scan_id", F.lit("burp").alias("scanner"), F.col("pos").cast("long").alias("pos"), _text("r.type").alias("key"), F.coalesce("r.name", F.lit("Unknown")).alias("title"), severity_rank(severity_name(F.col("r.severity"))).alias("sev_rank"),
         where.alias("component"), F.lit("").alias("cvss_vector"), F.lit("").alias("cwe"), _joined(_text("r.issueBackground"), _text("r.issueDetail")).alias("description"), F.lit("").alias("impact"),
-        _joined(_text("r.remediationBackground"), _text("r.remediationDetail")).alias("mitigation"), _refs(F.regexp_extract_all(F.coalesce("r.references", F.lit("")), F.lit(r'(?i)<a\s[^>]*href="([^"]+)"'), 1)).alias("references"),
+        _joined(_text("r.remediationBackground"), _text("r.remediationDetail")).alias("mitigation"), refs.alias("references"), *_more(F.when(said.isin(*CONFIDENCES["burp"]), said)),
     )
 
 
-ALERT = "pluginid:string,alertRef:string,id:string,alert:string,name:string,riskcode:string,riskdesc:string,desc:string,description:string,solution:string,reference:string,references:string,cweid:string"
+ALERT = "pluginid:string,alertRef:string,id:string,alert:string,name:string,riskcode:string,riskdesc:string,desc:string,description:string,solution:string,reference:string,references:string,cweid:string,confidence:string"
 INSTANCE = "struct<uri:string,method:string,param:string>"
+#: Fixed value: so many instances of an alert are listed in its steps; every one of them gives its component.
+SHOWN_INSTANCES = 20
 
 
 def zap_occurrences(files: DataFrame) -> DataFrame:
@@ -124,17 +160,25 @@ def zap_occurrences(files: DataFrame) -> DataFrame:
     parsed = _parse(files.where(~is_json), "OWASPZAPReport", f"site array<struct<alerts:struct<alertitem:array<struct<{ALERT},instances:struct<instance:array<{INSTANCE}>>>>>>>")
     from_xml = parsed.select("scan_id", F.posexplode("x.site").alias("s", "site")).select("scan_id", "s", F.posexplode("site.alerts.alertitem").alias("a", "r"))
     wanted = lambda instances: F.filter(instances, lambda n: F.coalesce(n["uri"], F.lit("")) != "")
-    each = from_json.select("*", F.posexplode_outer(wanted(F.col("r.instances"))).alias("i", "n")).select("scan_id", "s", "a", "i", "n", F.col("r").dropFields("instances").alias("r"))
-    each = each.unionByName(from_xml.select("*", F.posexplode_outer(wanted(F.col("r.instances.instance"))).alias("i", "n")).select("scan_id", "s", "a", "i", "n", F.col("r").dropFields("instances").alias("r")))
+    alerts = [rows.select("scan_id", "s", "a", F.col("r").dropFields("instances").alias("r"), F.col(c).alias("all")) for rows, c in ((from_json, "r.instances"), (from_xml, "r.instances.instance"))]
+    each = alerts[0].unionByName(alerts[1]).select("*", F.posexplode_outer(wanted(F.col("all"))).alias("i", "n"))
+    empty = F.lit("")
+    step = lambda n: F.concat(
+        F.lit("<li>"), html_escape(F.coalesce(n["uri"], empty)), F.lit(" ["), html_escape(F.coalesce(n["method"], F.lit("GET"))), F.lit("]"),
+        F.when(F.coalesce(n["param"], empty) != "", F.concat(F.lit(" param: <code>"), html_escape(n["param"]), F.lit("</code>"))).otherwise(""), F.lit("</li>"),
+    )
+    steps = F.when(F.size("all") > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(F.slice("all", 1, SHOWN_INSTANCES), step), ""), F.lit("</ul>"))).otherwise("")
     code = F.substring(_text("r.riskcode"), 1, 1)
     word = F.when(code.isin("0", "1", "2", "3"), F.element_at(F.array(*map(F.lit, ("informational", "low", "medium", "high"))), code.try_cast("int") + 1)).otherwise(severity_name(F.regexp_extract(_text("r.riskdesc"), r"^([^(]*)", 1)))
     filled = lambda *names: F.coalesce(*[F.when(_text(f"r.{n}") != "", F.col(f"r.{n}")) for n in names], F.lit(""))
     key = filled("alertRef", "pluginid", "id")
-    refs = F.split(F.regexp_replace(filled("reference", "references"), "\r", ""), "\n")
+    refs = F.split(F.regexp_replace(F.coalesce("r.reference", "r.references", F.lit("")), "\r", ""), "\n")
+    level = _text("r.confidence")
+    sure = F.when(level.isin(*"0123"), F.element_at(F.array(*map(F.lit, CONFIDENCES["zap"])), level.try_cast("int") + 1))
     return each.select(
         "scan_id", F.lit("zap").alias("scanner"), (F.col("s").cast("long") * (1 << 50) + F.col("a").cast("long") * (1 << 25) + F.coalesce("i", F.lit(0))).alias("pos"), key.alias("key"),
         F.coalesce("r.name", "r.alert", F.concat(F.lit("Alert "), key)).alias("title"), severity_rank(word).alias("sev_rank"), _text("n.uri").alias("component"), F.lit("").alias("cvss_vector"),
-        cwe_label(F.col("r.cweid")).alias("cwe"), F.trim(filled("desc", "description")).alias("description"), F.lit("").alias("impact"), _text("r.solution").alias("mitigation"), _refs(refs).alias("references"),
+        cwe_label(F.col("r.cweid")).alias("cwe"), F.coalesce("r.desc", "r.description", F.lit("")).alias("description"), F.lit("").alias("impact"), _text("r.solution").alias("mitigation"), _refs(refs).alias("references"), *_more(sure, steps=steps),
     )
 
 
@@ -150,18 +194,22 @@ def openvas_occurrences(files: DataFrame, min_qod: int = 0) -> DataFrame:
     places = [inner, whole(F.transform("x.report", lambda r: r["results"]["result"])), F.col("x.results.result")]
     first = F.when(F.size(places[0]) > 0, places[0]).when(F.size(places[1]) > 0, places[1]).otherwise(places[2])
     items = rows.select("scan_id", F.posexplode(first).alias("pos", "r")).where((_text("r.nvt._oid") != "") & (F.coalesce(F.col("r.qod.value").try_cast("int"), F.lit(0)) >= min_qod))
-    tag = lambda name: F.regexp_extract(F.concat(F.lit("|"), F.coalesce("r.nvt.tags", F.lit(""))), rf"\|{name}=([^|]*)", 1)
-    vector = F.when(tag("cvss_base_vector").startswith("CVSS:"), tag("cvss_base_vector")).otherwise(F.coalesce(cvss2_to_3(tag("cvss_base_vector")), F.lit("")))
+    pairs = F.split(_or_empty("r.nvt.tags"), r"\|")
+    # the last of equal names counts
+    tag = lambda name: F.coalesce(F.trim(F.regexp_replace(F.try_element_at(F.filter(pairs, lambda p: p.rlike(rf"^\s*{name}\s*=")), F.lit(-1)), r"^[^=]*=", "")), F.lit(""))
+    old, converted = tag("cvss_base_vector"), cvss2_to_3(tag("cvss_base_vector"))
+    vector = F.when(old.startswith("CVSS:"), old).otherwise(F.coalesce(converted, F.lit("")))
+    notes = F.when(old.startswith("CVSS:"), _none()).otherwise(_unconverted(old, converted))
     where = F.concat(F.when(_text("r.host.hostname") != "", _text("r.host.hostname")).otherwise(_text("r.host._VALUE")), F.when(F.lower(_text("r.port")).isin("", "general/tcp"), "").otherwise(F.concat(F.lit(":"), _text("r.port"))))
     return items.select(
         "scan_id", F.lit("openvas").alias("scanner"), F.col("pos").cast("long").alias("pos"), F.col("r.nvt._oid").alias("key"), F.when(_text("r.nvt.name") != "", _text("r.nvt.name")).otherwise(F.col("r.nvt._oid")).alias("title"),
         severity_rank(score_to_severity(F.coalesce(F.col("r.severity").try_cast("double"), F.lit(0.0)))).alias("sev_rank"), where.alias("component"), vector.alias("cvss_vector"), F.lit("").alias("cwe"), F.when(tag("summary") != "", tag("summary")).otherwise(_text("r.description")).alias("description"), tag("impact").alias("impact"), tag("solution").alias("mitigation"),
-        _refs(F.coalesce(F.transform(F.filter("r.nvt.refs.ref", lambda f: f["_type"].isin("cve", "url")), lambda f: f["_id"]), F.array().cast("array<string>"))).alias("references"),
+        _refs(F.coalesce(F.transform(F.filter("r.nvt.refs.ref", lambda f: f["_type"].isin("cve", "url")), lambda f: f["_id"]), _none())).alias("references"), *_more(notes=notes),
     )
 
 
 def acunetix_occurrences(files: DataFrame) -> DataFrame:
-    """Report items of every scan; CVE tags come before the references. ``v4_only`` marks items whose only vector is of CVSS 4."""
+    """Report items of every scan; CVE tags come before the references. An item whose only vector is of CVSS 4 gets a note."""
     item = (
         "struct<Name:string,VulnID:string,Severity:string,AffectedItem:string,Description:string,Impact:string,Recommendation:string,CWE:string,CWEList:struct<CWE:array<struct<_VALUE:string,_id:string>>>,"
         "Tags:struct<Tag:array<string>>,References:struct<Reference:array<struct<_VALUE:string>>>,CVSS3:struct<Descriptor:string>,CVSS4:struct<Descriptor:string>>"
@@ -175,14 +223,15 @@ def acunetix_occurrences(files: DataFrame) -> DataFrame:
     word = F.when(level.isin(*"01234"), severity_from_rank(level.try_cast("int"))).otherwise(severity_name(level))
     listed = F.element_at("r.CWEList.CWE", 1)
     cwe = F.when(F.size("r.CWEList.CWE") > 0, F.coalesce(F.when(F.trim(listed["_id"]) != "", listed["_id"]), listed["_VALUE"])).otherwise(F.col("r.CWE"))
-    texts = F.array().cast("array<string>")
-    cves = F.filter(F.coalesce("r.Tags.Tag", texts), lambda t: F.upper(F.trim(t)).startswith("CVE-"))
+    tags = F.filter(F.transform(F.coalesce("r.Tags.Tag", _none()), F.trim), lambda t: t != "")
+    cves = F.filter(tags, lambda t: F.upper(t).startswith("CVE-"))
+    v4_only = (_text("r.CVSS4.Descriptor") != "") & (_text("r.CVSS3.Descriptor") == "")
     refs = F.concat(cves, F.transform(F.coalesce("r.References.Reference", F.array().cast("array<struct<_VALUE:string>>")), lambda x: F.coalesce(x["_VALUE"], F.lit(""))))
     return items.select(
         "scan_id", F.lit("acunetix").alias("scanner"), (F.col("s").cast("long") * (1 << 32) + F.col("i")).alias("pos"), key.alias("key"), F.coalesce(F.when(_text("r.Name") != "", _text("r.Name")), F.concat(F.lit("Finding "), key)).alias("title"),
         severity_rank(word).alias("sev_rank"), F.concat(_text("url"), _text("r.AffectedItem")).alias("component"), _text("r.CVSS3.Descriptor").alias("cvss_vector"), cwe_label(cwe).alias("cwe"),
         _text("r.Description").alias("description"), _text("r.Impact").alias("impact"), _text("r.Recommendation").alias("mitigation"), _refs(refs).alias("references"),
-        ((_text("r.CVSS4.Descriptor") != "") & (_text("r.CVSS3.Descriptor") == "")).alias("v4_only"),
+        *_more(tags=tags, notes=F.when(v4_only, F.array(F.lit("only a CVSS v4 vector was present, dropped (v4 not supported in workspace format 2)"))).otherwise(_none())),
     )
 
 
@@ -201,7 +250,7 @@ def _qualys(rows: DataFrame) -> DataFrame:
     word = F.when(F.col("diagnostic"), "informational").when(code.isin(*"12345"), severity_from_rank(code.try_cast("int") - 1)).otherwise(severity_name(code))
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("QID "), F.col("key")))
     return rows.select(
-        "scan_id", F.lit("qualys").alias("scanner"), "pos", "key", title.alias("title"), severity_rank(word).alias("sev_rank"), "component", "cvss_vector", F.lit("").alias("cwe"), "description", "impact", "mitigation", "references",
+        "scan_id", F.lit("qualys").alias("scanner"), "pos", "key", title.alias("title"), severity_rank(word).alias("sev_rank"), "component", "cvss_vector", F.lit("").alias("cwe"), "description", "impact", "mitigation", "references", *_more(),
     )
 
 
@@ -271,7 +320,7 @@ def qualys_occurrences(files: DataFrame) -> DataFrame:
 
 #: What a TLS scan is checked for: field, plugin id, title, severity. Texts are this library's own.
 TLS_PROTOCOLS = [
-    ("ssl_2_0_cipher_suites", "sslyze:ssl_2_0", "SSL 2.0 Enabled", "critical"), ("ssl_3_0_cipher_suites", "sslyze:ssl_3_0", "SSL 3.0 Enabled", "high"),
+    ("ssl_2_0_cipher_suites", "sslyze:ssl_2_0", "SSL 2.0 Enabled", "critical"), ("ssl_3_0_cipher_suites", "sslyze:ssl_3_0", "SSL 3.0 Enabled (POODLE)", "high"),
     ("tls_1_0_cipher_suites", "sslyze:tls_1_0", "TLS 1.0 Enabled", "medium"), ("tls_1_1_cipher_suites", "sslyze:tls_1_1", "TLS 1.1 Enabled", "medium"),
 ]
 PROTOCOL_FIX = "<p>Accept TLS 1.2 and TLS 1.3 only.</p>"
@@ -332,7 +381,7 @@ def sslyze_occurrences(files: DataFrame) -> DataFrame:
     where = F.concat(F.coalesce(F.when(place["hostname"] != "", place["hostname"]), place["ip_address"], F.lit("unknown")), F.lit(":"), F.coalesce(place["port"], F.lit("443")))
     return rows.select("scan_id", "s", where.alias("component"), F.posexplode(hits).alias("i", "h")).select(
         "scan_id", F.lit("sslyze").alias("scanner"), (F.col("s").cast("long") * (1 << 32) + F.col("i")).alias("pos"), F.col("h.key").alias("key"), F.col("h.title").alias("title"), severity_rank(F.col("h.severity")).alias("sev_rank"), "component",
-        F.lit("").alias("cvss_vector"), F.lit("").alias("cwe"), F.col("h.description").alias("description"), F.lit("").alias("impact"), F.col("h.mitigation").alias("mitigation"), _refs(F.array().cast("array<string>")).alias("references"),
+        F.lit("").alias("cvss_vector"), F.lit("").alias("cwe"), F.col("h.description").alias("description"), F.lit("").alias("impact"), F.col("h.mitigation").alias("mitigation"), _refs(_none()).alias("references"), *_more(),
     )
 
 
@@ -340,10 +389,29 @@ def sslyze_occurrences(files: DataFrame) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"nessus": nessus_occurrences, "burp": burp_occurrences, "zap": zap_occurrences, "openvas": openvas_occurrences, "acunetix": acunetix_occurrences, "qualys": qualys_occurrences, "sslyze": sslyze_occurrences}
 
 
+def store_routed(routed: DataFrame, folder: str) -> DataFrame:
+    """``routed`` as a table of one partition a scanner: files are read, decoded and recognised once, and a parser reads its own partition only."""
+    routed.write.mode("overwrite").partitionBy("scanner").parquet(folder)
+    return routed.sparkSession.read.schema(routed.schema).parquet(folder)
+
+
 def ingest(routed: DataFrame) -> DataFrame:
-    """Raw occurrences of all routed files that have a parser: a branch a scanner, each over its own files."""
+    """Raw occurrences of all routed files that have a parser: a branch a scanner, each over its own files.
+
+    Each branch reads ``routed`` again; give it a table of ``store_routed`` where there are many files.
+    """
     out = None
     for scanner, parser in PARSERS.items():
         part = parser(routed.where((F.col("status") == "ok") & (F.col("scanner") == scanner))).select(*OCCURRENCE)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def findings(raw: DataFrame) -> DataFrame:
+    """One finding a scan and key: highest severity, components in order of first sight, the highest confidence as a tag, all else of the first occurrence."""
+    first = ["title", "cvss_vector", "cwe", "description", "impact", "mitigation", "references", "tags", "steps", "notes"]
+    scale = F.coalesce(*[F.nullif(F.array_position(F.array(*map(F.lit, words)), F.col("confidence")), F.lit(0)) for words in CONFIDENCES.values()])
+    merged = merge_occurrences(raw.withColumn("__level", scale), ["scan_id", "scanner", "key"], first=first, most=["__level"])
+    word = F.coalesce(*[F.when(F.col("scanner") == scanner, F.try_element_at(F.array(*map(F.lit, words)), F.col("__level").cast("int"))) for scanner, words in CONFIDENCES.items()])
+    tags = F.when(word.isNull(), F.col("tags")).otherwise(F.concat("tags", F.array(F.concat(F.lit("confidence:"), word))))
+    return merged.withColumns({"title": collapse_whitespace(F.col("title")), "references": refs_to_html(F.col("references")), "tags": tags}).drop("__level")
