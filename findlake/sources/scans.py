@@ -223,7 +223,7 @@ def acunetix_occurrences(files: DataFrame) -> DataFrame:
     word = F.when(level.isin(*"01234"), severity_from_rank(level.try_cast("int"))).otherwise(severity_name(level))
     listed = F.element_at("r.CWEList.CWE", 1)
     cwe = F.when(F.size("r.CWEList.CWE") > 0, F.coalesce(F.when(F.trim(listed["_id"]) != "", listed["_id"]), listed["_VALUE"])).otherwise(F.col("r.CWE"))
-    tags = F.filter(F.transform(F.coalesce("r.Tags.Tag", _none()), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.coalesce("r.Tags.Tag", _none()), lambda t: F.trim(t)), lambda t: t != "")
     cves = F.filter(tags, lambda t: F.upper(t).startswith("CVE-"))
     v4_only = (_text("r.CVSS4.Descriptor") != "") & (_text("r.CVSS3.Descriptor") == "")
     refs = F.concat(cves, F.transform(F.coalesce("r.References.Reference", F.array().cast("array<struct<_VALUE:string>>")), lambda x: F.coalesce(x["_VALUE"], F.lit(""))))
