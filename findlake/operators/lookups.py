@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.text import slugify, stem
+from findlake.operators.numbering import numbered
 
 
 def glossary_join(items: DataFrame, glossary: DataFrame, key: str | list[str], pos: str, defaults: dict[str, object]) -> DataFrame:
@@ -89,30 +90,38 @@ def file_stems(df: DataFrame, title: str = "title", key: str = "key", content: s
 
 def dedupe_names(df: DataFrame, folder: str = "folder", name: str = "name", order: str = "id") -> DataFrame:
     """``unique_name``: in order of id ``n``, ``n-2``, ``n-3``..., for folders where no name itself ends in such a number."""
-    k = F.row_number().over(Window.partitionBy(folder, name).orderBy(order))
-    return df.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), k.cast("string"))))
+    k = F.col("__k")
+    return numbered(df, [folder, name], [order], "__k").withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), k.cast("string")))).drop("__k")
 
 
 def dedupe_names_exact(df: DataFrame, folder: str = "folder", name: str = "name", order: str = "id") -> DataFrame:
-    """As ``dedupe_names``, also where names look like numbered ones: such folders are gone through in order of id, one task a folder."""
-    numbered = df.where(F.col(name).rlike(r"-\d+$")).select(folder).distinct()
+    """As ``dedupe_names``, also where names look like numbered ones.
+
+    Only names that are equal without such endings can meet, so a folder falls into families of them; families with a name that looks
+    numbered are gone through in order of id, a family in one task.
+    """
+    df = df.withColumn("__family", F.regexp_replace(name, r"(-\d+)+$", ""))
+    family = [folder, "__family"]
+    looks = df.where(F.col(name).rlike(r"-\d+$")).select(*family).distinct()
     columns = [*df.columns, "unique_name"]
 
     def one(rows):
-        taken, out = set(), []
-        for n in rows.sort_values(order)[name]:
-            new, k = n, 2
+        taken, following, out = set(), {}, []
+        rows = rows.sort_values(order)
+        for n in rows[name]:
+            new, k = n, following.get(n, 2)
             while new in taken:
                 new, k = f"{n}-{k}", k + 1
+            following[n] = k
             taken.add(new)
             out.append(new)
-        return rows.sort_values(order).assign(unique_name=out)[columns]
+        return rows.assign(unique_name=out)[columns]
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("unique_name", T.StringType())])
-    plain = dedupe_names(df.join(numbered, folder, "left_anti").select(*df.columns), folder, name, order)
-    return plain.unionByName(df.join(numbered, folder, "left_semi").select(*df.columns).groupBy(folder).applyInPandas(one, schema))
+    plain = dedupe_names(df.join(looks, family, "left_anti").select(*df.columns), folder, name, order)
+    return plain.unionByName(df.join(looks, family, "left_semi").select(*df.columns).groupBy(*family).applyInPandas(one, schema)).drop("__family")
 
 
 def keep_newest(runs: DataFrame, n: int = 10, order: str = "run_id") -> DataFrame:
@@ -163,8 +172,8 @@ def end_of_band_position(new: DataFrame, existing: DataFrame, order: str) -> Dat
     """``position`` of new rows of each (report, severity): after the highest there is, in order."""
     band = ["report", "severity"]
     top = existing.groupBy(*band).agg(F.max("position").alias("__top"))
-    k = F.row_number().over(Window.partitionBy(*band).orderBy(order)) - 1
-    return new.join(top, band, "left").withColumn("position", F.coalesce(F.col("__top") + 1, F.lit(0)) + k).drop("__top")
+    placed = numbered(new, band, [order], "__k").join(top, band, "left")
+    return placed.withColumn("position", F.coalesce(F.col("__top") + 1, F.lit(0)) + F.col("__k") - 1).drop("__top", "__k")
 
 
 def ordered_members(rows: DataFrame, group: str, order: Sequence[str], value: str, out: str) -> DataFrame:
@@ -178,9 +187,8 @@ def ordered_members(rows: DataFrame, group: str, order: Sequence[str], value: st
 
 def identical_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """One-to-one ``old_path, new_path`` of equal hashes, both in order of path: what a greedy match gives where all edges are equal."""
-    k = lambda: F.row_number().over(Window.partitionBy("hash").orderBy("path"))
-    a = old.where("hash is not null").select("hash", F.col("path").alias("old_path"), k().alias("k"))
-    b = new.where("hash is not null").select("hash", F.col("path").alias("new_path"), k().alias("k"))
+    a = numbered(old.where("hash is not null").select("hash", F.col("path").alias("old_path")), ["hash"], ["old_path"], "k")
+    b = numbered(new.where("hash is not null").select("hash", F.col("path").alias("new_path")), ["hash"], ["new_path"], "k")
     return a.join(b, ["hash", "k"]).select("old_path", "new_path")
 
 
@@ -239,8 +247,8 @@ def greedy_match(edges: DataFrame, rounds: int = 200) -> DataFrame:
 def record_changes(plan: DataFrame, run_id: str) -> DataFrame:
     """A row a remote write with the content before and the hash after, numbered by kind."""
     writes = plan.where(F.col("outcome").isin("PUSH", "CREATE", "DELETE_REMOTE", "MOVE_EDIT"))
-    seq = F.row_number().over(Window.partitionBy("kind").orderBy("id", "path"))
-    return writes.select(F.lit(run_id).alias("run_id"), "kind", seq.alias("seq"), "outcome", "path", "id", F.col("remote_hash").alias("preimage"), F.when(F.col("outcome") != "DELETE_REMOTE", F.col("local_hash")).alias("post_write_hash"))
+    writes = numbered(writes, ["kind"], ["id", "path"], "seq")
+    return writes.select(F.lit(run_id).alias("run_id"), "kind", "seq", "outcome", "path", "id", F.col("remote_hash").alias("preimage"), F.when(F.col("outcome") != "DELETE_REMOTE", F.col("local_hash")).alias("post_write_hash"))
 
 
 def restore_run(log: DataFrame, now: DataFrame) -> DataFrame:

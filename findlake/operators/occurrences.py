@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.scoring import SEVERITIES, parse_severity_filter, severity_from_rank
+from findlake.operators.numbering import numbered
 
 
 def severity_filter(df: DataFrame, spec: str, rank: str = "sev_rank") -> DataFrame:
@@ -69,7 +70,7 @@ def parse_summary(status: DataFrame) -> DataFrame:
 
 def rank_findings(findings: DataFrame, scan: str = "scan_id") -> DataFrame:
     """``place`` in each scan: most severe first, ties in order of first sight."""
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy(scan).orderBy(F.desc("sev_rank"), "first_pos")))
+    return numbered(findings, [scan], [F.desc("sev_rank"), F.col("first_pos")], "place")
 
 
 def top_instances(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int = 20) -> DataFrame:

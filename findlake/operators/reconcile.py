@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findlake.operators.numbering import numbered
+
 REMOTE_WRITES = ["PUSH", "CREATE", "DELETE_REMOTE", "MOVE_EDIT"]
 LOCAL_LOSSES = ["PULL", "DELETE_LOCAL"]
 
@@ -124,9 +126,8 @@ def apply_plan(plan: DataFrame) -> DataFrame:
     )
     # an id is one of its kind, so that kinds are numbered apart
     top = kept.groupBy("kind").agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("path")).cast("long")
-    numbered = kept.where("id is null").withColumn("id", place).join(top, "kind").withColumn("id", F.col("id") + F.col("__top")).drop("__top")
-    return kept.where("id is not null").unionByName(numbered)
+    new = numbered(kept.where("id is null").drop("id"), ["kind"], ["path"], "id")
+    return kept.where("id is not null").unionByName(new.join(F.broadcast(top), "kind").withColumn("id", F.col("id") + F.col("__top")).drop("__top"))
 
 
 def drift_check(plan: DataFrame, now: DataFrame) -> DataFrame:
@@ -151,9 +152,9 @@ def offline_status(local: DataFrame, indexed: DataFrame, failures: DataFrame) ->
     both = local.join(indexed.select("path", "kind", "base_hash", F.lit(True).alias("__i")), ["path", "kind"], "full")
     status = F.when(F.col("__i").isNull(), "new").when(F.col("local_hash").isNull(), "deleted").when(F.col("base_hash").isNull(), "unknown").when(F.col("local_hash") == F.col("base_hash"), "clean").otherwise("edited")
     rows = both.withColumn("status", status)
-    order = lambda c: F.row_number().over(Window.partitionBy("kind", c).orderBy("path"))
-    gone = rows.where("status = 'deleted' and base_hash is not null").select("kind", F.col("base_hash").alias("h"), order("base_hash").alias("k"), F.col("path").alias("move_from"))
-    new = rows.where("status = 'new' and local_hash is not null").select("kind", F.col("local_hash").alias("h"), order("local_hash").alias("k"), "path")
+    gone = rows.where("status = 'deleted' and base_hash is not null").select("kind", F.col("base_hash").alias("h"), F.col("path").alias("move_from"))
+    new = rows.where("status = 'new' and local_hash is not null").select("kind", F.col("local_hash").alias("h"), "path")
+    gone, new = numbered(gone, ["kind", "h"], ["move_from"], "k"), numbered(new, ["kind", "h"], ["path"], "k")
     moves = new.join(gone, ["kind", "h", "k"]).select("path", "kind", "move_from")
     rest = rows.join(moves.select(F.col("move_from").alias("path"), "kind"), ["path", "kind"], "left_anti").join(moves, ["path", "kind"], "left")
     bad = failures.select("path").distinct().withColumn("__bad", F.lit(True))

@@ -98,7 +98,7 @@ def agg5_parse_summary(spark, sf_dir):
 
 @query(OCC + ", m AS (SELECT scan_id, key, max(sev_rank) AS sev_rank, min(pos) AS first_pos FROM occ GROUP BY ALL) SELECT scan_id, key, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY sev_rank DESC, first_pos) AS INTEGER) AS place FROM m")
 def win1_rank_findings(spark, sf_dir):
-    return occurrences.rank_findings(occurrences.merge_occurrences(occ(spark, sf_dir))).select("scan_id", "key", "place")
+    return occurrences.rank_findings(occurrences.merge_occurrences(occ(spark, sf_dir))).select("scan_id", "key", F.col("place").cast("int").alias("place"))
 
 
 @query(OCC + " SELECT key, pos, CAST(k AS INTEGER) AS place FROM (SELECT key, pos, row_number() OVER (PARTITION BY key ORDER BY pos) AS k FROM occ) WHERE k <= 20")

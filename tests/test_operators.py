@@ -251,3 +251,39 @@ def test_line_rules(spark):
     got = sorted((r.rule_id, r.doc_id, r.line) for r in documents.line_hygiene(docs).collect())
     assert got == [("WIKI-009", 1, None), ("WIKI-009", 3, None), ("WIKI-010", 2, 1)]
     assert [(r.doc_id, r.message) for r in documents.control_characters(documents.explode_lines(docs)).collect()] == [(5, "U+200B")]
+
+
+def test_numbers_in_groups_of_any_size(spark):
+    from findlake.operators.numbering import numbered
+
+    rows = [("hot", i * 37 % 1000) for i in range(1000)] + [("a", None), ("a", 1), (None, 5), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(7)
+    got = {(r.g, r.v): r.k for r in numbered(df, ["g"], ["v"], "k").collect()}
+    assert got == {**{("hot", v): v + 1 for v in range(1000)}, ("a", None): 1, ("a", 1): 2, (None, 4): 1, (None, 5): 2}
+    assert numbered(df.where("v > 5000"), ["g"], ["v"], "k").count() == 0
+
+
+def test_families_of_names_are_numbered_apart(spark):
+    rows = [(1, "d", "a-2"), (2, "d", "a"), (3, "d", "a"), (4, "d", "a"), (5, "d", "b"), (6, "d", "b"), (7, "e", "a"), (8, "d", "a-2"), (9, None, "a")]
+    got = lookups.dedupe_names_exact(spark.createDataFrame(rows, "id int, folder string, name string"))
+    assert {r.id: r.unique_name for r in got.collect()} == {1: "a-2", 2: "a", 3: "a-3", 4: "a-4", 5: "b", 6: "b-2", 7: "a", 8: "a-2-2", 9: "a"}
+
+
+def test_findings_keep_the_first_and_the_surest(spark, tmp_path):
+    issue = lambda name, severity, sure, path: f"<issue><type>1</type><name>{name}</name><host ip='1.1.1.1'></host><path>{path}</path><severity>{severity}</severity><confidence>{sure}</confidence></issue>"
+    burp = "<issues burpVersion='1'>" + issue("A  b", "Low", "Tentative", "/x") + issue("other", "High", "Certain", "/y") + issue("other", "Low", "Firm", "/x") + "</issues>"
+    nessus = NESSUS.replace("CVSS2#AV:N/AC:M/Au:N/C:P/I:N/A:N", "junk").replace('svc_name="www"', 'svc_name=""').replace('protocol="tcp"', "")
+    for name, text in {"b.xml": burp, "n.xml": nessus}.items():
+        (tmp_path / name).write_text(text)
+    routed = scans.store_routed(scans.route_files(scans.scan_files(spark, str(tmp_path))), str(tmp_path / "routed"))
+    got = {r.scanner: r for r in scans.findings(scans.ingest(routed)).collect()}
+    b, n = got["burp"], got["nessus"]
+    assert (b.title, b.sev_rank, b.components, b.tags, b.notes) == ("A b", 3, ["1.1.1.1/x", "1.1.1.1/y"], ["confidence:certain"], [])
+    assert (n.components, n.cvss_vector, n.notes, n.tags) == (["h1:80/tcp"], "", ["CVSS v2 vector junk could not be converted, dropped"], [])
+
+
+def test_lone_surrogates_are_an_encoding_error(spark, tmp_path):
+    for name, data in {"good": b"\xff\xfe" + "<nmaprun a='\U0001f600'/>".encode("utf-16-le"), "high": b"\xff\xfe<\x00\x3d\xd8", "low": b"\xfe\xff\x00<\xde\x00", "twice": b"\xfe\xff\xd8\x3d\xd8\x3d\xde\x00"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in scans.route_files(scans.scan_files(spark, str(tmp_path))).collect()}
+    assert got == {"good": "refused", "high": "encoding error", "low": "encoding error", "twice": "encoding error"}
