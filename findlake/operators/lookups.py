@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.text import slugify, stem
@@ -57,14 +60,31 @@ def scope_tripwire(projects: DataFrame, reports: DataFrame, scopes: DataFrame, k
     return projects.join(reports.select(key).distinct(), key, "left_semi").join(scopes.select(key).distinct(), key, "left_anti")
 
 
+def _swap_images(docs: DataFrame, pattern: str, inner: str, names: DataFrame, new: Column, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the target of each image that ``pattern`` finds put as ``new`` where ``names`` (target, value) has it.
+
+    Only targets are exploded and shuffled, and come back by id; ids are those of one document each. Texts that are null stay so.
+    """
+    found = docs.select(id_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(pattern), 0)).alias("k", "m")).withColumn("target", F.regexp_extract("m", inner, 1))
+    told = found.join(names, "target", "left").join(docs.drop(text_col), id_col)
+    kept = F.concat(F.regexp_extract("m", r"^(!\[[^\]]*\]\()", 1), new, F.regexp_extract("m", r"((?:\s+\"[^\"]*\")?\))$", 1))
+    each = told.select(id_col, F.struct("k", F.coalesce(kept, F.col("m")).alias("t")).alias("x"))
+    tokens = each.groupBy(id_col).agg(F.array_sort(F.collect_list("x"))["t"].alias("__t"))
+    joined = F.array_join(F.zip_with(F.split(text_col, pattern), "__t", lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), "")
+    return docs.join(tokens, id_col, "left").withColumn(text_col, F.when(F.col("__t").isNull(), F.col(text_col)).otherwise(joined)).select(*docs.columns)
+
+
 def translate_urls(docs: DataFrame, gallery: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every ``images/<name>`` that the gallery (name, url) knows replaced by its address; others stay."""
-    parts = docs.select(id_col, F.posexplode(F.split(text_col, r"(?=images/[A-Za-z0-9._-]+)")))
-    name = F.regexp_extract("col", r"^images/([A-Za-z0-9._-]+)", 1)
-    known = gallery.groupBy("name").agg(F.min("url").alias("url"))
-    joined = parts.withColumn("name", name).join(known, "name", "left")
-    new = F.when(F.col("url").isNotNull(), F.concat("url", F.expr("substring(col, length(name) + 8)"))).otherwise(F.col("col"))
-    return joined.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", new.alias("t")))), lambda s: s["t"]), "").alias(text_col))
+    """``docs`` with every image in ``images/`` or ``../images/`` that the gallery (name, url) knows put as its address; others, and paths that aren't images, stay."""
+    known = gallery.groupBy(F.col("name").alias("target")).agg(F.min("url").alias("value"))
+    return _swap_images(docs, r"!\[[^\]]*\]\((?:\.\./)?images/[^)\s\"]+(?:\s+\"[^\"]*\")?\)", r"\]\((?:\.\./)?images/([^)\s\"]+)", known, F.col("value"), id_col, text_col)
+
+
+def localise_urls(docs: DataFrame, gallery: DataFrame, in_chapter: str = "in_chapter", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The way back: images at an address of the gallery as files in ``images/``, or ``../images/`` for documents ``in_chapter``."""
+    known = gallery.groupBy(F.col("url").alias("target")).agg(F.min("name").alias("value"))
+    path = F.concat(F.when(F.col(in_chapter), "../images/").otherwise("images/"), F.col("value"))
+    return _swap_images(docs, r"!\[[^\]]*\]\(https?://[^)\s\"]+(?:\s+\"[^\"]*\")?\)", r"\]\((https?://[^)\s\"]+)", known, path, id_col, text_col)
 
 
 # Naming
@@ -198,11 +218,6 @@ def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> Dat
     Both sides have block, path, text. The ratio is at most 2 * shorter / (sum of lengths), so only texts whose lengths are near
     enough can reach it: lengths are cut into ranges of that ratio, and a text meets its own range and the next.
     """
-    import math
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     step = math.log(2 / threshold - 1)
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
 

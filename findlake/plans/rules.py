@@ -288,12 +288,33 @@ def joi6_internal_links(spark, sf_dir):
     return lookups.internal_link_check(links, known, "wiki").select("doc_id", "url")
 
 
-@query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'u/' || doc_id % 50 ELSE 'images/' || doc_id % 50 || '.png' END || ' ' || text) AS digest FROM documents WHERE text NOT LIKE '%images/%'")
+@query("""WITH d AS (SELECT doc_id, doc_id % 50 AS n, text, doc_id % 2 = 0 AS known, CASE WHEN doc_id % 3 = 0 THEN '../images/' ELSE 'images/' END AS home FROM documents),
+p AS (SELECT *, text || ' images/e' || n || '.png ' AS middle, CASE WHEN known THEN 'https://u/' || n ELSE 'images/' || n || '.png' END AS there, CASE WHEN known THEN 'https://u/' || n ELSE '../images/' || n || '.png' END AS deep FROM d)
+SELECT doc_id, md5('![a](' || there || ' "t") ' || middle || '![b](' || deep || ')') AS remote_digest,
+ md5('![a](' || CASE WHEN known THEN home || 'e' || n || '.png' ELSE there END || ' "t") ' || middle || '![b](' || CASE WHEN known THEN home || 'e' || n || '.png' ELSE deep END || ')') AS local_digest FROM p""")
 def joi12_translate_urls(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("text not like '%images/%'")
-    name = F.concat(F.lit("images/"), F.when(F.col("doc_id") % 2 == 0, "e").otherwise(""), (F.col("doc_id") % 50).cast("string"), F.lit(".png "))
-    gallery = docs.select(F.concat(F.lit("e"), (F.col("doc_id") % 50).cast("string"), F.lit(".png")).alias("name"), F.concat(F.lit("u/"), (F.col("doc_id") % 50).cast("string")).alias("url")).distinct()
-    return lookups.translate_urls(docs.select("doc_id", F.concat(name, "text").alias("text")), gallery).select("doc_id", F.md5("text").alias("digest"))
+    n, known = (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 2 == 0, "e").otherwise("")
+    said = F.concat(F.lit("![a](images/"), known, n, F.lit('.png "t") '), F.col("text"), F.lit(" images/e"), n, F.lit(".png ![b](../images/"), known, n, F.lit(".png)"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 == 0).alias("in_chapter"), said.alias("text"))
+    gallery = docs.select(F.concat(F.lit("e"), n, F.lit(".png")).alias("name"), F.concat(F.lit("https://u/"), n).alias("url")).distinct()
+    remote = lookups.translate_urls(docs, gallery)
+    local = lookups.localise_urls(remote, gallery)
+    return remote.select("doc_id", F.md5("text").alias("remote_digest")).join(local.select("doc_id", F.md5("text").alias("local_digest")), "doc_id")
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 4 = 0 OR o_orderkey % 6 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS changed FROM orders""")
+def joi11_changed_since_witness(spark, sf_dir):
+    remote = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 9).alias("revision"))
+    k = F.col("id")
+    state = remote.where(k % 4 != 0).select("id", F.when(k % 6 != 0, "sha256:x").alias("base_hash"), F.when(k % 5 == 0, None).otherwise(F.col("updated_at")).alias("updated_at"), F.when(k % 7 == 0, 99).otherwise(F.col("revision")).alias("revision"))
+    return reconcile.changed_since_witness(remote, state, ["updated_at", "revision"]).select("id", "changed")
+
+
+# The ratio of matching blocks has no SQL form; a test holds it against all pairs.
+@query()
+def mat1_similar_pairs(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("block"), F.col("p_partkey").alias("path"), F.col("p_name").alias("text"))
+    return lookups.similar_pairs(rows.where("path % 2 = 0"), rows.where("path % 2 = 1"))
 
 
 @query("WITH e AS (SELECT o_custkey AS old_path, o_orderkey AS new_path, o_totalprice AS score FROM orders) SELECT old_path, new_path, score FROM (SELECT *, row_number() OVER (PARTITION BY old_path ORDER BY score DESC, new_path) AS k FROM e) WHERE k = 1")

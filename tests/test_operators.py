@@ -287,3 +287,30 @@ def test_lone_surrogates_are_an_encoding_error(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.status for r in scans.route_files(scans.scan_files(spark, str(tmp_path))).collect()}
     assert got == {"good": "refused", "high": "encoding error", "low": "encoding error", "twice": "encoding error"}
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    texts = ["", " ", "a", "aa  b"] + ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 60))) for _ in range(56)]
+    rows = [("x" if i % 3 else "y", i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "block string, path int, text string")
+    got = {(r.old_path, r.new_path): round(r.score, 9) for r in lookups.similar_pairs(df.where("path % 2 = 0"), df.where("path % 2 = 1")).collect()}
+    want = {}
+    for b, i, s in rows[::2]:
+        for c, j, t in rows[1::2]:
+            s2, t2 = " ".join(s.split()), " ".join(t.split())
+            score = 1.0 if s2 == t2 else SequenceMatcher(None, s2, t2).ratio()
+            if b == c and score >= 0.6:
+                want[i, j] = round(score, 9)
+    assert got == want
+
+
+def test_images_are_translated_both_ways(spark):
+    docs = spark.createDataFrame([(1, True, "![a](images/x.png \"t\") images/x.png ![b](../images/y.png)![](images/x.png)"), (2, False, None), (3, False, "")], "doc_id int, in_chapter boolean, text string")
+    gallery = spark.createDataFrame([("x.png", "https://g/1")], "name string, url string")
+    remote = lookups.translate_urls(docs, gallery)
+    assert {r.doc_id: r.text for r in remote.collect()} == {1: "![a](https://g/1 \"t\") images/x.png ![b](../images/y.png)![](https://g/1)", 2: None, 3: ""}
+    assert {r.doc_id: r.text for r in lookups.localise_urls(remote, gallery).collect()}[1] == "![a](../images/x.png \"t\") images/x.png ![b](../images/y.png)![](../images/x.png)"
