@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there: ``spark.checkpoint.dir``, or a new one for a local session without it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="findlake-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one for a local session without it."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="findlake-")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of any store that Spark writes to; nothing happens once the session has ended."""
+    context = spark.sparkContext
+    if context._jsc is not None and context._jvm is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    folder = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(delete_folder, spark, folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

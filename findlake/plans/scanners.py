@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findlake.operators.numbering import scratch_folder
 from findlake.plans.queries import query, read
 from findlake.sources import scans
 
@@ -251,3 +252,61 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(event_id AS VARCHAR) AS path, v.scanner, v.status, v.reason, v.text FROM events JOIN (VALUES {SAID}) AS v(i, scanner, status, reason, text) ON event_id % {len(FORMS)} = v.i")
 def src1_src4_ing10_route(spark, sf_dir):
     return scans.route_files(exports(spark, sf_dir).drop("form"))
+
+
+#: Broken and sound files of every scanner: text, scanner, status, reason. The last two items are found at a depth of their own.
+BROKEN = [
+    ("<NessusClientData_v2><Report><ReportHost name=\"h\"><ReportItem pluginID=\"1\"", "nessus", "parse error", "malformed XML"), ("<NessusClientData_v2></NessusClientData_v2>", "nessus", "ok", None), ("<issues burpVersion=\"1\"><issue><name>a & b</name></issue></issues>", "burp", "parse error", "malformed XML"),
+    ("<issues burpVersion=\"1\"><issue><name>a</name></issue></issues>", "burp", "ok", None), ("<OWASPZAPReport><site></OWASPZAPReport>", "zap", "parse error", "malformed XML"), ("{\"@version\":\"2\",\"site\":[{\"alerts\":[{\"name\":\"x\"", "zap", "parse error", "malformed JSON"),
+    ("{\"@version\":\"2\",\"site\":[{\"alerts\":[{\"name\":\"x\"}]}]}", "zap", "ok", None), ("<report id=\"1\"><results><result>", "openvas", "parse error", "malformed XML"), ("<SCAN><IP value=\"1\"></SCAN>", "qualys", "parse error", "malformed XML"),
+    ("<SCAN></SCAN>trailing", "qualys", "parse error", "text after the root element"), ("<WAS_SCAN_REPORT><RESULTS><A></A></RESULTS>", "qualys", "parse error", "malformed XML"), ("<ASSET_DATA_REPORT/><!-- end -->", "qualys", "ok", None),
+    ("{\"server_scan_results\":[{\"scan_status\":\"COMPLETED\"", "sslyze", "parse error", "malformed JSON"), ("{\"server_scan_results\":[]}", "sslyze", "ok", None), ("<ScanGroup><Scan><StartURL>u</StartURL>", "acunetix", "parse error", "malformed XML"),
+    ("<ScanGroup><A><Scan><StartURL>u</StartURL><B><C><ReportItem><VulnID>v</VulnID><Name>deep</Name></ReportItem></C></B></Scan></A></ScanGroup>", "acunetix", "ok", None),
+    ("<NessusClientData_v2><A><Report><B><ReportHost name=\"h\"><ReportItem pluginID=\"p\" pluginName=\"deep\"><description><![CDATA[<ReportHost name=\"no\">]]></description></ReportItem></ReportHost></B></Report></A></NessusClientData_v2>", "nessus", "ok", None),
+]
+
+
+def broken_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file an event, of each of ``BROKEN`` by turns."""
+    n = F.col("event_id")
+    return read(spark, sf_dir, "events").select(n.cast("string").alias("path"), F.encode(pick(n, *[f[0] for f in BROKEN]), "UTF-8").alias("content"))
+
+
+TOLD = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in (i, scanner, status, reason)) + ")" for i, (_, scanner, status, reason) in enumerate(BROKEN))
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS path, v.scanner, v.status, v.reason FROM events JOIN (VALUES {TOLD}) AS v(i, scanner, status, reason) ON event_id % {len(BROKEN)} = v.i")
+def src4_parse_errors(spark, sf_dir):
+    return scans.route_files(broken_exports(spark, sf_dir)).select("path", "scanner", "status", "reason")
+
+
+@query(f"SELECT v.scanner, v.status, count(*) AS n_files FROM events JOIN (VALUES {TOLD}) AS v(i, scanner, status, reason) ON event_id % {len(BROKEN)} = v.i GROUP BY ALL")
+def src4_file_status(spark, sf_dir):
+    return scans.file_status(scans.route_files(broken_exports(spark, sf_dir)))
+
+
+def _found(number: int, scanner: str, title: str, component: str, description: str = "") -> str:
+    return f"SELECT CAST(event_id AS VARCHAR) AS scan_id, '{scanner}' AS scanner, '{title}' AS title, '{component}' AS component, '{description}' AS description FROM events WHERE event_id % {len(BROKEN)} = {number}"
+
+
+@query(" UNION ALL ".join([_found(3, "burp", "a", ""), _found(6, "zap", "x", ""), _found(15, "acunetix", "deep", "u"), _found(16, "nessus", "deep", "h:/tcp", '<ReportHost name="no">')]))
+def ing_any_depth(spark, sf_dir):
+    """What the sound ones of ``BROKEN`` hold, wherever it stands; broken files give nothing and stop nothing."""
+    routed = scans.store_routed(scans.route_files(broken_exports(spark, sf_dir)), scratch_folder(spark, "routed"))
+    return scans.ingest(routed).select("scan_id", "scanner", "title", "component", "description")
+
+
+@query(twin(
+    key="'p' || k % 5", sev_rank="CAST(k % 5 AS INTEGER)", component="'h' || n || ':' || k || '/tcp'", title="'Check ' || k % 5", description="'D <' || k",
+).replace(f"CAST(n // {A_FILE} AS VARCHAR) AS scan_id", "'all' AS scan_id"))
+def src1_split_exports(spark, sf_dir):
+    """Exports read in splits: all events as hosts of one report, in files that Spark wrote, each read by many tasks."""
+    n, k = numbers()
+    item = tag("ReportItem", join(tag("risk_factor", pick(k, "None", "Low", "Medium", "High", "Critical")), tag("description", join("<![CDATA[D <", k, "]]>"))), join(' pluginID="p', k % 5, '" pluginName="Check  ', k % 5, '" port="', k, '"'))
+    host = read(spark, sf_dir, "events").orderBy("event_id").select(tag("ReportHost", item, join(' name="h', n, '"')).alias("value"))
+    folder = scratch_folder(spark, "exports")
+    host.write.text(folder)
+    found = scans.split_exports(spark, folder, "ReportHost")
+    # the files are the parts of one export: their names are in its order
+    raw = scans.nessus_occurrences(found).withColumns({"pos": F.struct("scan_id", "pos"), "scan_id": F.lit("all")})
+    return told(raw)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from findlake.functions.scoring import cvss2_to_3, cwe_label, ensure_cvss3_prefix, score_to_severity, severity_from_rank, severity_name, severity_rank
 from findlake.functions.text import collapse_whitespace, html_escape, refs_to_html
 from findlake.operators.lookups import glossary_join
+from findlake.operators.numbering import numbered
 from findlake.operators.occurrences import merge_occurrences
 
 DETECT_CHARS = 65536
@@ -61,13 +62,87 @@ def detect_format(text: Column) -> Column:
     return F.when(head.rlike(r"^\s*[\[{]"), json).otherwise(F.coalesce(named, generic))
 
 
+def parse_problem(text: Column) -> Column:
+    """Why an export can't be parsed, else null: JSON or XML that isn't well-formed, or text after the root element."""
+    json = F.when(F.try_parse_json(text).isNull(), "malformed JSON")
+    bad = F.from_xml(text, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"]
+    after = F.regexp_replace(text, r"(?s)(?:\s|<!--(?:(?!-->).)*+-->|<\?(?:(?!\?>).)*+\?>)++\z", "")
+    xml = F.when(bad.isNotNull(), "malformed XML").when(~after.endswith(">"), "text after the root element")
+    return F.when(text.rlike(r"^\s*[\[{]"), json).otherwise(xml)
+
+
+def unread_files(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """Status rows of the listed files whose content couldn't be read (a reader that leaves such files out)."""
+    none = F.lit(None).cast("string")
+    return listed.select("path").distinct().join(files.select("path"), "path", "left_anti").select("path", none.alias("scanner"), F.lit("read error").alias("status"), none.alias("reason"), none.alias("text"))
+
+
 def route_files(files: DataFrame) -> DataFrame:
-    """``path, scanner, status, reason, text``: every file gets one status, and a bad one doesn't stop the others."""
+    """``path, scanner, status, reason, text``: every file gets one status, and a bad one doesn't stop the others.
+
+    Statuses: ok, unrecognised, encoding error, refused, parse error. A file of a known scanner that isn't well-formed has the last
+    one, so that no input disappears; an export that is sound and empty is ok.
+    """
     told = decode_text(files).withColumn("scanner", detect_format(F.col("text")))
     refusal = F.when(F.col("scanner") == "nmap", "port scans hold no findings").when((F.col("scanner") == "sslyze") & predates_v5(F.col("text")), "sslyze before release 5")
     told = told.withColumn("__refusal", refusal)
-    status = F.when(F.col("decode_error").isNotNull(), "encoding error").when(F.col("scanner").isNull(), "unrecognised").when(F.col("__refusal").isNotNull(), "refused").otherwise("ok")
-    return told.select("path", "scanner", status.alias("status"), F.coalesce("decode_error", "__refusal").alias("reason"), "text")
+    told = told.withColumn("__problem", F.when(F.col("scanner").isNotNull() & F.col("__refusal").isNull(), parse_problem(F.col("text"))))
+    status = (
+        F.when(F.col("decode_error").isNotNull(), "encoding error").when(F.col("scanner").isNull(), "unrecognised").when(F.col("__refusal").isNotNull(), "refused")
+        .when(F.col("__problem").isNotNull(), "parse error").otherwise("ok")
+    )
+    return told.select("path", "scanner", status.alias("status"), F.coalesce("decode_error", "__refusal", "__problem").alias("reason"), "text")
+
+
+def file_status(routed: DataFrame) -> DataFrame:
+    """``scanner, status, n_files``: together as many as there are files."""
+    return routed.groupBy("scanner", "status").agg(F.count("*").alias("n_files"))
+
+
+def plain_markup(text: Column) -> Column:
+    """XML without comments and processing instructions, character data sections spelled out with entities."""
+    special = r"(?s)<!\[CDATA\[(.*?)\]\]>|<!--.*?-->|<\?.*?\?>"
+    inner = F.regexp_extract_all(text, F.lit(special), F.lit(1))
+    spelled = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    joined = F.array_join(F.zip_with(F.split(text, special, -1), inner, lambda gap, c: F.concat(gap, spelled(c))), "")
+    return F.when(text.rlike(r"<!\[CDATA\[|<!--|<\?"), joined).otherwise(text)
+
+
+def _closed(tag: str, rest: Column) -> Column:
+    """The element whose start tag ``rest`` goes on from; what follows the element is cut off."""
+    head = F.regexp_extract(rest, r"""^(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", 0)
+    whole = F.when(head.endswith("/>"), head).otherwise(F.concat(F.get(F.split(rest, rf"</{tag}\s*>", 2), F.lit(0)), F.lit(f"</{tag}>")))
+    return F.concat(F.lit(f"<{tag}"), whole)
+
+
+def elements(rows: DataFrame, tag: str, xml: str, *keep: str) -> DataFrame:
+    """``pos, element`` and the columns ``keep``: every element of that name in the column ``xml``, wherever it stands, numbered from 0 in order.
+
+    Elements of one name must not hold each other. Each is a row of its own, so that an export is parsed element by element.
+    """
+    rests = F.slice(F.split(plain_markup(F.col(xml)), rf"<{tag}(?=[\s>/])", -1), 2, 2**30)
+    return rows.select(*keep, F.posexplode(rests).alias("pos", "__rest")).select(*keep, "pos", _closed(tag, F.col("__rest")).alias("element"))
+
+
+def split_exports(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
+    """``scan_id, pos, element``: the elements of UTF-8 exports of any size, a file in as many tasks as it has splits.
+
+    Files are read as records that end before ``<tag``, so no task holds a file; ``pos`` follows the places in the file. What stands in
+    front of a file's first element is left out, as are elements of other names that begin alike. The name must not occur with its
+    bracket inside a character data section.
+    """
+    records = spark.read.option("lineSep", f"<{tag}").text(paths).select(F.col("_metadata.file_path").alias("scan_id"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("__rest"))
+    found = records.where(F.col("__rest").rlike(r"^[\s>/]"))
+    placed = numbered(found, ["scan_id"], ["__block", "__id"], "pos")
+    return placed.select("scan_id", (F.col("pos") - 1).alias("pos"), _closed(tag, plain_markup(F.col("__rest"))).alias("element"))
+
+
+def _elements(files: DataFrame, tag: str) -> DataFrame:
+    return files if "element" in files.columns else elements(files.select(F.col("path").alias("scan_id"), "text"), tag, "text", "scan_id")
+
+
+def _read(element: str, fields: str) -> Column:
+    return F.from_xml(element, f"struct<{fields}>", {"mode": "PERMISSIVE"})
 
 
 def _parse(files: DataFrame, root: str, schema: str) -> DataFrame:
@@ -105,9 +180,9 @@ def _more(confidence: Column | None = None, tags: Column | None = None, steps: C
 
 
 def nessus_occurrences(files: DataFrame, drop_snoozed: bool = False) -> DataFrame:
+    """Items of every host. ``files`` is (path, text), or ``ReportHost`` elements of ``split_exports``."""
     item = "struct<_pluginID:string,_pluginName:string,_svc_name:string,_port:string,_protocol:string,risk_factor:string,synopsis:string,description:string,solution:string,see_also:string,cwe:string,cvss3_vector:string,cvss_vector:string,snoozed:string>"
-    rows = _parse(files, "NessusClientData_v2", f"Report struct<ReportHost:array<struct<_name:string,ReportItem:array<{item}>>>>")
-    hosts = rows.select("scan_id", F.posexplode("x.Report.ReportHost").alias("h", "host"))
+    hosts = _elements(files, "ReportHost").select("scan_id", F.col("pos").alias("h"), _read("element", f"_name:string,ReportItem:array<{item}>").alias("host"))
     items = hosts.select("scan_id", "h", F.col("host._name").alias("name"), F.posexplode("host.ReportItem").alias("i", "r"))
     if drop_snoozed:
         items = items.where(_text("r.snoozed") == "")
@@ -125,8 +200,9 @@ def nessus_occurrences(files: DataFrame, drop_snoozed: bool = False) -> DataFram
 
 
 def burp_occurrences(files: DataFrame) -> DataFrame:
-    issue = "struct<type:string,name:string,host:struct<_VALUE:string,_ip:string>,path:string,location:string,severity:string,confidence:string,issueBackground:string,issueDetail:string,remediationBackground:string,remediationDetail:string,references:string>"
-    rows = _parse(files, "issues", f"issue array<{issue}>").select("scan_id", F.posexplode("x.issue").alias("pos", "r"))
+    """Issues but false positives. ``files`` is (path, text), or ``issue`` elements of ``split_exports``."""
+    issue = "type:string,name:string,host:struct<_VALUE:string,_ip:string>,path:string,location:string,severity:string,confidence:string,issueBackground:string,issueDetail:string,remediationBackground:string,remediationDetail:string,references:string"
+    rows = _elements(files, "issue").select("scan_id", "pos", _read("element", issue).alias("r"))
     kept = rows.where(F.lower(_text("r.severity")) != "false positive")
     ip = _text("r.host._ip")
     host = F.when(_text("r.host._VALUE") != "", _text("r.host._VALUE")).otherwise(ip)
@@ -157,8 +233,8 @@ def zap_occurrences(files: DataFrame) -> DataFrame:
     sites = F.when(F.col("text").rlike(r"^\s*\["), F.col("text")).otherwise(F.get_json_object("text", "$.site"))
     told = F.from_json(sites, f"array<struct<alerts:array<struct<{ALERT},instances:array<{INSTANCE}>>>>>")
     from_json = files.where(is_json).select(F.col("path").alias("scan_id"), F.posexplode(told).alias("s", "site")).select("scan_id", "s", F.posexplode("site.alerts").alias("a", "r"))
-    parsed = _parse(files.where(~is_json), "OWASPZAPReport", f"site array<struct<alerts:struct<alertitem:array<struct<{ALERT},instances:struct<instance:array<{INSTANCE}>>>>>>>")
-    from_xml = parsed.select("scan_id", F.posexplode("x.site").alias("s", "site")).select("scan_id", "s", F.posexplode("site.alerts.alertitem").alias("a", "r"))
+    parsed = _elements(files.where(~is_json), "alertitem").select("scan_id", F.lit(0).alias("s"), F.col("pos").alias("a"), _read("element", f"{ALERT},instances:struct<instance:array<{INSTANCE}>>").alias("r"))
+    from_xml = parsed.select("scan_id", "s", "a", "r")
     wanted = lambda instances: F.filter(instances, lambda n: F.coalesce(n["uri"], F.lit("")) != "")
     alerts = [rows.select("scan_id", "s", "a", F.col("r").dropFields("instances").alias("r"), F.col(c).alias("all")) for rows, c in ((from_json, "r.instances"), (from_xml, "r.instances.instance"))]
     each = alerts[0].unionByName(alerts[1]).select("*", F.posexplode_outer(wanted(F.col("all"))).alias("i", "n"))
@@ -209,15 +285,14 @@ def openvas_occurrences(files: DataFrame, min_qod: int = 0) -> DataFrame:
 
 
 def acunetix_occurrences(files: DataFrame) -> DataFrame:
-    """Report items of every scan; CVE tags come before the references. An item whose only vector is of CVSS 4 gets a note."""
+    """Report items of every scan, at any depth; CVE tags come before the references. An item whose only vector is of CVSS 4 gets a note."""
     item = (
         "struct<Name:string,VulnID:string,Severity:string,AffectedItem:string,Description:string,Impact:string,Recommendation:string,CWE:string,CWEList:struct<CWE:array<struct<_VALUE:string,_id:string>>>,"
         "Tags:struct<Tag:array<string>>,References:struct<Reference:array<struct<_VALUE:string>>>,CVSS3:struct<Descriptor:string>,CVSS4:struct<Descriptor:string>>"
     )
-    rows = _parse(files, "ScanGroup", f"Scan array<struct<StartURL:string,ReportItem:array<{item}>,ReportItems:struct<ReportItem:array<{item}>>>>")
-    group = rows.select("scan_id", F.posexplode("x.Scan").alias("s", "scan"))
-    none = F.array().cast(f"array<{item}>")
-    items = group.select("scan_id", "s", F.col("scan.StartURL").alias("url"), F.posexplode(F.concat(F.coalesce("scan.ReportItems.ReportItem", none), F.coalesce("scan.ReportItem", none))).alias("i", "r"))
+    scans = _elements(files, "Scan").select("scan_id", F.col("pos").alias("s"), _read("element", "StartURL:string").getField("StartURL").alias("url"), "element")
+    found = elements(scans.withColumnRenamed("element", "__scan"), "ReportItem", "__scan", "scan_id", "s", "url").withColumnRenamed("pos", "i")
+    items = found.select("scan_id", "s", "url", "i", _read("element", item[7:-1]).alias("r"))
     key = F.coalesce(*[F.when(_text(c) != "", _text(c)) for c in ("r.VulnID", "r.Name")], F.lit("unknown"))
     level = _text("r.Severity")
     word = F.when(level.isin(*"01234"), severity_from_rank(level.try_cast("int"))).otherwise(severity_name(level))
@@ -271,8 +346,8 @@ def _severity_or_3(c: str) -> Column:
 def qualys_scan_occurrences(files: DataFrame) -> DataFrame:
     """Vulnerability scans: everything stands at the address itself."""
     vuln = f"struct<_number:string,_severity:string,TITLE:string,CONSEQUENCE:string,DIAGNOSIS:string,SOLUTION:string,CVE_ID_LIST:struct<CVE_ID:{ID_URL}>>"
-    rows = _parse(files, "SCAN", f"IP array<struct<_value:string,_addr:string,VULNS:struct<CAT:array<struct<VULN:array<{vuln}>>>>>>")
-    each = rows.select("scan_id", F.posexplode("x.IP").alias("p", "ip")).select("scan_id", "p", F.coalesce("ip._value", "ip._addr", F.lit("")).alias("component"), F.posexplode("ip.VULNS.CAT").alias("c", "cat"))
+    rows = _elements(files, "IP").select("scan_id", F.col("pos").alias("p"), _read("element", f"_value:string,_addr:string,VULNS:struct<CAT:array<struct<VULN:array<{vuln}>>>>").alias("ip"))
+    each = rows.select("scan_id", "p", F.coalesce("ip._value", "ip._addr", F.lit("")).alias("component"), F.posexplode("ip.VULNS.CAT").alias("c", "cat"))
     each = each.select("scan_id", "p", "c", "component", F.posexplode("cat.VULN").alias("i", "r"))
     return _qualys(each.select(
         "scan_id", (F.col("p").cast("long") * (1 << 40) + F.col("c").cast("long") * (1 << 20) + F.col("i")).alias("pos"), _or_empty("r._number").alias("key"), _or_empty("r.TITLE").alias("title"), F.coalesce("r._severity", F.lit("3")).alias("severity"),
@@ -282,14 +357,13 @@ def qualys_scan_occurrences(files: DataFrame) -> DataFrame:
 
 def qualys_was_occurrences(files: DataFrame) -> DataFrame:
     """Web application reports: vulnerabilities, then information gathered, with texts from the report's own glossary."""
-    items = "VULNERABILITY_LIST:struct<VULNERABILITY:array<struct<QID:string,URL:string>>>,INFORMATION_GATHERED_LIST:struct<INFORMATION_GATHERED:array<struct<QID:string,URL:string>>>"
     entry = f"struct<QID:string,TITLE:string,SEVERITY:string,`GROUP`:string,DESCRIPTION:string,IMPACT:string,SOLUTION:string,CVSS_V3:struct<VECTOR_STRING:string>,CVE_LIST:struct<CVE:{ID_URL}>>"
-    rows = _parse(files, "WAS_SCAN_REPORT", f"GLOSSARY struct<QID_LIST:struct<QID:array<{entry}>>>,RESULTS struct<{items},WEB_APPLICATION:array<struct<{items}>>>")
-    none = F.array().cast("array<struct<QID:string,URL:string>>")
-    nested = lambda kind: F.concat(F.coalesce(f"x.RESULTS.{kind}", none), F.coalesce(F.flatten(F.transform(F.col("x.RESULTS.WEB_APPLICATION"), lambda w: F.coalesce(w[kind.split(".")[0]][kind.split(".")[1]], none))), none))
-    listed = F.concat(nested("VULNERABILITY_LIST.VULNERABILITY"), nested("INFORMATION_GATHERED_LIST.INFORMATION_GATHERED"))
-    found = rows.select("scan_id", F.posexplode(listed).alias("pos", "r")).select("scan_id", F.col("pos").cast("long").alias("pos"), _or_empty("r.QID").alias("key"), _or_empty("r.URL").alias("component"))
-    glossary = rows.select("scan_id", F.posexplode("x.GLOSSARY.QID_LIST.QID").alias("__at", "g")).where(_or_empty("g.QID") != "").select(
+    rows = _elements(files, "GLOSSARY").select("scan_id", _read("element", f"QID_LIST:struct<QID:array<{entry}>>").alias("x"))
+    results = elements(files.select(F.col("path").alias("scan_id"), "text"), "RESULTS", "text", "scan_id").withColumnRenamed("element", "__results").drop("pos")
+    listed = [elements(results, tag, "__results", "scan_id").withColumn("__kind", F.lit(i)) for i, tag in enumerate(("VULNERABILITY", "INFORMATION_GATHERED"))]
+    each = listed[0].unionByName(listed[1]).select("scan_id", (F.col("__kind").cast("long") * (1 << 40) + F.col("pos")).alias("pos"), _read("element", "QID:string,URL:string").alias("r"))
+    found = each.select("scan_id", "pos", _or_empty("r.QID").alias("key"), _or_empty("r.URL").alias("component"))
+    glossary = rows.select("scan_id", F.posexplode("x.QID_LIST.QID").alias("__at", "g")).where(_or_empty("g.QID") != "").select(
         "scan_id", "__at", F.col("g.QID").alias("key"), _or_empty("g.TITLE").alias("title"), _severity_or_3("g.SEVERITY").alias("severity"), (_or_empty("g.GROUP").startswith("IG-DIAG") | (_or_empty("g.GROUP") == "DIAG")).alias("diagnostic"),
         ensure_cvss3_prefix(F.col("g.CVSS_V3.VECTOR_STRING")).alias("cvss_vector"), _or_empty("g.DESCRIPTION").alias("description"), _or_empty("g.IMPACT").alias("impact"), _or_empty("g.SOLUTION").alias("mitigation"), _id_refs("g.CVE_LIST.CVE").alias("references"),
     )
@@ -299,11 +373,13 @@ def qualys_was_occurrences(files: DataFrame) -> DataFrame:
 def qualys_vm_occurrences(files: DataFrame) -> DataFrame:
     """Asset reports: a host's entries at its name (else address) and port, with texts from the report's own glossary."""
     detail = f"struct<QID:string,TITLE:string,SEVERITY:string,THREAT:string,IMPACT:string,SOLUTION:string,CVSS3_SCORE:struct<CVSS3_BASE:string>,CVE_ID_LIST:struct<CVE_ID:{ID_URL}>,VENDOR_REFERENCE_LIST:struct<VENDOR_REFERENCE:{ID_URL}>>"
-    rows = _parse(files, "ASSET_DATA_REPORT", f"HOST_LIST struct<HOST:array<struct<IP:string,DNS:string,VULN_INFO_LIST:struct<VULN_INFO:array<struct<QID:string,PORT:string>>>>>>,GLOSSARY struct<VULN_DETAILS_LIST:struct<VULN_DETAILS:array<{detail}>>>")
-    each = rows.select("scan_id", F.posexplode("x.HOST_LIST.HOST").alias("h", "host")).select("scan_id", "h", F.coalesce(F.when(F.col("host.DNS") != "", F.col("host.DNS")), F.col("host.IP"), F.lit("")).alias("label"), F.posexplode("host.VULN_INFO_LIST.VULN_INFO").alias("i", "r"))
+    hosts = elements(files.select(F.col("path").alias("scan_id"), "text"), "HOST", "text", "scan_id")
+    hosts = hosts.select("scan_id", F.col("pos").alias("h"), _read("element", "IP:string,DNS:string,VULN_INFO_LIST:struct<VULN_INFO:array<struct<QID:string,PORT:string>>>").alias("host"))
+    details = elements(files.select(F.col("path").alias("scan_id"), "text"), "VULN_DETAILS", "text", "scan_id").select("scan_id", F.col("pos").alias("__at"), _read("element", detail[7:-1]).alias("g"))
+    each = hosts.select("scan_id", "h", F.coalesce(F.when(F.col("host.DNS") != "", F.col("host.DNS")), F.col("host.IP"), F.lit("")).alias("label"), F.posexplode("host.VULN_INFO_LIST.VULN_INFO").alias("i", "r"))
     where = F.when((F.col("label") != "") & (_or_empty("r.PORT") != ""), F.concat_ws(":", "label", "r.PORT")).otherwise(F.col("label"))
     found = each.where(_or_empty("r.QID") != "").select("scan_id", (F.col("h").cast("long") * (1 << 32) + F.col("i")).alias("pos"), F.col("r.QID").alias("key"), where.alias("component"))
-    glossary = rows.select("scan_id", F.posexplode("x.GLOSSARY.VULN_DETAILS_LIST.VULN_DETAILS").alias("__at", "g")).where(_or_empty("g.QID") != "").select(
+    glossary = details.where(_or_empty("g.QID") != "").select(
         "scan_id", "__at", F.col("g.QID").alias("key"), _or_empty("g.TITLE").alias("title"), _severity_or_3("g.SEVERITY").alias("severity"), F.lit(False).alias("diagnostic"),
         ensure_cvss3_prefix(F.regexp_extract(_or_empty("g.CVSS3_SCORE.CVSS3_BASE"), r"\(([^()]+)\)", 1)).alias("cvss_vector"), _or_empty("g.THREAT").alias("description"), _or_empty("g.IMPACT").alias("impact"), _or_empty("g.SOLUTION").alias("mitigation"),
         _id_refs("g.CVE_ID_LIST.CVE_ID", "g.VENDOR_REFERENCE_LIST.VENDOR_REFERENCE").alias("references"),
