@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.scoring import SEVERITIES, cvss_parse
-from findlake.functions.text import expected_kind, lines, mask_term, tags_problem
+from findlake.functions.text import decode_ref_path, expected_kind, lines, mask_term, tags_problem
 
 #: Phrases that no document may hold.
 BANNED_PHRASES = [
@@ -26,19 +26,57 @@ FINDING_FIELDS = ["severity", "finding_type", "cvss", "cwe", "tags", "affected_e
 REQUIRED_FIELDS = ["severity", "finding_type"]
 FINDING_TYPES = ["network", "physical", "wireless", "web", "mobile", "cloud", "host"]
 FAILURE = ["rule_id", "doc_id", "line", "message"]
-REFERENCE = r"(!?)\[([^\]\n]*)\]\(([^)\s]+)(?:\s+\"([^\"]*)\")?\)"
+#: A bracketed text, with brackets inside to one depth.
+BRACKETED = r"\[((?:[^\[\]\n]++|\[[^\[\]\n]*+\])*+)\]"
+TITLE = r"(?:\s+(?:\"([^\"\n]*)\"|'([^'\n]*)'))?"
+#: An inline link or embed, one by label (full or collapsed), an autolink, and the line that defines a label.
+REFERENCE = rf"(!?){BRACKETED}\(\s*(?:<([^<>\n]*)>|((?:[^\s()<>]++|\([^\s()]*+\))++)){TITLE}\s*\)"
+LABELLED = rf"(!?){BRACKETED}\[([^\[\]\n]*+)\]"
+AUTOLINK = r"<([A-Za-z][A-Za-z0-9+.-]+:[^\s<>]*)>"
+DEFINITION = rf"^ {{0,3}}\[([^\[\]\n]+)\]:\s*(?:<([^<>\n]*)>|(\S+)){TITLE}\s*$"
+#: A fenced block of a text whose lines end with LF: up to a fence of the same mark that is no shorter, or to the end.
+FENCED = r"(?md)^ {0,3}(`{3,})[^`\n]*\n(?s:.*?)(?:^ {0,3}\1`*[ \t]*\n|\z)|^ {0,3}(~{3,})[^\n]*\n(?s:.*?)(?:^ {0,3}\2~*[ \t]*\n|\z)"
+#: Marks of raw text in templates.
+RAW_OPEN = r"\{%-?\s*raw\s*-?%\}"
+RAW_CLOSE = r"\{%-?\s*endraw\s*-?%\}"
+
+
+def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = (), fences: bool = False) -> DataFrame:
+    """``doc_id, line, content`` and the columns ``more`` of the document: numbered from 1; empty texts have no line.
+
+    With ``fences`` also ``in_code``: whether a line is a fence of a code block or stands inside one.
+    """
+    if not fences:
+        return docs.select(F.col(id_col).alias("doc_id"), *more, F.posexplode(lines(F.col(text_col)))).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("col").alias("content"), *more)
+    marked = docs.select(F.col(id_col).alias("doc_id"), *more, F.posexplode(_fence_marks(lf_text(F.col(text_col)))))
+    return marked.select("doc_id", (F.col("pos") + 1).alias("line"), F.expr("substring(col, 2)").alias("content"), *more, F.col("col").startswith("1").alias("in_code"))
+
+
+def lf_text(text: Column) -> Column:
+    """The lines of a text, each ended by LF; empty for one without lines."""
+    return F.when(F.size(lines(text)) > 0, F.concat(F.array_join(lines(text), "\n"), F.lit("\n"))).otherwise("")
 
 
-def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, line, content`` and the columns ``more`` of the document: numbered from 1; empty texts have no line."""
-    return docs.select(F.col(id_col).alias("doc_id"), *more, F.posexplode(lines(F.col(text_col)))).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("col").alias("content"), *more)
+def _fence_marks(text: Column) -> Column:
+    """The lines of a text that end with LF, each with 1 in front if it is in a fenced block, else 0.
+
+    The blocks are found one after the other within the text, so a document of any size needs no window over its lines.
+    """
+    mark = lambda part, flag: F.when(part == "", "").otherwise(F.regexp_replace(part, "(?md)^", flag))
+    parts = F.zip_with(F.split(text, FENCED, -1), F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)), lambda plain, block: F.concat(mark(plain, "0"), mark(F.coalesce(block, F.lit("")), "1")))
+    found = F.split(F.array_join(parts, ""), "\n", -1)
+    return F.slice(found, F.lit(1), F.size(found) - 1)
 
 
 def mark_fences(line_rows: DataFrame) -> DataFrame:
-    """``in_code``: fence lines and what is between them."""
-    fence = F.col("content").rlike(r"^ {0,3}(```|~~~)").cast("int")
-    before = F.coalesce(F.sum(fence).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return line_rows.withColumn("in_code", (fence == 1) | (before % 2 == 1))
+    """``line_rows`` with ``in_code``: fence lines and what is between them. Rows that don't bring it are put together again by document."""
+    if "in_code" in line_rows.columns:
+        return line_rows
+    whole = line_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("__l"))
+    text = F.concat(F.array_join(F.col("__l")["content"], "\n"), F.lit("\n"))
+    told = F.transform(_fence_marks(text), lambda m: m.startswith("1"))
+    flags = whole.select("doc_id", F.inline(F.arrays_zip(F.col("__l")["line"].alias("line"), told.alias("in_code"))))
+    return line_rows.join(flags, ["doc_id", "line"])
 
 
 def headings(line_rows: DataFrame) -> DataFrame:
@@ -47,22 +85,94 @@ def headings(line_rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", F.length(F.regexp_extract("content", r"^(#{1,6}) ", 1)).alias("level"), F.trim(F.regexp_replace("content", r"^#{1,6} ", "")).alias("title"))
 
 
-def sections(line_rows: DataFrame) -> DataFrame:
-    """``doc_id, section, start_line, n_lines, content`` of level-two headings; lines before the first belong to null."""
-    rows = mark_fences(line_rows)
-    head = ~F.col("in_code") & F.col("content").startswith("## ")
-    order = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("start_line", F.last(F.when(head, F.col("line")), ignorenulls=True).over(order)).withColumn("section", F.last(F.when(head, F.trim(F.expr("substring(content, 4)"))), ignorenulls=True).over(order))
-    body = F.array_sort(F.collect_list(F.when(~head, F.struct("line", "content"))))
-    return marked.groupBy("doc_id", "start_line", "section").agg(F.sum(F.when(~head, 1).otherwise(0)).alias("n_lines"), F.array_join(F.transform(body, lambda s: s["content"]), "\n").alias("content"))
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, section, start_line, n_lines, content`` of level-two headings; lines before the first belong to null.
+
+    A finding's sections are cut wherever a line starts with the mark of the heading, inside code too. Texts are cut as they are;
+    only sections, a few a document, are put in order to count their lines.
+    """
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(lf_text(F.col(text_col)), r"(?md)^## ", -1)).alias("k", "part"))
+    head = F.when(F.col("k") > 0, F.substring_index("part", "\n", 1))
+    told = cut.select("doc_id", "k", F.trim(head).alias("section"), F.when(F.col("k") > 0, F.regexp_replace("part", r"^[^\n]*\n", "")).otherwise(F.col("part")).alias("body"))
+    told = told.withColumn("n_lines", (F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))).cast("long"))
+    before = F.sum(F.col("n_lines") + (F.col("k") > 0).cast("int")).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.when(F.col("k") > 0, (F.coalesce(before, F.lit(0)) + 1).cast("int"))
+    return told.withColumn("start_line", start).where("k > 0 or n_lines > 0").select("doc_id", "section", "start_line", "n_lines", F.regexp_replace("body", r"\n\z", "").alias("content"))
+
+
+def _in_list(found: Column) -> Column:
+    """Of marked lines (1 in front: code) whether each stands in a list item, as an array.
+
+    A letter a line: L starts an item, I is indented, B blank, O other text, X a heading, quote, rule or code. An item goes on over
+    indented lines, over text right after one of its lines, and over blank lines before either of L and I.
+    """
+    kind = lambda m: (
+        F.when(m.rlike(r"^.\s*$"), "B").when(m.rlike(r"^0 {0,3}(?:[-*+]|\d{1,9}[.)])\s+\S"), F.when(m.rlike(r"^0 {0,3}(?:[-*_]\s*){3,}$"), "X").otherwise("L")).when(m.rlike(r"^.(?: {2,}|\t)"), "I")
+        .when(m.startswith("1") | m.rlike(r"^0 {0,3}(?:#{1,6} |>)"), "X").otherwise("O")
+    )
+    letters = F.array_join(F.transform(found, kind), "")
+    item = r"L[^X]*?(?=B+[OX]|X|\z)"
+    flags = F.zip_with(F.split(letters, item, -1), F.regexp_extract_all(letters, F.lit(item), F.lit(0)), lambda out, own: F.concat(F.repeat(F.lit("0"), F.length(out)), F.repeat(F.lit("1"), F.coalesce(F.length(own), F.lit(0)))))
+    return F.transform(F.split(F.array_join(flags, ""), ""), lambda c: c == "1")
+
+
+def reference_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, line, content, in_code, in_list_item`` of the lines of each document."""
+    found = docs.select(F.col(id_col).alias("doc_id"), _fence_marks(lf_text(F.col(text_col))).alias("__m"))
+    rows = found.select("doc_id", F.posexplode(F.arrays_zip(F.col("__m"), _in_list(F.col("__m")).alias("__list"))).alias("pos", "x"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line"), F.expr("substring(x.__m, 2)").alias("content"), F.col("x.__m").startswith("1").alias("in_code"), F.coalesce("x.__list", F.lit(False)).alias("in_list_item"))
+
+
+def _label(label: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
+
+
+def _flat(caption: Column) -> Column:
+    """The text that a reader sees of a caption."""
+    shown = F.regexp_replace(F.regexp_replace(caption, r"!?\[([^\[\]]*)\](?:\([^()]*\)|\[[^\[\]]*\])", "$1"), r"\*+|`+|(?<!\w)_+|_+(?!\w)", "")
+    return shown
 
 
 def references(line_rows: DataFrame) -> DataFrame:
-    """``doc_id, line, ord, kind, caption, ref_path, standalone`` of inline links and embeds outside code."""
-    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", F.regexp_replace("content", r"`[^`]*`", ""))
-    found = rows.select("doc_id", "line", F.trim("content").alias("whole"), F.posexplode(F.regexp_extract_all("plain", F.lit(REFERENCE), 0)).alias("ord", "m"))
-    part = lambda i: F.regexp_extract("m", REFERENCE, i)
-    return found.select("doc_id", "line", "ord", F.when(part(1) == "!", "embed").otherwise("cross_reference").alias("kind"), part(2).alias("caption"), part(3).alias("ref_path"), (F.col("whole") == F.col("m")).alias("standalone"))
+    """``doc_id, line, ord, kind, caption, ref_path, title, standalone, in_list_item`` of links and embeds outside code.
+
+    Inline ones with brackets in the caption and titles, embeds inside a link's caption, ones by label (full, collapsed or just the label)
+    with their definition anywhere in the document (of equal labels the first), and autolinks. A label without a definition is plain
+    text. An embed is standalone if it is its line; a line's references are numbered from 0. Lines come from ``explode_lines``
+    or, with the context of lists, ``reference_lines``.
+    """
+    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", F.regexp_replace("content", r"(`++)(?:(?!\1).)++\1", ""))
+    if "in_list_item" not in rows.columns:
+        rows = rows.withColumn("in_list_item", F.lit(None).cast("boolean"))
+    pick = lambda m, pattern, *groups: F.coalesce(*[F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) for g in groups], F.lit(""))
+    defined = rows.where(F.col("plain").rlike(DEFINITION)).select("doc_id", _label(F.regexp_extract("plain", DEFINITION, 1)).alias("label"), F.struct("line", pick(F.col("plain"), DEFINITION, 2, 3).alias("path"), pick(F.col("plain"), DEFINITION, 4, 5).alias("title")).alias("d"))
+    known = defined.groupBy("doc_id", "label").agg(F.min("d").alias("d"))
+    used = rows.where(~F.col("plain").rlike(DEFINITION))
+    # inline forms are taken out before what is written by label is looked for; places keep the order within a line
+    each = lambda pattern, source: used.select("doc_id", "line", "in_list_item", F.trim("content").alias("whole"), F.col("plain"), F.explode(F.regexp_extract_all(source, F.lit(pattern), F.lit(0))).alias("m"))
+    kind = lambda pattern: F.when(F.regexp_extract("m", pattern, 1) == "!", "embed").otherwise("cross_reference")
+    columns = ["doc_id", "line", "in_list_item", "whole", "m", "at"]
+    inline = each(REFERENCE, F.col("plain")).withColumn("at", F.expr("instr(plain, m)"))
+    told = inline.select(*columns, kind(REFERENCE).alias("kind"), F.regexp_extract("m", REFERENCE, 2).alias("raw"), pick(F.col("m"), REFERENCE, 3, 4).alias("ref_path"), pick(F.col("m"), REFERENCE, 5, 6).alias("title"))
+    inner = told.where("kind = 'cross_reference'").select("doc_id", "line", "in_list_item", "whole", (F.col("at") + 1).alias("at"), F.explode(F.regexp_extract_all("raw", F.lit(r"!\[[^\[\]]*\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), F.lit(0))).alias("m"))
+    inner = inner.select(*columns, F.lit("embed").alias("kind"), F.regexp_extract("m", REFERENCE, 2).alias("raw"), pick(F.col("m"), REFERENCE, 3, 4).alias("ref_path"), pick(F.col("m"), REFERENCE, 5, 6).alias("title"))
+    auto = each(AUTOLINK, F.regexp_replace("plain", REFERENCE, "")).withColumn("at", F.expr("instr(plain, m)"))
+    auto = auto.select(*columns, F.lit("cross_reference").alias("kind"), F.regexp_extract("m", AUTOLINK, 1).alias("raw"), F.regexp_extract("m", AUTOLINK, 1).alias("ref_path"), F.lit("").alias("title"))
+    rest = F.regexp_replace(F.regexp_replace("plain", REFERENCE, " "), AUTOLINK, " ")
+    single = rf"(!?){BRACKETED}(?:\[([^\[\]\n]*+)\])?"
+    named = each(single, rest).withColumn("at", F.expr("instr(plain, m)")).withColumn("label", _label(pick(F.col("m"), single, 3, 2)))
+    named = named.join(known, ["doc_id", "label"]).select(*columns, kind(single).alias("kind"), F.regexp_extract("m", single, 2).alias("raw"), F.col("d.path").alias("ref_path"), F.col("d.title").alias("title"))
+    every = told.unionByName(inner).unionByName(auto).unionByName(named)
+    order = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("at", "m")) - 1
+    alone = (F.col("kind") == "embed") & (F.col("whole") == F.col("m"))
+    return every.select("doc_id", "line", order.alias("ord"), "kind", _flat(F.col("raw")).alias("caption"), decode_ref_path(F.col("ref_path")).alias("ref_path"), "title", alone.alias("standalone"), "in_list_item")
+
+
+def unparsed_references(line_rows: DataFrame) -> DataFrame:
+    """``doc_id, unparsed``: how many brackets followed by a target or a label no form of ``references`` reads, of documents with any."""
+    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", F.regexp_replace("content", r"(`++)(?:(?!\1).)++\1", ""))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("plain", REFERENCE, " "), LABELLED, " "), r"\\.", "")
+    return rows.groupBy("doc_id").agg(F.sum(F.size(F.regexp_extract_all(rest, F.lit(r"\]\(|\]\["), F.lit(0)))).alias("unparsed")).where("unparsed > 0")
 
 
 def links(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -106,11 +216,22 @@ def scan_terms(line_rows: DataFrame, terms: Sequence[tuple[str, str | None]], pa
     return line_rows.select("doc_id", "line", F.explode(F.array_compact(F.array(*found))).alias("masked"))
 
 
-def raw_regions(line_rows: DataFrame) -> DataFrame:
-    """``in_raw``: lines that start inside a raw region; an unclosed one goes on to the end."""
-    state = F.when(F.col("content").rlike(r"\{% *raw *%\}(?!.*\{% *endraw *%\})"), True).when(F.col("content").rlike(r"\{% *endraw *%\}(?!.*\{% *raw *%\})"), False)
-    before = F.last(state, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    return line_rows.withColumn("in_raw", F.coalesce(before, F.lit(False)))
+def raw_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ord, literal, piece, closed``: a text cut where template marks open and close raw text; marks are left out.
+
+    Inside raw text an opening mark has no effect, outside a closing one; raw text that nothing closes goes on to the end. ``closed``
+    is null outside. Empty pieces are left out. Pieces are found within the text, wherever lines end.
+    """
+    block = rf"(?U){RAW_OPEN}((?s:.*?))({RAW_CLOSE}|\z)"
+    text = F.col(text_col)
+    gaps, inner, ends = F.split(text, block, -1), F.regexp_extract_all(text, F.lit(block), F.lit(1)), F.regexp_extract_all(text, F.lit(block), F.lit(2))
+    none = F.lit(None).cast("boolean")
+    outside = lambda piece: F.struct(F.lit(False).alias("literal"), F.regexp_replace(piece, f"(?U){RAW_CLOSE}", "").alias("piece"), none.alias("closed"))
+    inside = lambda x: F.struct(F.lit(True).alias("literal"), F.regexp_replace(x["i"], f"(?U){RAW_OPEN}", "").alias("piece"), (x["e"] != "").alias("closed"))
+    blocks = F.arrays_zip(inner.alias("i"), ends.alias("e"))
+    pieces = F.flatten(F.zip_with(gaps, blocks, lambda g, x: F.when(x.isNull(), F.array(outside(g))).otherwise(F.array(outside(g), inside(x)))))
+    found = F.filter(pieces, lambda p: p["piece"] != "")
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("ord", "p")).select("doc_id", "ord", "p.*")
 
 
 # Rules

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions.scoring import cvss_base_score, severity_band
 from findlake.functions.text import expected_kind
-from findlake.operators.documents import failure, frontmatter_split, mark_fences, references
+from findlake.operators.documents import failure, frontmatter_split, lf_text, mark_fences, references
 
 #: The fields of a page's frontmatter.
 PAGE_FIELDS = ["title", "priority", "tags"]
@@ -47,18 +47,20 @@ def raw_html_rule(line_rows: DataFrame) -> DataFrame:
     return failure(found.where((name == "") | name.isin(*HTML_TAGS)), "WIKI-005", F.substring("m", 1, 60), F.col("line"))
 
 
-def title_rules(line_rows: DataFrame) -> DataFrame:
-    """FND-013 and FND-016 of findings' bodies: no title or a blank one in front, and text before the first section."""
-    order = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = mark_fences(line_rows).where(F.trim("content") != "")
-    rows = rows.withColumn("__section", F.max(~F.col("in_code") & F.col("content").startswith("## ")).over(order)).withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")))
-    title = ~F.col("in_code") & F.col("content").rlike(r"^#(\s|$)")
-    blank = F.trim(F.expr("substring(content, 2)")) == ""
-    first = rows.where("__k = 1")
-    missing = failure(first.where(~title), "FND-013", "missing title")
-    empty = failure(first.where(title & blank), "FND-013", "blank title", F.col("line"))
-    stray = failure(rows.where(~F.col("__section") & ~((F.col("__k") == 1) & title)), "FND-016", "text outside sections", F.col("line"))
-    return all_failures(missing, empty, stray)
+def title_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """FND-013 and FND-016 of findings' bodies: no title or a blank one in front, and text between the title and the first section.
+
+    A title is the first line before any section that starts with ``# ``; text in front of it is a missing title, reported at its first line.
+    """
+    head = F.get(F.split(lf_text(F.col(text_col)), r"(?md)^## ", 2), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(head, "\n", -1).alias("l"))
+    rows = rows.withColumn("at", F.array_position(F.transform("l", lambda x: x.startswith("# ")), F.lit(True)))
+    texts = F.filter(F.transform("l", lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"))), lambda x: (F.trim(x["content"]) != "") & (x["line"] != F.col("at")))
+    rows = rows.select("doc_id", "at", F.get("l", F.col("at").cast("int") - 1).alias("title"), F.filter(texts, lambda x: (F.col("at") == 0) | (x["line"] < F.col("at"))).alias("front"), F.filter(texts, lambda x: (F.col("at") > 0) & (x["line"] > F.col("at"))).alias("after"))
+    missing = failure(rows.where((F.col("at") == 0) | (F.size("front") > 0)), "FND-013", "missing title", F.get("front", F.lit(0))["line"])
+    blank = failure(rows.where((F.col("at") > 0) & (F.trim(F.expr("substring(title, 3)")) == "")), "FND-013", "blank title", F.col("at"))
+    stray = failure(rows.select("doc_id", F.explode("after").alias("x")), "FND-016", "text outside sections", F.col("x.line"))
+    return all_failures(missing, blank, stray)
 
 
 def severity_rule(docs: DataFrame) -> DataFrame:

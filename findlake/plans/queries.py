@@ -255,24 +255,24 @@ def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under a Markdown frame that varies with the id."""
     k = F.col("doc_id") % 4
     body = F.concat(
-        F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\n## Impact\n"), F.col("source"), F.lit("\n```\n## not a heading\n```\n"), F.when(k == 0, "## Impact\nagain\n").when(k == 1, "#### deep\n").when(k == 2, "## Extra\n![cap](evidence/a.png)\n").otherwise("see [x](evidence/b.md) here\n"), F.lit("## Description\nend"),
+        F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\n## Impact\n"), F.col("source"), F.lit("\n```\n## not a heading\n```\n"), F.when(k == 0, "## Impact\nagain\n").when(k == 1, "#### deep\n").when(k == 2, "## Extra\n![cap](evidence/a.png)\n").otherwise("see [x](evidence/b.md) here\n"), F.lit("## Description\n"), F.coalesce("text", F.lit("")),
     )
     return read(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
 
 
 @query("""SELECT doc_id, 'FND-009' AS rule_id, CAST(NULL AS INTEGER) AS line, 'Mitigation' AS message FROM documents
 UNION ALL SELECT doc_id, 'FND-011', 8, 'Impact' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'FND-010', 8, 'Extra' FROM documents WHERE doc_id % 4 = 2
-UNION ALL SELECT doc_id, 'FND-012', CAST(CASE WHEN doc_id % 4 = 0 THEN 10 WHEN doc_id % 4 = 2 THEN 10 ELSE 9 END AS INTEGER), 'Description' FROM documents""")
+UNION ALL SELECT doc_id, 'FND-010', 6, 'not a heading' FROM documents UNION ALL SELECT doc_id, 'FND-012', CAST(CASE WHEN doc_id % 4 = 0 THEN 10 WHEN doc_id % 4 = 2 THEN 10 ELSE 9 END AS INTEGER), 'Description' FROM documents""")
 def fnd009_012_sections(spark, sf_dir):
     docs = marked_docs(spark, sf_dir)
-    return documents.section_rules(documents.sections(documents.explode_lines(docs)), docs, ["Description", "Impact", "Mitigation"])
+    return documents.section_rules(documents.sections(docs), docs, ["Description", "Impact", "Mitigation"])
 
 
 @query("SELECT doc_id, 'WIKI-012' AS rule_id, CAST(8 AS INTEGER) AS line, 'level 2 to 4' AS message FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 'WIKI-013', 1, 'heading repeats the title' FROM documents WHERE doc_id % 5 = 0")
 def win6_heading_rules(spark, sf_dir):
     docs = marked_docs(spark, sf_dir)
     titles = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("T"), F.col("doc_id").cast("string"))).otherwise("other").alias("title"))
-    return documents.heading_rules(documents.headings(documents.explode_lines(docs)), titles)
+    return documents.heading_rules(documents.headings(documents.explode_lines(docs, fences=True)), titles)
 
 
 @query("""SELECT doc_id, 'REF-006' AS rule_id, CAST(8 AS INTEGER) AS line, 'evidence/b' || doc_id || '.md' AS message FROM documents WHERE doc_id % 4 = 3 AND doc_id % 3 <> 0
@@ -287,7 +287,7 @@ def doc4_reference_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     there = docs.where("doc_id % 4 = 3 and doc_id % 3 = 0").select(F.concat(F.lit("evidence/b"), key, F.lit(".md")).alias("ref_path"))
     files = there.unionByName(docs.where("doc_id % 5 = 0").select(F.concat(F.lit("evidence/a"), key, F.lit(".png")).alias("ref_path")))
-    return documents.reference_rules(documents.references(documents.explode_lines(docs.select("doc_id", body.alias("text")))), files)
+    return documents.reference_rules(documents.references(documents.explode_lines(docs.select("doc_id", F.concat(body, F.coalesce("text", F.lit(""))).alias("text")), fences=True)), files)
 
 
 @query("WITH u AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1)) AS url FROM pages) SELECT doc_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM u")

@@ -26,7 +26,7 @@ def wiki001_003_pages(spark, sf_dir):
 m AS (SELECT doc_id, line, unnest(regexp_extract_all(regexp_replace(content, '`[^`]*`', '', 'g'), '<(?:!|\?|/?\s*([A-Za-z][A-Za-z0-9-]*))[^>]*>')) AS m FROM u)
 SELECT 'WIKI-005' AS rule_id, doc_id, CAST(line AS INTEGER) AS line, substr(m, 1, 60) AS message FROM m WHERE lower(regexp_extract(m, '<(?:!|\?|/?\s*([A-Za-z][A-Za-z0-9-]*))[^>]*>', 1)) IN ('', """ + ", ".join(f"'{t}'" for t in rules.HTML_TAGS) + ")")
 def wiki005_raw_html(spark, sf_dir):
-    return rules.raw_html_rule(documents.explode_lines(read(spark, sf_dir, "pages"), "page_id", "html"))
+    return rules.raw_html_rule(documents.explode_lines(read(spark, sf_dir, "pages"), "page_id", "html", fences=True))
 
 
 @query("SELECT 'WIKI-006' AS rule_id, page_id AS doc_id, CAST(NULL AS INTEGER) AS line, CASE page_id % 4 WHEN 0 THEN 'javascript' ELSE 'ftp' END AS message FROM pages WHERE page_id % 4 < 2")
@@ -48,13 +48,13 @@ def wiki008_invisible(spark, sf_dir):
 BODY = "WITH d AS (SELECT doc_id FROM documents WHERE text IS NOT NULL) "
 
 
-@query(BODY + """SELECT 'FND-013' AS rule_id, doc_id, CAST(NULL AS INTEGER) AS line, 'missing title' AS message FROM d WHERE doc_id % 4 = 1 UNION ALL SELECT 'FND-013', doc_id, 2, 'blank title' FROM d WHERE doc_id % 4 = 2
-UNION ALL SELECT 'FND-016', doc_id, CASE doc_id % 4 WHEN 1 THEN 2 ELSE 3 END, 'text outside sections' FROM d WHERE doc_id % 4 IN (1, 3)""")
+@query(BODY + """SELECT 'FND-013' AS rule_id, doc_id, CAST(2 AS INTEGER) AS line, 'missing title' AS message FROM d WHERE doc_id % 4 = 1 UNION ALL SELECT 'FND-013', doc_id, 2, 'blank title' FROM d WHERE doc_id % 4 = 2
+UNION ALL SELECT 'FND-016', doc_id, 3, 'text outside sections' FROM d WHERE doc_id % 4 = 3""")
 def fnd013_fnd016_titles(spark, sf_dir):
     k = F.col("doc_id") % 4
     front = F.when(k == 0, "\n# T\n").when(k == 1, "\nstray\n").when(k == 2, "\n#  \n").otherwise("\n# T\nstray\n")
-    body = F.concat(front, F.lit("## Description\n"), F.replace(F.replace("text", F.lit("#"), F.lit("")), F.lit("`"), F.lit("")))
-    return rules.title_rules(documents.explode_lines(read(spark, sf_dir, "documents").select("doc_id", body.alias("text"))))
+    body = F.concat(front, F.lit("## Description\n"), F.col("text"))
+    return rules.title_rules(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", body.alias("text")))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H' WHEN 1 THEN 'AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N' ELSE 'AV:L' END AS v, CASE WHEN p_partkey % 2 = 0 THEN 'critical' ELSE 'low' END AS severity, p_partkey % 5 = 0 AS inbox FROM part)
@@ -78,13 +78,55 @@ def doc2_frontmatter(spark, sf_dir):
     return documents.frontmatter_split(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", whole.alias("text"))).select("doc_id", "header", F.md5("body").alias("digest"))
 
 
-@query(LINES + " SELECT doc_id, count(*) AS n, count(*) FILTER (doc_id % 2 = 0 OR line < 3) AS n_raw FROM l WHERE line > 1 GROUP BY doc_id")
-def doc10_raw_regions(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    rows = documents.explode_lines(docs)
-    plain = F.regexp_replace("content", r"[{}]", "")
-    marked = rows.withColumn("content", F.when(F.col("line") == 1, F.concat(plain, F.lit("{% raw %}"))).when((F.col("line") == 2) & (F.col("doc_id") % 2 == 1), F.concat(plain, F.lit("{% endraw %}"))).otherwise(plain))
-    return documents.raw_regions(marked).where("line > 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("in_raw").cast("long")).alias("n_raw"))
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(text, '[{}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(CASE k WHEN 0 THEN [struct_pack(literal := false, piece := 'a' || chr(10), closed := CAST(NULL AS BOOLEAN)), struct_pack(literal := true, piece := t, closed := false)]
+ WHEN 1 THEN [struct_pack(literal := true, piece := 'x' || chr(10) || t, closed := true), struct_pack(literal := false, piece := t || 'end', closed := NULL)]
+ WHEN 2 THEN [struct_pack(literal := false, piece := t, closed := NULL)] ELSE [struct_pack(literal := false, piece := 'a', closed := NULL), struct_pack(literal := true, piece := 'b ' || t || ' c', closed := true), struct_pack(literal := true, piece := 'd', closed := true)] END) AS x FROM d)
+SELECT doc_id, x.literal AS literal, md5(x.piece) AS digest, x.closed AS closed FROM p WHERE x.piece <> ''""")
+def doc10_raw_spans(spark, sf_dir):
+    """Raw text of every form around whole texts: never closed, closed within a line, closed without an opening, opened twice."""
+    k, plain = F.col("doc_id") % 4, F.regexp_replace("text", r"[{}]", "")
+    marked = (
+        F.when(k == 0, F.concat(F.lit("a\n{% raw %}"), plain)).when(k == 1, F.concat(F.lit("{%- raw -%}x\n"), plain, F.lit("{%-endraw%}"), plain, F.lit("end"))).when(k == 2, F.concat(F.lit("{% endraw %}"), plain))
+        .otherwise(F.concat(F.lit("a{%raw%}b {% raw -%}"), plain, F.lit(" c{%  endraw  %}{% endraw %}{%raw%}d{%endraw%}")))
+    )
+    found = documents.raw_spans(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", marked.alias("text")))
+    return found.select("doc_id", "literal", F.md5("piece").alias("digest"), "closed")
+
+
+FENCES = [("```", "", "```", True), ("~~~~", "~~~", "~~~~ ", True), ("````py", "```", "`````", True), ("  ~~~", "```", "~~~", True), ("``` a`b", "", "x", False), ("    ```", "", "x", False), ("```", "~~~", "", True)]
+
+
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(code).lower()}, {2 if not code else 3 if i < 6 else 1000000000})" for i, (*_, code) in enumerate(FENCES)) + """) v(i, code, width)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS n FROM documents WHERE text <> '')
+SELECT doc_id, count(*) + 4 AS n_lines, CASE WHEN any_value(code) THEN CASE WHEN any_value(width) > 3 THEN count(*) + 3 ELSE 3 END ELSE 0 END AS n_code FROM l JOIN f ON doc_id % 7 = i WHERE line <= n GROUP BY doc_id""")
+def win8_fence_state(spark, sf_dir):
+    """Lines in code of whole texts behind one plain line and a block of each kind of fence; the last kind is never closed."""
+    k = F.col("doc_id") % len(FENCES)
+    part = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in FENCES]), (k + 1).cast("int"))
+    docs = read(spark, sf_dir, "documents").where("text <> ''")
+    text = F.concat(F.lit("plain\n"), part(0), F.lit("\n"), part(1), F.lit("\n"), part(2), F.lit("\n"), "text")
+    rows = documents.explode_lines(docs.select("doc_id", text.alias("text")), fences=True)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("in_code").cast("long")).alias("n_code"))
+
+
+REFS = [
+    ("see ![a **b**](evidence/x%20y.png \"T\") here", "embed", "a b", "evidence/x y.png", "T", False, False), ("![c [d]](evidence/z.png)", "embed", "c [d]", "evidence/z.png", "", True, False), ("- item [x](a.md) and", "cross_reference", "x", "a.md", "", False, True),
+    ("[Label]", "cross_reference", "Label", "b.md", "Two words", False, False), ("[text][label]", "cross_reference", "text", "b.md", "Two words", False, False), ("<https://h/p>", "cross_reference", "https://h/p", "https://h/p", "", False, False), ("1. one\n\n   ![in](e.png)", "embed", "in", "e.png", "", True, True),
+    ("[![alt](i.png)](t.md)", "cross_reference", "alt", "t.md", "", False, False), ("`[no](no.md)` \\\\ [lost]", None, None, None, None, None, None),
+]
+
+
+@query("WITH r AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'" for v in (i, *row[1:], 5 if i == 6 else 3)) + ")" for i, row in enumerate(REFS)) + """, (7, 'embed', 'alt', 'i.png', '', false, false, 3)) v(i, kind, caption, ref_path, title, standalone, in_list_item, line))
+SELECT doc_id, line::INT AS line, kind, caption, ref_path, title, standalone, in_list_item FROM documents JOIN r ON doc_id % 9 = i WHERE kind IS NOT NULL""")
+def doc4_references(spark, sf_dir):
+    """Every form of reference before whole texts, its definition at their end."""
+    k = F.col("doc_id") % len(REFS)
+    form = F.element_at(F.array(*[F.lit(r[0]) for r in REFS]), (k + 1).cast("int"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]<>`~]", "")
+    text = F.concat(F.lit("# T\n\n"), form, F.lit("\n\nEnd.\n\n"), plain, F.lit("\n\n[LABEL]: b.md 'Two words'\n[label]: other.md\n"))
+    rows = documents.reference_lines(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    return documents.references(rows).select("doc_id", "line", "kind", "caption", "ref_path", "title", "standalone", "in_list_item")
 
 
 @query("SELECT doc_id, CAST(1 AS INTEGER) AS line, phrase FROM (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['as an ai', 'as an ai language model'] WHEN 1 THEN ['i''ve updated'] WHEN 3 THEN ['as requested'] ELSE [] END) AS phrase FROM documents WHERE text IS NOT NULL)")
@@ -99,7 +141,7 @@ def ref005_library_images(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     marked = docs.select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("![a](evidence/"), key(), F.lit(".png)\n"))).otherwise("![a](https://x/y.png)\n"), F.regexp_replace("text", r"[\[\]`~]", "")).alias("text"))
     k = F.col("doc_id") % 3
-    return rules.image_in_library_rule(documents.explode_lines(marked), docs.select("doc_id", F.when(k == 0, "library").when(k == 1, "inbox").otherwise("instance").alias("tier")))
+    return rules.image_in_library_rule(documents.explode_lines(marked, fences=True), docs.select("doc_id", F.when(k == 0, "library").when(k == 1, "inbox").otherwise("instance").alias("tier")))
 
 
 @query("SELECT 'REF-007' AS rule_id, doc_id, CAST(1 AS INTEGER) AS line, CASE WHEN doc_id % 4 = 1 THEN 'images/a.png: expected ../images/' ELSE '../images/a.png: expected images/' END AS message FROM documents WHERE doc_id % 4 IN (1, 2) AND text IS NOT NULL")
@@ -107,7 +149,7 @@ def ref007_image_paths(spark, sf_dir):
     docs, k = read(spark, sf_dir, "documents"), F.col("doc_id") % 4
     marked = docs.select("doc_id", F.concat(F.when(k.isin(0, 1), "![a](images/a.png)\n").otherwise("![a](../images/a.png)\n"), F.regexp_replace("text", r"[\[\]`~]", "")).alias("text"))
     pages = docs.select("doc_id", F.concat(F.lit("methodology/library/b/"), F.when(k % 2 == 1, "c/").otherwise(""), key(), F.lit(".md")).alias("path"))
-    return rules.image_path_rule(documents.explode_lines(marked), pages)
+    return rules.image_path_rule(documents.explode_lines(marked, fences=True), pages)
 
 
 PLACES = """WITH p AS (SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN 'findings/library/' || o_orderkey || '.md' WHEN 1 THEN 'findings/library/x/' || o_orderkey || '.md' WHEN 2 THEN 'methodology/drafts/' || o_orderkey || '.md' WHEN 3 THEN 'findings/inbox/' || o_orderkey || '.md'
