@@ -149,14 +149,22 @@ def tier(path: Column) -> Column:
 
 
 def expected_kind(path: Column) -> Column:
-    """The kind of record that a path's shape implies, else null."""
-    md = path.endswith(".md")
+    """The kind of record that a path's shape implies, else null; working copies of checklists have none."""
+    report, wiki = r"^findings/reports/[^/]+", r"^methodology/library/[^/]+"
     return (
-        F.when(path.rlike(r"^findings/library/[^/]+\.md$"), "library_finding").when(path.rlike(r"^findings/reports/[^/]+/narrative/[^/]+\.md$"), "narrative")
-        .when(path.rlike(r"^findings/reports/[^/]+/notes/[^/]+\.md$"), "note").when(path.rlike(r"^findings/reports/[^/]+/evidence/[^/]+$"), "evidence")
-        .when(path.rlike(r"^findings/reports/[^/]+/[^/]+\.md$"), "reported_finding").when(path.rlike(r"^findings/reports/[^/]+$") & ~md, "report")
-        .when(path.rlike(r"^methodology/(library|checklists)/[^/]+/(?:[^/]+/)?[^/]+\.md$"), "page").when(path.rlike(r"^methodology/(library|checklists)/[^/]+/images/[^/]+$"), "image")
-        .when(path.rlike(r"^methodology/(library|checklists)/[^/]+/[^/]+$") & ~md, "chapter").when(path.rlike(r"^methodology/(library|checklists)/[^/]+$") & ~md, "book").when(path.rlike(r"^methodology/shelves/[^/]+$"), "shelf")
+        F.when(path.rlike(r"^findings/library/[^/]+\.md$"), "library_finding").when(path.rlike(report + "$"), "report").when(path.rlike(report + r"/[^/]+\.md$"), "reported_finding")
+        .when(path.rlike(report + "/evidence/[^/]+$"), "evidence").when(path.rlike(report + r"/notes/[^/]+\.md$"), "note").when(path.rlike(report + r"/narrative/[^/]+\.md$"), "narrative")
+        .when(path.rlike(r"^methodology/library/\.shelves(/|$)"), "shelf").when(path.rlike(wiki + "$"), "book").when(path.rlike(wiki + r"/[^/]+\.md$"), "page").when(path.rlike(wiki + "/[^/]+$"), "chapter")
+        .when(path.rlike(wiki + "/images/[^/]+$"), "image").when(path.rlike(wiki + r"/[^/]+/[^/]+\.md$"), "page")
+    )
+
+
+def known_place(path: Column) -> Column:
+    """Whether a file may lie there: in the library or inbox of findings, in a report (its own files, whatever is in evidence), in a book, a chapter or a shelf."""
+    report, book = r"^findings/reports/[^/]+/", r"^methodology/(?:library|checklists)/[^/]+/"
+    return (
+        path.rlike(r"^findings/(?:library|inbox)/[^/]+\.md$") | path.rlike(report + r"(?:[^/]+\.md|\.report\.yml)$") | path.rlike(report + "evidence/") | path.rlike(report + r"(?:narrative|notes)/[^/]+\.md$")
+        | path.rlike(r"^methodology/library/\.shelves/[^/]+$") | path.rlike(book + r"(?:[^/]+\.md|\.book\.yml)$") | path.rlike(book + "images/") | path.rlike(book + r"[^./][^/]*/(?:[^/]+\.md|\.chapter\.yml)$")
     )
 
 

@@ -192,6 +192,120 @@ def frontmatter_split(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("header", F.when(is_there, F.regexp_extract(text_col, fenced, 1))).withColumn("body", F.when(is_there, F.regexp_extract(text_col, fenced, 2)).otherwise(F.col(text_col)))
 
 
+#: A plain field line of a header: no indent, a name, a colon.
+FIELD_LINE = r"^(?:\"[^\"\n]*\"|'[^'\n]*'|[^\s#\-\[\]{}&*!|>%@`\"',?:][^:\n]*):(?:\s.*)?$"
+
+
+def _without_comment(value: Column) -> Column:
+    """A value without the comment after it; a mark inside quotes is none."""
+    return F.trim(F.regexp_extract(value, r"""^((?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|(?!\s#).)*+)""", 1))
+
+
+def _unquoted(value: Column) -> Column:
+    """A scalar: quotes off and their escapes read; ~ and null are empty."""
+    double = F.replace(F.replace(F.replace(F.replace(F.substring(value, F.lit(2), F.length(value) - 2), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    single = F.replace(F.substring(value, F.lit(2), F.length(value) - 2), F.lit("''"), F.lit("'"))
+    return F.when(value.rlike(r'^".*"$'), double).when(value.rlike(r"^'.*'$"), single).when(value.isin("~", "null", "Null", "NULL"), "").otherwise(value)
+
+
+def header_fields(header: Column) -> Column:
+    """The fields of a header as struct(fields map<string, string>, lists map<string, array<string>>, repeated array<string>, error).
+
+    Read are scalars, plain or in quotes, over several lines, as literal (|) or folded (>) blocks; lists of either form; and maps
+    of scalars one level down, whose fields are named ``key.name``. ``fields`` has every field, lists as an empty text. Of repeated keys
+    the last counts, and they are named in ``repeated``. ``error`` says what can't be read: text that is no field, a quote or
+    bracket that stays open, an indent by tabs, or a form beyond these; a header that is null has no fields and no error.
+    """
+    text = F.regexp_replace(header, r"\n\z", "")
+    cut = F.split(text, rf"(?md)^(?={FIELD_LINE[1:]})", -1)
+    name = lambda e: _unquoted(F.trim(F.regexp_extract(e, r"^([^:\n]+):", 1)))
+    body = lambda e: F.regexp_replace(e, r"^[^:\n]+:", "")
+
+    def entry(e: Column) -> Column:
+        rows = F.split(body(e), "\n", -1)
+        inline = _without_comment(F.trim(rows[0]))
+        below = F.filter(F.slice(rows, F.lit(2), F.size(rows)), lambda r: ~r.rlike(r"^\s*(?:#.*)?$"))
+        block = inline.rlike(r"^[|>][+-]?$")
+        raw = F.slice(rows, F.lit(2), F.size(rows))
+        indent = F.array_min(F.transform(F.filter(raw, lambda r: F.trim(r) != ""), lambda r: F.length(F.regexp_extract(r, "^ *", 0))))
+        dedented = F.transform(raw, lambda r: F.substring(r, indent + 1, F.length(r)))
+        literal = F.regexp_replace(F.when(inline.startswith("|"), F.array_join(dedented, "\n")).otherwise(F.array_join(dedented, " ")), r"\s+\z", "")
+        is_list = (inline == "") & (F.size(below) > 0) & F.forall(below, lambda r: r.rlike(r"^\s*-(?:\s|$)"))
+        is_map = (inline == "") & (F.size(below) > 0) & F.forall(below, lambda r: r.rlike(r"^ +[^\s#\-:][^:]*:(?:\s|$)"))
+        is_flow = inline.rlike(r"^\[.*\]$")
+        flow = F.filter(F.regexp_extract_all(F.substring(inline, F.lit(2), F.length(inline) - 2), F.lit(r"""\s*("[^"]*"|'[^']*'|[^,]*)\s*(?:,|$)"""), F.lit(1)), lambda x: F.trim(x) != "")
+        items = F.when(is_list, F.transform(below, lambda r: _unquoted(_without_comment(F.regexp_replace(r, r"^\s*-\s*", ""))))).when(is_flow, F.transform(flow, lambda x: _unquoted(F.trim(x))))
+        more = F.array_join(F.transform(below, lambda r: F.trim(r)), " ")
+        scalar = _unquoted(F.trim(F.concat(inline, F.lit(" "), F.when(is_list | is_map, "").otherwise(more))))
+        value = F.when(block, literal).when(is_list | is_flow | is_map, "").otherwise(scalar)
+        inner = F.when(is_map, F.transform(below, lambda r: F.struct(F.concat(name(e), F.lit("."), F.trim(F.regexp_extract(r, r"^ +([^:]+):", 1))).alias("key"), _unquoted(_without_comment(F.trim(F.regexp_replace(r, r"^[^:]+:", "")))).alias("value"))))
+        whole = F.trim(F.concat(inline, F.lit(" "), more))
+        open_quote = ~block & (whole.rlike(r"""^"(?:[^"\\]|\\.)*$""") | whole.rlike(r"^'(?:[^']|'')*$"))
+        problem = (
+            F.when(F.exists(raw, lambda r: r.rlike(r"^ *\t")) & ~block, "indent by tab").when(open_quote, "open quote").when(~block & inline.startswith("[") & ~is_flow, "open bracket").when(~block & inline.rlike(r"^[{&*!%@`]"), "unread form")
+            .when((inline == "") & (F.size(below) > 0) & ~is_list & ~is_map & F.exists(below, lambda r: r.rlike(r"^\s*-(?:\s|$)") | r.rlike(r"^ +[^\s#:]+:(?:\s|$)")), "unread form").when(~block & ~is_list & F.exists(below, lambda r: ~r.startswith(" ")), "not a field")
+        )
+        return F.struct(name(e).alias("key"), value.alias("value"), items.alias("items"), inner.alias("inner"), F.concat(name(e), F.lit(": "), problem).alias("problem"))
+
+    entries = F.transform(F.filter(cut, lambda e: e.rlike(rf"(?md)\A{FIELD_LINE[1:]}")), entry)
+    front = F.get(F.filter(cut, lambda e: ~e.rlike(rf"(?md)\A{FIELD_LINE[1:]}") & F.exists(F.split(e, "\n", -1), lambda r: ~r.rlike(r"^\s*(?:#.*)?$"))), F.lit(0))
+    keys = lambda xs: F.transform(xs, lambda x: x["key"])
+    last = lambda xs: F.filter(xs, lambda x, i: ~F.array_contains(F.slice(keys(xs), i + 2, F.size(xs)), x["key"]))
+    kept = last(entries)
+    pairs = F.concat(F.transform(kept, lambda x: F.struct(x["key"], x["value"])), F.coalesce(F.flatten(F.transform(kept, lambda x: F.coalesce(last(x["inner"]), F.array().cast("array<struct<key:string,value:string>>")))), F.array().cast("array<struct<key:string,value:string>>")))
+    fields = F.map_from_entries(pairs)
+    lists = F.map_from_entries(F.transform(F.filter(kept, lambda x: x["items"].isNotNull()), lambda x: F.struct(x["key"], x["items"])))
+    repeated = F.array_distinct(F.filter(keys(entries), lambda k: F.size(F.filter(keys(entries), lambda o: o == k)) > 1))
+    error = F.coalesce(F.when(front.isNotNull(), F.concat(F.lit("not a field: "), F.substring(F.regexp_replace(front, r"\A\s+|\s+\z", ""), 1, 60))), F.get(F.filter(F.transform(entries, lambda x: x["problem"]), lambda p: p.isNotNull()), F.lit(0)))
+    return F.when(header.isNotNull(), F.struct(fields.alias("fields"), lists.alias("lists"), repeated.alias("repeated"), error.alias("error")))
+
+
+def finding_headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tier_col: str = "tier") -> DataFrame:
+    """``doc_id, tier, fields, cwe, tags, repeated, error`` of findings' texts, for ``frontmatter_rules``; texts without a header have no fields."""
+    split = frontmatter_split(docs.select(F.col(id_col).alias("doc_id"), F.col(tier_col).alias("tier"), F.col(text_col).alias("text")))
+    read = split.select("doc_id", "tier", header_fields(F.col("header")).alias("h"))
+    fields, lists = F.coalesce("h.fields", F.create_map().cast("map<string,string>")), F.col("h.lists")
+    vector = F.try_element_at(fields, F.lit("cvss.vector"))
+    flat = F.map_filter(fields, lambda k, _: ~k.contains(".") & (k != "cvss"))
+    with_vector = F.when(F.map_contains_key(fields, F.lit("cvss")), F.map_concat(flat, F.create_map(F.lit("cvss"), F.coalesce(vector, F.try_element_at(fields, F.lit("cvss")))))).otherwise(flat)
+    numbers = F.transform(F.coalesce(F.try_element_at(lists, F.lit("cwe")), F.array().cast("array<string>")), lambda c: F.regexp_extract(c, r"^(?i:CWE-)?0*(\d{1,9})$", 1).try_cast("int"))
+    return read.select("doc_id", "tier", with_vector.alias("fields"), F.array_compact(numbers).alias("cwe"), F.coalesce(F.try_element_at(lists, F.lit("tags")), F.array().cast("array<string>")).alias("tags"), F.coalesce("h.repeated", F.array().cast("array<string>")).alias("repeated"), F.col("h.error").alias("error"))
+
+
+#: The elements that a record's HTML may hold, and the attributes that are kept of each.
+KEPT_TAGS = "p ul ol li div pre blockquote table thead tbody tfoot tr th td strong code em a br span".split()
+KEPT_ATTRIBUTES = {"a": ["href", "rel", "target", "title"], "span": ["data-color", "style"], "ol": ["start", "type"], "div": ["class"], "pre": ["class", "spellcheck"], "code": ["class"]}
+START_TAG = r"""<([A-Za-z][A-Za-z0-9-]*)((?:[^<>"'/]++|/(?!>)|"[^"]*"|'[^']*')*+)/?>"""
+ATTRIBUTE = r"""([^\s=<>"'/]+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?"""
+
+
+def start_tags(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """``doc_id, tag, attributes`` (names in lower case) of every start tag outside comments, scripts and styles."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?s)<!--.*?-->", ""), r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(plain, F.lit(START_TAG), F.lit(0))).alias("m"))
+    return found.select("doc_id", F.lower(F.regexp_extract("m", START_TAG, 1)).alias("tag"), F.transform(F.regexp_extract_all(F.regexp_extract("m", START_TAG, 2), F.lit(ATTRIBUTE), F.lit(1)), lambda a: F.lower(a)).alias("attributes"))
+
+
+def html_losses(docs: DataFrame, id_col: str, html_col: str, tags: Sequence[str] = KEPT_TAGS, attributes: dict[str, Sequence[str]] = KEPT_ATTRIBUTES) -> DataFrame:
+    """The loss report of each page: doc_id, n_tags, n_outside, outside, n_dropped, dropped.
+
+    ``outside`` are the different elements that the vocabulary lacks, ``dropped`` the attributes (``tag@name``) of known elements
+    that aren't kept, both in order; the numbers count every one. A page without a tag has no row. The vocabulary is the caller's
+    fixed list and is broadcast; rows meet it in anti-joins, and counts are made before they are shuffled.
+    """
+    spark = docs.sparkSession
+    found = start_tags(docs, id_col, html_col)
+    known = F.broadcast(spark.createDataFrame([(t,) for t in tags], "tag string"))
+    kept = F.broadcast(spark.createDataFrame([(t, a) for t, names in attributes.items() for a in names], "tag string, attribute string"))
+    outside = found.join(known, "tag", "left_anti").select("doc_id", F.lit("outside").alias("loss"), F.col("tag").alias("what"))
+    each = found.join(known, "tag", "left_semi").select("doc_id", "tag", F.explode("attributes").alias("attribute")).join(kept, ["tag", "attribute"], "left_anti")
+    lost = outside.unionByName(each.select("doc_id", F.lit("dropped").alias("loss"), F.concat_ws("@", "tag", "attribute").alias("what")))
+    counted = lost.groupBy("doc_id", "loss", "what").agg(F.count("*").alias("n")).unionByName(found.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit("all").alias("loss"), F.lit("").alias("what"), "n"))
+    number = lambda loss: F.coalesce(F.sum(F.when(F.col("loss") == loss, F.col("n"))), F.lit(0))
+    names = lambda loss: F.array_join(F.array_sort(F.collect_list(F.when(F.col("loss") == loss, F.col("what")))), ",")
+    return counted.groupBy("doc_id").agg(number("all").alias("n_tags"), number("outside").alias("n_outside"), names("outside").alias("outside"), number("dropped").alias("n_dropped"), names("dropped").alias("dropped"))
+
+
 def _word_pattern(phrase: str) -> str:
     import re
 
@@ -285,8 +399,10 @@ def section_rules(found: DataFrame, docs: DataFrame, wanted: Sequence[str]) -> D
     return missing.unionByName(unknown).unionByName(twice).unionByName(failure(order.where("__place < __high"), "FND-012", F.col("section"), F.col("start_line")))
 
 
-def link_scheme_rule(link_rows: DataFrame, allowed: Sequence[str] = ("http", "https", "mailto")) -> DataFrame:
-    return failure(link_rows.where((F.col("scheme") != "") & ~F.col("scheme").isin(*allowed)), "WIKI-006", F.col("scheme"))
+def link_scheme_rule(refs: DataFrame, allowed: Sequence[str] = ("http", "https", "mailto")) -> DataFrame:
+    """WIKI-006: links and images of ``references`` whose target has a scheme that isn't allowed; targets without one are relative."""
+    scheme = F.lower(F.regexp_extract("ref_path", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return failure(refs.where((scheme != "") & ~scheme.isin(*allowed)).withColumn("__s", scheme), "WIKI-006", F.concat(F.col("__s"), F.lit(": "), F.col("ref_path")), F.col("line"))
 
 
 def reference_rules(refs: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlake.functions.text import slugify, stem
-from findlake.operators.numbering import numbered
+from findlake.operators.components import components
+from findlake.operators.numbering import numbered, settle
 
 
 def glossary_join(items: DataFrame, glossary: DataFrame, key: str | list[str], pos: str, defaults: dict[str, object]) -> DataFrame:
@@ -35,12 +36,18 @@ def resolve_ref_ids(refs: DataFrame, index: DataFrame, names: DataFrame) -> Data
     return refs.join(by_path, "path", "left").join(by_name, ["report", "name"], "left").withColumn("id", F.coalesce("__by_path", "__by_name")).drop("__by_path", "__by_name")
 
 
-def internal_link_check(links: DataFrame, namespace: DataFrame, host: str) -> DataFrame:
-    """Links (doc_id, url) of the own host, or without one, whose ``/books/<book>/(page|chapter)/<slug>`` isn't in ``namespace`` (book, slug)."""
-    pattern = r"/books/([^/?#]+)/(?:page|chapter)/([^/?#]+)"
-    own = links.where(~F.col("url").rlike("^[a-z]+://") | (F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)) == host.lower()))
-    wanted = own.where(F.col("url").rlike(pattern)).withColumns({"book": F.lower(F.regexp_extract("url", pattern, 1)), "slug": F.lower(F.regexp_extract("url", pattern, 2))})
-    return wanted.join(namespace.select("book", "slug").distinct(), ["book", "slug"], "left_anti")
+def internal_link_check(links: DataFrame, namespace: DataFrame, host: str | None) -> DataFrame:
+    """Links (doc_id, url) to a page or chapter that isn't in ``namespace`` (book, kind, slug; kind is page or chapter).
+
+    Internal are paths that start with /books/, and http and https addresses of ``host``, whose path is a book, a kind and a slug and no
+    more (a last slash, a query and a fragment of an address don't count). Slugs are looked up in lower case, books as they are.
+    """
+    path = r"^/books/([^/]+)/(page|chapter)/([^/]+)/?$"
+    address = r"^https?://([^/?#]*)([^?#]*)"
+    own = F.when(F.col("url").rlike("^https?://"), F.when(F.regexp_extract("url", address, 1) == F.lit(host), F.regexp_extract("url", address, 2))).when(F.col("url").startswith("/books/"), F.col("url"))
+    wanted = links.withColumn("__path", own).where(F.col("__path").rlike(path))
+    wanted = wanted.withColumns({"book": F.regexp_extract("__path", path, 1), "kind": F.regexp_extract("__path", path, 2), "slug": F.lower(F.regexp_extract("__path", path, 3))}).drop("__path")
+    return wanted.join(namespace.select("book", "kind", "slug").distinct(), ["book", "kind", "slug"], "left_anti")
 
 
 def book_members(pages: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -114,34 +121,63 @@ def dedupe_names(df: DataFrame, folder: str = "folder", name: str = "name", orde
     return numbered(df, [folder, name], [order], "__k").withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), k.cast("string")))).drop("__k")
 
 
+NUMBERED_NAME = r"^(?s:(.*))-([1-9][0-9]{0,8})$"
+
+
 def dedupe_names_exact(df: DataFrame, folder: str = "folder", name: str = "name", order: str = "id") -> DataFrame:
-    """As ``dedupe_names``, also where names look like numbered ones.
+    """As ``dedupe_names``, also where names look like numbered ones: in order of id each name gets the first free of ``n``, ``n-2``, ``n-3``...
 
-    Only names that are equal without such endings can meet, so a folder falls into families of them; families with a name that looks
-    numbered are gone through in order of id, a family in one task.
+    A number of a name is taken by its own rows, one after the other, or by a row that is called so. The numbers of a name that others
+    take before its own rows reach them are told by one pass over them in order of number, which keeps two counters; rows then get
+    their place among the name's rows plus the taken numbers in front of it. Places and sums come from ranges of folder, name
+    and id, so that a name of any number of rows lies in many tasks. A name's own first number can be taken by the name without its
+    ending, so names are settled by how many endings they have, a round each. Ids are unique in a folder.
     """
-    df = df.withColumn("__family", F.regexp_replace(name, r"(-\d+)+$", ""))
-    family = [folder, "__family"]
-    looks = df.where(F.col(name).rlike(r"-\d+$")).select(*family).distinct()
-    columns = [*df.columns, "unique_name"]
-
-    def one(rows):
-        taken, following, out = set(), {}, []
-        rows = rows.sort_values(order)
-        for n in rows[name]:
-            new, k = n, following.get(n, 2)
-            while new in taken:
-                new, k = f"{n}-{k}", k + 1
-            following[n] = k
-            taken.add(new)
-            out.append(new)
-        return rows.assign(unique_name=out)[columns]
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField("unique_name", T.StringType())])
-    plain = dedupe_names(df.join(looks, family, "left_anti").select(*df.columns), folder, name, order)
-    return plain.unionByName(df.join(looks, family, "left_semi").select(*df.columns).groupBy(*family).applyInPandas(one, schema)).drop("__family")
+    group = ["__dir", "__base"]
+    rows = df.withColumn("__dir", F.coalesce(F.concat(F.lit("="), F.col(folder).cast("string")), F.lit("-"))).withColumn("__base", F.col(name)).withColumn("__id", F.col(order))
+    rows = numbered(rows, group, ["__id"], "__place")
+    first = rows.groupBy(*group).agg(F.min("__id").alias("__first"), F.count("*").alias("__size"))
+    # names with a number that another name in the folder can come to
+    claims = first.where(F.col("__base").rlike(NUMBERED_NAME)).select("__dir", F.regexp_extract("__base", NUMBERED_NAME, 1).alias("__base"), F.regexp_extract("__base", NUMBERED_NAME, 2).cast("long").alias("__number"), "__first").where("__number >= 2")
+    claims = claims.join(first.select(*group, "__size"), group)
+    # of each claim how many of the name's own rows come before it
+    events = rows.select(*group, "__id", F.lit(1).alias("__own"), F.lit(None).cast("long").alias("__number"), F.lit(None).cast("long").alias("__size"))
+    events = events.unionByName(claims.select(*group, F.col("__first").alias("__id"), F.lit(0).alias("__own"), "__number", "__size"))
+    endings = F.size(F.split(F.regexp_extract("__base", r"((?:-[1-9][0-9]{0,8})*)$", 1), "-")) - 1
+    asked = ["__dir", "__base", "__number", "__size", "__reach"]
+    told = settle(numbered(events, group, ["__id", "__own"], "__reach", amount="__own").where("__own = 0").select(*asked, endings.alias("__depth")))
+    deepest = told.agg(F.max("__depth")).first()[0]
+
+    def pass_over(batches):
+        key, skipped = None, 0
+        for batch in batches:
+            found = []
+            for f, n, number, size, before in zip(*(batch[c].tolist() for c in asked), strict=True):
+                if (f, n) != key:
+                    key, skipped = (f, n), 0
+                at = number - skipped  # the own row that comes to this number
+                if at <= size:
+                    found.append((f, n, number, at, at > before))
+                    skipped += at > before
+            yield pd.DataFrame(found, columns=["__dir", "__base", "__number", "__came", "__lost"])
+
+    schema = "__dir string, __base string, __number long, __came long, __lost boolean"
+    # names that have lost their own first number to the name without their ending
+    lost = told.select(*asked).where("false")
+    skips = None
+    for depth in range(-1 if deepest is None else deepest + 2):
+        claimed = told.where(F.col("__depth") == depth).select(*asked).unionByName(lost)
+        found = settle(claimed.repartition(*group).sortWithinPartitions(*group, "__number").mapInPandas(pass_over, schema))
+        own = found.where("__lost").select(*group, F.col("__came").alias("__place"))
+        skips = own if skips is None else skips.unionByName(own)
+        taken = found.where("not __lost and __number > 1").select("__dir", F.concat_ws("-", "__base", F.col("__number").cast("string")).alias("__base"))
+        lost = settle(taken.join(first, group).select(*group, F.lit(1).cast("long").alias("__number"), "__size", F.lit(0).cast("long").alias("__reach")))
+    number = F.col("__place")
+    if skips is not None:
+        both = rows.withColumn("__skip", F.lit(0)).unionByName(skips.withColumn("__skip", F.lit(1)), allowMissingColumns=True)
+        rows = numbered(both, group, ["__place", F.desc("__skip")], "__skips", amount="__skip").where("__skip = 0")
+        number = F.col("__place") + F.col("__skips")
+    return rows.withColumn("unique_name", F.when(number == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), number.cast("string")))).select(*df.columns, "unique_name")
 
 
 def keep_newest(runs: DataFrame, n: int = 10, order: str = "run_id") -> DataFrame:
@@ -212,48 +248,108 @@ def identical_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["hash", "k"]).select("old_path", "new_path")
 
 
+#: Letters that are counted one by one to bound a similarity; all others count as one more.
+COUNTED = "etaoinshrdlucmfwypvbgk .,-0123456789"
+#: Texts of one block and range of lengths that meet in one task; more are split.
+PAIR_ROWS = 500
+
+
 def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``old_path, new_path, score`` of texts whose matching-blocks ratio reaches ``threshold``, within a block.
 
-    Both sides have block, path, text. The ratio is at most 2 * shorter / (sum of lengths), so only texts whose lengths are near
-    enough can reach it: lengths are cut into ranges of that ratio, and a text meets its own range and the next.
+    Both sides have block, path, text. The ratio is that of the new text against the old one, white space collapsed; it is not
+    symmetric. It is at most 2 * shared characters / (sum of lengths), and shared characters are no more than the shorter text has,
+    nor than the counts of each letter allow. So lengths are cut into ranges of that ratio, a text meets its own range and the next,
+    and pairs whose counts of letters rule them out are not compared. The new side of a range with many texts is split, and the old
+    side goes to each part. Nothing that reaches the threshold is lost; the work of a block grows with the pairs that the bounds leave.
     """
     step = math.log(2 / threshold - 1)
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("block", F.col("path").alias(f"{name}_path"), flat.alias(f"{name}_text")).withColumn("cell", F.floor(F.log(F.greatest(F.length(f"{name}_text"), F.lit(1))) / step))
-
+        rows = df.select("block", F.col("path").alias(f"{name}_path"), flat.alias(f"{name}_text"))
+        text = F.lower(f"{name}_text")
+        counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
+        others = F.length(F.translate(text, COUNTED, ""))
+        return rows.withColumns({"cell": F.floor(F.log(F.greatest(F.length(f"{name}_text"), F.lit(1))) / step), f"{name}_counts": F.array(*counts, others)})
+
+    b = settle(side(new, "new"))
+    parts = b.groupBy("block", "cell").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
+    b = b.join(parts, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("new_path"), F.col("parts")).cast("int")).drop("parts")
     a = side(old, "old").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    near = a.join(side(new, "new"), ["block", "cell"])
+    a = a.join(parts, ["block", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     x, y = F.length("old_text"), F.length("new_text")
-    near = near.where((2 * F.least(x, y) >= threshold * (x + y)) | ((x == 0) & (y == 0)))
+    shared = F.aggregate(F.zip_with("old_counts", "new_counts", lambda p, q: F.least(p, q)), F.lit(0), lambda total, v: total + v)
+    near = a.join(b, ["block", "cell", "part"]).where((2 * F.least(x, y) >= threshold * (x + y)) & (2 * shared >= threshold * (x + y)) | ((x == 0) & (y == 0)))
 
     @F.pandas_udf("double")
     def ratio(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([1.0 if s == t else SequenceMatcher(None, s, t).ratio() for s, t in zip(p, q, strict=True)])
 
-    return near.select("old_path", "new_path", ratio("old_text", "new_text").alias("score")).where(F.col("score") >= threshold)
+    return near.select("old_path", "new_path", ratio("new_text", "old_text").alias("score")).where(F.col("score") >= threshold)
 
 
-def greedy_match(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """One-to-one pairs of ``old_path, new_path, score``: best score first, ties by old then new path.
+def identical_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old_path, new_path, score, edited`` of one-to-one pairs of equal hashes, as edges of score 1 for ``greedy_match``.
 
-    Edges that are the best of both their ends are taken, round by round, and their ends leave; each round is checkpointed.
+    Among edges of one hash, which are all equal, a greedy match takes them in order of path on both sides.
     """
-    from pyspark.errors import PySparkException
+    return identical_pairs(old, new).select("old_path", "new_path", F.lit(1.0).alias("score"), F.lit(False).alias("edited"))
+
+
+def similar_edges(pairs: DataFrame) -> DataFrame:
+    """Pairs of ``similar_pairs`` as edges for ``greedy_match``: a match by them is an edited one."""
+    return pairs.select("old_path", "new_path", "score", F.lit(True).alias("edited"))
 
-    def order(c):
-        return F.row_number().over(Window.partitionBy(c).orderBy(F.desc("score"), "old_path", "new_path"))
 
-    taken, left = None, edges
+def greedy_match(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """One-to-one pairs of ``edges`` (old_path, new_path, score and more columns): best score first, ties by old then new path.
+
+    Edges that are the best of both their ends are taken, round by round, and their ends leave. What is left after ``rounds`` is
+    parted in connected components, which don't touch each other: the edges of each are gone through in order, a component after
+    the other in its task, with no more in memory than a component's ends that are taken. So scores that rise along a path, of which a
+    round settles one edge, end in one pass.
+    """
+    order = [F.desc("score"), F.col("old_path"), F.col("new_path")]
+    best = F.struct(-F.col("score"), F.col("old_path"), F.col("new_path"))
+
+    taken, left = None, settle(edges)
     for _ in range(rounds):
-        best = left.withColumn("a", order("old_path")).withColumn("b", order("new_path")).where("a = 1 and b = 1").drop("a", "b").checkpoint()
-        if best.isEmpty():
-            return taken if taken is not None else best
-        taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select("old_path"), "old_path", "left_anti").join(best.select("new_path"), "new_path", "left_anti").select(*edges.columns).checkpoint()
-    raise PySparkException(f"matching has not settled after {rounds} rounds")
+        # the first edge of each end comes from one aggregate a side, partial before the shuffle
+        by_old = left.groupBy("old_path").agg(F.min(best).alias("a")).select(F.col("old_path").alias("__o"), F.col("a.new_path").alias("__n"))
+        by_new = left.groupBy("new_path").agg(F.min(best).alias("b")).select(F.col("b.old_path").alias("__o"), F.col("new_path").alias("__n"))
+        both = by_old.join(by_new, ["__o", "__n"])
+        sure = settle(left.join(both, (F.col("old_path") == F.col("__o")) & (F.col("new_path") == F.col("__n"))).drop("__o", "__n").groupBy("old_path", "new_path").agg(*_first_of(edges)).select(*edges.columns))
+        taken = sure if taken is None else taken.unionByName(sure)
+        left = settle(left.join(sure.select("old_path"), "old_path", "left_anti").join(sure.select("new_path"), "new_path", "left_anti").select(*edges.columns))
+        if left.isEmpty():
+            return taken
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    found = components(left.select(name("o", "old_path").alias("u"), name("n", "new_path").alias("v")))
+    placed = left.join(found.select(F.col("node").alias("__node"), F.col("component").alias("__c")), name("o", "old_path") == F.col("__node")).drop("__node")
+
+    def one_by_one(batches):
+        key, olds, news = None, set(), set()
+        for batch in batches:
+            keep = []
+            for c, o, n in zip(batch["__c"].tolist(), batch["old_path"].tolist(), batch["new_path"].tolist(), strict=True):
+                if c != key:
+                    key, olds, news = c, set(), set()
+                free = o not in olds and n not in news
+                if free:
+                    olds.add(o)
+                    news.add(n)
+                keep.append(free)
+            yield batch[keep].drop(columns="__c")
+
+    rest = placed.select("__c", *edges.columns).repartition("__c").sortWithinPartitions("__c", *order).mapInPandas(one_by_one, edges.schema)
+    return taken.unionByName(rest)
+
+
+def _first_of(edges: DataFrame) -> list[Column]:
+    """Of edges that are given more than once the one of the highest score, whole."""
+    more = [c for c in edges.columns if c not in ("old_path", "new_path")]
+    return [F.max_by(c, "score").alias(c) for c in more]
 
 
 # Change log

@@ -32,6 +32,12 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+
 def scratch_folder(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     folder = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -45,8 +51,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
-    """``df`` with ``out``: the row's number from 1 in its group, nulls first, as a long.
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str, amount: str | None = None) -> DataFrame:
+    """``df`` with ``out``: the row's number from 1 in its group, nulls first, as a long; with ``amount`` that column's sum up to the row.
 
     Rows are cut into ranges by group and order, so that a group of any size lies in many tasks; a row's number is its place in its range
     after the rows of the group's earlier ranges, which are counted before they are shuffled. Ranges are written down once, since
@@ -54,11 +60,12 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     """
     group = list(group)
     ranges = settle(df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()))
-    counts = ranges.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    counts = ranges.groupBy(*group, "__range").agg((F.count("*") if amount is None else F.sum(amount)).alias("__n"))
     # one row a group and range, of which a group has no more than there are tasks
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__range").alias("__r"), before.alias("__before"))
-    place = ranges.withColumn("__k", F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order)))
+    inside = Window.partitionBy(*group, "__range").orderBy(*order)
+    place = ranges.withColumn("__k", F.row_number().over(inside) if amount is None else F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     same = F.col("__range") == F.col("__r")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))

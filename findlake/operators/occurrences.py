@@ -63,6 +63,24 @@ def cross_scan_rollup(df: DataFrame, key: str = "key", scan: str = "scan_id", co
     return each.groupBy(key).agg(F.max("r").alias("sev_rank"), F.countDistinct(scan).alias("n_scans"), F.countDistinct(component).alias("n_components"), F.sum("n").alias("n_occurrences"))
 
 
+def scan_sketches(df: DataFrame, by: Sequence[str], scan: str = "scan_id", rank: str = "sev_rank", log_size: int = 12) -> DataFrame:
+    """The columns ``by`` (a day and a key, say), sev_rank, scans and n_occurrences, where ``scans`` is a mergeable sketch of the scans.
+
+    A sketch has at most 2^log_size registers, whatever it has seen; its error is about 1.04 / sqrt(2^log_size), 1.6 % at 12.
+    """
+    return df.groupBy(*by).agg(F.max(rank).alias("sev_rank"), F.hll_sketch_agg(F.col(scan).cast("string"), F.lit(log_size)).alias("scans"), F.count("*").alias("n_occurrences"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches of smaller groups, or of parts of the data, put together by the columns ``by``."""
+    return sketches.groupBy(*by).agg(F.max("sev_rank").alias("sev_rank"), F.hll_union_agg("scans", F.lit(True)).alias("scans"), F.sum("n_occurrences").alias("n_occurrences"))
+
+
+def approximate_rollup(sketches: DataFrame, key: str = "key") -> DataFrame:
+    """``key, sev_rank, n_scans, n_occurrences`` over all sketches of a key; n_scans is estimated. No scan is read or shuffled again."""
+    return merge_sketches(sketches, [key]).select(key, "sev_rank", F.hll_sketch_estimate("scans").alias("n_scans"), "n_occurrences")
+
+
 def parse_summary(status: DataFrame) -> DataFrame:
     """Files by scanner and status with totals (null means all)."""
     return status.rollup("scanner", "status").agg(F.count("*").alias("n_files"))

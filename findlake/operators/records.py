@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findlake.operators.numbering import folder_exists, settle
+
 from findlake.functions.text import html_escape
 
 #: Outcomes that need attention; a skip does where its reason says so.
@@ -105,7 +107,7 @@ def last_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy("phase").agg(F.max(F.struct("at", "status")).alias("s")).select("phase", F.col("s.at").alias("at"), F.col("s.status").alias("status"))
 
 
-def write_findings(findings: DataFrame, existing: DataFrame) -> DataFrame:
+def write_states(findings: DataFrame, existing: DataFrame) -> DataFrame:
     """``path, content, state`` of a write of findings (path, content) over files (path, content): unchanged ones are not written again.
 
     A finding without content fails by itself.
@@ -113,3 +115,24 @@ def write_findings(findings: DataFrame, existing: DataFrame) -> DataFrame:
     old = existing.select("path", F.sha2(F.col("content"), 256).alias("__old"))
     state = F.when(F.col("content").isNull(), "failed").when(F.sha2("content", 256) == F.col("__old"), "unchanged").otherwise("written")
     return findings.join(old, "path", "left").select("path", "content", state.alias("state"))
+
+
+def write_findings(findings: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Write findings (path, content; a row a path) into ``table`` and return ``path, state``: written, unchanged or failed.
+
+    The table is Parquet, cut in ``buckets`` by path. Only buckets that have a finding to write are written anew, with what they held
+    of other paths; the other buckets' files are not touched, and a run without a change writes no file. A finding without content
+    fails: its path keeps what it had, and the others are written. What goes out is settled before any old file is replaced.
+    """
+    spark = findings.sparkSession
+    schema = "path string, content string, bucket int"
+    there = folder_exists(spark, table)
+    old = spark.read.schema(schema).parquet(table) if there else spark.createDataFrame([], schema)
+    told = settle(write_states(findings.select("path", "content"), old).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")))
+    touched = told.where("state = 'written'").select("bucket").distinct()
+    if not touched.isEmpty():
+        coming = told.where("state = 'written'").select("path", "content", "bucket")
+        kept = old.join(touched, "bucket", "left_semi").join(coming.select("path"), "path", "left_anti").select("path", "content", "bucket")
+        out = settle(kept.unionByName(coming).repartition("bucket"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+    return told.select("path", "state")

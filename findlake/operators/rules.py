@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.scoring import cvss_base_score, severity_band
-from findlake.functions.text import expected_kind
+from findlake.functions.text import good_segment, known_place
 from findlake.operators.documents import failure, frontmatter_split, lf_text, mark_fences, references
 
 #: The fields of a page's frontmatter.
@@ -92,18 +92,23 @@ def image_path_rule(line_rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def place_rules(paths: DataFrame) -> DataFrame:
-    """``rule_id, path``: WS-002 and WS-003, files under findings/ or methodology/ in no known place; the inbox is known."""
-    inbox = F.col("path").rlike(r"^findings/inbox/[^/]+\.md$")
+    """``rule_id, path``: WS-002 and WS-003, files under findings/ or methodology/ in no known place."""
     top = F.split("path", "/")[0]
-    lost = paths.where(top.isin("findings", "methodology") & ~inbox & expected_kind(F.col("path")).isNull())
+    lost = paths.where(top.isin("findings", "methodology") & ~known_place(F.col("path")))
     return lost.select(F.when(top == "findings", "WS-002").otherwise("WS-003").alias("rule_id"), "path")
 
 
 def segment_rule(paths: DataFrame) -> DataFrame:
-    """``rule_id, path, message``: WS-001, the first segment below the top that is badly named; names with a leading dot are exempt."""
-    bad = F.filter(F.split("path", "/"), lambda s: ~s.startswith(".") & ~s.rlike(r"^[a-z0-9][a-z0-9._-]*$"))
-    top = F.split("path", "/")[0]
-    return paths.where(top.isin("findings", "methodology") & (F.size(bad) > 0)).select(F.lit("WS-001").alias("rule_id"), "path", bad[0].alias("message"))
+    """``rule_id, path, message``: WS-001, every badly named segment of a path below findings/ or methodology/, a row each.
+
+    Names with a leading dot are exempt, as is the name of a file right in evidence/ or images/, which has a rule of its own.
+    """
+    parts = F.split("path", "/")
+    own = F.col("path").rlike("(^|/)(?:evidence|images)/[^/]+$")
+    checked = F.when(own, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    bad = F.filter(checked, lambda s: ~good_segment(s))
+    found = paths.where(parts[0].isin("findings", "methodology")).select("path", F.explode(bad).alias("message"))
+    return found.select(F.lit("WS-001").alias("rule_id"), "path", "message")
 
 
 def generated_rule(files: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -132,8 +137,9 @@ def narrative_rule(files: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def namespace(*tables: DataFrame) -> DataFrame:
-    """The slugs (book, slug) of several namespaces, each once."""
-    return all_failures(*[t.select("book", "slug") for t in tables]).distinct()
+    """The slugs (book, slug, and kind where the first table has it) of several namespaces, each once."""
+    columns = [c for c in ("book", "kind", "slug") if c in tables[0].columns]
+    return all_failures(*[t.select(*columns) for t in tables]).distinct()
 
 
 def force_set(paths: DataFrame, forced: DataFrame, prefix: str) -> DataFrame:

@@ -524,11 +524,6 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(path.alias("path"), F.when(F.col("o_orderkey") % 7 == 0, "page").otherwise(fit).alias("kind"))
 
 
-@query(INDEX + " SELECT CASE WHEN k % 6 = 1 THEN 'IDX-004' ELSE 'IDX-002' END AS rule_id, path, CASE WHEN k % 6 = 2 THEN 'local-only tree' ELSE wanted END AS message FROM i WHERE k % 6 = 2 OR kind <> wanted")
-def idx002_idx004_kinds(spark, sf_dir):
-    return documents.index_rules(index_rows(spark, sf_dir))
-
-
 @query(INDEX + " SELECT 'IDX-003' AS rule_id, path, regexp_extract(path, '^(findings/reports/[^/]+)/', 1) AS message FROM i WHERE k % 6 IN (1, 3) AND regexp_extract(path, '^(findings/reports/[^/]+)/', 1) NOT IN (SELECT path FROM i WHERE kind = 'report')")
 def idx003_unindexed_reports(spark, sf_dir):
     rows = index_rows(spark, sf_dir)
@@ -647,8 +642,3 @@ def rec18_sidecars(spark, sf_dir):
     k = F.col("p_partkey") % 3
     path = F.concat(F.lit("a/"), F.col("p_partkey").cast("string"), F.when(k == 0, ".md").when(k == 1, "").otherwise(".remote.md"))
     return read(spark, sf_dir, "part").select("p_partkey", text.sidecar_name(path).alias("sidecar"), text.is_sidecar(path).alias("is_sidecar"))
-
-
-@query(INDEX + " SELECT path, CASE WHEN k % 6 = 2 THEN NULL ELSE wanted END AS expected FROM i")
-def fil9_expected_kind(spark, sf_dir):
-    return index_rows(spark, sf_dir).select("path", text.expected_kind(F.col("path")).alias("expected"))

@@ -29,12 +29,17 @@ def wiki005_raw_html(spark, sf_dir):
     return rules.raw_html_rule(documents.explode_lines(read(spark, sf_dir, "pages"), "page_id", "html", fences=True))
 
 
-@query("SELECT 'WIKI-006' AS rule_id, page_id AS doc_id, CAST(NULL AS INTEGER) AS line, CASE page_id % 4 WHEN 0 THEN 'javascript' ELSE 'ftp' END AS message FROM pages WHERE page_id % 4 < 2")
+SCHEMES = ["[x](JavaScript:x)", "![x](ftp://host/x)", "[x](mailto:a@b)", "![x](images/a.png)", "<tel:1>", "[x][L]", "`[x](ftp://no)`"]
+
+
+@query("""SELECT 'WIKI-006' AS rule_id, doc_id, CAST(1 AS INTEGER) AS line, CASE doc_id % 7 WHEN 0 THEN 'javascript: JavaScript:x' WHEN 1 THEN 'ftp: ftp://host/x' WHEN 4 THEN 'tel: tel:1' ELSE 'data: data:x' END AS message
+FROM documents WHERE doc_id % 7 IN (0, 1, 4, 5)""")
 def wiki006_link_schemes(spark, sf_dir):
-    k = F.col("page_id") % 4
-    planted = F.when(k == 0, "JavaScript:x").when(k == 1, "ftp://host/x").when(k == 2, "mailto:a@b").otherwise("https://x")
-    html = F.concat("html", F.lit('<a href="'), planted, F.lit('">x</a>'))
-    return documents.link_scheme_rule(documents.links(read(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id", "html"))
+    """Links and images of every form in front of whole texts."""
+    form = F.element_at(F.array(*map(F.lit, SCHEMES)), (F.col("doc_id") % len(SCHEMES) + 1).cast("int"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]<>`~]", "")
+    whole = F.concat(form, F.lit("\n\n"), plain, F.lit("\n\n[l]: data:x\n"))
+    return documents.link_scheme_rule(documents.references(documents.explode_lines(read(spark, sf_dir, "documents").select("doc_id", whole.alias("text")), fences=True)))
 
 
 @query("""SELECT 'WIKI-008' AS rule_id, doc_id, CAST(2 AS INTEGER) AS line, m AS message FROM documents, (SELECT unnest(['U+200B', 'U+202E']) AS m) WHERE doc_id % 3 = 0 AND text IS NOT NULL
@@ -152,29 +157,70 @@ def ref007_image_paths(spark, sf_dir):
     return rules.image_path_rule(documents.explode_lines(marked, fences=True), pages)
 
 
-PLACES = """WITH p AS (SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN 'findings/library/' || o_orderkey || '.md' WHEN 1 THEN 'findings/library/x/' || o_orderkey || '.md' WHEN 2 THEN 'methodology/drafts/' || o_orderkey || '.md' WHEN 3 THEN 'findings/inbox/' || o_orderkey || '.md'
- WHEN 4 THEN 'notes/Odd ' || o_orderkey WHEN 5 THEN 'findings/reports/R ' || o_orderkey || '/a.md' WHEN 6 THEN 'methodology/library/b/c/' || o_orderkey || '.md' ELSE 'findings/reports/r/.hidden' || o_orderkey || '/x/y.md' END AS path FROM orders)"""
+#: Shapes of paths with a number in them: what stands before and after it, whether the place is known, the badly named segments.
+PLACES = [
+    ("findings/library/", ".md", True, []), ("findings/library/x/", ".md", False, []), ("methodology/drafts/", ".md", False, []), ("findings/inbox/", ".md", True, []), ("notes/Odd ", "", None, []), ("findings/reports/R %d/", ".md", True, ["R %d"]), ("methodology/library/b/c/", ".md", True, []),
+    ("findings/reports/r/.hidden", "/x/y.md", False, []), ("findings/reports/r%d/.report.yml", None, True, []), ("methodology/library/b%d/c/.chapter.yml", None, True, []), ("findings/reports/r/evidence/Odd ", ".PNG", True, []), ("findings/reports/r/evidence/deep/Odd ", ".png", True, ["Odd %d.png"]),
+    ("methodology/library/b/images/A ", ".png", True, []), ("methodology/checklists/e%d/c/x.md", None, True, []), ("methodology/library/.shelves/s%d.yml", None, True, []), ("methodology/shelves/s%d.yml", None, False, []), ("findings/reports/R x/N y/", ".txt", False, ["R x", "N y"]), ("findings/reports/r/notes/", ".txt", False, []),
+    ("methodology/library/b%d/.book.yml", None, True, []),
+]
+
+
+def _shape(before, after):
+    return before if after is None else before + "%d" + after
 
 
 def placed(spark, sf_dir):
-    k, n = F.col("o_orderkey") % 8, F.col("o_orderkey").cast("string")
-    forms = [("findings/library/", ".md"), ("findings/library/x/", ".md"), ("methodology/drafts/", ".md"), ("findings/inbox/", ".md"), ("notes/Odd ", ""), ("findings/reports/R ", "/a.md"), ("methodology/library/b/c/", ".md"), ("findings/reports/r/.hidden", "/x/y.md")]
-    path = F.lit(None).cast("string")
-    for i, (before, after) in enumerate(forms):
-        path = F.when(k == i, F.concat(F.lit(before), n, F.lit(after))).otherwise(path)
-    return read(spark, sf_dir, "orders").select(path.alias("path"))
+    n = F.col("o_orderkey").cast("string")
+    shapes = F.array(*[F.lit(_shape(*p[:2])) for p in PLACES])
+    return read(spark, sf_dir, "orders").select(F.replace(F.element_at(shapes, (F.col("o_orderkey") % len(PLACES) + 1).cast("int")), F.lit("%d"), n).alias("path"))
+
 
+def _places(rows):
+    values = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in rows)
+    return f"WITH r AS (SELECT * FROM (VALUES {values}) v(i, rule_id, shape, message)), p AS (SELECT rule_id, replace(shape, '%d', o_orderkey::VARCHAR) AS path, replace(message, '%d', o_orderkey::VARCHAR) AS message FROM orders JOIN r ON o_orderkey % {len(PLACES)} = i) "
 
-@query(PLACES + " SELECT CASE WHEN k % 8 = 2 THEN 'WS-003' ELSE 'WS-002' END AS rule_id, path FROM p WHERE k % 8 IN (1, 2, 7)")
+
+@query(_places([(i, "WS-002" if p[0].startswith("findings") else "WS-003", _shape(*p[:2]), "") for i, p in enumerate(PLACES) if p[2] is False]) + "SELECT rule_id, path FROM p")
 def ws002_ws003_places(spark, sf_dir):
     return rules.place_rules(placed(spark, sf_dir))
 
 
-@query(PLACES + " SELECT 'WS-001' AS rule_id, path, 'R ' || k AS message FROM p WHERE k % 8 = 5")
+@query(_places([(i, "WS-001", _shape(*p[:2]), bad) for i, p in enumerate(PLACES) for bad in p[3]]) + "SELECT rule_id, path, message FROM p")
 def ws001_segments(spark, sf_dir):
     return rules.segment_rule(placed(spark, sf_dir))
 
 
+#: Shapes of paths and the kinds that they imply.
+KINDS = [
+    ("findings/library/%d.md", "library_finding"), ("findings/library/x/%d.md", None), ("findings/reports/r%d", "report"), ("findings/reports/r/%d.md", "reported_finding"), ("findings/reports/r/%d.txt", None), ("findings/reports/%d.md", "report"), ("findings/reports/r/evidence/%d.png", "evidence"),
+    ("findings/reports/r/evidence/x/%d.png", None), ("findings/reports/r/notes/%d.md", "note"), ("findings/reports/r/narrative/%d.md", "narrative"), ("findings/inbox/%d.md", None), ("methodology/library/.shelves/%d.yml", "shelf"), ("methodology/shelves/%d.yml", None), ("methodology/library/b%d", "book"),
+    ("methodology/library/b/%d.md", "page"), ("methodology/library/b/c%d", "chapter"), ("methodology/library/b/images/%d.png", "image"), ("methodology/library/b/images/%d.md", "image"), ("methodology/library/b/c/%d.md", "page"), ("methodology/checklists/e%d/c/x.md", None), ("methodology/checklists/e%d", None),
+]
+
+
+def kind_rows(spark, sf_dir):
+    n, i = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % len(KINDS) + 1).cast("int")
+    path = F.replace(F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), i), F.lit("%d"), n)
+    own = F.element_at(F.array(*[F.lit(k[1]) for k in KINDS]), i)
+    return read(spark, sf_dir, "orders").select(path.alias("path"), F.when(F.floor(F.col("o_orderkey") / 30) % 2 == 0, "user").otherwise(F.coalesce(own, F.lit("page"))).alias("kind"))
+
+
+KIND_ROWS = "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{shape}', {'NULL' if kind is None else repr(kind)})" for i, (shape, kind) in enumerate(KINDS)) + f""") v(i, shape, wanted)),
+p AS (SELECT replace(shape, '%d', o_orderkey::VARCHAR) AS path, wanted, (o_orderkey // 30) % 2 = 0 AS odd FROM orders JOIN r ON o_orderkey % {len(KINDS)} = i) """
+
+
+@query(KIND_ROWS + "SELECT path, wanted AS expected FROM p")
+def fil9_expected_kind(spark, sf_dir):
+    return kind_rows(spark, sf_dir).select("path", text.expected_kind(F.col("path")).alias("expected"))
+
+
+@query(KIND_ROWS + """SELECT CASE WHEN path LIKE '%/evidence/%' OR path LIKE '%/images/%' THEN 'IDX-004' ELSE 'IDX-002' END AS rule_id, path, wanted AS message FROM p WHERE odd AND wanted IS NOT NULL
+UNION ALL SELECT 'IDX-002', path, 'local-only tree' FROM p WHERE path LIKE 'findings/inbox/%' OR path LIKE 'methodology/checklists/%'""")
+def idx002_idx004_kinds(spark, sf_dir):
+    return documents.index_rules(kind_rows(spark, sf_dir))
+
+
 @query("SELECT 'WS-010' AS rule_id, 'r/' || event_id AS path, CASE event_id % 4 WHEN 0 THEN 'not an object' WHEN 1 THEN 'missing at' ELSE 'unknown more' END AS message FROM events WHERE event_id % 4 < 3")
 def ws010_generated(spark, sf_dir):
     k = F.col("event_id") % 4
@@ -270,13 +316,6 @@ def log4_last_run(spark, sf_dir):
     return records.last_run(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("phase"), F.to_date("o_orderdate").cast("string").alias("at"), F.col("o_orderstatus").alias("status")))
 
 
-@query("SELECT doc_id || '.md' AS path, CASE WHEN text IS NULL THEN 'failed' WHEN doc_id % 3 = 0 THEN 'unchanged' ELSE 'written' END AS state FROM documents")
-def log5_write_findings(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(key(), F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    old = d.where("doc_id % 3 <> 2").select("path", F.when(F.col("doc_id") % 3 == 0, F.col("content")).otherwise(F.concat("content", F.lit("!"))).alias("content"))
-    return records.write_findings(d, old).select("path", "state")
-
-
 @query("WITH f AS (SELECT o_orderkey AS doc_id, 'a/' || o_custkey || '/' || o_orderkey AS path FROM orders) SELECT doc_id, path FROM f WHERE path LIKE 'a/1/%' OR path LIKE 'a/23/%' OR path = 'a/' || (SELECT min(o_custkey) FROM orders) || '/' || (SELECT min(o_orderkey) FROM orders)")
 def fil5_scope_filter(spark, sf_dir):
     f = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("/", F.lit("a"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("path"), "o_custkey")
@@ -320,13 +359,22 @@ def joi5_ref_ids(spark, sf_dir):
     return lookups.resolve_ref_ids(refs, o.where("o_orderkey % 3 = 0").select(path.alias("path"), F.col("o_orderkey").alias("id")), names).select("o_orderkey", "id")
 
 
-@query("SELECT page_id AS doc_id, '/books/b' || page_id % 7 || '/page/P' || page_id AS url FROM pages WHERE page_id % 2 = 1 AND page_id % 3 <> 0")
-def joi6_internal_links(spark, sf_dir):
+#: Forms of links (%b the book, %d the number) and whether each is broken; even numbers are known as pages, those that 3 divides as chapters.
+LINKS = [
+    ("/books/%b/page/P%d", "page"), ("/books/%b/chapter/p%d/", "chapter"), ("https://wiki/books/%b/page/p%d?x#y", "page"), ("https://other/books/%b/page/p%d", None), ("x/books/%b/page/p%d", None), ("/books/%b/page/p%d/extra", None), ("/books/B%b/page/p%d", "always"), ("http://wiki/books/%b/chapter/P%d", "chapter"),
+]
+
+
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{form}', {'NULL' if kind is None else repr(kind)})" for i, (form, kind) in enumerate(LINKS)) + """) v(i, form, kind))
+SELECT page_id AS doc_id, replace(replace(form, '%d', page_id::VARCHAR), '%b', 'b' || page_id % 7) AS url FROM pages, f WHERE kind = 'always' OR kind = 'page' AND page_id % 2 <> 0 OR kind = 'chapter' AND page_id % 3 <> 0""")
+def joi6_wiki007_internal_links(spark, sf_dir):
     k, n = F.col("page_id"), F.col("page_id").cast("string")
+    book = F.concat(F.lit("b"), (k % 7).cast("string"))
     pages = read(spark, sf_dir, "pages")
-    url = F.concat(F.lit("/books/b"), (k % 7).cast("string"), F.lit("/page/P"), n)
-    links = pages.select(k.alias("doc_id"), url.alias("url")).unionByName(pages.select(k.alias("doc_id"), F.concat(F.lit("https://other"), url).alias("url")))
-    known = pages.where("page_id % 2 = 0 or page_id % 3 = 0").select(F.concat(F.lit("b"), (k % 7).cast("string")).alias("book"), F.concat(F.lit("p"), n).alias("slug"))
+    forms = F.explode(F.array(*[F.lit(f) for f, _ in LINKS])).alias("form")
+    links = pages.select(k.alias("doc_id"), n.alias("n"), book.alias("b"), forms).select("doc_id", F.replace(F.replace("form", F.lit("%d"), F.col("n")), F.lit("%b"), F.col("b")).alias("url"))
+    slugs = lambda kind, some: pages.where(some).select(book.alias("book"), F.lit(kind).alias("kind"), F.concat(F.lit("p"), n).alias("slug"))
+    known = rules.namespace(slugs("page", k % 2 == 0), slugs("chapter", k % 3 == 0))
     return lookups.internal_link_check(links, known, "wiki").select("doc_id", "url")
 
 
@@ -350,43 +398,3 @@ def joi11_changed_since_witness(spark, sf_dir):
     k = F.col("id")
     state = remote.where(k % 4 != 0).select("id", F.when(k % 6 != 0, "sha256:x").alias("base_hash"), F.when(k % 5 == 0, None).otherwise(F.col("updated_at")).alias("updated_at"), F.when(k % 7 == 0, 99).otherwise(F.col("revision")).alias("revision"))
     return reconcile.changed_since_witness(remote, state, ["updated_at", "revision"]).select("id", "changed")
-
-
-# The ratio of matching blocks has no SQL form; a test holds it against all pairs.
-@query()
-def mat1_similar_pairs(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("block"), F.col("p_partkey").alias("path"), F.col("p_name").alias("text"))
-    return lookups.similar_pairs(rows.where("path % 2 = 0"), rows.where("path % 2 = 1"))
-
-
-@query("WITH e AS (SELECT o_custkey AS old_path, o_orderkey AS new_path, o_totalprice AS score FROM orders) SELECT old_path, new_path, score FROM (SELECT *, row_number() OVER (PARTITION BY old_path ORDER BY score DESC, new_path) AS k FROM e) WHERE k = 1")
-def mat3_greedy_match(spark, sf_dir):
-    # each new path has one edge, so the best edge of every old path is taken
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return lookups.greedy_match(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("old_path"), F.col("o_orderkey").alias("new_path"), F.col("o_totalprice").alias("score")))
-
-
-def checkpoint_dir(spark) -> str:
-    """The shared folder that the session names; only a local session without one gets a temporary folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="findlake-")
-
-
-@query("SELECT user_id AS key, max(CAST(floor(value) AS BIGINT) % 5) AS sev_rank, count(*) AS n_occurrences FROM events GROUP BY user_id")
-def str1_stream(spark, sf_dir):
-    import uuid
-
-    from findlake.streaming import findings
-
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = read(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    occurrences = rows.select((F.col("event_id") % 7).alias("scan_id"), F.col("event_id").alias("pos"), F.col("user_id").alias("key"), (F.floor("value") % 5).alias("sev_rank"))
-    findings.maintain_findings(occurrences, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return findings.current_findings(spark, f"{base}/table")
