@@ -123,6 +123,16 @@ def reference_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", (F.col("pos") + 1).alias("line"), F.expr("substring(x.__m, 2)").alias("content"), F.col("x.__m").startswith("1").alias("in_code"), F.coalesce("x.__list", F.lit(False)).alias("in_list_item"))
 
 
+#: A code span of a line: closed by a run of as many marks.
+CODE_SPAN = r"(`++)(.+?)(?<!`)\1(?!`)"
+
+
+def _calm(line: Column) -> Column:
+    """A line whose code spans keep their text, but no mark that a reference is made of."""
+    spans = F.regexp_extract_all(line, F.lit(CODE_SPAN), F.lit(2))
+    return F.array_join(F.zip_with(F.split(line, CODE_SPAN, -1), spans, lambda out, own: F.concat(out, F.coalesce(F.translate(own, "[]()<>!", ""), F.lit("")))), "")
+
+
 def _label(label: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
 
@@ -141,7 +151,7 @@ def references(line_rows: DataFrame) -> DataFrame:
     text. An embed is standalone if it is its line; a line's references are numbered from 0. Lines come from ``explode_lines``
     or, with the context of lists, ``reference_lines``.
     """
-    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", F.regexp_replace("content", r"(`++)(?:(?!\1).)++\1", ""))
+    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", _calm(F.col("content")))
     if "in_list_item" not in rows.columns:
         rows = rows.withColumn("in_list_item", F.lit(None).cast("boolean"))
     pick = lambda m, pattern, *groups: F.coalesce(*[F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) for g in groups], F.lit(""))
@@ -170,7 +180,7 @@ def references(line_rows: DataFrame) -> DataFrame:
 
 def unparsed_references(line_rows: DataFrame) -> DataFrame:
     """``doc_id, unparsed``: how many brackets followed by a target or a label no form of ``references`` reads, of documents with any."""
-    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", F.regexp_replace("content", r"(`++)(?:(?!\1).)++\1", ""))
+    rows = mark_fences(line_rows).where("not in_code").withColumn("plain", _calm(F.col("content")))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("plain", REFERENCE, " "), LABELLED, " "), r"\\.", "")
     return rows.groupBy("doc_id").agg(F.sum(F.size(F.regexp_extract_all(rest, F.lit(r"\]\(|\]\["), F.lit(0)))).alias("unparsed")).where("unparsed > 0")
 
@@ -198,7 +208,8 @@ FIELD_LINE = r"^(?:\"[^\"\n]*\"|'[^'\n]*'|[^\s#\-\[\]{}&*!|>%@`\"',?:][^:\n]*):(
 
 def _without_comment(value: Column) -> Column:
     """A value without the comment after it; a mark inside quotes is none."""
-    return F.trim(F.regexp_extract(value, r"""^((?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|(?!\s#).)*+)""", 1))
+    quoted = F.regexp_extract(value, r"""^("(?:[^"\\]++|\\.)*+"|'(?:[^']++|'')*+')\s*(?:#.*)?$""", 1)
+    return F.trim(F.when(quoted != "", quoted).otherwise(F.regexp_replace(value, r"(?:^|\s)#.*$", "")))
 
 
 def _unquoted(value: Column) -> Column:
@@ -208,6 +219,11 @@ def _unquoted(value: Column) -> Column:
     return F.when(value.rlike(r'^".*"$'), double).when(value.rlike(r"^'.*'$"), single).when(value.isin("~", "null", "Null", "NULL"), "").otherwise(value)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def header_fields(header: Column) -> Column:
     """The fields of a header as struct(fields map<string, string>, lists map<string, array<string>>, repeated array<string>, error).
 
@@ -222,11 +238,14 @@ def header_fields(header: Column) -> Column:
     body = lambda e: F.regexp_replace(e, r"^[^:\n]+:", "")
 
     def entry(e: Column) -> Column:
-        rows = F.split(body(e), "\n", -1)
-        inline = _without_comment(F.trim(rows[0]))
-        below = F.filter(F.slice(rows, F.lit(2), F.size(rows)), lambda r: ~r.rlike(r"^\s*(?:#.*)?$"))
+        return _bound(F.struct(name(e).alias("key"), F.split(body(e), "\n", -1).alias("rows")), lambda x: _bound(F.struct(
+            x["key"].alias("key"), _without_comment(F.trim(x["rows"][0])).alias("inline"), F.slice(x["rows"], F.lit(2), F.size(x["rows"])).alias("raw"),
+            F.filter(F.slice(x["rows"], F.lit(2), F.size(x["rows"])), lambda r: ~r.rlike(r"^\s*(?:#.*)?$")).alias("below"),
+        ), field))
+
+    def field(x: Column) -> Column:
+        key, inline, raw, below = x["key"], x["inline"], x["raw"], x["below"]
         block = inline.rlike(r"^[|>][+-]?$")
-        raw = F.slice(rows, F.lit(2), F.size(rows))
         indent = F.array_min(F.transform(F.filter(raw, lambda r: F.trim(r) != ""), lambda r: F.length(F.regexp_extract(r, "^ *", 0))))
         dedented = F.transform(raw, lambda r: F.substring(r, indent + 1, F.length(r)))
         literal = F.regexp_replace(F.when(inline.startswith("|"), F.array_join(dedented, "\n")).otherwise(F.array_join(dedented, " ")), r"\s+\z", "")
@@ -238,26 +257,34 @@ def header_fields(header: Column) -> Column:
         more = F.array_join(F.transform(below, lambda r: F.trim(r)), " ")
         scalar = _unquoted(F.trim(F.concat(inline, F.lit(" "), F.when(is_list | is_map, "").otherwise(more))))
         value = F.when(block, literal).when(is_list | is_flow | is_map, "").otherwise(scalar)
-        inner = F.when(is_map, F.transform(below, lambda r: F.struct(F.concat(name(e), F.lit("."), F.trim(F.regexp_extract(r, r"^ +([^:]+):", 1))).alias("key"), _unquoted(_without_comment(F.trim(F.regexp_replace(r, r"^[^:]+:", "")))).alias("value"))))
+        inner = F.when(is_map, F.transform(below, lambda r: F.struct(F.concat(key, F.lit("."), F.trim(F.regexp_extract(r, r"^ +([^:]+):", 1))).alias("key"), _unquoted(_without_comment(F.trim(F.regexp_replace(r, r"^[^:]+:", "")))).alias("value"))))
         whole = F.trim(F.concat(inline, F.lit(" "), more))
-        open_quote = ~block & (whole.rlike(r"""^"(?:[^"\\]|\\.)*$""") | whole.rlike(r"^'(?:[^']|'')*$"))
+        open_quote = ~block & (whole.rlike(r"""^"(?:[^"\\]++|\\.)*+$""") | whole.rlike(r"^'(?:[^']++|'')*+$"))
         problem = (
             F.when(F.exists(raw, lambda r: r.rlike(r"^ *\t")) & ~block, "indent by tab").when(open_quote, "open quote").when(~block & inline.startswith("[") & ~is_flow, "open bracket").when(~block & inline.rlike(r"^[{&*!%@`]"), "unread form")
             .when((inline == "") & (F.size(below) > 0) & ~is_list & ~is_map & F.exists(below, lambda r: r.rlike(r"^\s*-(?:\s|$)") | r.rlike(r"^ +[^\s#:]+:(?:\s|$)")), "unread form").when(~block & ~is_list & F.exists(below, lambda r: ~r.startswith(" ")), "not a field")
         )
-        return F.struct(name(e).alias("key"), value.alias("value"), items.alias("items"), inner.alias("inner"), F.concat(name(e), F.lit(": "), problem).alias("problem"))
+        return F.struct(key.alias("key"), value.alias("value"), items.alias("items"), inner.alias("inner"), F.concat(key, F.lit(": "), problem).alias("problem"))
 
-    entries = F.transform(F.filter(cut, lambda e: e.rlike(rf"(?md)\A{FIELD_LINE[1:]}")), entry)
-    front = F.get(F.filter(cut, lambda e: ~e.rlike(rf"(?md)\A{FIELD_LINE[1:]}") & F.exists(F.split(e, "\n", -1), lambda r: ~r.rlike(r"^\s*(?:#.*)?$"))), F.lit(0))
+    pair = "array<struct<key:string,value:string>>"
     keys = lambda xs: F.transform(xs, lambda x: x["key"])
-    last = lambda xs: F.filter(xs, lambda x, i: ~F.array_contains(F.slice(keys(xs), i + 2, F.size(xs)), x["key"]))
-    kept = last(entries)
-    pairs = F.concat(F.transform(kept, lambda x: F.struct(x["key"], x["value"])), F.coalesce(F.flatten(F.transform(kept, lambda x: F.coalesce(last(x["inner"]), F.array().cast("array<struct<key:string,value:string>>")))), F.array().cast("array<struct<key:string,value:string>>")))
-    fields = F.map_from_entries(pairs)
-    lists = F.map_from_entries(F.transform(F.filter(kept, lambda x: x["items"].isNotNull()), lambda x: F.struct(x["key"], x["items"])))
-    repeated = F.array_distinct(F.filter(keys(entries), lambda k: F.size(F.filter(keys(entries), lambda o: o == k)) > 1))
-    error = F.coalesce(F.when(front.isNotNull(), F.concat(F.lit("not a field: "), F.substring(F.regexp_replace(front, r"\A\s+|\s+\z", ""), 1, 60))), F.get(F.filter(F.transform(entries, lambda x: x["problem"]), lambda p: p.isNotNull()), F.lit(0)))
-    return F.when(header.isNotNull(), F.struct(fields.alias("fields"), lists.alias("lists"), repeated.alias("repeated"), error.alias("error")))
+    last = lambda xs: _bound(F.struct(xs.alias("xs"), keys(xs).alias("keys")), lambda b: F.filter(b["xs"], lambda x, i: ~F.array_contains(F.slice(b["keys"], i + 2, F.size(b["keys"])), x["key"])))
+
+    def told(b: Column) -> Column:
+        entries, kept = b["entries"], b["kept"]
+        inner = F.flatten(F.transform(kept, lambda x: F.coalesce(last(x["inner"]), F.array().cast(pair))))
+        fields = F.map_from_entries(F.concat(F.transform(kept, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), inner))
+        lists = F.map_from_entries(F.transform(F.filter(kept, lambda x: x["items"].isNotNull()), lambda x: F.struct(x["key"], x["items"])))
+        repeated = F.array_distinct(F.filter(keys(entries), lambda k: F.size(F.filter(entries, lambda o: o["key"] == k)) > 1))
+        problems = F.filter(F.transform(entries, lambda x: x["problem"]), lambda p: p.isNotNull())
+        stray = F.concat(F.lit("not a field: "), F.substring(F.regexp_replace(b["front"], r"\A\s+|\s+\z", ""), 1, 60))
+        return F.struct(fields.alias("fields"), lists.alias("lists"), repeated.alias("repeated"), F.coalesce(stray, F.get(problems, F.lit(0))).alias("error"))
+
+    is_field = lambda e: e.rlike(rf"(?md)\A{FIELD_LINE[1:]}")
+    front = F.get(F.filter(cut, lambda e: ~is_field(e) & F.exists(F.split(e, "\n", -1), lambda r: ~r.rlike(r"^\s*(?:#.*)?$"))), F.lit(0))
+    read = F.struct(F.transform(F.filter(cut, is_field), entry).alias("entries"), front.alias("front"))
+    whole = _bound(read, lambda x: _bound(F.struct(x["entries"].alias("entries"), last(x["entries"]).alias("kept"), x["front"].alias("front")), told))
+    return F.when(header.isNotNull(), whole)
 
 
 def finding_headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tier_col: str = "tier") -> DataFrame:

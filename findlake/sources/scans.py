@@ -66,7 +66,7 @@ def parse_problem(text: Column) -> Column:
     """Why an export can't be parsed, else null: JSON or XML that isn't well-formed, or text after the root element."""
     json = F.when(F.try_parse_json(text).isNull(), "malformed JSON")
     bad = F.from_xml(text, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"]
-    after = F.regexp_replace(text, r"(?s)(?:\s|<!--(?:(?!-->).)*+-->|<\?(?:(?!\?>).)*+\?>)++\z", "")
+    after = F.regexp_replace(text, r"(?s)(?:\s++|<!--.*?-->|<\?.*?\?>)++\z", "")
     xml = F.when(bad.isNotNull(), "malformed XML").when(~after.endswith(">"), "text after the root element")
     return F.when(text.rlike(r"^\s*[\[{]"), json).otherwise(xml)
 
