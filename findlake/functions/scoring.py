@@ -191,5 +191,6 @@ def cwe_number(text: Column) -> Column:
 
 
 def cwe_label(text: Column) -> Column:
-    """``CWE-n``, or an empty string for anything that names none (sentinels of 0 and below included)."""
-    return F.coalesce(F.concat(F.lit("CWE-"), cwe_number(text).cast("string")), F.lit(""))
+    """``CWE-n``, or an empty string for anything that names none (sentinels of 0 and below included); numbers of any length."""
+    n = F.regexp_extract(F.trim(F.coalesce(text, F.lit(""))), r"(?i)^(?:CWE-)?0*([1-9][0-9]*)$", 1)
+    return F.when(n != "", F.concat(F.lit("CWE-"), n)).otherwise("")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,14 +64,18 @@ def refs_to_html(refs: Column) -> Column:
     return F.when(F.size(refs) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(refs, one), ""), F.lit("</ul>"))).otherwise("")
 
 
-def html_to_text(html: Column) -> Column:
+@F.pandas_udf("string")
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Every entity of the HTML standard, by name or number, decoded once."""
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
+def html_to_text(html_text: Column) -> Column:
     """Tags to text: blocks start lines, cells are joined by a bar, entities are decoded once, blank lines go."""
-    s = F.regexp_replace(html, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | ")
+    s = F.regexp_replace(html_text, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | ")
     s = F.regexp_replace(s, r"(?i)<(?:li|p|br|ul|ol|tr|div)\b[^>]*>", "\n")
     s = F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "")
-    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = F.replace(s, F.lit(safe), F.lit(raw))
-    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_decoded(s), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 

@@ -443,6 +443,16 @@ def rule_summary(failures: DataFrame) -> DataFrame:
     return failures.groupBy("rule_id").agg(F.count("*").alias("n_failures"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+def rule_cube(failures: DataFrame) -> DataFrame:
+    """``family, area, n_failures`` of failures (rule_id, path), with totals (null means all): rules by what stands before their number, areas by the first folder."""
+    return failures.select(F.regexp_extract("rule_id", r"^([A-Z]+)", 1).alias("family"), F.substring_index("path", "/", 1).alias("area")).cube("family", "area").agg(F.count("*").alias("n_failures"))
+
+
+def exit_code(failures: DataFrame) -> DataFrame:
+    """One row ``exit_code``: 1 if there is a failure, else 0."""
+    return failures.limit(1).agg(F.count("*").cast("int").alias("exit_code"))
+
+
 def scope_filter(failures: DataFrame, scopes: DataFrame, known: DataFrame) -> DataFrame:
     """Rows whose path is a scope or below one; a scope that covers no known path raises ValueError."""
     parts = F.split("path", "/", -1)

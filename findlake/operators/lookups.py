@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.functions.text import slugify, stem
+from findlake.functions.text import html_to_text, slugify, stem
 from findlake.operators.components import components
 from findlake.operators.numbering import numbered, settle
 
@@ -29,11 +29,20 @@ def resolve_refs(refs: DataFrame, files: DataFrame, on: Sequence[str] = ("folder
     return refs.join(known, list(on), "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
-def resolve_ref_ids(refs: DataFrame, index: DataFrame, names: DataFrame) -> DataFrame:
-    """``id`` of each reference (report, path, name): by path, else the first record of that name in its own report."""
-    by_path = index.groupBy("path").agg(F.min("id").alias("__by_path"))
-    by_name = names.groupBy("report", "name").agg(F.min_by("id", "seq").alias("__by_name"))
-    return refs.join(by_path, "path", "left").join(by_name, ["report", "name"], "left").withColumn("id", F.coalesce("__by_path", "__by_name")).drop("__by_path", "__by_name")
+def resolve_ref_ids(refs: DataFrame, index: DataFrame, names: DataFrame, reports: str = "findings/reports/") -> DataFrame:
+    """``id`` of each reference (report, path, name): that of its path, else of the first row (by ``seq``) of that name.
+
+    ``index`` is (path, id), paths from the top; a reference's path is relative to its report's folder, which is ``reports`` and the
+    report. ``names`` is (report, name, seq, id). A reference stays inside its own report: an id whose indexed path lies elsewhere,
+    or that isn't indexed, is none.
+    """
+    home = lambda report: F.concat(F.lit(reports), F.col(report).cast("string"), F.lit("/"))
+    by_path = index.groupBy(F.col("path").alias("__path")).agg(F.min("id").alias("__by_path"))
+    first = names.groupBy("report", "name").agg(F.min_by("id", "seq").alias("__by_name"))
+    where = index.groupBy(F.col("id").alias("__by_name")).agg(F.min("path").alias("__home"))
+    inside = first.join(where, "__by_name").where(F.col("__home").startswith(home("report"))).drop("__home")
+    joined = refs.join(by_path, F.concat(home("report"), "path") == F.col("__path"), "left").join(inside, ["report", "name"], "left")
+    return joined.select(*refs.columns, F.coalesce("__by_path", "__by_name").alias("id"))
 
 
 def internal_link_check(links: DataFrame, namespace: DataFrame, host: str | None) -> DataFrame:
@@ -193,6 +202,11 @@ def kind_summary(plan: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     return plan.groupBy("kind").pivot("outcome", list(outcomes)).count().na.fill(0)
 
 
+def problem_paths(plan: DataFrame, outcomes: Sequence[str] = ("COLLISION", "INVALID", "WITHHELD")) -> DataFrame:
+    """``kind, outcome, path`` of what a summary names: the paths of the outcomes that are problems, a row each, not gathered."""
+    return plan.where(F.col("outcome").isin(*outcomes)).select("kind", "outcome", "path")
+
+
 def status_counts(status: DataFrame, kinds: DataFrame, buckets: Sequence[str]) -> DataFrame:
     """``kind, status, n`` with zeros: every bucket of every kind."""
     grid = kinds.select("kind").distinct().select("kind", F.explode(F.array(*[F.lit(b) for b in buckets])).alias("status"))
@@ -207,6 +221,19 @@ def caption_opinions(refs: DataFrame, longest: int = 255) -> DataFrame:
     return n.select("folder", "name", F.when(F.col("n_captions") == 1, F.col("caption")).alias("caption"), "n_captions", problem.alias("problem"))
 
 
+def caption_rules(embeds: DataFrame, longest: int = 255) -> DataFrame:
+    """``rule_id, doc_id, line, message`` of embeds (report, path, caption, doc_id, line): REF-010 and REF-004, each at every embed.
+
+    A caption over ``longest`` characters is wrong by itself; where the captions of a report's file that aren't blank differ, every
+    embed of that file is. Captions are brought down to different ones before they are counted.
+    """
+    rows = embeds.withColumn("__c", F.when(F.trim("caption") != "", F.col("caption")))
+    differ = rows.groupBy("report", "path", "__c").count().groupBy("report", "path").agg(F.count("__c").alias("__n")).where("__n > 1")
+    long = embeds.where(F.length("caption") > longest).select(F.lit("REF-010").alias("rule_id"), "doc_id", F.col("line").cast("int").alias("line"), F.concat("path", F.lit(": "), F.length("caption").cast("string"), F.lit(" characters")).alias("message"))
+    wrong = embeds.join(differ, ["report", "path"]).select(F.lit("REF-004").alias("rule_id"), "doc_id", F.col("line").cast("int").alias("line"), F.concat("path", F.lit(": "), F.col("__n").cast("string"), F.lit(" captions")).alias("message"))
+    return long.unionByName(wrong)
+
+
 def stem_groups(files: DataFrame) -> DataFrame:
     """Files (folder, name) that share a stem with another in their folder, sidecars left out."""
     plain = files.where(~F.col("name").rlike(r"\.remote(\.[^./]+)?$")).withColumn("stem", stem(F.col("name")))
@@ -219,6 +246,23 @@ def index_uniqueness(index: DataFrame) -> DataFrame:
     return index.groupBy("kind", "id").agg(F.countDistinct("path").alias("n_paths")).where("n_paths > 1")
 
 
+def index_problems(index: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """``rule_id, path, message``: IDX-001 of index entries (path, kind, id as text), all that apply.
+
+    A path must be relative, of forward slashes, without ``..`` and not empty; a kind one of ``kinds``; an id an integer; and no kind and id
+    may be under two paths (each of them has a row).
+    """
+    path = F.coalesce("path", F.lit(""))
+    each = F.array_compact(F.array(
+        F.when(path == "", "empty path"), F.when(path.contains("\\"), "backslash"), F.when(path.startswith("/"), "absolute path"), F.when(F.array_contains(F.split(path, "/"), ".."), "parent segment"),
+        F.when(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "unknown kind"), F.when(~F.coalesce(F.col("id").rlike(r"^-?(?:0|[1-9][0-9]*)$"), F.lit(False)), "no integer id"),
+    ))
+    alone = index.select("path", F.explode(each).alias("message"))
+    twice = index.groupBy("kind", "id").agg(F.count_distinct("path").alias("__n")).where("__n > 1 and id is not null and kind is not null")
+    shared = index.join(twice, ["kind", "id"]).select("path", F.concat_ws(" ", F.lit("identity"), "kind", "id", F.lit("twice")).alias("message"))
+    return alone.unionByName(shared).select(F.lit("IDX-001").alias("rule_id"), "path", "message")
+
+
 def primary_home(reports: DataFrame) -> DataFrame:
     """``project_id, directory``: that of the lowest report that has one."""
     return reports.where("directory is not null").groupBy("project_id").agg(F.min_by("directory", "report_id").alias("directory"))
@@ -373,7 +417,7 @@ def restore_run(log: DataFrame, now: DataFrame) -> DataFrame:
 
 
 #: The headings of a project's context, in order.
-CONTEXT_HEADINGS = ["## Scope", "## Objectives", "## Targets", "## White cards"]
+CONTEXT_HEADINGS = ["## Scope", "## Objectives", "## Targets", "## White cards", "## Collab note"]
 
 
 def project_context(projects: DataFrame, scopes: DataFrame, objectives: DataFrame, targets: DataFrame, cards: DataFrame) -> DataFrame:
@@ -381,28 +425,36 @@ def project_context(projects: DataFrame, scopes: DataFrame, objectives: DataFram
 
     projects (project_id, codename, client); scopes (project_id, pos, name, entries, disallowed, caution); objectives
     (project_id, pos, objective, status, priority, deadline, complete); targets (project_id, pos, hostname, ip, compromised); cards
-    (project_id, pos, title, issued). Child rows become text where they are and meet in one shuffle, sorted by pos. A project's own
+    (project_id, pos, title, issued). Where they have them, projects also bring start, end and collab (HTML), objectives a result, and all child
+    rows a description (HTML in cards). Child rows become text where they are and meet in one shuffle, sorted by pos. A project's own
     rows are the text's size, so no larger than one row of the result.
     """
     some = lambda c: F.when(F.length(c) > 0, F.col(c))
+    text = lambda table, c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in table.columns else F.lit("")
+    after = lambda value, gap: F.when(value != "", F.concat(F.lit(gap), value)).otherwise("")
     flags = F.concat_ws(", ", F.when(F.col("disallowed"), "EXCLUDED"), F.when(F.col("caution"), "CAUTION"))
     entries = F.filter(F.transform(F.split(F.coalesce("entries", F.lit("")), "\r?\n"), lambda e: F.trim(e)), lambda e: e != "")
     listed = F.when(F.size(entries) > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e)), "\n"))).otherwise("")
     bits = F.concat_ws(" / ", some("status"), some("priority"))
     address = F.concat_ws(" / ", some("hostname"), some("ip"))
     parts = [
-        (scopes, F.concat(F.lit("\n### "), F.coalesce(some("name"), F.lit("Scope")), F.when(flags != "", F.concat(F.lit(" ("), flags, F.lit(")"))).otherwise(""), listed)),
+        (scopes, F.concat(F.lit("\n### "), F.coalesce(some("name"), F.lit("Scope")), F.when(flags != "", F.concat(F.lit(" ("), flags, F.lit(")"))).otherwise(""), after(text(scopes, "description"), "\n\n"), listed)),
         (objectives, F.concat(
             F.lit("- **"), F.coalesce("objective", F.lit("")), F.lit("**"), F.when(bits != "", F.concat(F.lit(" \u2014 "), bits)).otherwise(""),
             F.when(F.length("deadline") > 0, F.concat(F.lit(" (deadline: "), F.col("deadline"), F.lit(")"))).otherwise(""), F.when(F.col("complete"), " [COMPLETE]").otherwise(""),
+            after(text(objectives, "description"), "\n  "), after(text(objectives, "result"), "\n  Result: "),
         )),
-        (targets, F.concat(F.lit("- "), F.when(address != "", address).otherwise("unknown target"), F.when(F.col("compromised"), " (COMPROMISED)").otherwise(""))),
-        (cards, F.concat(F.lit("\n### "), F.coalesce("title", F.lit("")), F.when(F.length("issued") > 0, F.concat(F.lit(" \u2014 "), F.col("issued"))).otherwise(""))),
+        (targets, F.concat(F.lit("- "), F.when(address != "", address).otherwise("unknown target"), F.when(F.col("compromised"), " (COMPROMISED)").otherwise(""), after(text(targets, "description"), "\n  "))),
+        (cards, F.concat(F.lit("\n### "), F.coalesce("title", F.lit("")), F.when(F.length("issued") > 0, F.concat(F.lit(" \u2014 "), F.col("issued"))).otherwise(""), after(html_to_text(text(cards, "description")), "\n\n"))),
     ]
+    start, end = text(projects, "start"), text(projects, "end")
+    dated = F.when((start != "") | (end != ""), F.concat(F.lit("**Dates:** "), start, F.lit(" \u2013 "), end))
+    about = F.concat_ws("\n", F.when(F.length("client") > 0, F.concat(F.lit("**Client:** "), F.col("client"))), dated)
     heads = projects.select("project_id", F.lit(-1).alias("section"), F.lit(0).cast("long").alias("pos"), F.concat(
-        F.lit("# "), F.coalesce(some("codename"), some("client"), F.lit("Project")), F.when(F.length("client") > 0, F.concat(F.lit("\n\n**Client:** "), F.col("client"))).otherwise(""),
+        F.lit("# "), F.coalesce(some("codename"), some("client"), F.lit("Project")), after(about, "\n\n"),
     ).alias("text"), F.lit(True).alias("is_project"))
-    rows = heads
+    collab = projects.select("project_id", F.lit(4).alias("section"), F.lit(0).cast("long").alias("pos"), html_to_text(text(projects, "collab")).alias("text"), F.lit(False).alias("is_project")).where("text <> ''")
+    rows = heads.unionByName(collab)
     for k, (table, text) in enumerate(parts):
         rows = rows.unionByName(table.select("project_id", F.lit(k).alias("section"), F.col("pos").cast("long").alias("pos"), text.alias("text"), F.lit(False).alias("is_project")))
     grouped = rows.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("section", "pos", "text"))).alias("a"), F.max("is_project").alias("known")).where("known")
@@ -412,7 +464,7 @@ def project_context(projects: DataFrame, scopes: DataFrame, objectives: DataFram
     def line(x: Column, i: Column) -> Column:
         first = (x["section"] >= 0) & (F.get(a, i - 1)["section"] != x["section"])
         # lists stand off their heading, titled entries bring their own empty line
-        gap = F.when(x["section"].isin(1, 2), "\n\n").otherwise("\n")
+        gap = F.when(x["section"].isin(1, 2, 4), "\n\n").otherwise("\n")
         return F.when(first, F.concat(F.lit("\n"), F.get(titles, x["section"]), gap, x["text"])).otherwise(x["text"])
 
     return grouped.select("project_id", F.concat(F.array_join(F.transform(a, line), "\n"), F.lit("\n")).alias("context"))

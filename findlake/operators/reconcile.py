@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findlake.functions.text import sidecar_name
+
 from findlake.operators.numbering import numbered
 
 REMOTE_WRITES = ["PUSH", "CREATE", "DELETE_REMOTE", "MOVE_EDIT"]
@@ -249,3 +251,9 @@ def file_set_plan(slots: DataFrame, longest: int = 255) -> DataFrame:
     bad = F.coalesce(F.col("conflict"), F.lit(False)) | (F.coalesce(F.length("local_caption"), F.lit(0)) > longest)
     moved = (F.col("outcome") == "PUSH") & (F.col("local_body") != F.col("remote_body"))
     return plan.withColumn("outcome", F.when(bad & F.col("local_body").isNotNull(), "FAILED").when(moved, "MOVE_EDIT").otherwise(F.col("outcome")))
+
+
+def stale_sidecars(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """``path`` of the sidecars among ``files`` (path) whose record (plan: path, outcome) is no longer in collision."""
+    settled = plan.where("path is not null and outcome <> 'COLLISION'").select(sidecar_name(F.col("path")).alias("path"))
+    return files.select("path").join(settled.distinct(), "path", "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.scoring import cvss_base_score, severity_band
-from findlake.functions.text import good_segment, known_place
+from findlake.functions.text import extension_problem, file_name_problem, good_segment, known_place
 from findlake.operators.documents import failure, frontmatter_split, lf_text, mark_fences, references
 
 #: The fields of a page's frontmatter.
@@ -111,6 +111,16 @@ def segment_rule(paths: DataFrame) -> DataFrame:
     return found.select(F.lit("WS-001").alias("rule_id"), "path", "message")
 
 
+def file_set_rules(paths: DataFrame) -> DataFrame:
+    """``rule_id, path, message`` of files right in evidence/ or images/: REF-008, a name that can't be one, and, in evidence/, REF-009, an extension that isn't taken."""
+    own = F.regexp_extract("path", r"^(?:.*/)?(evidence|images)/[^/]+$", 1)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = paths.select("path", own.alias("folder"), name.alias("name")).where("folder <> ''")
+    bad = rows.select(F.lit("REF-008").alias("rule_id"), "path", file_name_problem(F.col("name")).alias("message"))
+    odd = rows.where("folder = 'evidence'").select(F.lit("REF-009").alias("rule_id"), "path", extension_problem(F.col("name")).alias("message"))
+    return bad.unionByName(odd).where("message is not null")
+
+
 def generated_rule(files: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``rule_id, path, message``: WS-010, generated files (path, text) that are no object, or lack or add a field."""
     keys = F.json_object_keys("text")

@@ -600,12 +600,12 @@ def rec17_mirror_state(spark, sf_dir):
 
 
 CONTEXT = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders),
-a AS (SELECT c, string_agg(chr(10) || '### ' || p || CASE s WHEN 'F' THEN ' (EXCLUDED)' WHEN 'P' THEN ' (EXCLUDED, CAUTION)' ELSE '' END || chr(10) || chr(10) || '- ' || k || chr(10) || '- b', chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 0 GROUP BY c),
-b AS (SELECT c, string_agg('- **' || k || '** \u2014 ' || s || ' / ' || p || CASE WHEN s = 'F' THEN ' [COMPLETE]' ELSE ' (deadline: soon)' END, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 1 GROUP BY c),
-e AS (SELECT c, string_agg('- ' || CASE WHEN s = 'O' THEN 'unknown target' ELSE 'h' || k || ' / ' || s END || CASE WHEN s = 'F' THEN ' (COMPROMISED)' ELSE '' END, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 2 GROUP BY c),
-w AS (SELECT c, string_agg(chr(10) || '### ' || k || ' \u2014 ' || p, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 3 GROUP BY c)
-SELECT c_custkey AS project_id, '# ' || c_name || chr(10) || chr(10) || '**Client:** ' || c_name || coalesce(chr(10) || chr(10) || '## Scope' || chr(10) || a.t, '') || coalesce(chr(10) || chr(10) || '## Objectives' || chr(10) || chr(10) || b.t, '')
- || coalesce(chr(10) || chr(10) || '## Targets' || chr(10) || chr(10) || e.t, '') || coalesce(chr(10) || chr(10) || '## White cards' || chr(10) || w.t, '') || chr(10) AS context
+a AS (SELECT c, string_agg(chr(10) || '### ' || p || CASE s WHEN 'F' THEN ' (EXCLUDED)' WHEN 'P' THEN ' (EXCLUDED, CAUTION)' ELSE '' END || CASE WHEN k % 8 = 0 THEN chr(10) || chr(10) || 'about ' || k ELSE '' END || chr(10) || chr(10) || '- ' || k || chr(10) || '- b', chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 0 GROUP BY c),
+b AS (SELECT c, string_agg('- **' || k || '** \u2014 ' || s || ' / ' || p || CASE WHEN s = 'F' THEN ' [COMPLETE]' ELSE ' (deadline: soon)' END || chr(10) || '  why' || CASE WHEN k % 8 = 1 THEN chr(10) || '  Result: done' ELSE '' END, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 1 GROUP BY c),
+e AS (SELECT c, string_agg('- ' || CASE WHEN s = 'O' THEN 'unknown target' ELSE 'h' || k || ' / ' || s END || CASE WHEN s = 'F' THEN ' (COMPROMISED)' ELSE '' END || chr(10) || '  T' || k, chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 2 GROUP BY c),
+w AS (SELECT c, string_agg(chr(10) || '### ' || k || ' \u2014 ' || p || chr(10) || chr(10) || 'a & b' || chr(10) || 'c', chr(10) ORDER BY k) AS t FROM o WHERE k % 4 = 3 GROUP BY c)
+SELECT c_custkey AS project_id, '# ' || c_name || chr(10) || chr(10) || '**Client:** ' || c_name || chr(10) || '**Dates:** 2024-01-01 \u2013 ' || CASE WHEN c_custkey % 2 = 0 THEN '2024-02-01' ELSE '' END || coalesce(chr(10) || chr(10) || '## Scope' || chr(10) || a.t, '') || coalesce(chr(10) || chr(10) || '## Objectives' || chr(10) || chr(10) || b.t, '')
+ || coalesce(chr(10) || chr(10) || '## Targets' || chr(10) || chr(10) || e.t, '') || coalesce(chr(10) || chr(10) || '## White cards' || chr(10) || w.t, '') || chr(10) || chr(10) || '## Collab note' || chr(10) || chr(10) || c_mktsegment || ' \u00e9' || chr(10) AS context
 FROM customer LEFT JOIN a ON a.c = c_custkey LEFT JOIN b ON b.c = c_custkey LEFT JOIN e ON e.c = c_custkey LEFT JOIN w ON w.c = c_custkey"""
 
 
@@ -615,11 +615,11 @@ def agg14_project_context(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").withColumns({"project_id": F.col("o_custkey"), "pos": F.col("o_orderkey")})
     quarter = lambda k: orders.where(F.col("o_orderkey") % 4 == k)
     return lookups.project_context(
-        read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.lit("").alias("codename"), F.col("c_name").alias("client")),
-        quarter(0).select("project_id", "pos", p.alias("name"), F.concat(key, F.lit("\r\n\n b ")).alias("entries"), s.isin("F", "P").alias("disallowed"), (s == "P").alias("caution")),
-        quarter(1).select("project_id", "pos", key.alias("objective"), s.alias("status"), p.alias("priority"), F.when(s != "F", "soon").alias("deadline"), (s == "F").alias("complete")),
-        quarter(2).select("project_id", "pos", F.when(s != "O", F.concat(F.lit("h"), key)).alias("hostname"), F.when(s != "O", s).alias("ip"), (s == "F").alias("compromised")),
-        quarter(3).select("project_id", "pos", key.alias("title"), p.alias("issued")),
+        read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.lit("").alias("codename"), F.col("c_name").alias("client"), F.lit("2024-01-01").alias("start"), F.when(F.col("c_custkey") % 2 == 0, "2024-02-01").alias("end"), F.concat(F.lit("<p>"), "c_mktsegment", F.lit(" &eacute;</p>")).alias("collab")),
+        quarter(0).select("project_id", "pos", p.alias("name"), F.concat(key, F.lit("\r\n\n b ")).alias("entries"), s.isin("F", "P").alias("disallowed"), (s == "P").alias("caution"), F.when(F.col("o_orderkey") % 8 == 0, F.concat(F.lit(" about "), key)).alias("description")),
+        quarter(1).select("project_id", "pos", key.alias("objective"), s.alias("status"), p.alias("priority"), F.when(s != "F", "soon").alias("deadline"), (s == "F").alias("complete"), F.lit("why").alias("description"), F.when(F.col("o_orderkey") % 8 == 1, "done").alias("result")),
+        quarter(2).select("project_id", "pos", F.when(s != "O", F.concat(F.lit("h"), key)).alias("hostname"), F.when(s != "O", s).alias("ip"), (s == "F").alias("compromised"), F.concat(F.lit("T"), key).alias("description")),
+        quarter(3).select("project_id", "pos", key.alias("title"), p.alias("issued"), F.lit("<p>a &amp; b</p><ul><li>c</li></ul>").alias("description")),
     )
 
 

@@ -349,14 +349,19 @@ def joi4_resolve_refs(spark, sf_dir):
     return lookups.resolve_refs(refs, files).select("l_orderkey", "l_linenumber", "resolved")
 
 
-@query("""WITH n AS (SELECT o_custkey AS report, o_orderpriority AS name, min_by(o_orderkey, o_orderkey) AS id FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE n.id END AS id FROM orders LEFT JOIN n ON report = o_custkey AND name = o_orderpriority""")
+@query("""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 1 + o_custkey ELSE o_custkey END AS report FROM orders WHERE o_orderkey % 3 <> 1),
+n AS (SELECT o_custkey AS report, o_orderpriority AS name, min_by(o_orderkey, o_orderkey) AS id FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), k AS (SELECT n.report, name, n.id FROM n JOIN i ON n.id = i.id AND n.report = i.report)
+SELECT o_orderkey, coalesce(i.id, k.id) AS id FROM orders LEFT JOIN i ON i.id = o_orderkey AND i.report = o_custkey LEFT JOIN k ON k.report = o_custkey AND k.name = o_orderpriority""")
 def joi5_ref_ids(spark, sf_dir):
+    """References by path or by name; every fifth record lies in another report's folder, every third in none."""
     o = read(spark, sf_dir, "orders")
-    path = F.concat(F.lit("p/"), F.col("o_orderkey").cast("string"))
-    names = o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("report"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("id"))
+    key = F.col("o_orderkey")
+    path = F.concat(F.lit("evidence/"), key.cast("string"), F.lit(".png"))
+    folder = F.when(key % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).cast("string")
+    index = o.where(key % 3 != 1).select(F.concat(F.lit("findings/reports/"), folder, F.lit("/"), path).alias("path"), key.alias("id"))
+    names = o.where(key % 2 == 0).select(F.col("o_custkey").alias("report"), F.col("o_orderpriority").alias("name"), key.alias("seq"), key.alias("id"))
     refs = o.select("o_orderkey", F.col("o_custkey").alias("report"), F.col("o_orderpriority").alias("name"), path.alias("path"))
-    return lookups.resolve_ref_ids(refs, o.where("o_orderkey % 3 = 0").select(path.alias("path"), F.col("o_orderkey").alias("id")), names).select("o_orderkey", "id")
+    return lookups.resolve_ref_ids(refs, index, names).select("o_orderkey", "id")
 
 
 #: Forms of links (%b the book, %d the number) and whether each is broken; even numbers are known as pages, those that 3 divides as chapters.

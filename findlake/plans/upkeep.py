@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.operators import lookups, occurrences, records
+from findlake.functions import text
+from findlake.operators import documents, lookups, occurrences, reconcile, records, rules
 from findlake.operators.numbering import scratch_folder
 from findlake.plans.queries import OCC, query, read
 from findlake.streaming import findings
@@ -89,3 +90,70 @@ def win3_names_exact(spark, sf_dir):
     k = F.col("o_orderkey")
     name = F.when(k % 11 == 0, F.concat(F.lit("n-"), (k % 300 + 2).cast("string"))).when(k % 13 == 0, F.concat(F.lit("n-2-"), (k % 7 + 2).cast("string"))).otherwise("n")
     return lookups.dedupe_names_exact(orders.select(k.alias("id"), F.col("o_orderstatus").alias("folder"), name.alias("name")))
+
+
+NAMES = ["a%d.png", ".hid%d.png", "b%d.remote.png", "c\\%d.png", "d%d.gif", "Ü %d.PNG", "e%d.exe", "L%d.png"]
+
+
+@query(r"""WITH f AS (SELECT o_orderkey AS k, o_orderkey % 8 AS i, o_orderkey % 3 AS p, ['a' || o_orderkey || '.png', '.hid' || o_orderkey || '.png', 'b' || o_orderkey || '.remote.png', 'c\' || o_orderkey || '.png', 'd' || o_orderkey || '.gif', 'Ü ' || o_orderkey || '.PNG', 'e' || o_orderkey || '.exe', repeat('L', 260) || o_orderkey || '.png'][o_orderkey % 8 + 1] AS name FROM orders),
+w AS (SELECT *, ['findings/reports/r/evidence/', 'methodology/library/b/images/', 'findings/reports/r/'][p + 1] || name AS path FROM f)
+SELECT 'REF-008' AS rule_id, path, [NULL, 'leading dot', 'sidecar name', 'separator', NULL, NULL, NULL, 'too long'][i + 1] AS message FROM w WHERE p < 2 AND i IN (1, 2, 3, 7)
+UNION ALL SELECT 'REF-009', path, CASE i WHEN 4 THEN 'use png' ELSE 'not allowed' END FROM w WHERE p = 0 AND i IN (4, 6)""")
+def ref008_ref009_file_sets(spark, sf_dir):
+    key = F.col("o_orderkey")
+    name = F.replace(F.replace(F.element_at(F.array(*map(F.lit, NAMES)), (key % 8 + 1).cast("int")), F.lit("%d"), key.cast("string")), F.lit("L"), F.repeat(F.lit("L"), F.lit(260)))
+    folder = F.element_at(F.array(*map(F.lit, ["findings/reports/r/evidence/", "methodology/library/b/images/", "findings/reports/r/"])), (key % 3 + 1).cast("int"))
+    return rules.file_set_rules(read(spark, sf_dir, "orders").select(F.concat(folder, name).alias("path")))
+
+
+@query(r"""WITH e AS (SELECT o_orderkey AS k, o_orderkey % 7 AS i, ['p/' || o_orderkey, '', 'p\' || o_orderkey, '/p/' || o_orderkey, 'p/../' || o_orderkey, 'p/' || o_orderkey, 'p/' || o_orderkey][o_orderkey % 7 + 1] AS path,
+ CASE WHEN o_orderkey % 7 = 5 THEN 'user' ELSE 'page' END AS kind, CASE WHEN o_orderkey % 7 = 6 THEN 'x' || o_orderkey WHEN o_orderkey % 70 < 2 THEN '-7' ELSE o_orderkey::VARCHAR END AS id FROM orders)
+SELECT 'IDX-001' AS rule_id, path, ['', 'empty path', 'backslash', 'absolute path', 'parent segment', 'unknown kind', 'no integer id'][i + 1] AS message FROM e WHERE i > 0
+UNION ALL SELECT 'IDX-001', path, 'identity page -7 twice' FROM e WHERE id = '-7' AND kind = 'page'""")
+def idx001_entries(spark, sf_dir):
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    forms = [F.concat(F.lit("p/"), text), F.lit(""), F.concat(F.lit("p\\"), text), F.concat(F.lit("/p/"), text), F.concat(F.lit("p/../"), text), F.concat(F.lit("p/"), text), F.concat(F.lit("p/"), text)]
+    entries = read(spark, sf_dir, "orders").select(F.element_at(F.array(*forms), (key % 7 + 1).cast("int")).alias("path"), F.when(key % 7 == 5, "user").otherwise("page").alias("kind"), F.when(key % 7 == 6, F.concat(F.lit("x"), text)).when(key % 70 < 2, "-7").otherwise(text).alias("id"))
+    return lookups.index_problems(entries, ["page", "book", "report"])
+
+
+@query("""WITH e AS (SELECT p_partkey AS doc_id, p_size AS report, p_type AS path, CASE WHEN p_partkey % 4 = 0 THEN ' ' WHEN p_partkey % 50 = 1 THEN repeat('c', 256) ELSE p_brand END AS caption FROM part),
+d AS (SELECT report, path, count(DISTINCT caption) FILTER (trim(caption) <> '') AS n FROM e GROUP BY ALL HAVING n > 1)
+SELECT 'REF-010' AS rule_id, doc_id, CAST(3 AS INTEGER) AS line, path || ': 256 characters' AS message FROM e WHERE length(caption) > 255 UNION ALL SELECT 'REF-004', doc_id, 3, path || ': ' || n || ' captions' FROM e JOIN d USING (report, path)""")
+def ref004_ref010_captions(spark, sf_dir):
+    caption = F.when(F.col("p_partkey") % 4 == 0, " ").when(F.col("p_partkey") % 50 == 1, F.repeat(F.lit("c"), F.lit(256))).otherwise(F.col("p_brand"))
+    return lookups.caption_rules(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("report"), F.col("p_type").alias("path"), caption.alias("caption"), F.lit(3).alias("line")))
+
+
+FAILED = "SELECT ['FND-001', 'WS-002', 'WIKI-006'][o_orderkey % 3 + 1] AS rule_id, CASE WHEN o_orderkey % 4 = 0 THEN 'methodology' ELSE 'findings' END || '/' || o_orderkey AS path FROM orders WHERE o_orderkey % 5 = 0"
+
+
+@query(f"SELECT regexp_extract(rule_id, '^([A-Z]+)', 1) AS family, split_part(path, '/', 1) AS area, count(*) AS n_failures FROM ({FAILED}) GROUP BY CUBE (regexp_extract(rule_id, '^([A-Z]+)', 1), split_part(path, '/', 1))")
+def agg16_rule_cube(spark, sf_dir):
+    key = F.col("o_orderkey")
+    failed = read(spark, sf_dir, "orders").where(key % 5 == 0).select(F.element_at(F.array(*map(F.lit, ["FND-001", "WS-002", "WIKI-006"])), (key % 3 + 1).cast("int")).alias("rule_id"), F.concat(F.when(key % 4 == 0, "methodology/").otherwise("findings/"), key.cast("string")).alias("path"))
+    return documents.rule_cube(failed)
+
+
+@query("SELECT kind, outcome, path FROM (SELECT o_orderpriority AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'COLLISION' WHEN 2 THEN 'INVALID' ELSE 'PUSH' END AS outcome, 'p/' || o_orderkey AS path FROM orders) WHERE outcome IN ('COLLISION', 'INVALID')")
+def agg6_problem_paths(spark, sf_dir):
+    key = F.col("o_orderkey")
+    plan = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind"), F.element_at(F.array(*map(F.lit, ["CLEAN", "COLLISION", "INVALID", "PUSH"])), (key % 4 + 1).cast("int")).alias("outcome"), F.concat(F.lit("p/"), key.cast("string")).alias("path"))
+    return lookups.problem_paths(plan)
+
+
+@query("SELECT 'p/' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '.remote' ELSE '.remote.md' END AS path FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0")
+def rec18_stale_sidecars(spark, sf_dir):
+    """Sidecars of every second record; every fifth record is still in collision."""
+    key = F.col("o_orderkey")
+    path = F.concat(F.lit("p/"), key.cast("string"), F.when(key % 3 == 0, "").otherwise(".md"))
+    orders = read(spark, sf_dir, "orders").select(path.alias("path"), F.when(key % 5 == 0, "COLLISION").otherwise("CLEAN").alias("outcome"), key.alias("key"))
+    files = orders.where("key % 2 = 0").select(text.sidecar_name(F.col("path")).alias("path")).unionByName(orders.select("path"))
+    return reconcile.stale_sidecars(orders, files)
+
+
+@query("SELECT o_orderkey, o_custkey AS report, o_orderkey AS spec FROM orders WHERE o_orderkey < 100000")
+def sca21_composite_parts(spark, sf_dir):
+    """Numbers made of two, and taken apart again."""
+    made = read(spark, sf_dir, "orders").where("o_orderkey < 100000").select("o_orderkey", text.composite_id(F.col("o_custkey"), F.col("o_orderkey")).alias("n"))
+    return made.select("o_orderkey", text.composite_parts(F.col("n")).alias("x")).select("o_orderkey", "x.report", "x.spec")
