@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Where Python's splitlines() cuts; CRLF counts once.
 LINE_END = "\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]"
@@ -64,7 +65,7 @@ def refs_to_html(refs: Column) -> Column:
     return F.when(F.size(refs) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(refs, one), ""), F.lit("</ul>"))).otherwise("")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(texts: pd.Series) -> pd.Series:
     """Every entity of the HTML standard, by name or number, decoded once."""
     return texts.map(lambda t: None if t is None else html.unescape(t))

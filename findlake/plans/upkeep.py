@@ -57,8 +57,9 @@ def agg4_sketched_rollup(spark, sf_dir):
 # The ratio of matching blocks has no SQL form; a test holds the pairs against all pairs, with the loop's own order of arguments.
 @query()
 def mat1_similar_pairs(spark, sf_dir):
-    """Near texts among the whole documents of a language: those of even ids as what is missing, the others as what is new."""
-    rows = read(spark, sf_dir, "documents").where("text is not null").select(F.col("lang").alias("block"), F.col("doc_id").alias("path"), "text")
+    """Near texts among the whole documents of one language and first word: those of even ids as what is missing, the others as what is new."""
+    first = F.lower(F.regexp_extract("text", r"^\s*(\S*)", 1))
+    rows = read(spark, sf_dir, "documents").where("text is not null").select(F.concat_ws("/", "lang", first).alias("block"), F.col("doc_id").alias("path"), "text")
     return lookups.similar_pairs(rows.where("path % 2 = 0"), rows.where("path % 2 = 1"))
 
 

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from findlake.functions import text
+from findlake.functions import scoring, text
 from findlake.operators import documents, lookups, rules
 from findlake.sources import scans
 
@@ -120,6 +120,16 @@ def test_internal_links_ask_for_kind_and_whole_path(spark):
     assert {r.url for r in lookups.internal_link_check(links, known, None).collect()} == broken - {"https://w/books/b/page/zz#f"}
 
 
+def test_entities_of_every_kind_are_decoded_once(spark):
+    df = spark.createDataFrame([(1, "<p>&eacute;&#233;&#xE9; &amp;lt; &hellip;&nbsp;x</p><td>a</td> <td>b</td><!-- &lt; --><li> c "), (2, None), (3, "")], "id int, html string")
+    assert {r.id: r.t for r in df.select("id", text.html_to_text(F.col("html")).alias("t")).collect()} == {1: "ééé &lt; …\u00a0xa | b\nc", 2: None, 3: ""}
+
+
+def test_long_numbers_of_weaknesses(spark):
+    df = spark.createDataFrame([(t,) for t in ("CWE-079", "cwe-12345678901", "0", "-1", "x", None)], "t string")
+    assert [r.w for r in df.select(scoring.cwe_label(F.col("t")).alias("w")).collect()] == ["CWE-79", "CWE-12345678901", "", "", "", ""]
+
+
 def test_losses_of_pages(spark):
     html = "<p class=x>a<br/><!-- <b> --><a href='u>v' onclick=\"x\">t</a><script src=1>if(a<b>c)</script><SPAN Style='a'><custom-tag>"
     df = spark.createDataFrame([(1, html), (2, "none"), (3, None)], "id int, html string")
