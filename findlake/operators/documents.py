@@ -54,7 +54,7 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def lf_text(text: Column) -> Column:
     """The lines of a text, each ended by LF; empty for one without lines."""
-    return F.when(F.size(lines(text)) > 0, F.concat(F.array_join(lines(text), "\n"), F.lit("\n"))).otherwise("")
+    return _bound(lines(text), lambda found: F.when(F.size(found) > 0, F.concat(F.array_join(found, "\n"), F.lit("\n"))).otherwise(""))
 
 
 def _fence_marks(text: Column) -> Column:
@@ -63,9 +63,8 @@ def _fence_marks(text: Column) -> Column:
     The blocks are found one after the other within the text, so a document of any size needs no window over its lines.
     """
     mark = lambda part, flag: F.when(part == "", "").otherwise(F.regexp_replace(part, "(?md)^", flag))
-    parts = F.zip_with(F.split(text, FENCED, -1), F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)), lambda plain, block: F.concat(mark(plain, "0"), mark(F.coalesce(block, F.lit("")), "1")))
-    found = F.split(F.array_join(parts, ""), "\n", -1)
-    return F.slice(found, F.lit(1), F.size(found) - 1)
+    parts = lambda t: F.zip_with(F.split(t, FENCED, -1), F.regexp_extract_all(t, F.lit(FENCED), F.lit(0)), lambda plain, block: F.concat(mark(plain, "0"), mark(F.coalesce(block, F.lit("")), "1")))
+    return _bound(text, lambda t: _bound(F.split(F.array_join(parts(t), ""), "\n", -1), lambda found: F.slice(found, F.lit(1), F.size(found) - 1)))
 
 
 def mark_fences(line_rows: DataFrame) -> DataFrame:
