@@ -195,7 +195,9 @@ def test_nearest_neighbours(spark):
 def test_html(spark):
     page = "<title>t</title><p>A &amp; b<p>C<ul><li>x<li>y<ol><li>z</ol></ul><table><tr><td>1<td>long<tr><td>22<td>b</table><div style='display:none'>no</div><script>no</script><pre>k  p\n q</pre>e<br>f"
     assert htmltext.extract(page) == "A & b\n\nC\n\n- x\n- y\n  1. z\n\n1  | long\n22 | b\n\nk  p\n q\n\ne\nf"
-    assert [htmltext.extract(p) for p in (None, "", "<b", "<div>" * 3000 + "deep")][:2] == ["", ""]
+    assert [htmltext.extract(p) for p in (None, "", "<p>a<b", "<div>" * 3000 + "deep")] == ["", "", "a<b", "deep"]
+    assert htmltext.extract_text(spark.createDataFrame([], "html string")).count() == 0
+    assert [r.text for r in htmltext.extract_text(spark.createDataFrame([("<p>a",), ("<p>a",)], "html string")).collect()] == ["a", "a"]
     df = spark.createDataFrame([(1, page, "clash"), (2, None, None)], "page_id long, html string, TEXT string")
     assert {r.page_id: bool(r.text) for r in htmltext.extract_text(df).collect()} == {1: True, 2: False}
 

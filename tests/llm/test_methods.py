@@ -80,6 +80,12 @@ def test_quality_likelihood_and_gradient_are_those_of_all_labellings():
         ("<select><option>a<option>b</select>", "a\nb"), ("<noscript>n</noscript><object>o</object>", "no"), ("<svg><title>t</title><text>s</text></svg>", "s"), ("<math><mi>x</mi></math>", "x"),
         ("<input type=submit value=Go><input type=hidden value=H><input value=v>", "Gov"), ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
         ("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>ee</table>", "A | b | c\n  | d | ee"), ("<table><tr><td colspan='²'>a<td>b</table>", "a | b"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a | b\n  | c"),
+        ("<svg><desc/><text>t</text></svg>after", "tafter"), ("<svg/>a<div/>b", "a\nb"), ("<svg><foreignObject><style/>p{}</style>x", "x"), ("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b<tr><td>c<td>d</table>", "  | b\nc | d"),
+        ("<style>.h, i{display:none}/* b{display:none} */</style><p class='x h'>no</p><i>no</i><b>yes</b>", "yes"), ("<style>p{display:none}p.a{display:block}</style><p>no<p class=a>yes", "yes"), ("<style>#a .c{display:none}</style><div id=a><p><b class=c>no</b></div><b class=c>yes</b>", "yes"),
+        ("<style>div>.c{visibility:hidden}</style><div><b class=c>no</b><p><b class=c>yes</b></div>", "yes"), ("<style>@media print{p{display:none}}@media screen{b{display:none}}</style><p>yes</p><b>no</b>", "yes"), ("<style>b{display:none!important}i{display:none</style><b style='display:block'>no</b><i>no</i>x", "x"),
+        ("<style>[hidden]{}.s{display:block}</style><p hidden class=s>yes</p><p hidden>no</p>", "yes"), ("<style media=print>p{display:none}</style><p>yes", "yes"), ("<style>a > b .c{display:none}</style><a><b><a><b><i><u class=c>no</u></i></b></a></b></a>x", "x"),
+        ("<select><optgroup label=G><option label=L>no<option>a</select>", "G\nL\na"), ("<p style='white-space:pre'>a  b\n c</p>", "a  b\n c"), ("<p style='white-space:pre-line'>a  b\n c</p>", "a b\nc"), ("<style>.k{white-space:pre-wrap}</style><p class=k>a  b<i style='white-space:normal'>  c  d", "a  b c d"),
+        ("<table><tr><td colspan=9999999999>a<td>b<tr><td>c</table>", "a | b\nc"), ("<table><tr hidden><td>no<td>no</tr><tr><td>a<td>b</table>", "a | b"),
         ("<dialog>no</dialog><p hidden>no</p>x", "x"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
     ],
 )
@@ -87,6 +93,41 @@ def test_visible_text(html, text):
     assert htmltext.extract(html) == text
 
 
+SHEET = ".n{display:none}.b{display:inline}.h{visibility:hidden}.v{visibility:visible}div .d{display:none}#i.b{display:none}"
+
+
+def random_page(rng, depth, seen, shown, within, words):
+    """Markup of a random element, and into ``words`` those of its own words that can be seen, worked out on the way down."""
+    tag = rng.choice(["div", "span", "p", "section", "b", "em"] if "p" not in within else ["span", "b", "em"])
+    marks = sorted({m for m in "nbhvd" if rng.random() < 0.15})
+    named = rng.random() < 0.1
+    said = rng.choice(["", "display:none", "display:block", "visibility:hidden", "visibility:visible;"], p=[0.8, 0.05, 0.05, 0.05, 0.05])
+    # the heaviest rule on display first: own attribute, id with class, name with class, then the last of the classes
+    display = said[8:] if said.startswith("display") else "none" if named and "b" in marks else "none" if "d" in marks and "div" in within else "inline" if "b" in marks else "none" if "n" in marks else "inline"
+    visibility = said[11:].rstrip(";") if said.startswith("vis") else "visible" if "v" in marks else "hidden" if "h" in marks else ""
+    shown, seen = shown and display != "none", visibility == "visible" if visibility else seen
+    out = f"<{tag} class='{' '.join(marks)}'" + (" id=i" if named else "") + (f" style='{said}'" if said else "") + ">"
+    for _ in range(rng.integers(1, 4)):
+        word = f"w{rng.integers(10**9)}"
+        out += f" {word} "
+        if shown and seen:
+            words.append(word)
+        if depth:
+            out += random_page(rng, depth - 1, seen, shown, within | {tag}, words)
+    return out + f"</{tag}>"
+
+
+def test_random_pages_show_what_a_walk_with_their_styles_shows():
+    rng = np.random.default_rng(5)
+    some = 0
+    for _ in range(300):
+        words = []
+        page = random_page(rng, 3, True, True, frozenset(), words)
+        assert htmltext.extract(f"<style>{SHEET}</style>{page}").split() == words
+        some += bool(words)
+    assert some > 150
+
+
 def test_nested_tables_of_any_depth_keep_their_cells():
     out = htmltext.extract("<table><tr><td>a<td>b" * 60 + "<td>end</table>")
     assert out.count("a |") == 60 and "end" in out
