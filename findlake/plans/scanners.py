@@ -153,7 +153,9 @@ def ing5_openvas(spark, sf_dir):
         tag("host", join("10.0.0.1", only(n % 2 == 0, "<hostname>web</hostname>"))), tag("port", pick(k, "80/tcp", "general/TCP", "")), tag("severity", pick(k, "9.8", "5.0", "0.0", "odd", "3.9", "7.0")), tag("qod", tag("value", k)), tag("description", "D"),
         tag("nvt", join(only(k % 4 != 0, tag("name", join("Test  ", k % 4))), tag("tags", words), tag("refs", join('<ref type="cve" id="CVE-', k, '"/><ref type="other" id="x"/><ref type="url" id="http://u"/>'))), only(n % 9 != 0, join(' oid="o', k % 4, '"'))),
     ))
-    wrap = lambda file, body: F.when(file % 3 == 0, tag("report", tag("results", body), ' id="1"')).when(file % 3 == 1, tag("report", tag("report", tag("results", body)), ' id="1"')).otherwise(tag("get_reports_response", tag("report", tag("report", tag("results", body)))))
+    # a response's further reports aren't read
+    later = '<result><severity>9.9</severity><qod><value>99</value></qod><nvt oid="o1"><name>later</name></nvt></result>'
+    wrap = lambda file, body: F.when(file % 3 == 0, tag("report", tag("results", body), ' id="1"')).when(file % 3 == 1, tag("report", tag("report", tag("results", body)), ' id="1"')).otherwise(tag("get_reports_response", join(tag("report", tag("report", tag("results", body))), tag("report", tag("report", tag("results", later))))))
     return told(scans.openvas_occurrences(reports(spark, sf_dir, [result], wrap), min_qod=50))
 
 
@@ -310,3 +312,20 @@ def src1_split_exports(spark, sf_dir):
     # the files are the parts of one export: their names are in its order
     raw = scans.nessus_occurrences(found).withColumns({"pos": F.struct("scan_id", "pos"), "scan_id": F.lit("all")})
     return told(raw)
+
+
+@query(twin(
+    where="k % 6 <> 4", key="'b' || k % 4", sev_rank="[3, 2, 1, 0, 4, 0][k % 6 + 1]", confidence="[2, 1, 0][n % 3 + 1]", scale="['tentative', 'firm', 'certain']", component="'http://h/p' || k", title="'Issue ' || k % 4",
+    description="CASE WHEN k % 2 = 0 THEN 'B <' || k || chr(10) || chr(10) ELSE '' END || 'D' || k", mitigation="'R'",
+).replace(f"CAST(n // {A_FILE} AS VARCHAR) AS scan_id", "'all' AS scan_id"))
+def src1_split_issues(spark, sf_dir):
+    """All events as issues of one report, read in splits: names inside an issue that begin like it stay inside it."""
+    n, k = numbers()
+    issue = tag("issue", join(
+        tag("type", join("b", k % 4)), tag("name", join("Issue  ", k % 4)), tag("host", "http://h"), tag("path", join("/p", k)), tag("severity", pick(k, "High", "Medium", "Low", "Information", "False positive", "odd")), tag("confidence", pick(n, "Certain", "Firm", "Tentative")),
+        only(k % 2 == 0, tag("issueBackground", join("<![CDATA[B <", k, "]]>"))), tag("issueDetail", join("D", k)), tag("remediationBackground", "R"),
+    ))
+    folder = scratch_folder(spark, "exports")
+    read(spark, sf_dir, "events").orderBy("event_id").select(issue.alias("value")).write.text(folder)
+    raw = scans.burp_occurrences(scans.split_exports(spark, folder, "issue"))
+    return told(raw.withColumns({"pos": F.struct("scan_id", "pos"), "scan_id": F.lit("all")}))

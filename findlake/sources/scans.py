@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ OCCURRENCE = ["scan_id", "scanner", "pos", "key", "title", "sev_rank", "componen
 #: The words for confidence of each scale from low to high.
 CONFIDENCES = {"zap": ["false-positive", "low", "medium", "high"], "burp": ["tentative", "firm", "certain"]}
 PEEKED_ELEMENTS = 200
+#: The words of notes on vectors that are left out.
+CVSS2_NOTE = ("CVSS v2 vector ", " could not be converted, dropped")
+CVSS4_NOTE = "only a CVSS v4 vector was present, dropped (v4 not supported in workspace format 2)"
 
 
 def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -120,21 +124,25 @@ def elements(rows: DataFrame, tag: str, xml: str, *keep: str) -> DataFrame:
 
     Elements of one name must not hold each other. Each is a row of its own, so that an export is parsed element by element.
     """
-    rests = F.slice(F.split(plain_markup(F.col(xml)), rf"<{tag}(?=[\s>/])", -1), 2, 2**30)
-    return rows.select(*keep, F.posexplode(rests).alias("pos", "__rest")).select(*keep, "pos", _closed(tag, F.col("__rest")).alias("element"))
+    return rows.select(*keep, F.posexplode(_starts(plain_markup(F.col(xml)), tag)).alias("pos", "__rest")).select(*keep, "pos", _closed(tag, F.col("__rest")).alias("element"))
+
+
+def _starts(text: Column, tag: str) -> Column:
+    """What follows each start of an element of that name in plain markup."""
+    return F.slice(F.split(text, rf"<{tag}(?=[\s>/])", -1), 2, 2**30)
 
 
 def split_exports(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
     """``scan_id, pos, element``: the elements of UTF-8 exports of any size, a file in as many tasks as it has splits.
 
-    Files are read as records that end before ``<tag``, so no task holds a file; ``pos`` follows the places in the file. What stands in
-    front of a file's first element is left out, as are elements of other names that begin alike. The name must not occur with its
-    bracket inside a character data section.
+    Files are read as records that end with ``</tag>``, so no task holds a file; ``pos`` follows the places in the file. Names that
+    begin alike (``issueDetail`` inside ``issue``) and empty elements are told apart within a record. The end tag must be written
+    without blanks where elements are to be records of their own, and must not occur inside comments or character data.
     """
-    records = spark.read.option("lineSep", f"<{tag}").text(paths).select(F.col("_metadata.file_path").alias("scan_id"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("__rest"))
-    found = records.where(F.col("__rest").rlike(r"^[\s>/]"))
-    placed = numbered(found, ["scan_id"], ["__block", "__id"], "pos")
-    return placed.select("scan_id", (F.col("pos") - 1).alias("pos"), _closed(tag, plain_markup(F.col("__rest"))).alias("element"))
+    records = spark.read.option("lineSep", f"</{tag}>").text(paths).select(F.col("_metadata.file_path").alias("scan_id"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    found = records.select("scan_id", "__block", "__id", F.posexplode(_starts(plain_markup(F.col("value")), tag)).alias("__at", "__rest"))
+    placed = numbered(found, ["scan_id"], ["__block", "__id", "__at"], "pos")
+    return placed.select("scan_id", (F.col("pos") - 1).alias("pos"), _closed(tag, F.col("__rest")).alias("element"))
 
 
 def _elements(files: DataFrame, tag: str) -> DataFrame:
@@ -169,7 +177,7 @@ def _none() -> Column:
 
 def _unconverted(vector: Column, converted: Column) -> Column:
     """The note on a vector of CVSS 2 that can't be read as one."""
-    return F.when((vector != "") & converted.isNull(), F.array(F.concat(F.lit("CVSS v2 vector "), vector, F.lit(" could not be converted, dropped")))).otherwise(_none())
+    return F.when((vector != "") & converted.isNull(), F.array(F.concat(F.lit(CVSS2_NOTE[0]), vector, F.lit(CVSS2_NOTE[1])))).otherwise(_none())
 
 
 def _more(confidence: Column | None = None, tags: Column | None = None, steps: Column | None = None, notes: Column | None = None) -> list[Column]:
@@ -227,17 +235,28 @@ SHOWN_INSTANCES = 20
 def zap_occurrences(files: DataFrame) -> DataFrame:
     """XML and JSON reports: an occurrence an instance with a uri, or one without component where there is none.
 
-    A JSON report holds one site, a list of sites, or is itself the list.
+    A JSON report holds one site, a list of sites, or is itself the list. ``files`` is (path, text), or ``alertitem`` elements of
+    ``split_exports``.
     """
+    if "element" in files.columns:
+        return _zap_alerts([_zap_items(files)])
     is_json = F.coalesce(F.col("text").rlike(r"^\s*[\[{]"), F.lit(False))
     sites = F.when(F.col("text").rlike(r"^\s*\["), F.col("text")).otherwise(F.get_json_object("text", "$.site"))
     told = F.from_json(sites, f"array<struct<alerts:array<struct<{ALERT},instances:array<{INSTANCE}>>>>>")
     from_json = files.where(is_json).select(F.col("path").alias("scan_id"), F.posexplode(told).alias("s", "site")).select("scan_id", "s", F.posexplode("site.alerts").alias("a", "r"))
-    parsed = _elements(files.where(~is_json), "alertitem").select("scan_id", F.lit(0).alias("s"), F.col("pos").alias("a"), _read("element", f"{ALERT},instances:struct<instance:array<{INSTANCE}>>").alias("r"))
-    from_xml = parsed.select("scan_id", "s", "a", "r")
+    from_json = from_json.select("scan_id", "s", F.col("a").cast("long").alias("a"), F.col("r").dropFields("instances").alias("r"), F.col("r.instances").alias("all"))
+    return _zap_alerts([from_json, _zap_items(files.where(~is_json))])
+
+
+def _zap_items(files: DataFrame) -> DataFrame:
+    parsed = _elements(files, "alertitem").select("scan_id", F.lit(0).alias("s"), F.col("pos").cast("long").alias("a"), _read("element", f"{ALERT},instances:struct<instance:array<{INSTANCE}>>").alias("r"))
+    return parsed.select("scan_id", "s", "a", F.col("r").dropFields("instances").alias("r"), F.col("r.instances.instance").alias("all"))
+
+
+def _zap_alerts(alerts: list[DataFrame]) -> DataFrame:
+    """Occurrences of alerts: scan_id, the places s and a of site and alert, the alert's fields r, its instances all."""
     wanted = lambda instances: F.filter(instances, lambda n: F.coalesce(n["uri"], F.lit("")) != "")
-    alerts = [rows.select("scan_id", "s", "a", F.col("r").dropFields("instances").alias("r"), F.col(c).alias("all")) for rows, c in ((from_json, "r.instances"), (from_xml, "r.instances.instance"))]
-    each = alerts[0].unionByName(alerts[1]).select("*", F.posexplode_outer(wanted(F.col("all"))).alias("i", "n"))
+    each = reduce(DataFrame.unionByName, alerts).select("*", F.posexplode_outer(wanted(F.col("all"))).alias("i", "n"))
     empty = F.lit("")
     step = lambda n: F.concat(
         F.lit("<li>"), html_escape(F.coalesce(n["uri"], empty)), F.lit(" ["), html_escape(F.coalesce(n["method"], F.lit("GET"))), F.lit("]"),
@@ -259,16 +278,22 @@ def zap_occurrences(files: DataFrame) -> DataFrame:
 
 
 def openvas_occurrences(files: DataFrame, min_qod: int = 0) -> DataFrame:
-    """Results of the first container that has any; results below ``min_qod`` or without an oid are left out."""
+    """Results of one container; results below ``min_qod`` or without an oid are left out.
+
+    Three paths are tried: reports inside reports, then any report (the outer before its inner ones), then the root. Of each path
+    only the first container is looked at, and the first of these three with results is taken; further reports of a response, and
+    one behind an empty container, are not read.
+    """
     result = "struct<severity:string,host:struct<_VALUE:string,hostname:string>,port:string,qod:struct<value:string>,description:string,nvt:struct<_oid:string,name:string,tags:string,refs:struct<ref:array<struct<_id:string,_type:string>>>>>"
     results = f"results:struct<result:array<{result}>>"
     wide = f"report array<struct<report:array<struct<{results}>>,{results}>>, {results.replace(':', ' ', 1)}"
     rows = _parse(files, "report", wide)
-    # a response wraps the reports once more
-    whole = lambda lists: F.flatten(F.filter(lists, lambda a: a.isNotNull()))
-    inner = whole(F.transform("x.report", lambda r: whole(F.transform(r["report"], lambda q: q["results"]["result"]))))
-    places = [inner, whole(F.transform("x.report", lambda r: r["results"]["result"])), F.col("x.results.result")]
-    first = F.when(F.size(places[0]) > 0, places[0]).when(F.size(places[1]) > 0, places[1]).otherwise(places[2])
+    reports = F.coalesce(F.col("x.report"), F.array())
+    inner = lambda r: F.coalesce(F.transform(r["report"], lambda q: q["results"]), F.array())
+    there = lambda containers: F.filter(containers, lambda c: c.isNotNull())
+    paths = [there(F.flatten(F.transform(reports, inner))), there(F.flatten(F.transform(reports, lambda r: F.concat(F.array(r["results"]), inner(r)))))]
+    paths.append(F.concat(there(F.array("x.results")), paths[1]))
+    first = F.coalesce(*[F.when(F.size(F.get(p, F.lit(0))["result"]) > 0, F.get(p, F.lit(0))["result"]) for p in paths])
     items = rows.select("scan_id", F.posexplode(first).alias("pos", "r")).where((_text("r.nvt._oid") != "") & (F.coalesce(F.col("r.qod.value").try_cast("int"), F.lit(0)) >= min_qod))
     pairs = F.split(_or_empty("r.nvt.tags"), r"\|")
     # the last of equal names counts
@@ -285,7 +310,10 @@ def openvas_occurrences(files: DataFrame, min_qod: int = 0) -> DataFrame:
 
 
 def acunetix_occurrences(files: DataFrame) -> DataFrame:
-    """Report items of every scan, at any depth; CVE tags come before the references. An item whose only vector is of CVSS 4 gets a note."""
+    """Report items of every scan, at any depth; CVE tags come before the references. An item whose only vector is of CVSS 4 gets a note.
+
+    ``files`` is (path, text), or ``Scan`` elements of ``split_exports``.
+    """
     item = (
         "struct<Name:string,VulnID:string,Severity:string,AffectedItem:string,Description:string,Impact:string,Recommendation:string,CWE:string,CWEList:struct<CWE:array<struct<_VALUE:string,_id:string>>>,"
         "Tags:struct<Tag:array<string>>,References:struct<Reference:array<struct<_VALUE:string>>>,CVSS3:struct<Descriptor:string>,CVSS4:struct<Descriptor:string>>"
@@ -306,7 +334,7 @@ def acunetix_occurrences(files: DataFrame) -> DataFrame:
         "scan_id", F.lit("acunetix").alias("scanner"), (F.col("s").cast("long") * (1 << 32) + F.col("i")).alias("pos"), key.alias("key"), F.coalesce(F.when(_text("r.Name") != "", _text("r.Name")), F.concat(F.lit("Finding "), key)).alias("title"),
         severity_rank(word).alias("sev_rank"), F.concat(_text("url"), _text("r.AffectedItem")).alias("component"), _text("r.CVSS3.Descriptor").alias("cvss_vector"), cwe_label(cwe).alias("cwe"),
         _text("r.Description").alias("description"), _text("r.Impact").alias("impact"), _text("r.Recommendation").alias("mitigation"), _refs(refs).alias("references"),
-        *_more(tags=tags, notes=F.when(v4_only, F.array(F.lit("only a CVSS v4 vector was present, dropped (v4 not supported in workspace format 2)"))).otherwise(_none())),
+        *_more(tags=tags, notes=F.when(v4_only, F.array(F.lit(CVSS4_NOTE))).otherwise(_none())),
     )
 
 
@@ -344,7 +372,7 @@ def _severity_or_3(c: str) -> Column:
 
 
 def qualys_scan_occurrences(files: DataFrame) -> DataFrame:
-    """Vulnerability scans: everything stands at the address itself."""
+    """Vulnerability scans: everything stands at the address itself. ``files`` is (path, text), or ``IP`` elements of ``split_exports``."""
     vuln = f"struct<_number:string,_severity:string,TITLE:string,CONSEQUENCE:string,DIAGNOSIS:string,SOLUTION:string,CVE_ID_LIST:struct<CVE_ID:{ID_URL}>>"
     rows = _elements(files, "IP").select("scan_id", F.col("pos").alias("p"), _read("element", f"_value:string,_addr:string,VULNS:struct<CAT:array<struct<VULN:array<{vuln}>>>>").alias("ip"))
     each = rows.select("scan_id", "p", F.coalesce("ip._value", "ip._addr", F.lit("")).alias("component"), F.posexplode("ip.VULNS.CAT").alias("c", "cat"))
@@ -370,12 +398,14 @@ def qualys_was_occurrences(files: DataFrame) -> DataFrame:
     return _qualys(glossary_join(found, glossary, ["scan_id", "key"], "__at", _qualys_defaults()))
 
 
-def qualys_vm_occurrences(files: DataFrame) -> DataFrame:
-    """Asset reports: a host's entries at its name (else address) and port, with texts from the report's own glossary."""
+def qualys_vm_occurrences(files: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """Asset reports: a host's entries at its name (else address) and port, with texts from the report's own glossary.
+
+    ``files`` is (path, text), or ``HOST`` elements of ``split_exports``, with ``details`` the ``VULN_DETAILS`` elements of the same files.
+    """
     detail = f"struct<QID:string,TITLE:string,SEVERITY:string,THREAT:string,IMPACT:string,SOLUTION:string,CVSS3_SCORE:struct<CVSS3_BASE:string>,CVE_ID_LIST:struct<CVE_ID:{ID_URL}>,VENDOR_REFERENCE_LIST:struct<VENDOR_REFERENCE:{ID_URL}>>"
-    hosts = elements(files.select(F.col("path").alias("scan_id"), "text"), "HOST", "text", "scan_id")
-    hosts = hosts.select("scan_id", F.col("pos").alias("h"), _read("element", "IP:string,DNS:string,VULN_INFO_LIST:struct<VULN_INFO:array<struct<QID:string,PORT:string>>>").alias("host"))
-    details = elements(files.select(F.col("path").alias("scan_id"), "text"), "VULN_DETAILS", "text", "scan_id").select("scan_id", F.col("pos").alias("__at"), _read("element", detail[7:-1]).alias("g"))
+    hosts = _elements(files, "HOST").select("scan_id", F.col("pos").alias("h"), _read("element", "IP:string,DNS:string,VULN_INFO_LIST:struct<VULN_INFO:array<struct<QID:string,PORT:string>>>").alias("host"))
+    details = _elements(files if details is None else details, "VULN_DETAILS").select("scan_id", F.col("pos").alias("__at"), _read("element", detail[7:-1]).alias("g"))
     each = hosts.select("scan_id", "h", F.coalesce(F.when(F.col("host.DNS") != "", F.col("host.DNS")), F.col("host.IP"), F.lit("")).alias("label"), F.posexplode("host.VULN_INFO_LIST.VULN_INFO").alias("i", "r"))
     where = F.when((F.col("label") != "") & (_or_empty("r.PORT") != ""), F.concat_ws(":", "label", "r.PORT")).otherwise(F.col("label"))
     found = each.where(_or_empty("r.QID") != "").select("scan_id", (F.col("h").cast("long") * (1 << 32) + F.col("i")).alias("pos"), F.col("r.QID").alias("key"), where.alias("component"))

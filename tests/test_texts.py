@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from findlake.functions import scoring, text
@@ -176,3 +177,52 @@ def test_an_export_is_read_by_many_tasks(spark, tmp_path):
         assert tasks > 4 and sorted(map(tuple, scans.nessus_occurrences(found).select(*columns).collect())) == whole and len(whole) == 3000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+SPLIT_TEXTS = {
+    "issue": (scans.burp_occurrences, "<issues burpVersion='1'>{}</issues>", "<issue><type>{i}</type><name>n</name><host ip='1.1.1.1'>h</host><path>/p</path><issueBackground>b{i}</issueBackground><issueDetail><![CDATA[<issue >]]></issueDetail><remediationDetail>r</remediationDetail></issue >"),
+    "alertitem": (scans.zap_occurrences, "<OWASPZAPReport><site><alerts>{}</alerts></site></OWASPZAPReport>", "<alertitem><pluginid>{i}</pluginid><alertitems>x</alertitems><alert>a</alert><desc>d{i}</desc><instances><instance><uri>u{i}</uri></instance></instances></alertitem>"),
+    "Scan": (scans.acunetix_occurrences, "<ScanGroup>{}</ScanGroup>", "<Scan><StartURL>u</StartURL><Scanner>s</Scanner><ReportItems><ReportItem><VulnID>{i}</VulnID><AffectedItem>/{i}</AffectedItem></ReportItem></ReportItems></Scan>"),
+    "IP": (scans.qualys_scan_occurrences, "<SCAN>{}</SCAN>", "<IP value='{i}'><IPS/><VULNS><CAT><VULN number='q' severity='3'><TITLE>t{i}</TITLE></VULN></CAT></VULNS></IP>"),
+    "ReportHost": (scans.nessus_occurrences, "<NessusClientData_v2>{}</NessusClientData_v2>", "<ReportHost name='e{i}'/><!-- <ReportHost name='c'> --><ReportHost name='h{i}'><ReportItem pluginID='1'/></ReportHost>"),
+}
+
+
+@pytest.mark.parametrize("tag", SPLIT_TEXTS)
+def test_split_exports_give_what_whole_files_give(spark, tmp_path, tag):
+    parser, whole, one = SPLIT_TEXTS[tag]
+    write(tmp_path, {"a.xml": whole.format("\n".join(one.replace("{i}", str(i)) for i in range(400))), "none.xml": whole.format("")})
+    files = scans.scan_files(spark, str(tmp_path)).select("path", F.col("content").cast("string").alias("text"))
+    ordered = lambda raw: [tuple(r)[1:] for r in raw.select("pos", "key", "title", "component", "description", "mitigation").orderBy("pos").collect()]
+    want = ordered(parser(files))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert ordered(parser(scans.split_exports(spark, str(tmp_path), tag))) == want and len(want) == 400
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_asset_reports_are_read_in_splits(spark, tmp_path):
+    host = "<HOST><IP>{i}</IP><HOSTNAME>x</HOSTNAME><VULN_INFO_LIST><VULN_INFO><QID>1</QID></VULN_INFO></VULN_INFO_LIST></HOST>"
+    detail = "<GLOSSARY><VULN_DETAILS_LIST><VULN_DETAILS id='1'><QID>1</QID><TITLE>T</TITLE><THREAT>t</THREAT></VULN_DETAILS></VULN_DETAILS_LIST></GLOSSARY>"
+    write(tmp_path, {"a.xml": "<ASSET_DATA_REPORT><HOST_LIST>" + "".join(host.replace("{i}", f"10.0.0.{i}") for i in range(50)) + f"</HOST_LIST>{detail}</ASSET_DATA_REPORT>"})
+    path = str(tmp_path / "a.xml")
+    found = scans.qualys_vm_occurrences(*[scans.split_exports(spark, path, tag) for tag in ("HOST", "VULN_DETAILS")])
+    assert [(r.title, r.component, r.description) for r in found.orderBy("pos").collect()] == [("T", f"10.0.0.{i}", "t") for i in range(50)]
+
+
+def test_one_container_of_results_is_read(spark):
+    result = lambda oid: f"<result><nvt oid='{oid}'/></result>"
+    report = lambda *parts: f"<report>{''.join(parts)}</report>"
+    results = lambda *oids: f"<results>{''.join(map(result, oids))}</results>"
+    response = "<get_reports_response>{}</get_reports_response>"
+    forms = {
+        "first of two": (response.format(report(report(results("1", "2"))) + report(report(results("3")))), ["1", "2"]), "behind an empty one": (response.format(report(report(results())) + report(report(results("3")))), []),
+        "outer after empty inner": (response.format(report(results("4"), report(results()))), ["4"]), "inner before outer": (response.format(report(results("5"), report(results("6")))), ["6"]), "bare": (report(results("7")), ["7"]),
+        "reports without results": (response.format(report("<a/>") + report(report("<a/>"), report(results("8")))), ["8"]), "none": (report("<a/>"), []), "inner of a report": (report(report(results("9")), results("10")), ["9"]),
+    }
+    files = spark.createDataFrame([(name, text) for name, (text, _) in forms.items()], "path string, text string")
+    got = {name: [] for name in forms}
+    for r in scans.openvas_occurrences(files).orderBy("pos").collect():
+        got[r.scan_id].append(r.key)
+    assert got == {name: oids for name, (_, oids) in forms.items()}
