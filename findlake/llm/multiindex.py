@@ -2,7 +2,8 @@
 
 Vectors are normalised and cut in two halves; each half has its own centroids, so that a pair of centroids is a
 cell. A query goes through the pairs in order of summed distance with a heap until their cells hold enough
-vectors; those are reranked by exact cosine of the original vectors in double precision.
+vectors; those are reranked by exact cosine of the original vectors in double precision. Cells of one left centroid lie together:
+a query goes there once, with a bit for each right centroid that it came to, so that fine cells don't multiply the queries.
 """
 
 from __future__ import annotations
@@ -23,17 +24,23 @@ from findlake.llm.storage import materialize
 
 @dataclass(frozen=True)
 class IndexSettings:
-    #: centroids of each half; cells are their square
-    centroids: int = 20
+    #: centroids of each half; cells are their square. They are no fewer than the first number and grow with the root of the rows, an
+    #: eighth of it, to the second
+    centroids: int = 64
+    most_centroids: int = 512
     #: vectors that centroids are fitted on: those with the smallest hash of their id
     sample: int = 20_000
     rounds: int = 12
     #: a query goes on until its cells hold so many vectors, and this share of all, at least; vectors without clusters
     #: need a large share
     candidates: int = 2_000
-    share: float = 0.6
-    #: rows of a cell that one task compares at once; larger cells are cut
+    share: float = 0.45
+    #: rows of a left centroid, and queries, that one task compares at once; more are cut
     part: int = 4_096
+    query_part: int = 1_024
+
+    def centroids_for(self, rows: int) -> int:
+        return max(self.centroids, min(self.most_centroids, round(rows**0.5 / 8)))
 
 
 @dataclass
@@ -47,23 +54,28 @@ class Codebook:
         h = self.left.shape[1]
         return _nearest(unit[:, :h], self.left) * len(self.right) + _nearest(unit[:, h:], self.right)
 
-    def walk(self, unit: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-        """Cells in order of summed distance until they hold ``wanted`` vectors; empty cells are passed over."""
+    def walk(self, unit: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
+        """Which cells (left by right) come first by summed distance until they hold ``wanted`` vectors."""
         h = self.left.shape[1]
         dl, dr = ((self.left - unit[:h]) ** 2).sum(1), ((self.right - unit[h:]) ** 2).sum(1)
-        ol, orr = np.argsort(dl, kind="stable"), np.argsort(dr, kind="stable")
-        heap, seen, out, held = [(float(dl[ol[0]] + dr[orr[0]]), 0, 0)], {(0, 0)}, [], 0
+        ol, orr = np.argsort(dl, kind="stable").tolist(), np.argsort(dr, kind="stable").tolist()
+        dl, dr = np.sort(dl).tolist(), np.sort(dr).tolist()
+        # a row of pairs enters with its first pair, once the row before it has come up
+        heap, visited, held = [(dl[0] + dr[0], 0, 0)], [], 0
         while heap and held < wanted:
-            _, i, j = heapq.heappop(heap)
-            cell = int(ol[i]) * len(self.right) + int(orr[j])
-            if sizes[cell]:
-                out.append(cell)
-                held += int(sizes[cell])
-            for a, b in ((i + 1, j), (i, j + 1)):
-                if a < len(ol) and b < len(orr) and (a, b) not in seen:
-                    seen.add((a, b))
-                    heapq.heappush(heap, (float(dl[ol[a]] + dr[orr[b]]), a, b))
-        return out
+            _, i, j = heap[0]
+            cell = ol[i] * len(orr) + orr[j]
+            visited.append(cell)
+            held += sizes[cell]
+            if j + 1 < len(orr):
+                heapq.heapreplace(heap, (dl[i] + dr[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if j == 0 and i + 1 < len(ol):
+                heapq.heappush(heap, (dl[i + 1] + dr[0], i + 1, 0))
+        out = np.zeros(len(ol) * len(orr), bool)
+        out[visited] = True
+        return out.reshape(len(ol), len(orr))
 
 
 def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -88,14 +100,13 @@ def _usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vec, lambda x: x != 0)
 
 
-def fit(vectors: DataFrame, settings: IndexSettings) -> Codebook | None:
-    """Fit the centroids on a bounded sample of ``vec_id, vec``; None for an empty table."""
+def fit(vectors: DataFrame, n_rows: int, settings: IndexSettings) -> Codebook:
+    """Fit the centroids for ``n_rows`` rows on a bounded sample of ``vec_id, vec``."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).select("vec").collect()
-    if not rows:
-        return None
     unit = _unit(np.array([r[0] for r in rows], np.float64))
     h = (unit.shape[1] + 1) // 2
-    return Codebook(_k_means(unit[:, :h], settings.centroids, settings.rounds), _k_means(unit[:, h:], settings.centroids, settings.rounds))
+    n = settings.centroids_for(n_rows)
+    return Codebook(_k_means(unit[:, :h], n, settings.rounds), _k_means(unit[:, h:], n, settings.rounds))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -111,15 +122,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = 5, settings: IndexSettings = IndexSettings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found of each query row among all other rows: query_id, rank, vec_id, score (cosine).
 
-    Vectors that are null, zero, or hold null or non-finite components take no part. All others must be of one length.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than most have (of
+    lengths that are equally frequent, the smallest counts).
     Equal vectors are indexed once, under their ``k + 1`` smallest ids: no others can be among ``k`` neighbours, as
     ties go to the smaller id. Ids are taken to be unique.
     """
     spark = vectors.sparkSession
     plain = vectors.where(_usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"), is_query.alias("q"))
-    book = fit(plain, settings)
-    if book is None:
+    length = plain.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    plain = plain.where(F.size("vec") == length.d)
+    book = fit(plain, length.n, settings)
     shared = spark.sparkContext.broadcast(book)
 
     def make():
@@ -132,46 +146,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, settings: IndexSett
     entries = table.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k + 1).select("cell", "vec_id", "vec")
     entries = materialize(entries, "multiindex-entries")
     # a number a cell: centroids squared at most
-    sizes = np.zeros(len(book.left) * len(book.right), np.int64)
+    n_right = len(book.right)
+    sizes = np.zeros(len(book.left) * n_right, np.int64)
     for cell, n in entries.groupBy("cell").count().collect():
         sizes[cell] = n
-    sent = spark.sparkContext.broadcast(sizes)
+    sent = spark.sparkContext.broadcast(sizes.tolist())
     wanted = max(settings.candidates, int(settings.share * int(sizes.sum())))
-    schema = T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    visit = T.ArrayType(T.StructType([T.StructField("left", T.IntegerType()), T.StructField("rights", T.BinaryType())]))
 
     def make_walk():
-        return lambda vecs: ([shared.value.walk(u, sent.value, wanted) for u in _unit(np.array(vecs, np.float64))],)
-
-    queries = append_columns(table.where("q").select(F.col("vec_id").alias("query_id"), "vec"), ["vec"], schema.fields, make_walk)
-    # a cell with many rows is cut in parts, each of which meets the cell's queries by itself
-    cut = np.maximum(1, -(-sizes // settings.part)).tolist()
-    parts = F.element_at(F.array(*[F.lit(int(n)) for n in cut]), F.col("cell") + 1) if max(cut) > 1 else F.lit(1)
-    asked = queries.select("query_id", "vec", F.explode("cells").alias("cell")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = entries.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-    found = asked.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+        def visits(unit: np.ndarray) -> list[dict]:
+            came = shared.value.walk(unit, sent.value, wanted)
+            return [{"left": int(i), "rights": np.packbits(came[i]).tobytes()} for i in np.flatnonzero(came.any(1))]
+
+        return lambda vecs: ([visits(u) for u in _unit(np.array(vecs, np.float64))],)
+
+    asking = table.where("q").select(F.col("vec_id").alias("query_id"), "vec")
+    # many queries are cut, and so are the rows of a left centroid; each part meets each
+    cut_queries = max(1, -(-asking.count() // settings.query_part))
+    cut = np.maximum(1, -(-sizes.reshape(-1, n_right).sum(1) // settings.part)).tolist()
+    parts = F.element_at(F.array(*[F.lit(int(n)) for n in cut]), F.col("left") + 1)
+    queries = append_columns(asking, ["vec"], [T.StructField("visits", visit)], make_walk)
+    asked = queries.select("query_id", "vec", F.inline("visits")).withColumns({"part": F.explode(F.sequence(F.lit(0), parts - 1)), "query_part": F.pmod(F.xxhash64("query_id"), F.lit(cut_queries)).cast("int")})
+    rows = entries.select(F.floor(F.col("cell") / n_right).cast("int").alias("left"), (F.col("cell") % n_right).alias("right"), "vec_id", "vec")
+    dealt = rows.withColumns({"part": F.pmod(F.xxhash64("vec_id"), parts).cast("int"), "query_part": F.explode(F.sequence(F.lit(0), F.lit(cut_queries - 1)))})
+    keys = ["left", "part", "query_part"]
+    found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_compare(k, n_right), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _compare(k: int):
+def _compare(k: int, n_right: int):
     def nearest(queries: pa.Table, entries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not queries.num_rows or not entries.num_rows:
             return schema.empty_table()
-        ids, own = np.asarray(entries["vec_id"]), np.asarray(queries["query_id"])
-        data = _unit(_matrix(entries["vec"].combine_chunks()))
-        order = np.argsort(ids)
-        ids, data = ids[order], data[order]
-        asked = _unit(_matrix(queries["vec"].combine_chunks()))
+        ids, own, right = np.asarray(entries["vec_id"]), np.asarray(queries["query_id"]), np.asarray(entries["right"])
+        data, asked = (_unit(_matrix(t["vec"].combine_chunks())) for t in (entries, queries))
+        bits = np.frombuffer(b"".join(queries["rights"].to_pylist()), np.uint8).reshape(len(own), -1)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asked), 256):
-            score = asked[at : at + 256] @ data.T
-            score[own[at : at + 256, None] == ids[None, :]] = -np.inf
+            came = np.unpackbits(bits[at : at + 256], axis=1, count=n_right).astype(bool)
             # equal vectors must tie whatever order the products were added in
-            best = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, : k + 1]
-            exact = np.einsum("qd,qkd->qk", asked[at : at + 256], data[best])
-            keep = np.isfinite(np.take_along_axis(score, best, 1))
-            out.append((np.repeat(own[at : at + 256], best.shape[1])[keep.ravel()], ids[best].ravel()[keep.ravel()], exact.ravel()[keep.ravel()]))
+            score = np.round(asked[at : at + 256] @ data.T, 12)
+            score[~came[:, right] | (own[at : at + 256, None] == ids[None, :])] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, [-k]] if len(ids) > k else -np.inf
+            # rows that tie with the last one are all kept
+            q, e = np.nonzero((score >= least) & (score > -np.inf))
+            out.append((own[at + q], ids[e], np.einsum("qd,qd->q", asked[at + q], data[e])))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
 

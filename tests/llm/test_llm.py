@@ -192,6 +192,38 @@ def test_nearest_neighbours(spark):
     assert np.allclose(mine.score.iloc[0], s.max())
 
 
+def test_neighbours_of_mixed_lengths_and_cut_parts(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, [1.0] * (i % 5 + 1)) for i in range(40)] + [(2000 + i, rows_of_one) for i, rows_of_one in enumerate([[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    every = multiindex.IndexSettings(centroids=5, share=1.0, part=16, query_part=7)
+    got = {}
+    for r in multiindex.search(df, F.col("vec_id") % 10 == 0, 5, every).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    kept = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if len(v) == 6]
+    for i, v in kept:
+        if i % 10 == 0:
+            want = sorted(((-round(float(v @ w), 12), j) for j, w in kept if j != i))[:5]
+            assert [j for j, _ in got[i]] == [j for _, j in want]
+            assert np.allclose([s for _, s in got[i]], [-s for s, _ in want])
+    assert len(got) == sum(i % 10 == 0 for i, _ in kept)
+
+
+def test_walk_takes_cells_in_order_of_summed_distance():
+    rng = np.random.default_rng(3)
+    book = multiindex.Codebook(rng.normal(size=(7, 2)), rng.normal(size=(5, 2)))
+    for wanted in (0, 1, 9, 40, 10**6):
+        sizes, unit = rng.integers(0, 4, 35).tolist(), rng.normal(size=4)
+        far = (((book.left - unit[:2]) ** 2).sum(1)[:, None] + ((book.right - unit[2:]) ** 2).sum(1)).ravel()
+        want, held = set(), 0
+        for cell in np.argsort(far).tolist():
+            if held >= wanted:
+                break
+            want.add(cell)
+            held += sizes[cell]
+        assert set(np.flatnonzero(book.walk(unit, sizes, wanted).ravel()).tolist()) == want
+
+
 def test_html(spark):
     page = "<title>t</title><p>A &amp; b<p>C<ul><li>x<li>y<ol><li>z</ol></ul><table><tr><td>1<td>long<tr><td>22<td>b</table><div style='display:none'>no</div><script>no</script><pre>k  p\n q</pre>e<br>f"
     assert htmltext.extract(page) == "A & b\n\nC\n\n- x\n- y\n  1. z\n\n1  | long\n22 | b\n\nk  p\n q\n\ne\nf"

@@ -133,14 +133,16 @@ def test_nested_tables_of_any_depth_keep_their_cells():
     assert out.count("a |") == 60 and "end" in out
 
 
-@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the given tables")
-def test_recall_of_the_registered_search(spark):
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/check_s"])
+def test_recall_of_the_registered_search(spark, data):
     from findlake.llm.queries import op8_multi_index
 
+    if not os.path.exists(data):
+        pytest.skip("needs the given tables")
     found = defaultdict(set)
-    for r in op8_multi_index(spark, DATA).collect():
+    for r in op8_multi_index(spark, data).collect():
         found[r.query_id].add(r.vec_id)
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r.embedding is not None]
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hits = total = 0
