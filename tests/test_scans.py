@@ -33,3 +33,10 @@ def test_link_schemes_and_image_paths_read_their_lines_once(spark):
     pages = spark.range(1, 3).selectExpr("id AS doc_id", "'methodology/library/b/p.md' AS path")
     assert scans_of(documents.link_scheme_rule(documents.references(lines_of(spark)))) == 1
     assert scans_of(rules.image_path_rule(lines_of(spark), pages)) == 1
+
+
+def test_line_hygiene_reads_texts_once(spark):
+    docs = spark.createDataFrame([(1, "a\r\nb \n"), (2, ""), (3, "a"), (4, "a\n\n"), (5, None), (6, "a　\nb\r")], "doc_id long, text string")
+    found = documents.line_hygiene(docs)
+    assert scans_of(found) == 1
+    assert sorted((r.doc_id, r.rule_id, r.line or 0) for r in found.collect()) == [(1, "WIKI-009", 0), (1, "WIKI-010", 2), (3, "WIKI-011", 0), (4, "WIKI-011", 0), (6, "WIKI-009", 0), (6, "WIKI-010", 1), (6, "WIKI-010", 2), (6, "WIKI-011", 0)]
