@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findlake.functions.text import html_to_text, slugify, stem
 from findlake.operators.components import components
@@ -292,45 +295,109 @@ def identical_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["hash", "k"]).select("old_path", "new_path")
 
 
-#: Letters that are counted one by one to bound a similarity; all others count as one more.
-COUNTED = "etaoinshrdlucmfwypvbgk .,-0123456789"
-#: Texts of one block and range of lengths that meet in one task; more are split.
+#: Texts of one side, block and range of lengths that meet in one task; more are split.
 PAIR_ROWS = 500
+#: Lengths of the pieces of text whose counts bound a similarity.
+PIECES = (6, 9)
+
+
+def _pieces(text: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each piece of ``q`` letters; equal pieces have equal hashes."""
+    n = max(0, len(text) - q + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(q):
+        out = out * np.uint64(1_000_003) + text[i : i + n]
+    return out
+
+
+def _hopeful(olds: list[str], news: list[str], threshold: float) -> Iterator[tuple[int, int]]:
+    """Places (old, new) of the pairs whose matching-blocks ratio, new against old, may reach ``threshold``.
+
+    The matching letters are no more than the letters in common. A block that matches holds a letter that is no popular one of the
+    old text (of 200 letters or more: one that makes up a hundredth), but for one at the very front; so there are no more blocks
+    than such letters in common, and one. A block of n letters has n - q + 1 pieces of q, so the matching letters are no more than the new
+    text's pieces that are in the old one, and q - 1 a block.
+    """
+    codes = {t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) for t in {*olds, *news}}
+    letters = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes.values()]))
+    counted = {t: np.bincount(np.searchsorted(letters, c), minlength=len(letters)).astype(np.int32) for t, c in codes.items()}
+    have = np.array([counted[t] for t in olds]).reshape(len(olds), -1)
+    sizes = np.array([len(codes[t]) for t in olds])
+    rare = np.where((sizes[:, None] >= 200) & (have > sizes[:, None] // 100 + 1), 0, have)
+    index = []
+    for q in PIECES:
+        own = [np.unique(_pieces(codes[t], q)) for t in olds]
+        flat, at = np.concatenate(own), np.repeat(np.arange(len(olds)), [len(o) for o in own])
+        order = np.argsort(flat, kind="stable")
+        keys, starts = np.unique(flat[order], return_index=True)
+        index.append((q, keys, np.r_[starts, len(flat)], at[order]))
+    for j, t in enumerate(news):
+        least = threshold * (sizes + len(codes[t])) / 2 - 1e-6
+        open_ = (np.minimum(have, counted[t]).sum(1) >= least) & (np.minimum(sizes, len(codes[t])) >= least)
+        blocks = np.minimum(rare, counted[t]).sum(1) + 1
+        for q, keys, starts, at in index:
+            if not open_.any():
+                break
+            pieces, times = np.unique(_pieces(codes[t], q), return_counts=True)
+            place = np.searchsorted(keys, pieces)
+            there = np.flatnonzero(place < len(keys))
+            there = there[keys[place[there]] == pieces[there]]
+            begin, long = starts[place[there]], starts[place[there] + 1] - starts[place[there]]
+            spots = np.repeat(begin - np.r_[0, np.cumsum(long)[:-1]], long) + np.arange(long.sum()) if len(there) else np.zeros(0, np.int64)
+            common = np.bincount(at[spots], weights=np.repeat(times[there], long), minlength=len(olds))
+            open_ &= common + (q - 1) * blocks >= least
+        for i in np.flatnonzero(open_).tolist():
+            yield i, j
 
 
 def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``old_path, new_path, score`` of texts whose matching-blocks ratio reaches ``threshold``, within a block.
 
     Both sides have block, path, text. The ratio is that of the new text against the old one, white space collapsed; it is not
-    symmetric. It is at most 2 * shared characters / (sum of lengths), and shared characters are no more than the shorter text has,
-    nor than the counts of each letter allow. So lengths are cut into ranges of that ratio, a text meets its own range and the next,
-    and pairs whose counts of letters rule them out are not compared. The new side of a range with many texts is split, and the old
-    side goes to each part. Nothing that reaches the threshold is lost; the work of a block grows with the pairs that the bounds leave.
+    symmetric. It is at most 2 * shared letters / (sum of lengths). So lengths are cut into ranges of that ratio, and a text meets its own
+    range and the next ones. Both sides of a range with many texts are split, and each part of one meets each of the other in a task that holds
+    no more than the two. There pairs are ruled out by counts of letters and of short pieces, and only the others are compared; copies are
+    compared once. Nothing that reaches the threshold is lost. The work of a block still grows with its pairs, of which most cost some counts.
     """
     step = math.log(2 / threshold - 1)
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select("block", F.col("path").alias(f"{name}_path"), flat.alias(f"{name}_text"))
-        text = F.lower(f"{name}_text")
-        counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
-        others = F.length(F.translate(text, COUNTED, ""))
-        return rows.withColumns({"cell": F.floor(F.log(F.greatest(F.length(f"{name}_text"), F.lit(1))) / step), f"{name}_counts": F.array(*counts, others)})
-
-    b = settle(side(new, "new"))
-    parts = b.groupBy("block", "cell").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
-    b = b.join(parts, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("new_path"), F.col("parts")).cast("int")).drop("parts")
-    a = side(old, "old").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    a = a.join(parts, ["block", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    x, y = F.length("old_text"), F.length("new_text")
-    shared = F.aggregate(F.zip_with("old_counts", "new_counts", lambda p, q: F.least(p, q)), F.lit(0), lambda total, v: total + v)
-    near = a.join(b, ["block", "cell", "part"]).where((2 * F.least(x, y) >= threshold * (x + y)) & (2 * shared >= threshold * (x + y)) | ((x == 0) & (y == 0)))
-
-    @F.pandas_udf("double")
-    def ratio(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if s == t else SequenceMatcher(None, s, t).ratio() for s, t in zip(p, q, strict=True)])
-
-    return near.select("old_path", "new_path", ratio("new_text", "old_text").alias("score")).where(F.col("score") >= threshold)
+    keys, grid_keys = ["block", "cell"], ["block", "cell", "part", "old_part"]
+
+    def side(df: DataFrame) -> DataFrame:
+        rows = df.select("block", "path", flat.alias("text"))
+        return settle(rows.withColumn("cell", F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / step)))
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias(name))
+
+    b, a = side(new), side(old).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    grid = parts(b, "news").join(parts(a, "olds"), keys)
+    dealt = [F.col(c).alias(c) for c in [*grid_keys, "path", "text"]]  # as columns of their own, since each side has met the other's counts
+    own = lambda n: F.pmod(F.xxhash64("path"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    b = b.join(grid, keys).withColumn("part", own("news")).withColumn("old_part", every("olds")).select(*dealt)
+    a = a.join(grid, keys).withColumn("old_part", own("olds")).withColumn("part", every("news")).select(*dealt)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = []
+        for table in (left, right):
+            by_text: dict[str, list[int]] = {}
+            for i, t in enumerate(table["text"].to_pylist()):
+                by_text.setdefault(t, []).append(i)
+            held.append(by_text)
+        olds, news = map(list, held)
+        at, to, scores = [], [], []
+        for i, j in _hopeful(olds, news, threshold) if olds and news else ():
+            score = 1.0 if olds[i] == news[j] else SequenceMatcher(None, news[j], olds[i]).ratio()
+            if score >= threshold:
+                for x in held[0][olds[i]]:
+                    at += [x] * len(held[1][news[j]])
+                    to += held[1][news[j]]
+                scores += [score] * (len(held[0][olds[i]]) * len(held[1][news[j]]))
+        return pa.table({"old_path": left["path"].take(pa.array(at, pa.int64())), "new_path": right["path"].take(pa.array(to, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    schema = T.StructType([T.StructField("old_path", old.schema["path"].dataType), T.StructField("new_path", new.schema["path"].dataType), T.StructField("score", T.DoubleType())])
+    return a.groupBy(*grid_keys).cogroup(b.groupBy(*grid_keys)).applyInArrow(compare, schema)
 
 
 def identical_edges(old: DataFrame, new: DataFrame) -> DataFrame:
