@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from findlake.functions.text import html_to_text, slugify, stem
 from findlake.operators.components import components
-from findlake.operators.numbering import numbered, settle
+from findlake.operators.numbering import numbered, settle, stored
 
 
 def glossary_join(items: DataFrame, glossary: DataFrame, key: str | list[str], pos: str, defaults: dict[str, object]) -> DataFrame:
@@ -424,18 +424,19 @@ def greedy_match(edges: DataFrame, rounds: int = 5) -> DataFrame:
     order = [F.desc("score"), F.col("old_path"), F.col("new_path")]
     best = F.struct(-F.col("score"), F.col("old_path"), F.col("new_path"))
 
-    taken, left = None, settle(edges)
+    taken, left = None, stored(edges, "edges")
     for _ in range(rounds):
         # the first edge of each end comes from one aggregate a side, partial before the shuffle
         by_old = left.groupBy("old_path").agg(F.min(best).alias("a")).select(F.col("old_path").alias("__o"), F.col("a.new_path").alias("__n"))
         by_new = left.groupBy("new_path").agg(F.min(best).alias("b")).select(F.col("b.old_path").alias("__o"), F.col("new_path").alias("__n"))
         both = by_old.join(by_new, ["__o", "__n"])
-        sure = settle(left.join(both, (F.col("old_path") == F.col("__o")) & (F.col("new_path") == F.col("__n"))).drop("__o", "__n").groupBy("old_path", "new_path").agg(*_first_of(edges)).select(*edges.columns))
+        sure = stored(left.join(both, (F.col("old_path") == F.col("__o")) & (F.col("new_path") == F.col("__n"))).drop("__o", "__n").groupBy("old_path", "new_path").agg(*_first_of(edges)).select(*edges.columns), "taken")
         taken = sure if taken is None else taken.unionByName(sure)
-        left = settle(left.join(sure.select("old_path"), "old_path", "left_anti").join(sure.select("new_path"), "new_path", "left_anti").select(*edges.columns))
+        left = stored(left.join(sure.select("old_path"), "old_path", "left_anti").join(sure.select("new_path"), "new_path", "left_anti").select(*edges.columns), "left")
         if left.isEmpty():
             return taken
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    # ends go by a hash: two that share one lie in one component, whose edges are gone through in order all the same
+    name = lambda kind, c: F.xxhash64(F.lit(kind), c)
     found = components(left.select(name("o", "old_path").alias("u"), name("n", "new_path").alias("v")))
     placed = left.join(found.select(F.col("node").alias("__node"), F.col("component").alias("__c")), name("o", "old_path") == F.col("__node")).drop("__node")
 

@@ -51,6 +51,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read from there; a checkpoint computes its last step twice."""
+    folder = scratch_folder(df.sparkSession, tag)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str, amount: str | None = None) -> DataFrame:
     """``df`` with ``out``: the row's number from 1 in its group, nulls first, as a long; with ``amount`` that column's sum up to the row.
 
