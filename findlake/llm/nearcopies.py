@@ -1,7 +1,11 @@
 """Near copies of whole texts: every pair whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
-A set is put into one order that holds for all sets (shingles that are common in a sample last, then by hash). Two sets of
-similarity t or more share a shingle among the first ``n - ceil(t * n) + 1`` of each, so only these are shuffled and no
+Each set has a SimHash fingerprint. Fingerprints that the Gray-order index of ``simhash`` links are tried first, and those
+whose whole sets reach the similarity are joined. At a similarity of 0.8 most fingerprints are farther apart than the index
+can tell from chance, so an exact way takes the rest, and looks only at pairs that are not in one component by then.
+
+For it a set is put into one order that holds for all sets (shingles that are common in a sample last, then by hash). Two sets
+of similarity t or more share a shingle among the first ``n - ceil(t * n) + 1`` of each, so only these are shuffled and no
 pair is missed; the places of the shingle in both sets bound what else they can share. Pairs that share one are tried by
 their shapes, which bound what two sets have in common, and if those allow it on their whole sets: first each set with
 leaders, which joins large groups of near copies at linear cost, then all pairs that are not in one component yet.
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 
 from findlake.llm.arrow import append_columns
 from findlake.llm.components import connected_components
-from findlake.llm.simhash import SEED, words_of
+from findlake.llm.simhash import LIMIT, SEED, code_links, set_fingerprint, words_of
 from findlake.llm.storage import materialize, small_batches
 
 SHINGLE = 5
@@ -65,6 +69,10 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
 def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     """A bitmap of shingles (by the low bits of their hashes) that at least FEWEST texts of a fixed share of all have."""
 
@@ -84,7 +92,7 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``row, set, n, prefix, shape``: the hash of a text's set, its size, its first shingles in the common order, and its shape."""
+    """``row, set, n, code, prefix, shape``: the hash of a text's set, its size and fingerprint, its first shingles in the common order, and its shape."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
 
     def make():
@@ -93,16 +101,29 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         def one(text):
             own = shingle_set(text, shingle)
             outline = shape(own)
-            name = xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0
+            name, code = (xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0), set_fingerprint(own)
             first = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
             low = (own & np.uint64(COMMON_BITS - 1)).astype(np.int64)
             own = own[np.argsort(common[low >> 3] >> (low & 7).astype(np.uint8) & 1, kind="stable")]
-            return name - (1 << 64) if name >> 63 else name, len(own), own[:first].view(np.int64), outline
+            return _signed(name), len(own), _signed(code), own[:first].view(np.int64), outline
 
         return lambda values: tuple(zip(*map(one, values), strict=True))
 
-    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("shape", T.BinaryType())]
-    return append_columns(texts, ["text"], fields, make).select("row", "set", "n", "prefix", "shape")
+    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("shape", T.BinaryType())]
+    return append_columns(texts, ["text"], fields, make).select("row", "set", "n", "code", "prefix", "shape")
+
+
+def fingerprint_pairs(printed: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``u, v``: sets that the Gray-order index brings together, a number of pairs linear in the sets.
+
+    Of sets of one fingerprint each goes with the least; the least ones of two fingerprints that the index links go together.
+    """
+    prints = materialize(printed.where("n > 0").select("set", "code").distinct(), "prints")
+    first = prints.groupBy("code").agg(F.min("set").alias("first"))
+    same = prints.join(first, "code").select(F.col("set").alias("u"), F.col("first").alias("v"))
+    ends = [first.select(F.col("code").alias(f"__{c}"), F.col("first").alias(c)) for c in ("u", "v")]
+    across = code_links(prints, limit).withColumnsRenamed({"u": "__u", "v": "__v"}).join(ends[0], "__u").join(ends[1], "__v").select("u", "v")
+    return same.unionByName(across).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _by_key(rows: DataFrame, schema: str, each) -> DataFrame:
@@ -227,10 +248,19 @@ def _marked(shared: DataFrame, links: DataFrame) -> DataFrame:
     return shared.join(_components(links), "set", "left").withColumn("component", F.coalesce("component", "set"))
 
 
-def near_copies(docs: DataFrame, row: Column, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def _leader_pairs(shared: DataFrame, joined: DataFrame, only_one: bool) -> DataFrame:
+    """The pairs ``u, v`` of a set and a leader that aren't in one component; with ``only_one`` the least such leader of a set."""
+    led = shared.where("set <> leader").join(joined, "set", "left").join(joined.select(F.col("set").alias("leader"), F.col("component").alias("__c")), "leader", "left")
+    led = led.where(F.coalesce("component", "set") != F.coalesce("__c", "leader")).select("set", "leader")
+    if only_one:
+        led = led.groupBy("set").agg(F.min("leader").alias("leader"))
+    return led.select(F.least("set", "leader").alias("u"), F.greatest("set", "leader").alias("v")).distinct()
+
+
+def near_copies(docs: DataFrame, row: Column, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
     """``row, component`` for every row of ``docs`` (rows of one key have one text): components of the links of similarity ``least`` or more.
 
-    Texts without a word are copies of each other. Shingles and sets are compared by 64-bit hashes.
+    Every link is one of whole sets; what the index over fingerprints brings together is tried first. Texts without a word are copies of each other. Shingles and sets are compared by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -241,17 +271,16 @@ def near_copies(docs: DataFrame, row: Column, text_col: str = "text", shingle: i
     cap = F.floor((F.col("n") - F.col("pos")) * (1 + least) / least - F.col("n") + 1e-6).cast("long")
     dealt = sets.withColumn("cap", cap).where("cap > 0").select("shingle", "n", "set", "cap")
     shared = materialize(_by_key(dealt, "shingle long, n long, set long, cap long, leader long", _leaders(least)), "shared-shingles")
-    led = shared.where("set <> leader").groupBy("set").agg(F.min("leader").alias("leader"))
-    # one leader a set first, which joins most of a large group; then the other leaders, then all pairs, that aren't joined yet
-    tried = materialize(led.select(F.least("set", "leader").alias("u"), F.greatest("set", "leader").alias("v")).distinct(), "leader-pairs")
-    links = materialize(_verified(tried, texts, printed, shingle, least), "leader-links")
-    joined = _components(links)
-    others = shared.where("set <> leader").join(joined, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    others = others.join(joined.select(F.col("set").alias("leader"), F.col("component").alias("__c")), "leader", "left").where(F.col("component") != F.coalesce("__c", "leader"))
-    second = materialize(others.select(F.least("set", "leader").alias("u"), F.greatest("set", "leader").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "other-leader-pairs")
-    links = materialize(links.unionByName(_verified(second, texts, printed, shingle, least)), "links")
+    # what the index links first; then one leader a set, which joins most of a large group; then the other leaders, then all
+    # pairs, each time of those that aren't joined yet
+    tried = materialize(fingerprint_pairs(printed, limit), "fingerprint-pairs")
+    links = materialize(_verified(tried, texts, printed, shingle, least), "fingerprint-links")
+    for tag, only_one in (("leader", True), ("other-leader", False)):
+        pairs = materialize(_leader_pairs(shared, _components(links), only_one).join(tried, ["u", "v"], "left_anti"), f"{tag}-pairs")
+        tried = tried.unionByName(pairs)
+        links = materialize(links.unionByName(_verified(pairs, texts, printed, shingle, least)), f"{tag}-links")
     marked = _marked(shared, links).select("shingle", "n", "set", "cap", "component")
-    rest = materialize(_by_key(marked, "u long, v long", _open_pairs(least)).distinct().join(tried.unionByName(second), ["u", "v"], "left_anti"), "open-pairs")
+    rest = materialize(_by_key(marked, "u long, v long", _open_pairs(least)).distinct().join(tried, ["u", "v"], "left_anti"), "open-pairs")
     more = _verified(rest, texts, printed, shingle, least)
     classes = connected_components(links.unionByName(more)).select(F.col("node").alias("set"), "component")
     return printed.select("row", "set").join(classes, "set", "left").select("row", F.coalesce("component", "set").alias("component"))

@@ -60,11 +60,24 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     for at in range(0, n, SHINGLES_AT_ONCE):
         part = words[at : at + SHINGLES_AT_ONCE + width - 1]
         grams = map(b" ".join, zip(*[part[i : len(part) - width + 1 + i] for i in range(width)], strict=True))
-        hashes = np.array([digest(g, SEED) for g in grams], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(np.array([digest(g, SEED) for g in grams], "<u8"))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, each counted once; 0 of the empty set."""
+    return _majority(sum((_ones(hashes[at : at + SHINGLES_AT_ONCE]) for at in range(0, len(hashes), SHINGLES_AT_ONCE)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``df`` with ``out_col``: the fingerprint of each whole text, its 64 bits in a long."""
 
@@ -337,8 +350,8 @@ def _run_links(runs: DataFrame, joined: DataFrame, limit: int) -> DataFrame:
     return _whole_groups(dealt, 2, [F.col("run"), _gray_order()], links, "u long, v long")
 
 
-def code_components(codes: DataFrame, limit: int = LIMIT, largest_block: int = LARGEST_BLOCK) -> DataFrame:
-    """``code, component``: for each different 64-bit code that has a link, the smallest code reachable over links of at most ``limit`` bits."""
+def code_links(codes: DataFrame, limit: int = LIMIT, largest_block: int = LARGEST_BLOCK) -> DataFrame:
+    """``u, v``: pairs of different 64-bit codes that join all that links of at most ``limit`` bits join, and no more."""
     distinct = materialize(codes.select("code").where("code is not null").distinct(), "codes")
     masks = F.array(*[F.lit(_signed(m)) for m in _bit_sets(limit + 1)])
     blocks = distinct.select("code", F.explode(masks).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("code")).alias("value"), "code")
@@ -352,7 +365,12 @@ def code_components(codes: DataFrame, limit: int = LIMIT, largest_block: int = L
         runs = materialize(_runs(dealt, limit, max(2, largest_block // 4)), "gray-runs")
         within = materialize(small.unionByName(runs.where("code <> first").select(F.col("code").alias("u"), F.col("first").alias("v"))), "links")
         edges = within.unionByName(_run_links(runs, connected_components(within), limit))
-    return connected_components(edges).withColumnsRenamed({"node": "code"})
+    return edges
+
+
+def code_components(codes: DataFrame, limit: int = LIMIT, largest_block: int = LARGEST_BLOCK) -> DataFrame:
+    """``code, component``: for each different 64-bit code that has a link, the smallest code reachable over links of at most ``limit`` bits."""
+    return connected_components(code_links(codes, limit, largest_block)).withColumnsRenamed({"node": "code"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, largest_block: int = LARGEST_BLOCK) -> DataFrame:
