@@ -41,8 +41,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def make():
-        encode = word_encoder(tokenizer_path, CACHE_WORDS).encode
-        return lambda texts: ([_narrow(encode(t) + tail, id_bytes) for t in texts],)
+        encode = word_encoder(tokenizer_path, CACHE_WORDS).encode_all
+        return lambda texts: ([_narrow(ids + tail, id_bytes) for ids in encode(texts)],)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     return append_columns(slim, ["__text"], [T.StructField("ids", T.BinaryType())], make).select("doc_id", "ids")

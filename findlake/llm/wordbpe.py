@@ -2,7 +2,8 @@
 
 The tokenizer file normalises, lower-cases and splits at white space before its merges, so no token
 spans white space and the ids of a text are the ids of its words in a row. Words repeat; a bounded
-cache keeps the packed ids of the recent ones, and only words that it lacks go to the library.
+cache keeps the packed ids of the recent ones, and only words that it lacks go to the library. Texts are
+encoded many at a time: Arrow splits them, finds their different words and puts the ids of these in place.
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from findlake.llm.warm import keep_warm
 
@@ -17,6 +23,8 @@ from findlake.llm.warm import keep_warm
 LATIN_END = 0x300
 CACHE_WORDS = 150_000
 LONGEST_CACHED = 48
+#: Texts of so many characters are encoded together; a longer one by itself, and not by way of Arrow.
+CHARS_AT_ONCE = 1 << 22
 #: Packing of so many ids.
 PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
@@ -69,33 +77,74 @@ class WordEncoder:
             return b""
         if any(c in text for c in SEPARATOR_CONTROLS):
             return self._whole(text)
-        words = text.split()
+        return b"".join(self._words(text.split()))
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """``encode`` of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        together: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) > CHARS_AT_ONCE or any(c in text for c in SEPARATOR_CONTROLS):
+                out[i] = self.encode(text)
+                continue
+            if size + len(text) > CHARS_AT_ONCE:
+                self._together(texts, together, out)
+                together, size = [], 0
+            together.append(i)
+            size += len(text)
+        self._together(texts, together, out)
+        return out
+
+    def _together(self, texts: Sequence[str | None], places: list[int], out: list[bytes]) -> None:
+        if not places:
+            return
+        split = pc.utf8_split_whitespace(pa.array([texts[i] for i in places], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return
+        # no word has a space: one joined string comes over faster than so many words
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ")
+        ids = pa.array(self._words(words), pa.binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int32)[split.offsets.to_numpy()].tolist()
+        whole = data.to_pybytes() if data is not None else b""
+        for i, start, end in zip(places, ends[:-1], ends[1:], strict=True):
+            out[i] = whole[start:end]
+
+    def _words(self, words: list[str]) -> list[bytes]:
         found = list(map(self.recent.get, words))
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self._word(words[at])
-        return b"".join(found)
+            word = words[at]
+            if len(word) > LONGEST_CACHED:
+                found[at] = self._fresh(word)
+                continue
+            # an earlier place of the same text may have brought it in
+            out = self.recent.get(word) or self.older.get(word)
+            if out is None:
+                out = self._fresh(word)
+            if len(self.recent) >= self.cache_words:
+                self.older, self.recent = self.recent, {}
+            self.recent[word] = found[at] = out
+        return found
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: str) -> bytes:
-        if len(word) > LONGEST_CACHED:
-            return self._fresh(word)
-        # an earlier place of the same text may have brought it in
-        out = self.recent.get(word) or self.older.get(word)
-        if out is None:
-            out = self._fresh(word)
-        if len(self.recent) >= self.cache_words:
-            self.older, self.recent = self.recent, {}
-        self.recent[word] = out
-        return out
-
     def _fresh(self, word: str) -> bytes:
         lower = word.lower()
-        if not lower.isascii() and BEYOND_LATIN.search(lower) or "<|" in word:
+        if not lower.isascii():
+            if BEYOND_LATIN.search(lower):
+                return self._whole(word)
+        elif not lower.isalpha() and (head := lower[:-1]).isalpha() and not lower[-1].isdigit():
+            # letters and one mark are two pieces
+            return (self.pieces.get(head) or self._piece(head)) + (self.pieces.get(lower[-1]) or self._piece(lower[-1]))
+        if "<|" in word:
             return self._whole(word)
         if lower.isalpha():
             return self.pieces.get(lower) or self._piece(lower)

@@ -42,6 +42,22 @@ def test_huffman_round_trip(spark, tmp_path):
         start += len(r.ids) // 4
 
 
+def test_many_texts_are_encoded_together_as_the_library_encodes_each(monkeypatch):
+    import random
+
+    import public_tokenizers
+    from findlake.llm import wordbpe
+
+    rng = random.Random(5)
+    letters = "aB c\n\t\x0b\x0c\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\ufeffÉé's12.,_<|endoftext|>日😀İ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)] + [None, "", " ", "  a  ", "x " * 600]
+    monkeypatch.setattr(wordbpe, "CHARS_AT_ONCE", 500)  # several runs, and a text that is one by itself
+    encoder = wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_words=50)
+    want = [np.array(encoder.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode_all(texts) == want
+    assert encoder.encode_all([" ", None]) == [b"", b""] and encoder.encode_all([]) == []
+
+
 def test_huffman_of_nothing(spark, tmp_path):
     huffman.write_ids(huffman.encode_documents(docs_of(spark, []), WORDS, 2), str(tmp_path / "e"))
     assert huffman.read_ids(spark, str(tmp_path / "e")).count() == 0
