@@ -1,10 +1,13 @@
 """Exact BM25 top-k by an inverted index with block-max WAND pruning, run per shard and merged.
 
 A shard is a run of documents that one task reads; it is one row of the index, with the postings of every term in document order.
-Documents lie in blocks of 128. With the global statistics each term has a largest gain in each block. A query holds a cursor on
-the postings of each of its terms. The pivot is the next block whose summed largest gains reach the query's k-th best score so
-far: cursors skip to it over all blocks between, its postings are added up, and the k-th best score rises. That score
-goes along from shard to shard of a task. Bounds never fall below scores, so the result is that of scoring everything.
+Documents lie in blocks of 128. With the global statistics each term has a largest gain in each block. The pivots of a query
+are the next blocks whose summed largest gains reach its k-th best score so far: blocks between are skipped, the postings of the
+pivots are added up, and the k-th best score rises. That score goes along from shard to shard of a task. Bounds never fall
+below scores, so the result is that of scoring everything.
+
+Postings of terms that many documents of a shard have are kept as rows of a table, a place a document: what they add to
+the pivots comes for some hundred queries at once from one matrix product. The other postings are added up one query at a time.
 """
 
 from __future__ import annotations
@@ -36,6 +39,13 @@ PAIRS_AT_ONCE = 1_500_000
 #: Query buckets whose sizes the driver looks at for each block that it makes of them.
 BUCKETS = 16
 DIGITS = 6
+#: Terms that one in so many documents of a shard have, and so many at least, are kept as rows: the most frequent ones, up to
+#: a number. Where there are more, and in small shards, postings are added up one by one; the scores are the same.
+ROW_ONE_IN = 24
+ROW_FEWEST = 32
+MOST_ROWS = 2048
+#: Queries of one matrix product.
+QUERIES_AT_ONCE = 256
 INDEX_SCHEMA = "shard long, n int, words long, ids binary, lengths binary, terms binary, ends binary, ords binary, freqs binary"
 
 
@@ -130,40 +140,80 @@ class Shard:
         if len(first):
             self.bounds.ravel()[cell[first]] = np.maximum.reduceat(self.gains, first)
 
-    def search(self, hashes: np.ndarray, weights: np.ndarray, best: Best, without: int | None) -> None:
-        """Bring a query's documents of this shard into its best ones; hashes ascend."""
+        counts = np.diff(np.r_[0, ends])
+        often = np.flatnonzero(counts >= max(ROW_FEWEST, len(self.ids) / ROW_ONE_IN))
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:MOST_ROWS]])
+        #: of each term its row, or -1
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        inside = np.flatnonzero(self.row[term] >= 0)
+        self.rows = np.zeros((len(often), len(self.ids)))
+        self.rows[self.row[term[inside]], self.ords[inside]] = self.gains[inside]
+        self.row_bounds = self.bounds[often]
+
+    def search(self, begins: np.ndarray, hashes: np.ndarray, weights: np.ndarray, best: list[Best], without: list[int] | None) -> None:
+        """Bring the documents of this shard into the best ones of queries; the terms of each lie from its begin to the next one."""
         if not len(self.terms):
             return
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        known = self.terms[at] == hashes
+        known = np.flatnonzero(self.terms[at] == hashes)
         term, weight = at[known], weights[known]
-        if not len(term):
-            return
-        reach = (weight @ self.bounds[term]) * (1 + 1e-9) + 10.0**-DIGITS  # sums in another order, and rounding
-        cursor, step = 0, 1
-        while True:
-            # the pivots: the next blocks that can still reach the k-th best score
-            pivots = cursor + np.flatnonzero(reach[cursor:] >= best.least)[:step]
-            if not len(pivots):
-                return
-            self._score(term, weight, pivots, best, without)
-            cursor, step = int(pivots[-1]) + 1, step * 2
-
-    def _score(self, term: np.ndarray, weight: np.ndarray, pivots: np.ndarray, best: Best, without: int | None) -> None:
-        cell = (term[:, None] * self.blocks + pivots).ravel()
+        query = np.searchsorted(begins, known, side="right") - 1
+        row = self.row[term]
+        often = row >= 0
+        table = np.zeros((len(best), len(self.rows)))
+        table[query[often], row[often]] = weight[often]
+        bounds = table @ self.row_bounds
+        term, weight = term[~often], weight[~often]
+        cuts = np.searchsorted(query[~often], np.arange(len(best) + 1)).tolist()
+        reach = np.empty_like(bounds)
+        for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            reach[q] = bounds[q] + weight[a:b] @ self.bounds[term[a:b]]
+        reach *= 1 + 1e-9  # sums in another order
+        reach += 10.0**-DIGITS  # rounding
+        # blocks that none of the queries can use are left out of the product
+        open_ = (reach >= np.array([x.least for x in best])[:, None]).any(0)
+        scores = np.zeros((len(best), len(self.ids)))
+        if open_.all():
+            np.matmul(table, self.rows, out=scores)
+        else:
+            docs = np.flatnonzero(np.repeat(open_, BLOCK_DOCS)[: len(self.ids)])
+            scores[:, docs] = table @ self.rows[:, docs]
+        for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            cursor, step = 0, 8
+            while True:
+                # the pivots: the next blocks that can still reach the k-th best score
+                pivots = cursor + np.flatnonzero(reach[q, cursor:] >= best[q].least)[:step]
+                if not len(pivots):
+                    break
+                self._score(term[a:b], weight[a:b], scores[q], pivots, best[q], None if without is None else without[q])
+                cursor, step = int(pivots[-1]) + 1, step * 4
+
+    def _score(self, term: np.ndarray, weight: np.ndarray, scores: np.ndarray, pivots: np.ndarray, best: Best, without: int | None) -> None:
+        """Add the postings of ``term`` in the pivots to what rows gave, and bring in what is good enough."""
+        first, last = int(pivots[0]), int(pivots[-1])
+        low, high = first * BLOCK_DOCS, min((last + 1) * BLOCK_DOCS, len(self.ids))
+        if last - first + 1 == len(pivots):
+            cell, after = term * self.blocks + first, term * self.blocks + last + 1
+            score = scores[low:high]
+        else:
+            cell = (term[:, None] * self.blocks + pivots).ravel()
+            after, weight = cell + 1, np.repeat(weight, len(pivots))
+            among = np.zeros(last - first + 1, bool)
+            among[pivots - first] = True
+            score = np.where(np.repeat(among, BLOCK_DOCS)[: high - low], scores[low:high], 0.0)
         start = self.begins[cell].astype(np.int64)
-        count = self.begins[cell + 1] - start
+        count = self.begins[after] - start
         total = int(count.sum())
-        if not total:
-            return
-        place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
-        low = int(pivots[0]) * BLOCK_DOCS
-        score = np.bincount(self.ords[place] - low, np.repeat(np.repeat(weight, len(pivots)), count) * self.gains[place])
-        score = np.round(score, DIGITS)
-        found = np.flatnonzero(score >= max(best.least, 10.0**-DIGITS))
-        if len(found):
-            ids = self.ids[found + low]
-            best.add(score[found] if without is None else score[found][ids != without], ids if without is None else ids[ids != without])
+        if total:
+            place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
+            score = score + np.bincount(self.ords[place] - low, np.repeat(weight, count) * self.gains[place], high - low)
+        found = np.flatnonzero(score >= max(best.least - 10.0**-DIGITS, 0.1 * 10.0**-DIGITS))
+        rounded = np.round(score[found], DIGITS)
+        good = rounded >= max(best.least, 10.0**-DIGITS)
+        if good.any():
+            ids, rounded = self.ids[found[good] + low], rounded[good]
+            best.add(rounded if without is None else rounded[ids != without], ids if without is None else ids[ids != without])
 
 
 class Best:
@@ -275,8 +325,11 @@ def _searcher(shared, mean: float, bm25: Bm25, k: int, without_own: bool):
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(batch.slice(i, 1).to_pylist()[0], mean, bm25)
-                for q, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
-                    shard.search(hashes[a:b], weights[a:b], best[q], own[q] if without_own else None)
+                for q in range(0, len(best), QUERIES_AT_ONCE):
+                    part = slice(q, q + QUERIES_AT_ONCE)
+                    cuts = begins[q : q + QUERIES_AT_ONCE + 1]
+                    terms = slice(cuts[0], cuts[-1])
+                    shard.search(cuts - cuts[0], hashes[terms], weights[terms], best[part], own[part] if without_own else None)
         sizes = [len(x.ids) for x in best]
         if sum(sizes):
             columns = [np.repeat(ids, sizes), np.concatenate([x.ids for x in best]), np.concatenate([x.scores for x in best])]

@@ -193,6 +193,38 @@ def test_bm25_is_that_of_scoring_everything(spark):
         assert np.allclose(mine.score, [-s for s, _ in sorted(scores)[:7]])
 
 
+def test_bm25_frequent_terms_come_by_rows_and_change_no_score(monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(23)
+    n, rule = 700, bm25.Bm25()
+    held = [dict(Counter((rng.zipf(1.3, 60) % 5000).tolist())) for _ in range(n)]
+    lengths = np.array([sum(h.values()) for h in held])
+    held[0], lengths[0] = {}, 0  # an empty text
+    mean = lengths.mean()
+    terms = sorted(set().union(*held))
+    of = {t: [(i, h[t]) for i, h in enumerate(held) if t in h] for t in terms}
+    flat = [x for t in terms for x in of[t]]
+    row = {"ids": np.arange(n) * 3, "lengths": lengths.astype(np.int32), "terms": np.array(terms, np.uint64), "ends": np.cumsum([len(of[t]) for t in terms]).astype(np.int32)}
+    row |= {"ords": np.array([i for i, _ in flat], np.uint16), "freqs": np.array([f for _, f in flat], np.int32)}
+    row = {k: v.tobytes() for k, v in row.items()}
+    asked = [sorted(held[i]) + [10_000 + i] for i in (0, 5, 17, 400, 699)] + [[], [terms[0]], [10_000], terms[-40:]]
+    weights = [np.array([rule.idf(n, np.float64(len(of.get(t, [])))) for t in q]) for q in asked]
+    begins = np.r_[0, np.cumsum([len(q) for q in asked])]
+    want = []
+    for q, w in zip(asked, weights, strict=True):
+        scores = [round(sum(x * rule.gain(held[i][t], lengths[i], mean) for t, x in zip(q, w, strict=True) if t in held[i]), 6) for i in range(n)]
+        want.append(sorted((-s, i * 3) for i, s in enumerate(scores) if s > 0 and i != 5)[:10])
+    for most in (2048, 3, 0):  # all frequent terms by rows, some, none
+        monkeypatch.setattr(bm25, "MOST_ROWS", most)
+        shard = bm25.Shard(row, mean, rule)
+        assert len(shard.rows) == min(most, sum(len(x) >= 32 for x in of.values())) and (most < 2048 or len(shard.rows) > 3)
+        best = [bm25.Best(10) for _ in asked]
+        shard.search(begins, np.array([t for q in asked for t in q], np.uint64), np.concatenate(weights), best, [15] * len(asked))
+        for b, w in zip(best, want, strict=True):
+            assert sorted(zip((-b.scores).tolist(), b.ids.tolist(), strict=True)) == w
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8)).astype(np.float32)
