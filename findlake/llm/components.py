@@ -1,11 +1,11 @@
-"""Connected components of an edge table, by star contraction with a checkpoint each round."""
+"""Connected components of an edge table, by star contraction with a table written each round."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.storage import ensure_checkpoint_dir
+from findlake.llm.storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,13 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Loops and repeated edges do no harm; edges with a null end are left out; an empty table gives an empty one.
     The number of rounds grows with the logarithm of the longest path. All joins are on a node whose rows
     Spark can split, and minima are taken before the shuffle, so that a star with most of the nodes is no hot spot.
+    A round's table and shuffle files are gone when the next round's is written, so disk doesn't grow with the rounds.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    current = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    current = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        current = _small_star(_large_star(current)).checkpoint()
+        before, current = current, materialize(_small_star(_large_star(current)), "stars")
+        discard(before)
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

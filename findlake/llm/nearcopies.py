@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from findlake.llm.arrow import append_columns
 from findlake.llm.components import connected_components
 from findlake.llm.simhash import LIMIT, SEED, code_links, set_fingerprint, words_of
-from findlake.llm.storage import materialize, small_batches
+from findlake.llm.storage import discard, materialize, small_batches
 
 SHINGLE = 5
 LEAST = 0.8
@@ -186,7 +186,7 @@ def _hopeful(pairs: DataFrame, printed: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, printed: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs ``u, v`` of sets whose similarity reaches ``least``; only of those that shapes leave open whole sets are compared."""
+    """The pairs ``u, v`` of sets whose similarity reaches ``least``, written; only of those that shapes leave open whole sets are compared."""
     pairs = materialize(_hopeful(pairs, printed, least), "hopeful-pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
     holders = printed.join(ends, "set", "left_semi").groupBy("set").agg(F.min("row").alias("row"))
@@ -201,7 +201,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, printed: DataFrame, shingle: i
         return lambda left, right: ([alike(a, b) for a, b in zip(left, right, strict=True)],)
 
     both = pairs.join(sets.withColumnsRenamed({"set": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"set": "v", "shingles": "b"}), "v")
-    return append_columns(both, ["a", "b"], [T.StructField("alike", T.BooleanType())], make, keep=lambda values: values[0], drop_new=True).select("u", "v")
+    linked = append_columns(both, ["a", "b"], [T.StructField("alike", T.BooleanType())], make, keep=lambda values: values[0], drop_new=True).select("u", "v")
+    links = materialize(linked, "links")
+    discard(pairs, sets)
+    return links
 
 
 def _leaders(least: float):
@@ -274,13 +277,14 @@ def near_copies(docs: DataFrame, row: Column, text_col: str = "text", shingle: i
     # what the index links first; then one leader a set, which joins most of a large group; then the other leaders, then all
     # pairs, each time of those that aren't joined yet
     tried = materialize(fingerprint_pairs(printed, limit), "fingerprint-pairs")
-    links = materialize(_verified(tried, texts, printed, shingle, least), "fingerprint-links")
+    links = _verified(tried, texts, printed, shingle, least)
     for tag, only_one in (("leader", True), ("other-leader", False)):
         pairs = materialize(_leader_pairs(shared, _components(links), only_one).join(tried, ["u", "v"], "left_anti"), f"{tag}-pairs")
         tried = tried.unionByName(pairs)
-        links = materialize(links.unionByName(_verified(pairs, texts, printed, shingle, least)), f"{tag}-links")
+        links = links.unionByName(_verified(pairs, texts, printed, shingle, least))
     marked = _marked(shared, links).select("shingle", "n", "set", "cap", "component")
     rest = materialize(_by_key(marked, "u long, v long", _open_pairs(least)).distinct().join(tried, ["u", "v"], "left_anti"), "open-pairs")
+    discard(shared)
     more = _verified(rest, texts, printed, shingle, least)
     classes = connected_components(links.unionByName(more)).select(F.col("node").alias("set"), "component")
     return printed.select("row", "set").join(classes, "set", "left").select("row", F.coalesce("component", "set").alias("component"))
