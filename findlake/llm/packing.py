@@ -106,12 +106,12 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, longest
     wide = 4 * longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path).encode
+        encode = word_encoder(tokenizer_path).encode_all
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    data = encode(text) + tail
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    data = ids + tail
                     for k in range(0, len(data), wide):
                         own = data[k : k + wide]
                         out.append((doc, k // wide, k // 4, len(own) // 4, zlib.crc32(own)) + (own,) * with_ids)

@@ -99,6 +99,27 @@ def test_pieces(spark):
         assert mine == [(k // 200, k // 4, len(data[k : k + 200]) // 4, zlib.crc32(data[k : k + 200])) for k in range(0, len(data), 200)]
 
 
+def test_pieces_are_encoded_many_texts_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+
+    class Encoder:
+        def encode_all(self, texts):
+            asked.append(list(texts))
+            return [b"" if not t else struct.pack(f"<{len(t)}I", *map(ord, t)) for t in texts]
+
+    docs = docs_of(spark, ["ab"])
+    monkeypatch.setattr(packing, "word_encoder", lambda path: Encoder())
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = packing.cut_pieces(docs, WORDS, end_id=1, longest=4)
+    texts = ["abcdef", None, "", "xyz"] * 100
+    rows = [r for b in run([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])]) for r in b.to_pylist()]
+    assert [len(a) for a in asked] == [256, 144]
+    assert [(r["doc_id"], r["piece"], r["start"], r["length"]) for r in rows[:5]] == [(0, 0, 0, 4), (0, 1, 4, 3), (1, 0, 0, 1), (2, 0, 0, 1), (3, 0, 0, 4)]
+    assert len(rows) == 500
+
+
 def test_byte_bpe_is_tiktoken(spark):
     import tiktoken
 
