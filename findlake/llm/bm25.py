@@ -1,13 +1,15 @@
 """Exact BM25 top-k by an inverted index with block-max WAND pruning, run per shard and merged.
 
 A shard is a run of documents that one task reads; it is one row of the index, with the postings of every term in document order.
-Documents lie in blocks of 128. With the global statistics each term has a largest gain in each block. The pivots of a query
-are the next blocks whose summed largest gains reach its k-th best score so far: blocks between are skipped, the postings of the
-pivots are added up, and the k-th best score rises. That score goes along from shard to shard of a task. Bounds never fall
+Documents lie in blocks of 128. With the global statistics each frequent term has a largest gain in each block, every other
+term one in the shard. The pivots of a query are the blocks whose summed largest gains reach its k-th best score so far.
+Some hundred queries are asked at once: blocks that are no query's pivot and queries without a pivot are left out, the scores
+of the rest are added up, and the k-th best scores rise. They go along from shard to shard of a task. Bounds never fall
 below scores, so the result is that of scoring everything.
 
-Postings of terms that many documents of a shard have are kept as rows of a table, a place a document: what they add to
-the pivots comes for some hundred queries at once from one matrix product. The other postings are added up one query at a time.
+Postings of terms that many documents of a shard have are kept as rows of a table, a place a document: what they add comes
+from one matrix product, over the rows that enough of its queries ask for. Queries that share terms are asked together, so
+that a product has few rows. The other postings of all its queries are added up together as well.
 """
 
 from __future__ import annotations
@@ -40,12 +42,18 @@ PAIRS_AT_ONCE = 1_500_000
 BUCKETS = 16
 DIGITS = 6
 #: Terms that one in so many documents of a shard have, and so many at least, are kept as rows: the most frequent ones, up to
-#: a number. Where there are more, and in small shards, postings are added up one by one; the scores are the same.
-ROW_ONE_IN = 24
+#: a number. Where there are more, and in small shards, postings are added up without; the scores are the same.
+ROW_ONE_IN = 64
 ROW_FEWEST = 32
 MOST_ROWS = 2048
 #: Queries of one matrix product.
 QUERIES_AT_ONCE = 256
+#: Terms by which queries are put in order, so that those of one product share their rows.
+ORDER_TERMS = 24
+#: A row is in the product if the postings that it saves, so many times, are as many as the places that it adds to the product.
+PRODUCT_GAIN = 384
+#: Postings that are added up at once, over as many queries as have them: what a task holds of them.
+POSTINGS_AT_ONCE = 1 << 16
 INDEX_SCHEMA = "shard long, n int, words long, ids binary, lengths binary, terms binary, ends binary, ords binary, freqs binary"
 
 
@@ -123,97 +131,120 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Shard:
-    """One shard's postings with the largest gain of every term in every block."""
+    """One shard's postings, with the largest gain of every term, and of frequent terms that in every block."""
 
     def __init__(self, row: dict, mean: float, bm25: Bm25):
         self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
         self.terms, ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ends"], np.int32).astype(np.int64)
         self.ords = np.frombuffer(row["ords"], np.uint16).astype(np.int64)
         self.gains = bm25.gain(np.frombuffer(row["freqs"], np.int32).astype(np.float64), lengths[self.ords], mean)
-        self.blocks = -(-len(self.ids) // BLOCK_DOCS)
-        # where each term's postings of each block begin; the block behind the last begins where the next term does
-        term = np.repeat(np.arange(len(self.terms)), np.diff(np.r_[0, ends]))
-        cell = term * self.blocks + self.ords // BLOCK_DOCS
-        self.begins = np.searchsorted(cell, np.arange(len(self.terms) * self.blocks + 1)).astype(np.int32)
-        self.bounds = np.zeros((len(self.terms), self.blocks))
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else cell
-        if len(first):
-            self.bounds.ravel()[cell[first]] = np.maximum.reduceat(self.gains, first)
-
-        counts = np.diff(np.r_[0, ends])
-        often = np.flatnonzero(counts >= max(ROW_FEWEST, len(self.ids) / ROW_ONE_IN))
-        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:MOST_ROWS]])
+        self.by_id = np.argsort(self.ids, kind="stable")
+        #: where each term's postings begin; behind them the next term's do
+        self.begins = np.r_[0, ends]
+        self.most = np.maximum.reduceat(self.gains, self.begins[:-1]) if len(ends) else np.zeros(0)
+
+        self.counts = np.diff(self.begins)
+        often = np.flatnonzero(self.counts >= max(ROW_FEWEST, len(self.ids) / ROW_ONE_IN))
+        often = np.sort(often[np.argsort(-self.counts[often], kind="stable")[:MOST_ROWS]])
         #: of each term its row, or -1
         self.row = np.full(len(self.terms), -1)
         self.row[often] = np.arange(len(often))
-        inside = np.flatnonzero(self.row[term] >= 0)
+        self.row_counts = self.counts[often]
+        inside = _runs(self.begins[often], self.row_counts)
         self.rows = np.zeros((len(often), len(self.ids)))
-        self.rows[self.row[term[inside]], self.ords[inside]] = self.gains[inside]
-        self.row_bounds = self.bounds[often]
+        self.rows[np.repeat(np.arange(len(often)), self.row_counts), self.ords[inside]] = self.gains[inside]
+        self.row_bounds = np.maximum.reduceat(self.rows, np.arange(0, len(self.ids), BLOCK_DOCS), axis=1)
 
-    def search(self, begins: np.ndarray, hashes: np.ndarray, weights: np.ndarray, best: list[Best], without: list[int] | None) -> None:
-        """Bring the documents of this shard into the best ones of queries; the terms of each lie from its begin to the next one."""
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Of each hash the number of its term, or -1; fastest where they ascend."""
         if not len(self.terms):
-            return
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        known = np.flatnonzero(self.terms[at] == hashes)
-        term, weight = at[known], weights[known]
-        query = np.searchsorted(begins, known, side="right") - 1
+        return np.where(self.terms[at] == hashes, at, -1)
+
+    def search(self, begins: np.ndarray, hashes: np.ndarray, weights: np.ndarray, best: list[Best], without: list[int] | None) -> None:
+        """Bring the documents of this shard into the best ones of queries; the terms of each lie from its begin to the next one."""
+        self.search_numbers(begins, self.numbers(hashes), weights, best, without)
+
+    def search_numbers(self, begins: np.ndarray, numbers: np.ndarray, weights: np.ndarray, best: list[Best], without: list[int] | None) -> None:
+        known = np.flatnonzero(numbers >= 0)
+        term, weight = numbers[known], weights[known]
+        query = np.repeat(np.arange(len(best)), np.diff(begins))[known]
         row = self.row[term]
+        # rows that so few of the queries ask for that adding their postings up is less work are left out of the product
+        asked = np.bincount(row[row >= 0], minlength=len(self.rows)) * self.row_counts
+        chosen = np.flatnonzero(asked * PRODUCT_GAIN >= len(best) * len(self.ids))
+        place = np.full(len(self.rows) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        row = place[row]
         often = row >= 0
-        table = np.zeros((len(best), len(self.rows)))
+        table = np.zeros((len(best), len(chosen)))
         table[query[often], row[often]] = weight[often]
-        bounds = table @ self.row_bounds
-        term, weight = term[~often], weight[~often]
-        cuts = np.searchsorted(query[~often], np.arange(len(best) + 1)).tolist()
-        reach = np.empty_like(bounds)
-        for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            reach[q] = bounds[q] + weight[a:b] @ self.bounds[term[a:b]]
+        query, term, weight = query[~often], term[~often], weight[~often]
+
+        least = np.array([x.least for x in best])
+        reach = table @ self.row_bounds[chosen] + np.bincount(query, weight * self.most[term], len(best))[:, None]
         reach *= 1 + 1e-9  # sums in another order
         reach += 10.0**-DIGITS  # rounding
-        # blocks that none of the queries can use are left out of the product
-        open_ = (reach >= np.array([x.least for x in best])[:, None]).any(0)
-        scores = np.zeros((len(best), len(self.ids)))
-        if open_.all():
-            np.matmul(table, self.rows, out=scores)
-        else:
-            docs = np.flatnonzero(np.repeat(open_, BLOCK_DOCS)[: len(self.ids)])
-            scores[:, docs] = table @ self.rows[:, docs]
-        for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            cursor, step = 0, 8
-            while True:
-                # the pivots: the next blocks that can still reach the k-th best score
-                pivots = cursor + np.flatnonzero(reach[q, cursor:] >= best[q].least)[:step]
-                if not len(pivots):
-                    break
-                self._score(term[a:b], weight[a:b], scores[q], pivots, best[q], None if without is None else without[q])
-                cursor, step = int(pivots[-1]) + 1, step * 4
-
-    def _score(self, term: np.ndarray, weight: np.ndarray, scores: np.ndarray, pivots: np.ndarray, best: Best, without: int | None) -> None:
-        """Add the postings of ``term`` in the pivots to what rows gave, and bring in what is good enough."""
-        first, last = int(pivots[0]), int(pivots[-1])
-        low, high = first * BLOCK_DOCS, min((last + 1) * BLOCK_DOCS, len(self.ids))
-        if last - first + 1 == len(pivots):
-            cell, after = term * self.blocks + first, term * self.blocks + last + 1
-            score = scores[low:high]
+        pivots = reach >= least[:, None]
+        # queries without a pivot, and blocks that are no query's pivot, are left out
+        active, blocks = np.flatnonzero(pivots.any(1)), pivots.any(0)
+        if not len(active):
+            return
+        if len(active) < len(best):
+            table, least = table[active], least[active]
+            number = np.full(len(best), -1)
+            number[active] = np.arange(len(active))
+            kept = np.flatnonzero(number[query] >= 0)
+            query, term, weight = number[query[kept]], term[kept], weight[kept]
+        if blocks.all():
+            scores = table @ self.rows[chosen]
         else:
-            cell = (term[:, None] * self.blocks + pivots).ravel()
-            after, weight = cell + 1, np.repeat(weight, len(pivots))
-            among = np.zeros(last - first + 1, bool)
-            among[pivots - first] = True
-            score = np.where(np.repeat(among, BLOCK_DOCS)[: high - low], scores[low:high], 0.0)
-        start = self.begins[cell].astype(np.int64)
-        count = self.begins[after] - start
-        total = int(count.sum())
-        if total:
-            place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
-            score = score + np.bincount(self.ords[place] - low, np.repeat(weight, count) * self.gains[place], high - low)
-        found = np.flatnonzero(score >= max(best.least - 10.0**-DIGITS, 0.1 * 10.0**-DIGITS))
-        rounded = np.round(score[found], DIGITS)
-        good = rounded >= max(best.least, 10.0**-DIGITS)
-        if good.any():
-            ids, rounded = self.ids[found[good] + low], rounded[good]
-            best.add(rounded if without is None else rounded[ids != without], ids if without is None else ids[ids != without])
+            docs = np.flatnonzero(np.repeat(blocks, BLOCK_DOCS)[: len(self.ids)])
+            scores = np.zeros((len(active), len(self.ids)))
+            scores[:, docs] = table @ self.rows[np.ix_(chosen, docs)]
+        self._add_postings(scores, query, term, weight)
+
+        if without is not None:
+            own = np.array(without)[active]
+            first = np.searchsorted(self.ids, own, sorter=self.by_id)
+            times = np.searchsorted(self.ids, own, "right", sorter=self.by_id) - first
+            scores[np.repeat(np.arange(len(active)), times), self.by_id[_runs(first, times)]] = 0.0
+        low = np.maximum(least - 10.0**-DIGITS, 0.1 * 10.0**-DIGITS)
+        fresh, k = np.flatnonzero(least == 0), best[0].k
+        if len(fresh) and len(self.ids) > k:  # no k-th best score so far: this shard's own
+            low[fresh] = np.maximum(low[fresh], np.partition(scores[fresh], -k, axis=1)[:, -k] - 2 * 10.0**-DIGITS)
+        at, doc = np.divmod(np.flatnonzero(scores >= low[:, None]), len(self.ids))
+        rounded, ids = np.round(scores[at, doc], DIGITS), self.ids[doc]
+        good = rounded >= np.maximum(least, 10.0**-DIGITS)[at]
+        at, rounded, ids = at[good], rounded[good], ids[good]
+        cuts = np.searchsorted(at, np.arange(len(active) + 1)).tolist()
+        for q, a, b in zip(active.tolist(), cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                best[q].add(rounded[a:b], ids[a:b])
+
+    def _add_postings(self, scores: np.ndarray, query: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Add the postings of ``term`` to the scores of ``query``, which ascends, some POSTINGS_AT_ONCE at a time."""
+        n = len(self.ids)
+        count = self.counts[term]
+        done = np.cumsum(count)
+        cuts = np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, POSTINGS_AT_ONCE)).tolist() + [len(term)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            first, last = int(query[a]), int(query[b - 1])
+            times, posting = count[a:b], _runs(self.begins[term[a:b]], count[a:b])
+            cell = np.repeat((query[a:b] - first) * n, times)
+            cell += self.ords[posting]
+            gain = np.repeat(weight[a:b], times)
+            gain *= self.gains[posting]
+            scores[first : last + 1] += np.bincount(cell, gain, (last - first + 1) * n).reshape(-1, n)
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one run behind the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
 
 
 class Best:
@@ -225,10 +256,12 @@ class Best:
         self.k, self.scores, self.ids, self.least = k, np.zeros(0), np.zeros(0, np.int64), 0.0
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.r_[self.scores, scores], np.r_[self.ids, ids]
+        scores, ids = np.concatenate((self.scores, scores)), np.concatenate((self.ids, ids))
         if len(scores) > self.k:
-            keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
-            keep = keep[np.lexsort((ids[keep], -scores[keep]))][: self.k]
+            if len(scores) > 8 * self.k:
+                keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+                scores, ids = scores[keep], ids[keep]
+            keep = np.lexsort((ids, -scores))[: self.k]
             scores, ids = scores[keep], ids[keep]
             self.least = float(scores[-1])
         elif len(scores) == self.k:
@@ -304,15 +337,30 @@ def _frequencies(index: DataFrame) -> DataFrame:
 
 
 def _block(coded: DataFrame, block: list[int], bm25: Bm25, n_docs: int):
-    """A broadcast of the block's queries: ids, where each begins, hashes of terms (ascending in a query) and their weights."""
+    """A broadcast of the block's queries: ids, where each begins, hashes of terms (ascending in a query) and their weights. Queries that share terms stand together."""
     buckets, *own = block
     rows = coded.where(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).isin(own)).orderBy("query_id").toArrow()
     ids, counts = np.asarray(rows.column("query_id")), np.asarray(rows.column("n")).astype(np.int64)
     flat = {c: np.asarray(rows.column(c).combine_chunks().flatten()) for c in ("terms", "counts", "dfs")}
     hashes = flat["terms"].view(np.uint64)
-    order = np.lexsort((hashes, np.repeat(np.arange(len(ids)), counts)))
     weights = flat["counts"] * bm25.idf(n_docs, flat["dfs"].astype(np.float64))
-    return coded.sparkSession.sparkContext.broadcast((ids, np.r_[0, np.cumsum(counts)], hashes[order], weights[order]))
+    by = _alike(counts, hashes)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    order = np.lexsort((hashes, np.repeat(place, counts)))
+    return coded.sparkSession.sparkContext.broadcast((ids[by], np.r_[0, np.cumsum(counts[by])], hashes[order], weights[order]))
+
+
+def _alike(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """An order of queries: by which of the terms that most of them have they have, the most frequent one first."""
+    terms, number = np.unique(hashes, return_inverse=True)
+    most = np.argsort(-np.bincount(number, minlength=len(terms)), kind="stable")[:ORDER_TERMS]
+    column = np.full(len(terms), -1)
+    column[most] = np.arange(len(most))
+    column = column[number]
+    has = np.zeros((len(counts), len(most)), bool)
+    has[np.repeat(np.arange(len(counts)), counts)[column >= 0], column[column >= 0]] = True
+    return np.lexsort((counts, *has.T[::-1]))
 
 
 def _searcher(shared, mean: float, bm25: Bm25, k: int, without_own: bool):
@@ -320,16 +368,18 @@ def _searcher(shared, mean: float, bm25: Bm25, k: int, without_own: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, begins, hashes, weights = shared.value
+        known, numbers = np.unique(hashes, return_inverse=True)
         best = [Best(k) for _ in range(len(ids))]
         own = ids.tolist()
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(batch.slice(i, 1).to_pylist()[0], mean, bm25)
+                here = shard.numbers(known)
                 for q in range(0, len(best), QUERIES_AT_ONCE):
                     part = slice(q, q + QUERIES_AT_ONCE)
                     cuts = begins[q : q + QUERIES_AT_ONCE + 1]
                     terms = slice(cuts[0], cuts[-1])
-                    shard.search(cuts - cuts[0], hashes[terms], weights[terms], best[part], own[part] if without_own else None)
+                    shard.search_numbers(cuts - cuts[0], here[numbers[terms]], weights[terms], best[part], own[part] if without_own else None)
         sizes = [len(x.ids) for x in best]
         if sum(sizes):
             columns = [np.repeat(ids, sizes), np.concatenate([x.ids for x in best]), np.concatenate([x.scores for x in best])]

@@ -246,6 +246,50 @@ def test_bm25_frequent_terms_come_by_rows_and_change_no_score(monkeypatch):
             assert sorted(zip((-b.scores).tolist(), b.ids.tolist(), strict=True)) == w
 
 
+def test_bm25_searches_all_queries_of_a_shard_together(monkeypatch):
+    import sys
+    from collections import Counter
+
+    rng = np.random.default_rng(31)
+    rule, n = bm25.Bm25(), 600
+    # the second shard repeats texts of the first; its last blocks hold other words
+    held = [dict(Counter((rng.zipf(1.3, 50) % 3000).tolist())) for _ in range(n)]
+    held += [held[i] for i in range(300)] + [dict(Counter((5000 + rng.zipf(1.3, 50) % 40).tolist())) for _ in range(300)]
+    ids, lengths = np.r_[rng.permutation(n), np.arange(n, 2 * n)], np.array([sum(h.values()) for h in held])
+    mean, df = lengths.mean(), Counter(t for h in held for t in h)
+    asked = [sorted(held[i]) for i in range(200)] + [[], [5001], [9999]]
+    weights = [np.array([rule.idf(2 * n, np.float64(df[t])) for t in q]) for q in asked]
+    begins, own = np.r_[0, np.cumsum([len(q) for q in asked])], ids[:200].tolist() + [5, 6, 7]
+
+    def row(first):
+        part = held[first : first + n]
+        terms = sorted(set().union(*part))
+        of = [[(i, h[t]) for i, h in enumerate(part) if t in h] for t in terms]
+        out = {"ids": ids[first : first + n], "lengths": lengths[first : first + n].astype(np.int32), "terms": np.array(terms, np.uint64), "ends": np.cumsum([len(x) for x in of]).astype(np.int32)}
+        out |= {"ords": np.array([i for x in of for i, _ in x], np.uint16), "freqs": np.array([f for x in of for _, f in x], np.int32)}
+        return {k: v.tobytes() for k, v in out.items()}
+
+    want = []
+    for q, w, without in zip(asked, weights, own, strict=True):
+        scores = [round(sum(x * rule.gain(h[t], size, mean) for t, x in zip(q, w, strict=True) if t in h), 6) for h, size in zip(held, lengths, strict=True)]
+        want.append(sorted((-s, i) for s, i in zip(scores, ids.tolist(), strict=True) if s > 0 and i != without)[:10])
+    calls = [0]
+    for gain, at_once in ((0, 1), (384, 5000), (10**9, 1 << 16)):  # no rows, some rows, all rows in the product
+        monkeypatch.setattr(bm25, "PRODUCT_GAIN", gain, raising=False)
+        monkeypatch.setattr(bm25, "POSTINGS_AT_ONCE", at_once, raising=False)
+        best = [bm25.Best(10) for _ in asked]
+        for first in (0, n):
+            shard, calls[0] = bm25.Shard(row(first), mean, rule), 0
+            sys.setprofile(lambda _, event, __: calls.__setitem__(0, calls[0] + event.endswith("call")))
+            try:
+                shard.search(begins, np.array([t for q in asked for t in q], np.uint64), np.concatenate(weights), best, own)
+            finally:
+                sys.setprofile(None)
+        for b, w in zip(best, want, strict=True):
+            assert sorted(zip((-b.scores).tolist(), b.ids.tolist(), strict=True)) == w
+    assert calls[0] < 25 * len(asked)  # once there are good scores, a query by itself costs a merge at most
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8)).astype(np.float32)
