@@ -36,7 +36,7 @@ WORD = re.compile(r"\w+")
 BLOCK_DOCS = 128
 SHARD_DOCS = 4096
 SHARD_CHARS = 16_000_000
-#: (query, term) pairs that are searched at once: 16 bytes each are broadcast. A longer query is a block by itself.
+#: (query, term) pairs that are searched at once: 12 bytes each are broadcast, and 8 a term. A longer query is a block by itself.
 PAIRS_AT_ONCE = 1_500_000
 #: Query buckets whose sizes the driver looks at for each block that it makes of them.
 BUCKETS = 16
@@ -337,25 +337,25 @@ def _frequencies(index: DataFrame) -> DataFrame:
 
 
 def _block(coded: DataFrame, block: list[int], bm25: Bm25, n_docs: int):
-    """A broadcast of the block's queries: ids, where each begins, hashes of terms (ascending in a query) and their weights. Queries that share terms stand together."""
+    """A broadcast of the block's queries: ids, where each begins, hashes of all terms in order, of each query's terms their places there, ascending, and their weights. Queries that share terms stand together."""
     buckets, *own = block
     rows = coded.where(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).isin(own)).orderBy("query_id").toArrow()
     ids, counts = np.asarray(rows.column("query_id")), np.asarray(rows.column("n")).astype(np.int64)
     flat = {c: np.asarray(rows.column(c).combine_chunks().flatten()) for c in ("terms", "counts", "dfs")}
-    hashes = flat["terms"].view(np.uint64)
+    hashes, number = np.unique(flat["terms"].view(np.uint64), return_inverse=True)
     weights = flat["counts"] * bm25.idf(n_docs, flat["dfs"].astype(np.float64))
-    by = _alike(counts, hashes)
+    by = _alike(counts, number)
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    order = np.lexsort((hashes, np.repeat(place, counts)))
-    return coded.sparkSession.sparkContext.broadcast((ids[by], np.r_[0, np.cumsum(counts[by])], hashes[order], weights[order]))
+    order = np.lexsort((number, np.repeat(place, counts)))
+    return coded.sparkSession.sparkContext.broadcast((ids[by], np.r_[0, np.cumsum(counts[by])], hashes, number[order].astype(np.int32), weights[order]))
 
 
-def _alike(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _alike(counts: np.ndarray, number: np.ndarray) -> np.ndarray:
     """An order of queries: by which of the terms that most of them have they have, the most frequent one first."""
-    terms, number = np.unique(hashes, return_inverse=True)
-    most = np.argsort(-np.bincount(number, minlength=len(terms)), kind="stable")[:ORDER_TERMS]
-    column = np.full(len(terms), -1)
+    held = np.bincount(number)
+    most = np.argsort(-held, kind="stable")[:ORDER_TERMS]
+    column = np.full(len(held), -1)
     column[most] = np.arange(len(most))
     column = column[number]
     has = np.zeros((len(counts), len(most)), bool)
@@ -367,14 +367,13 @@ def _searcher(shared, mean: float, bm25: Bm25, k: int, without_own: bool):
     """Best results of the broadcast queries in all shards of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, begins, hashes, weights = shared.value
-        known, numbers = np.unique(hashes, return_inverse=True)
+        ids, begins, hashes, numbers, weights = shared.value
         best = [Best(k) for _ in range(len(ids))]
         own = ids.tolist()
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(batch.slice(i, 1).to_pylist()[0], mean, bm25)
-                here = shard.numbers(known)
+                here = shard.numbers(hashes)
                 for q in range(0, len(best), QUERIES_AT_ONCE):
                     part = slice(q, q + QUERIES_AT_ONCE)
                     cuts = begins[q : q + QUERIES_AT_ONCE + 1]
