@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -295,109 +296,285 @@ def identical_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["hash", "k"]).select("old_path", "new_path")
 
 
-#: Texts of one side, block and range of lengths that meet in one task; more are split.
-PAIR_ROWS = 500
-#: Lengths of the pieces of text whose counts bound a similarity.
-PIECES = (6, 9)
+#: Texts of one side and block that meet in one task, of less and of more letters than ``LONG`` on the whole; more are split.
+PAIR_ROWS = (500, 1000)
+#: Letters of one side and block that meet in one task; more are split.
+PAIR_LETTERS = 2_000_000
+#: Lengths of the pieces of text whose counts bound a similarity: of short texts, and of those of some ``LONG`` letters and more.
+PIECES = (6, 8)
+LONG = 800
+#: Of the pieces that a pair must have in common this share is looked for among the most frequent ones only in pairs that the others leave.
+LATE = 0.8
+#: Places of an index that the pairs which need least decide: a tenth of them.
+LEAST = 10
 
 
 def _pieces(text: np.ndarray, q: int) -> np.ndarray:
     """A hash of each piece of ``q`` letters; equal pieces have equal hashes."""
-    n = max(0, len(text) - q + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(q):
-        out = out * np.uint64(1_000_003) + text[i : i + n]
-    return out
+    if q == 1:
+        return text.astype(np.uint64)
+    short, n = q // 2, max(0, len(text) - q + 1)
+    left = _pieces(text, q - short)
+    right = left if 2 * short == q else _pieces(text, short)
+    return left[:n] * np.uint64(pow(1_000_003, short, 1 << 64)) + right[q - short : q - short + n]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _once(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each occurs."""
+    values = np.sort(values)
+    first = np.ones(len(values) + 1, bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:-1])
+    at = np.flatnonzero(first) if len(values) else np.zeros(1, np.int64)
+    return values[at[:-1]], at[1:] - at[:-1]
 
 
 def _hopeful(olds: list[str], news: list[str], threshold: float) -> Iterator[tuple[int, int]]:
-    """Places (old, new) of the pairs whose matching-blocks ratio, new against old, may reach ``threshold``.
+    """Places (old, new) of the pairs whose matching-blocks ratio, new against old, may reach ``threshold``, an old text after the other."""
+    for q, some in zip(PIECES, ([i for i, t in enumerate(olds) if len(t) < LONG], [i for i, t in enumerate(olds) if len(t) >= LONG]), strict=True):
+        if some:
+            least, most = (f(len(olds[i]) for i in some) for f in (min, max))
+            near = [j for j, t in enumerate(news) if least * threshold / (2 - threshold) - 1 <= len(t) <= most * (2 - threshold) / threshold + 1]
+            for i, j in _hopeful_by_pieces([olds[i] for i in some], [news[j] for j in near], threshold, q) if near else ():
+                yield some[i], near[j]
+
+
+def _hopeful_by_pieces(olds: list[str], news: list[str], threshold: float, q: int) -> Iterator[tuple[int, int]]:
+    """``_hopeful`` by pieces of ``q`` letters.
 
     The matching letters are no more than the letters in common. A block that matches holds a letter that is no popular one of the
     old text (of 200 letters or more: one that makes up a hundredth), but for one at the very front; so there are no more blocks
-    than such letters in common, and one. A block of n letters has n - q + 1 pieces of q, so the matching letters are no more than the new
-    text's pieces that are in the old one, and q - 1 a block.
+    than such letters in common, and one. A block of n letters has n - q + 1 pieces of q, so the matching letters are no more than the old
+    text's pieces that are in the new one, and q - 1 a block. Pieces go by some bits of a hash, which can only add to those in common.
+    An index over the new texts counts them. The most frequent pieces, fewer than a pair needs, are counted only where the others leave a pair.
     """
-    codes = {t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) for t in {*olds, *news}}
-    letters = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes.values()]))
-    counted = {t: np.bincount(np.searchsorted(letters, c), minlength=len(letters)).astype(np.int32) for t, c in codes.items()}
-    have = np.array([counted[t] for t in olds]).reshape(len(olds), -1)
-    sizes = np.array([len(codes[t]) for t in olds])
-    rare = np.where((sizes[:, None] >= 200) & (have > sizes[:, None] // 100 + 1), 0, have)
-    index = []
-    for q in PIECES:
-        own = [np.unique(_pieces(codes[t], q)) for t in olds]
-        flat, at = np.concatenate(own), np.repeat(np.arange(len(olds)), [len(o) for o in own])
-        order = np.argsort(flat, kind="stable")
-        keys, starts = np.unique(flat[order], return_index=True)
-        index.append((q, keys, np.r_[starts, len(flat)], at[order]))
-    for j, t in enumerate(news):
-        least = threshold * (sizes + len(codes[t])) / 2 - 1e-6
-        open_ = (np.minimum(have, counted[t]).sum(1) >= least) & (np.minimum(sizes, len(codes[t])) >= least)
-        blocks = np.minimum(rare, counted[t]).sum(1) + 1
-        for q, keys, starts, at in index:
-            if not open_.any():
-                break
-            pieces, times = np.unique(_pieces(codes[t], q), return_counts=True)
-            place = np.searchsorted(keys, pieces)
-            there = np.flatnonzero(place < len(keys))
-            there = there[keys[place[there]] == pieces[there]]
-            begin, long = starts[place[there]], starts[place[there] + 1] - starts[place[there]]
-            spots = np.repeat(begin - np.r_[0, np.cumsum(long)[:-1]], long) + np.arange(long.sum()) if len(there) else np.zeros(0, np.int64)
-            common = np.bincount(at[spots], weights=np.repeat(times[there], long), minlength=len(olds))
-            open_ &= common + (q - 1) * blocks >= least
-        for i in np.flatnonzero(open_).tolist():
-            yield i, j
+    by_size = sorted(range(len(news)), key=lambda j: len(news[j]))
+    codes = [_codes(news[j]) for j in by_size]
+    sizes = np.array([len(c) for c in codes])
+    letters = sorted(map(ord, set().union(*map(set, olds), *map(set, news))))
+    rank = np.zeros(max(letters, default=0) + 1, np.int32)
+    rank[letters] = np.arange(len(letters))
+    counted = lambda c: np.bincount(rank[c], minlength=len(letters)).astype(np.int32)
+    have = np.ascontiguousarray(np.array([counted(c) for c in codes]).T)
+    bits = min(24, max(10, int(sizes.sum()).bit_length()))
+    hashed = lambda c: (_pieces(c, q) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+    own = [_once(hashed(c))[0] for c in codes]
+    flat = np.concatenate(own)
+    at = np.sort(flat.astype(np.int64) << 32 | np.repeat(np.arange(len(own)), [len(o) for o in own])).astype(np.int32)  # the lower half
+    starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(np.bincount(flat, minlength=1 << bits), dtype=np.int32)])
+    for i, t in enumerate(olds):
+        n = len(t)
+        low, high = np.searchsorted(sizes, n * threshold / (2 - threshold) - 1), np.searchsorted(sizes, n * (2 - threshold) / threshold + 1, "right")
+        if low == high:
+            continue
+        code = _codes(t)
+        counts = counted(code)
+        there = np.flatnonzero(counts)
+        common = np.minimum(have[there, low:high], counts[there, None])
+        least = threshold * (sizes[low:high] + n) / 2 - 1e-6
+        open_ = (np.minimum(sizes[low:high], n) >= least) & (common.sum(0) >= least)
+        blocks = common[counts[there] <= n // 100 + 1 if n >= 200 else slice(None)].sum(0) + 1
+        need = least - (q - 1) * blocks
+        if not open_.any():
+            continue
+        pieces, times = _once(hashed(code))
+        begin = starts[pieces]
+        long = starts[pieces + 1] - begin
+        known = np.flatnonzero(long)
+        pieces, times, begin, long = pieces[known], times[known], begin[known], long[known]
+        live = np.flatnonzero(open_ & (need <= times.sum()))
+        if not len(live):
+            continue
+
+        def count(which: np.ndarray, begin=begin, long=long, times=times, low=low, high=high) -> np.ndarray:
+            many = long[which]
+            spots = np.arange(many.sum()) + np.repeat(begin[which] - np.cumsum(many) + many, many)
+            return np.bincount(at[spots], weights=np.repeat(times[which], many), minlength=len(own))[low:high]
+
+        few = len(live) // LEAST
+        order = np.argsort(-long, kind="stable")
+        cut = np.searchsorted(np.cumsum(times[order]), LATE * np.partition(need[live], few)[few], "right")
+        late = order[:cut]
+        found = count(order[cut:])
+        live = live[found[live] + times[late].sum() >= need[live]]
+        if long[late].sum() < 2000 * len(live):
+            found += count(late)
+            live = live[found[live] >= need[live]]
+            late = late[:0]
+        for j in live.tolist():
+            if len(late) and found[j] < need[j]:
+                mine = own[low + j]
+                place = np.minimum(np.searchsorted(mine, pieces[late]), len(mine) - 1)
+                if not len(mine) or found[j] + times[late][mine[place] == pieces[late]].sum() < need[j]:
+                    continue
+            yield i, by_size[low + j]
+
+
+class _Blocks:
+    """The matching-blocks ratio of texts against an old one, as ``SequenceMatcher(None, new, old).ratio()`` gives it, without its walk over all pairs of equal letters.
+
+    What matches best between two stretches is the longest run of letters that are no popular ones of the old text, of such runs the first in the new
+    text, at its first place in the old one; it is extended by whatever is equal beside it. So places of runs of each length are written down once. The runs of
+    a stretch that are as long as its longest are taken from the left, each left of the one before in neither text, and what lies between them has shorter ones only.
+    """
+
+    def __init__(self, old: str):
+        self.old = old
+        most = len(old) // 100 + 1 if len(old) >= 200 else len(old)
+        rare = "".join(re.escape(c) for c in set(old) if old.count(c) <= most)
+        self.places: dict[int, dict[str, list[int]]] = {1: {}}
+        self.rare, self.runs = None, []
+        if rare:
+            self.rare = re.compile(f"[{rare}]")
+            for m in self.rare.finditer(old):
+                self.places[1].setdefault(m[0], []).append(m.start())
+            self.runs = [m.span() for m in re.finditer(f"[{rare}]+", old)]
+
+    def _of_length(self, n: int) -> dict[str, list[int]]:
+        if n not in self.places:
+            found = self.places[n] = {}
+            for begin, end in self.runs:
+                for i in range(begin, end - n + 1):
+                    found.setdefault(self.old[i : i + n], []).append(i)
+        return self.places[n]
+
+    def ratio(self, new: str, least: float = 0.0) -> float:
+        """The ratio, or 0 as soon as it can't reach ``least``."""
+        old = self.old
+        if not new and not old:
+            return 1.0
+        letters = [m.start() for m in self.rare.finditer(new)] if self.rare else []
+        met = {1: (letters, [self.places[1][new[i]] for i in letters])}
+
+        def first(n: int, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int] | None:
+            """The first run of ``n`` letters of the new text's stretch that is in the old one's, and its first place there."""
+            if n not in met:
+                known = self._of_length(n)
+                at = [i for i in met[max(k for k in met if k < n)][0] if new[i : i + n] in known]
+                met[n] = at, [known[new[i : i + n]] for i in at]
+            at, places = met[n]
+            for x in range(bisect_left(at, alo), bisect_right(at, ahi - n)):
+                p = places[x]
+                y = bisect_left(p, blo)
+                if y < len(p) and p[y] + n <= bhi:
+                    return at[x], p[y]
+            return None
+
+        needed = least * (len(new) + len(old)) / 2 - 1e-6
+        matched, possible = 0, min(len(new), len(old))
+        todo = [(0, len(new), 0, len(old), possible)]
+        while todo:
+            alo, ahi, blo, bhi, most = todo.pop()
+            shorter = min(ahi - alo, bhi - blo)
+            size, best, over = 0, None, min(most, shorter) + 1
+            n = 1 if over > 4 else over - 1
+            while size + 1 < over:  # few lengths are tried from above; many are doubled, then halved between one that is there and one that isn't
+                if got := first(n, alo, ahi, blo, bhi):
+                    size, best = n, got
+                    n = 2 * n if 2 * n < over else (n + over) // 2
+                else:
+                    over = n
+                    n = (size + over) // 2 if over > 4 or size else over - 1
+            i, j = best or (alo, blo)
+            e, f = i + size, j + size
+            while size and i > alo and j > blo and new[i - 1] == old[j - 1]:
+                i, j = i - 1, j - 1
+            while e + 32 <= ahi and f + 32 <= bhi and new[e : e + 32] == old[f : f + 32]:
+                e, f = e + 32, f + 32
+            while e < ahi and f < bhi and new[e] == old[f]:
+                e, f = e + 1, f + 1
+            matched += e - i
+            possible += e - i - shorter
+            if size and alo < i and blo < j:
+                todo.append((alo, i, blo, j, size - 1))
+                possible += min(i - alo, j - blo)
+            if size and e < ahi and f < bhi:
+                todo.append((e, ahi, f, bhi, size))
+                possible += min(ahi - e, bhi - f)
+            if possible < needed:
+                return 0.0
+        return 2.0 * matched / (len(new) + len(old))
+
+
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """White space of ``text`` collapsed, as ``str.split`` sees it."""
+    for batch in batches:
+        texts = pa.array([" ".join(t.split()) for t in batch["text"].to_pylist()], batch["text"].type)
+        yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), texts)
 
 
 def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``old_path, new_path, score`` of texts whose matching-blocks ratio reaches ``threshold``, within a block.
 
     Both sides have block, path, text. The ratio is that of the new text against the old one, white space collapsed; it is not
-    symmetric. It is at most 2 * shared letters / (sum of lengths). So lengths are cut into ranges of that ratio, and a text meets its own
-    range and the next ones. Both sides of a range with many texts are split, and each part of one meets each of the other in a task that holds
-    no more than the two. There pairs are ruled out by counts of letters and of short pieces, and only the others are compared; copies are
-    compared once. Nothing that reaches the threshold is lost. The work of a block still grows with its pairs, of which most cost some counts.
+    symmetric. It is at most 2 * shared letters / (sum of lengths). So in large blocks lengths are cut into ranges of that ratio, and a text meets
+    its own range and the next ones. Both sides of a range with many texts are split, and each part of one meets each of the other in a task that holds
+    no more than the two; small blocks share tasks. There pairs are ruled out by counts of letters and of short pieces, and only the others are
+    compared; copies are compared once. Nothing that reaches the threshold is lost. The work of a block still grows with its pairs, of which
+    most cost some counts.
     """
     step = math.log(2 / threshold - 1)
-    flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    keys, grid_keys = ["block", "cell"], ["block", "cell", "part", "old_part"]
-
-    def side(df: DataFrame) -> DataFrame:
-        rows = df.select("block", "path", flat.alias("text"))
-        return settle(rows.withColumn("cell", F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / step)))
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias(name))
-
-    b, a = side(new), side(old).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    grid = parts(b, "news").join(parts(a, "olds"), keys)
-    dealt = [F.col(c).alias(c) for c in [*grid_keys, "path", "text"]]  # as columns of their own, since each side has met the other's counts
-    own = lambda n: F.pmod(F.xxhash64("path"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    b = b.join(grid, keys).withColumn("part", own("news")).withColumn("old_part", every("olds")).select(*dealt)
-    a = a.join(grid, keys).withColumn("old_part", own("olds")).withColumn("part", every("news")).select(*dealt)
+    grid_keys, columns = ["lot", "part", "old_part"], ["block", "cell", "path", "text"]
+    around = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        rows = df.where("block is not null and text is not null").select("block", "path", F.col("text").cast("string").alias("text"))
+        rows = rows.mapInArrow(_collapsed, rows.schema).withColumn("letters", F.length("text"))
+        return stored(rows.withColumn("cell", F.floor(F.log(F.greatest(F.col("letters"), F.lit(1))) / step)), tag)
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("block", "cell").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"))
+
+    def parts(counts: DataFrame, name: str) -> DataFrame:
+        rows = F.when(F.sum("letters") < LONG * F.sum("n"), PAIR_ROWS[0]).otherwise(PAIR_ROWS[1])
+        most = F.greatest(F.sum("n") / rows, F.sum("letters") / PAIR_LETTERS)
+        return counts.groupBy("block", "cell").agg(F.ceil(most).cast("int").alias(name))
+
+    b, a = side(new, "new"), side(old, "old")
+    counts_b, counts_a = sizes(b), sizes(a)
+    whole = counts_b.withColumn("side", F.lit(1)).unionByName(counts_a.withColumn("side", F.lit(0))).groupBy("block", "side").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"))
+    whole = stored(whole.groupBy("block").agg(F.max("n").alias("n"), F.max("letters").alias("most"), F.sum("letters").alias("letters"), F.count("*").alias("sides")).where("sides = 2"), "blocks")
+    is_large = (F.col("n") > PAIR_ROWS[0]) | (F.col("most") > PAIR_LETTERS)
+    large, small = whole.where(is_large).select("block"), whole.where(~is_large)
+    lots = (small.agg(F.sum("letters")).first()[0] or 0) // PAIR_LETTERS + 1
+    # of large blocks there are no more than texts / PAIR_ROWS and letters / PAIR_LETTERS
+    grid = F.broadcast(parts(counts_b.join(F.broadcast(large), "block"), "news").join(parts(counts_a.join(F.broadcast(large), "block").withColumn("cell", around), "olds"), ["block", "cell"]))
+
+    def dealt(rows: DataFrame, each: DataFrame, mine: str, mine_of: str, other: str, other_of: str) -> DataFrame:
+        split = each.join(grid, ["block", "cell"]).withColumn(mine, F.pmod(F.xxhash64("path"), F.col(mine_of)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_of) - 1)))
+        split = split.select(F.xxhash64("block", "cell").alias("lot"), "part", "old_part", *columns)
+        together = rows.join(F.broadcast(large), "block", "left_anti").select(F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot"), F.lit(0).alias("part"), F.lit(0).alias("old_part"), "block", F.lit(0).cast("long").alias("cell"), "path", "text")
+        return split.unionByName(together).select(*[F.col(c).alias(c) for c in [*grid_keys, *columns]])  # columns of their own, since each side has met the other's counts
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = []
+        held: list[dict] = []
         for table in (left, right):
-            by_text: dict[str, list[int]] = {}
-            for i, t in enumerate(table["text"].to_pylist()):
-                by_text.setdefault(t, []).append(i)
+            by_text: dict[tuple, dict[str, list[int]]] = {}
+            for i, (block, cell, t) in enumerate(zip(*(table[c].to_pylist() for c in ("block", "cell", "text")), strict=True)):
+                by_text.setdefault((block, cell), {}).setdefault(t, []).append(i)
             held.append(by_text)
-        olds, news = map(list, held)
         at, to, scores = [], [], []
-        for i, j in _hopeful(olds, news, threshold) if olds and news else ():
-            score = 1.0 if olds[i] == news[j] else SequenceMatcher(None, news[j], olds[i]).ratio()
-            if score >= threshold:
-                for x in held[0][olds[i]]:
-                    at += [x] * len(held[1][news[j]])
-                    to += held[1][news[j]]
-                scores += [score] * (len(held[0][olds[i]]) * len(held[1][news[j]]))
+        for key in held[0].keys() & held[1].keys():
+            (olds, old_rows), (news, new_rows) = [(list(h[key]), list(h[key].values())) for h in held]
+            last, blocks = -1, None
+            for i, j in _hopeful(olds, news, threshold):
+                if i != last:
+                    last, blocks = i, _Blocks(olds[i])
+                score = 1.0 if olds[i] == news[j] else blocks.ratio(news[j], threshold)
+                if score >= threshold:
+                    for x in old_rows[i]:
+                        at += [x] * len(new_rows[j])
+                        to += new_rows[j]
+                    scores += [score] * (len(old_rows[i]) * len(new_rows[j]))
         return pa.table({"old_path": left["path"].take(pa.array(at, pa.int64())), "new_path": right["path"].take(pa.array(to, pa.int64())), "score": pa.array(scores, pa.float64())})
 
     schema = T.StructType([T.StructField("old_path", old.schema["path"].dataType), T.StructField("new_path", new.schema["path"].dataType), T.StructField("score", T.DoubleType())])
-    return a.groupBy(*grid_keys).cogroup(b.groupBy(*grid_keys)).applyInArrow(compare, schema)
+    lefts = dealt(a, a.withColumn("cell", around), "old_part", "olds", "part", "news")
+    rights = dealt(b, b, "part", "news", "old_part", "olds")
+    return lefts.groupBy(*grid_keys).cogroup(rights.groupBy(*grid_keys)).applyInArrow(compare, schema)
 
 
 def identical_edges(old: DataFrame, new: DataFrame) -> DataFrame:
