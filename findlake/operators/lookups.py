@@ -296,8 +296,8 @@ def identical_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["hash", "k"]).select("old_path", "new_path")
 
 
-#: Texts of one side and block that meet in one task, of less and of more letters than ``LONG`` on the whole; more are split.
-PAIR_ROWS = (500, 1000)
+#: Texts of one side and block that meet in one task, twice as many where they have ``LONG`` letters on the whole; more are split.
+PAIR_ROWS = 500
 #: Letters of one side and block that meet in one task; more are split.
 PAIR_LETTERS = 2_000_000
 #: Lengths of the pieces of text whose counts bound a similarity: of short texts, and of those of some ``LONG`` letters and more.
@@ -529,7 +529,7 @@ def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> Dat
         return rows.groupBy("block", "cell").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"))
 
     def parts(counts: DataFrame, name: str) -> DataFrame:
-        rows = F.when(F.sum("letters") < LONG * F.sum("n"), PAIR_ROWS[0]).otherwise(PAIR_ROWS[1])
+        rows = F.when(F.sum("letters") < LONG * F.sum("n"), PAIR_ROWS).otherwise(2 * PAIR_ROWS)
         most = F.greatest(F.sum("n") / rows, F.sum("letters") / PAIR_LETTERS)
         return counts.groupBy("block", "cell").agg(F.ceil(most).cast("int").alias(name))
 
@@ -537,7 +537,7 @@ def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> Dat
     counts_b, counts_a = sizes(b), sizes(a)
     whole = counts_b.withColumn("side", F.lit(1)).unionByName(counts_a.withColumn("side", F.lit(0))).groupBy("block", "side").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"))
     whole = stored(whole.groupBy("block").agg(F.max("n").alias("n"), F.max("letters").alias("most"), F.sum("letters").alias("letters"), F.count("*").alias("sides")).where("sides = 2"), "blocks")
-    is_large = (F.col("n") > PAIR_ROWS[0]) | (F.col("most") > PAIR_LETTERS)
+    is_large = (F.col("n") > PAIR_ROWS) | (F.col("most") > PAIR_LETTERS)
     large, small = whole.where(is_large).select("block"), whole.where(~is_large)
     lots = (small.agg(F.sum("letters")).first()[0] or 0) // PAIR_LETTERS + 1
     # of large blocks there are no more than texts / PAIR_ROWS and letters / PAIR_LETTERS

@@ -83,7 +83,7 @@ def test_large_blocks_are_split_and_small_ones_share_tasks_without_loss(spark, m
     texts = texts_of(rng) + ["\tQ\x1cq  q", "Q q q"]
     rows = [(f"b{i % 7}" if i % 3 else "big", i, t) for i, t in enumerate(texts * 2)]
     df = spark.createDataFrame(rows, "block string, path long, text string")
-    monkeypatch.setattr(lookups, "PAIR_ROWS", (5, 8))
+    monkeypatch.setattr(lookups, "PAIR_ROWS", 5)
     monkeypatch.setattr(lookups, "PAIR_LETTERS", 4000)
     got = sorted((r.old_path, r.new_path, r.score) for r in lookups.similar_pairs(df.where("path % 2 = 0"), df.where("path % 2 = 1")).collect())
     flat = {i: (b, " ".join(t.split())) for b, i, t in rows}
